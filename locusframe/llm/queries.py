@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.llm import simhash
 from locusframe.llm._common import written
 from locusframe.llm.sharding import shard_by_splitters
 
@@ -29,7 +30,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components of near-duplicates."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op4_sharding": op4_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}
