@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from locusframe.llm import simhash
 from locusframe.llm._common import written
+from locusframe.llm.decontamination import find_contaminated
 from locusframe.llm.sharding import shard_by_splitters
 
 
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document the benchmark's windows of 13 words cover."""
+    return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 40 shards of nearly equal bytes; equal texts stay next to each other."""
     slim = written(
@@ -36,6 +42,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op4_sharding": op4_sharding,
 }
