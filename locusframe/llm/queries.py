@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import simhash
+from locusframe.llm import langid, quality, simhash
 from locusframe.llm._common import written
 from locusframe.llm.decontamination import find_contaminated
 from locusframe.llm.sharding import shard_by_splitters
@@ -36,6 +36,22 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by marginals of its words."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_languages(docs)
+    slim = docs.select("doc_id", quality.held_out().alias("held_out"), "text")
+    return langid.predict_language(slim, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, by marginals of its lines."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    slim = docs.select("doc_id", quality.held_out().alias("held_out"), "text")
+    return quality.score_quality(slim, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their components of near-duplicates."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -43,6 +59,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op5_language_id": op5_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op4_sharding": op4_sharding,
 }
