@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import langid, quality, simhash
+from locusframe.llm import langid, quality, simhash, vectors
 from locusframe.llm._common import written
 from locusframe.llm.decontamination import find_contaminated
 from locusframe.llm.sharding import shard_by_splitters
@@ -52,6 +52,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(slim, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more among all embeddings of one label, and their components."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their components of near-duplicates."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -61,6 +66,7 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op5_language_id": op5_language_id,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op4_sharding": op4_sharding,
 }
