@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import langid, quality, simhash, vectors
+from locusframe.llm import chat, langid, linededup, mixing, quality, simhash, vectors
 from locusframe.llm._common import written
 from locusframe.llm.decontamination import find_contaminated
 from locusframe.llm.sharding import shard_by_splitters
@@ -15,11 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page without its site's boilerplate lines."""
+    return linededup.drop_site_lines(table(spark, sf_dir, "pages"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document the benchmark's windows of 13 words cover."""
     return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one made of control strings, read back from the prefix tree."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    trap = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    back = chat.read_back(chat.build_tree(rows.union(trap)))
+    digest = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 40 shards of nearly equal bytes; equal texts stay next to each other."""
     slim = written(
@@ -44,6 +63,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_language(slim, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability, and whether it is sampled, by raked source, language and topic shares."""
+    slim = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), mixing.tokens_of(F.col("text")).alias("tokens")
+    )
+    dims = {n: F.col(n) for n in ("source", "lang", "topic")}
+    return mixing.mix_to_targets(written(slim), dims, F.col("tokens")).select(
+        "doc_id", "source", "lang", "topic", "tokens", F.round("weight", 9).alias("weight"),
+        F.round("probability", 6).alias("probability"), "sampled",
+    )
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, by marginals of its lines."""
     docs = table(spark, sf_dir, "documents")
@@ -63,11 +94,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op5_language_id": op5_language_id,
+    "op6_mixing": op6_mixing,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op3_chat_format": op3_chat_format,
     "op4_sharding": op4_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}
