@@ -60,7 +60,7 @@ def mix_to_targets(
     tokens: Column,
     doc_id: str = "doc_id",
     targets: Mapping[str, Mapping[str, float]] | None = None,
-    power: float = 0.7,
+    power: float = 0.9,
     rounds: int = 25,
     max_cells: int = 1_000_000,
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import chat, langid, linededup, mixing, quality, simhash, vectors
+from locusframe.llm import chat, langid, linededup, mixing, oracles, quality, simhash, urlfilter, vectors
 from locusframe.llm._common import written
 from locusframe.llm.decontamination import find_contaminated
 from locusframe.llm.sharding import shard_by_splitters
@@ -75,6 +75,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict, by rules or, where none fits, by boosted trees."""
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document, by marginals of its lines."""
     docs = table(spark, sf_dir, "documents")
@@ -98,10 +107,15 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
+    "op7_url_filter": op7_url_filter,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_sharding": op4_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": oracles.LINE_DEDUP,
+    "op2_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op6_mixing": oracles.mixing(25, 0.9),
+}
