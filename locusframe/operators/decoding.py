@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.session import importable
+
 
 def viterbi(scores: np.ndarray, moves: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The best path for log scores [length, states], log transitions and log start weights."""
@@ -37,6 +39,7 @@ def stay_or_leave(lengths: list[float], allowed: np.ndarray) -> np.ndarray:
 
 def decoded(chunks: DataFrame, scorer: Callable[[str], np.ndarray], moves: np.ndarray, start: np.ndarray) -> DataFrame:
     """Adds labels (an array) to chunks with column sequence: ``scorer`` gives log scores, Viterbi the path."""
+    importable(chunks.sparkSession)
     names = chunks.columns
     kinds = dict(chunks.dtypes)
 
