@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from locusframe.llm import crf
 from locusframe.llm.quality import held_out
+from locusframe.session import importable
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Features are hashed into so many slots; the lexicon's words follow after them.
@@ -100,6 +101,8 @@ def fit_languages(
     share = min(1.0, max_docs / max(1, docs.where(F.col(lang).isNotNull() & ~held_out(doc_id)).count()))
     usable = usable.where(F.pmod(F.xxhash64(doc_id, F.lit("language")), F.lit(1_000_000)) < int(share * 1_000_000))
 
+    importable(docs.sparkSession)
+
     def spans(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
@@ -141,6 +144,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text",
 
     A text that is null or has no letters gets "und" and 0. Older columns of these names are replaced.
     """
+    importable(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     names, kinds = docs.columns, dict(docs.dtypes)
     place = names.index(text)

@@ -54,6 +54,13 @@ def rake(cells: np.ndarray, weights: np.ndarray, targets: Sequence[np.ndarray],
     return out
 
 
+def most_wanted(rate: np.ndarray, tokens: np.ndarray, whole_share: float) -> float:
+    """The rate that gets probability 1: cells of higher ones have no more than ``whole_share`` of the tokens."""
+    order = np.argsort(rate, kind="stable")
+    enough = np.cumsum(tokens[order]) >= (1 - whole_share) * tokens.sum()
+    return float(rate[order][enough][0])
+
+
 def mix_to_targets(
     docs: DataFrame,
     dims: Mapping[str, Column],
@@ -62,16 +69,18 @@ def mix_to_targets(
     targets: Mapping[str, Mapping[str, float]] | None = None,
     power: float = 0.9,
     rounds: int = 25,
+    whole_share: float = 0.01,
     max_cells: int = 1_000_000,
 ) -> DataFrame:
     """Adds the ``dims`` (as strings, null as ""), tokens, weight (raked share of all tokens), probability and sampled.
 
     ``targets`` gives each dimension's shares, by category; a missing dimension is tempered: its own token
     shares to ``power``. Tokens are summed by cell (a combination of categories) over all documents; raking
-    scales the cells to all marginals in turn, ``rounds`` times. A document's probability is its cell's raked
-    weight by token, in proportion, with the most wanted cell at 1: so expected tokens of the sample have the
-    raked shares, no document is taken twice, and none is capped. The draw is a hash of the id. A category
-    without a target, or with one of 0, is not sampled.
+    scales the cells to all marginals in turn, ``rounds`` times. A document's probability is in proportion to its
+    cell's raked weight by token. The most wanted cells, up to ``whole_share`` of all tokens, have probability 1:
+    they are taken whole, and all others in proportion, so expected tokens of the sample have the raked shares
+    but for what those few cells lack, and a rare category does not thin out everything else. No document is
+    taken twice. The draw is a hash of the id. A category without a target, or with one of 0, is not sampled.
 
     Only the cell table reaches the driver: the sums over all documents, of which there can be as many as
     combinations of the categories. It must have ``max_cells`` rows at most, else ValueError. Existing columns
@@ -94,7 +103,7 @@ def mix_to_targets(
     fitted = rake(np.stack(codes, axis=1), rows["__mix_sum"].to_numpy(), aims, rounds) if len(rows) else np.empty(0)
     rows["weight"] = fitted
     rate = np.divide(fitted, rows["__mix_sum"].to_numpy(float), out=np.zeros(len(rows)), where=rows["__mix_sum"].to_numpy() > 0)
-    rows["probability"] = rate / rate.max() if len(rate) and rate.max() > 0 else rate
+    rows["probability"] = np.minimum(1.0, rate / most_wanted(rate, rows["__mix_sum"].to_numpy(float), whole_share)) if rate.any() else rate
     schema = ", ".join(f"{k} string" for k in keys) + ", weight double, probability double"
     table = docs.sparkSession.createDataFrame(rows[[*keys, "weight", "probability"]].values.tolist(), schema)
     kept = [c for c in keyed.columns if c in keys or c == "__mix_tokens" or c not in ("weight", "probability", "sampled")]

@@ -41,7 +41,7 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r)
 """
 
 
-def mixing(rounds: int, power: float) -> str:
+def mixing(rounds: int, power: float, whole_share: float) -> str:
     """Raking unrolled: one step for each round and dimension."""
     dims = ["source", "lang", "topic"]
     steps, last = [], "c0"
@@ -62,7 +62,8 @@ sums AS (SELECT *, {sums} FROM cells),
 c0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens AS w, {aims} FROM sums),
 {", ".join(steps)},
 rates AS (SELECT *, w / tokens AS rate FROM {last}),
-p AS (SELECT *, rate / max(rate) OVER () AS probability FROM rates)
+r AS (SELECT *, sum(tokens) OVER (ORDER BY rate, source, lang, topic ROWS UNBOUNDED PRECEDING) >= {1 - whole_share} * sum(tokens) OVER () AS enough FROM rates),
+p AS (SELECT *, least(1.0, rate / (SELECT min(rate) FROM r WHERE enough)) AS probability FROM r)
 SELECT doc_id, source, lang, topic, x.tokens, round(w, 9) AS weight, round(probability, 6) AS probability,
   CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 < probability AS sampled
 FROM x JOIN p USING (source, lang, topic)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm import crf
+from locusframe.session import importable
 
 CAPITALS = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
@@ -73,7 +74,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit_quality(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-    max_docs: int = 6_000, max_lines: int = 40, rounds: int = 250,
+    max_docs: int = 3_000, max_lines: int = 40, rounds: int = 150,
 ) -> QualityModel:
     """Trains on about ``max_docs`` labelled documents at most, each with ``max_lines`` consecutive lines at most.
 
@@ -87,6 +88,8 @@ def fit_quality(
     known = known.where(F.pmod(F.xxhash64("_id", F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000)).select("_id", "_y")
     sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text is not null").join(F.broadcast(known), "_id")
 
+    importable(docs.sparkSession)
+
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
@@ -113,6 +116,7 @@ def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id",
 
     Whole texts are scored; a null or blank text counts as one empty line. Other columns stay as they are, except older ones of these names.
     """
+    importable(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     names = docs.columns
     kinds = dict(docs.dtypes)

@@ -117,5 +117,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": oracles.LINE_DEDUP,
     "op2_benchmark_decontamination": oracles.DECONTAMINATION,
-    "op6_mixing": oracles.mixing(25, 0.9),
+    "op6_mixing": oracles.mixing(25, 0.9, 0.01),
 }

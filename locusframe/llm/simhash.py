@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from locusframe.llm._common import written
 from locusframe.llm.components import connected_components
+from locusframe.session import importable
 
 #: The binary Golay code of length 23: every word is within 3 bits of exactly one code word.
 LENGTH, RADIUS, GENERATOR = 23, 3, 0b110001110101
@@ -51,6 +52,7 @@ def with_fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             prints = [fingerprint(x.as_py(), words, seed) for x in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
+    importable(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
 
@@ -178,6 +180,7 @@ def near_links(prints: DataFrame, within: int = 2) -> DataFrame:
             a, b = _compare(*whole, within)
             yield pa.record_batch([a, b], ["a", "b"])
 
+    importable(prints.sparkSession)
     near = prints.select("fp").mapInArrow(spread, "anchor long, fp long, home boolean")
     return near.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 

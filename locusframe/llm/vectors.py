@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from locusframe.llm._common import written
 from locusframe.llm.components import connected_components
 from locusframe.llm.simhash import forest
+from locusframe.session import importable
 
 #: Candidate pairs that are compared at a time in one task.
 PAIRS_AT_ONCE = 200_000
@@ -174,6 +175,7 @@ def _search(groups: DataFrame, cosine: float, lists: int, parts: int, codes: int
             table = pa.Table.from_batches(kept).combine_chunks()
             yield from _links(table, table["key"].to_numpy(), index, n, cosine, reach)
 
+    importable(groups.sparkSession)
     kind = dict(groups.dtypes)["label"]
     placed = groups.select("node", "label", "copies", "v").mapInArrow(
         place, f"label {kind}, list int, node long, copies long, member boolean, error double, code binary, v array<double>"
