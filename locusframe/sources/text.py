@@ -70,7 +70,8 @@ def read_wig(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(seqid, pos, value) of fixedStep blocks; blocks are split by Spark."""
     raw = spark.read.text(path, lineSep="fixedStep").where(F.col("value").rlike(r"chrom=\S+"))
     fact = lambda k, d: F.coalesce(F.nullif(F.regexp_extract("value", rf"{k}=(\d+)", 1), F.lit("")).cast("long"), F.lit(d))
-    values = F.filter(F.slice(F.split("value", r"\r?\n"), 2, 2**31 - 1), lambda x: x.try_cast("double").isNotNull())
+    # The block's first line is its header; it is no number.
+    values = F.filter(F.split("value", r"\r?\n"), lambda x: x.try_cast("double").isNotNull())
     rows = raw.select(F.regexp_extract("value", r"chrom=(\S+)", 1).alias("seqid"), fact("start", 1).alias("s"), fact("step", 1).alias("step"), F.posexplode(values).alias("i", "x"))
     return rows.select("seqid", (F.col("s") + F.col("i") * F.col("step")).alias("pos"), F.col("x").cast("double").alias("value"))
 
