@@ -150,3 +150,40 @@ def stranded_introns(introns: DataFrame, sequences: DataFrame) -> DataFrame:
 def has_stop(seq: Column) -> Column:
     """Whether a stop codon stands anywhere, in any frame."""
     return F.coalesce(F.upper(seq).rlike("|".join(STOPS)), F.lit(False))
+
+
+def candidate_rows(peptides: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Gene models on transcripts: gene, mRNA, exon, CDS and UTR rows of each peptide whose transcript has a length.
+
+    ``peptides`` has (id, tx_id, start, stop, strand) of the coding part; a UTR row is left out if it is empty.
+    """
+    five = lambda plus: F.when(F.col("strand") == "+", plus)
+    left = F.struct(five("five_prime_UTR").otherwise("three_prime_UTR").alias("type"), F.lit(1).cast("long").alias("start"), (F.col("start") - 1).alias("stop"))
+    right = F.struct(five("three_prime_UTR").otherwise("five_prime_UTR").alias("type"), (F.col("stop") + 1).alias("start"), F.col("length").alias("stop"))
+    whole = lambda kind: F.struct(F.lit(kind).alias("type"), F.lit(1).cast("long").alias("start"), F.col("length").alias("stop"))
+    coding = F.struct(F.lit("CDS").alias("type"), F.col("start"), F.col("stop"))
+    rows = peptides.join(lengths.select("tx_id", "length"), "tx_id")
+    each = rows.withColumn("x", F.explode(F.array(whole("gene"), whole("mRNA"), whole("exon"), coding, left, right)))
+    return each.select("tx_id", "id", "strand", "x.*").where("start <= stop")
+
+
+def confident(candidates: DataFrame, no_conflict: DataFrame, stop_in_utr: DataFrame, min_cds: int = 250, min_score: float = 50.0) -> DataFrame:
+    """Adds class: HC if long enough, above the score, complete, without conflict and with a stop in the 5' UTR; else LC.
+
+    An LC candidate of a transcript that has an HC one is left out. Flags that are missing count as false.
+    """
+    flags = candidates.join(no_conflict.select("id", F.col("flag").alias("free")), "id", "left")
+    flags = flags.join(stop_in_utr.select("tx_id", F.col("flag").alias("utr")), "tx_id", "left")
+    high = (F.col("length") * 3 >= min_cds) & (F.col("score") > min_score) & (F.col("kind") == "complete") & F.coalesce("free", F.lit(False)) & F.coalesce("utr", F.lit(False))
+    marked = flags.withColumn("high", F.coalesce(high, F.lit(False)))
+    any_high = marked.where("high").select("tx_id").distinct()
+    kept = marked.where("high").unionByName(marked.where("not high").join(any_high, "tx_id", "left_anti"))
+    return kept.withColumn("class", F.when(F.col("high"), "HC").otherwise("LC")).drop("high", "free", "utr")
+
+
+def prefiltered(proteins: DataFrame, ranked: DataFrame, subject: str, gate: int) -> DataFrame:
+    """Proteins of the marked species only, if there are more than ``gate`` proteins; else all."""
+    if proteins.limit(gate + 1).count() <= gate:
+        return proteins
+    wanted = ranked.where("mark = 'TOP'").select("species")
+    return proteins.withColumn("species", species_of(F.col(subject))).join(wanted, "species", "left_semi").drop("species")

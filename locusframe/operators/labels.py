@@ -83,3 +83,25 @@ def masked(kept: DataFrame, filtered: DataFrame, keys: list[str], flank: int) ->
     zero = steps.select(*keys, F.col("pos").alias("start"), F.lead("pos").over(order).alias("stop"), (on[2] | (on[0] & ~on[1])).alias("zero"))
     out = zero.where("zero and stop is not null").select(*keys, "start", (F.col("stop") - 1).alias("stop"))
     return merged(out, keys).withColumn("stop", F.col("stop") + 1)
+
+
+def transitions(labels: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """Half-open stretches within ``reach`` of a change between coding and not: rows (keys, pos, label) of all positions
+    that aren't intergenic; others count as not coding."""
+    coding = labels.where("label > 3").select(*keys, F.col("pos").alias("start"), F.col("pos").alias("stop"))
+    runs = merged(coding, keys)
+    ends = runs.select(*keys, F.explode(F.array(F.col("start"), F.col("stop") + 1)).alias("at"))
+    near = ends.select(*keys, F.greatest(F.lit(0), F.col("at") - reach).alias("start"), (F.col("at") + reach - 1).alias("stop"))
+    return merged(near, keys).withColumn("stop", F.col("stop") + 1)
+
+
+def reading_frames(labels: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, stop): each start label with the first stop label more than three positions after it.
+
+    One backward running minimum over starts and stops, not a join of all pairs; a stop less than four positions
+    ahead is passed over by looking from four positions on.
+    """
+    starts = labels.where("label = 7").select(*keys, (F.col("pos") + 4).alias("at"), F.col("pos").alias("start"), F.lit(None).cast("long").alias("end"))
+    stops = labels.where("label = 14").select(*keys, F.col("pos").alias("at"), F.lit(None).cast("long").alias("start"), F.col("pos").alias("end"))
+    ahead = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    return starts.union(stops).withColumn("stop", F.min("end").over(ahead)).where("start is not null and stop is not null").select(*keys, "start", "stop")

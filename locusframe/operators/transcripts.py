@@ -124,3 +124,16 @@ def with_stop_codon(cds: DataFrame, stops: DataFrame) -> DataFrame:
     stop = F.when((F.col("strand") == "+") & (F.col("_hi") == 1), F.greatest("stop", "high")).otherwise(F.col("stop"))
     start = F.when((F.col("strand") == "-") & (F.col("_lo") == 1), F.least("start", "low")).otherwise(F.col("start"))
     return rows.join(outer, TX, "left").withColumns({"start": start, "stop": stop}).drop("_hi", "_lo", "high", "low")
+
+
+def renamed_by_first_line(features: DataFrame, column: str, prefix: str) -> DataFrame:
+    """(column, new): ids numbered from 1 in the order of their first lines."""
+    first = features.groupBy(column).agg(F.min("line_no").alias("line_no"))
+    return running(first, [], ["line_no"], "line_no", F.lit(1).cast("long"), "n", "sum").select(column, F.concat(F.lit(prefix), "n").alias("new"))
+
+
+def with_new_parents(rows: DataFrame, names: DataFrame, parent: str = "parent") -> DataFrame:
+    """Translates comma-joined parents by ``names`` (old, new), in their order; unknown ones stay."""
+    each = rows.select("line_no", F.posexplode(F.split(parent, ",")).alias("i", "old")).join(names, "old", "left")
+    new = F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("new", "old").alias("new")))), lambda x: x["new"])
+    return each.groupBy("line_no").agg(F.array_join(new, ",").alias(parent))

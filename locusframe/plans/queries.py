@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions import genome
 from locusframe.functions import sequence as S
+from locusframe.functions.attributes import format_gff, parse
 from locusframe.operators import evaluation, evidence, intervals, labels, merging
 from locusframe.operators import transcripts as T
 from locusframe.plans import proxies as P
@@ -654,3 +655,167 @@ def revise_pep(spark, d):
     pep = P.peptides(spark, d)
     classes = pep.select(F.col("id").alias("query"), F.when(F.length("sequence") % 5 != 0, "complete").otherwise("incomplete").alias("class"))
     return evidence.revised(pep, classes, evidence.shortened(pep))
+
+
+# ---- more of the above
+
+
+@query("tx_span", "SELECT tx_id, start, stop, stop - start + 1 AS width FROM t", FT)
+def tx_span(spark, d):
+    return T.assembled(P.features(spark, d)).select("tx_id", "start", "stop", T.length().alias("width"))
+
+
+@query("rename_first_seen", "SELECT gene_id, 'n' || row_number() OVER (ORDER BY min(line_no)) AS new FROM f GROUP BY gene_id", F_)
+def rename_first_seen(spark, d):
+    return T.renamed_by_first_line(P.features(spark, d), "gene_id", "n")
+
+
+PARENTS = """n AS (SELECT gene_id AS old, 'n' || row_number() OVER (ORDER BY min(line_no)) AS new FROM f WHERE s % 2 = 0 GROUP BY gene_id)
+SELECT line_no, coalesce(a.new, gene_id) || ',' || coalesce(b.new, 'g' || p) AS parent FROM f LEFT JOIN n a ON a.old = gene_id LEFT JOIN n b ON b.old = 'g' || p"""
+
+
+@query("new_parents", PARENTS, f"{F_},")
+def new_parents(spark, d):
+    f = P.features(spark, d)
+    names = T.renamed_by_first_line(f.where("s % 2 = 0"), "gene_id", "n").withColumnRenamed("gene_id", "old")
+    return T.with_new_parents(f.select("line_no", F.concat("gene_id", F.lit(",g"), "p").alias("parent")), names)
+
+
+ATTRS = """CASE WHEN line_no % 2 = 0 THEN 'gene_id "' || gene_id || '"; transcript_id "' || tx_id || '"; n "' || p || '";' ELSE 'ID=' || tx_id || ';Parent=' || gene_id || ';n=' || p END"""
+
+
+def _attributes(spark, d) -> DataFrame:
+    return P.features(spark, d).select("line_no", F.expr(ATTRS).alias("attrs"))
+
+
+@query("attr_parse", "SELECT line_no, CASE WHEN line_no % 2 = 0 THEN gene_id END AS gene, CASE WHEN line_no % 2 = 1 THEN gene_id END AS parent, CAST(p AS VARCHAR) AS n FROM f", F_)
+def attr_parse(spark, d):
+    a = parse(F.col("attrs"))
+    value = lambda k: F.try_element_at(a, F.lit(k))
+    return _attributes(spark, d).select("line_no", value("gene_id").alias("gene"), value("Parent").alias("parent"), value("n").alias("n"))
+
+
+@query("attr_format", "SELECT line_no, CASE WHEN line_no % 2 = 0 THEN 'gene_id=' || gene_id || ';n=' || p || ';transcript_id=' || tx_id ELSE 'ID=' || tx_id || ';Parent=' || gene_id || ';n=' || p END AS attrs FROM f", F_)
+def attr_format(spark, d):
+    return _attributes(spark, d).select("line_no", format_gff(parse(F.col("attrs"))).alias("attrs"))
+
+
+@query("mult_score", "SELECT line_no, CASE WHEN p % 3 = 0 THEN p ELSE 1 END AS score FROM f", F_)
+def mult_score(spark, d):
+    attrs = F.when(F.col("p") % 3 == 0, F.concat(F.lit("src=E;mult="), "p", F.lit(";"))).otherwise("src=E;")
+    found = F.nullif(F.regexp_extract(attrs, r"mult=(\d+)", 1), F.lit(""))
+    return P.features(spark, d).select("line_no", F.coalesce(found.cast("long"), F.lit(1)).alias("score"))
+
+
+@query("species_id", "SELECT subject, split_part(subject, '_', 1) AS species, count(*) AS n FROM h GROUP BY ALL", H)
+def species_id(spark, d):
+    return P.hits(spark, d).select("subject", evidence.species_of(F.concat("subject", F.lit(" x_y"))).alias("species")).groupBy("subject", "species").agg(F.count("*").alias("n"))
+
+
+@query("hits_scan", """SELECT query, count(*) AS n, count(CASE WHEN pident % 2 >= 1 THEN pident END) AS numbers FROM h GROUP BY query""", H)
+def hits_scan(spark, d):
+    """Texts that are no numbers become null."""
+    text = F.when(F.col("pident") % 2 >= 1, F.col("pident").cast("string")).otherwise("-")
+    return P.hits(spark, d).groupBy("query").agg(F.count("*").alias("n"), F.count(text.try_cast("double")).alias("numbers"))
+
+
+@query("prefilter_db", f"""r AS (SELECT species, count(*) AS votes, sum(score) AS total FROM ({SCORED}{GOOD}{BEST}) GROUP BY species),
+m AS (SELECT species FROM r ORDER BY votes DESC, round(total, 3) DESC, species LIMIT 5)
+SELECT DISTINCT subject FROM h WHERE split_part(subject, '_', 1) IN (SELECT species FROM m)""", f"{H},")
+def prefilter_db(spark, d):
+    h = P.hits(spark, d)
+    return evidence.prefiltered(h.select("subject").distinct(), evidence.ranked_species(h, 0.05, 93.0, 0.5, 5), "subject", 1000)
+
+
+@query("align_rate", "SELECT query, round(100.0 * count(*) FILTER (alen >= 10) / count(*), 6) AS rate FROM h GROUP BY query HAVING 100.0 * count(*) FILTER (alen >= 10) / count(*) >= 80", H)
+def align_rate(spark, d):
+    rate = 100.0 * F.count(F.when(F.col("alen") >= 10, 1)) / F.count("*")
+    return P.hits(spark, d).groupBy("query").agg(rate.alias("rate")).where("rate >= 80").withColumn("rate", F.round("rate", 6))
+
+
+PART = """SELECT 'CDSpart' AS type, tx_id, CASE WHEN start + 15 > stop - 15 THEN (start + stop) // 2 ELSE start + 15 END AS start, CASE WHEN start + 15 > stop - 15 THEN (start + stop) // 2 ELSE stop - 15 END AS stop FROM f"""
+INTRON = """SELECT 'intron' AS type, tx_id, start, stop FROM (SELECT tx_id, least(stop, lag(stop) OVER o) + 1 AS start, greatest(start, lag(start) OVER o) - 1 AS stop, lag(start) OVER o AS s0
+  FROM f WINDOW o AS (PARTITION BY seqid, tx_id ORDER BY line_no)) WHERE s0 IS NOT NULL AND start <= stop"""
+
+
+@query("hints", f"SELECT type, tx_id, start, stop, count(*) AS n FROM ({PART} UNION ALL {INTRON}) GROUP BY ALL", F_)
+def hints(spark, d):
+    f = P.features(spark, d)
+    parts = evidence.cds_part_hints(f).select(F.lit("CDSpart").alias("type"), "tx_id", "start", "stop")
+    gaps = evidence.intron_hints(f).select(F.lit("intron").alias("type"), "tx_id", "start", "stop")
+    return parts.unionByName(gaps).groupBy("type", "tx_id", "start", "stop").agg(F.count("*").alias("n"))
+
+
+@query("postprocess", "SELECT seq_name FROM c WHERE n >= 200 AND len(list_filter(c[:-2], lambda x: x IN ('TAA', 'TAG', 'TGA'))) = 0", f"{D}, {CODED}")
+def postprocess(spark, d):
+    """Long enough coding sequences without an inner stop codon."""
+    checks = S.stop_check(F.col("sequence"))
+    return P.dna(spark, d).where((checks["n"] >= 200) & (checks["internal"] == 0)).select("seq_name")
+
+
+@query("orf_pairs", """a AS (SELECT seqid, strand, pos FROM la WHERE label = 7), z AS (SELECT seqid, strand, pos FROM la WHERE label = 14)
+SELECT seqid, strand, start, stop FROM (SELECT seqid, strand, pos AS start, (SELECT min(z.pos) FROM z WHERE z.seqid = a.seqid AND z.strand = a.strand AND z.pos > a.pos + 3) AS stop FROM a) WHERE stop IS NOT NULL""", f"{F_}, {LABELS},")
+def orf_pairs(spark, d):
+    return labels.reading_frames(labels.all_labels(P.features(spark, d)), KEYS)
+
+
+@query("transition_weights", f"""cd AS (SELECT DISTINCT seqid, strand, pos AS start, pos AS stop FROM la WHERE label > 3), ru AS ({_merged('cd')}),
+en AS (SELECT seqid, strand, unnest([start, stop + 1]) AS at_ FROM ru), ne AS (SELECT seqid, strand, greatest(0, at_ - 25) AS start, at_ + 24 AS stop FROM en)
+SELECT seqid, strand, start, stop + 1 AS stop FROM ({_merged('ne')})""", f"{F_}, {LABELS},")
+def transition_weights(spark, d):
+    return labels.transitions(labels.all_labels(P.features(spark, d)), KEYS, 25)
+
+
+CAND = """ca AS (SELECT 't' || doc_id || '.p1' AS id, 't' || doc_id AS tx_id, CAST(doc_id % 90 AS BIGINT) AS start, CAST(doc_id % 90 + 60 AS BIGINT) AS stop, CASE WHEN doc_id % 3 = 0 THEN '-' ELSE '+' END AS strand,
+  CAST(length(text) AS BIGINT) AS length, CAST(doc_id % 120 AS DOUBLE) AS score, CASE WHEN doc_id % 2 = 0 THEN 'complete' ELSE 'internal' END AS kind FROM documents)"""
+
+
+def _candidates(spark, d) -> DataFrame:
+    i = F.col("doc_id").cast("long")
+    return P.table(spark, d, "documents").select(
+        F.concat(F.lit("t"), i, F.lit(".p1")).alias("id"), F.concat(F.lit("t"), i).alias("tx_id"), (i % 90).alias("start"), (i % 90 + 60).alias("stop"),
+        F.when(i % 3 == 0, "-").otherwise("+").alias("strand"), F.length("text").cast("long").alias("length"), (i % 120).cast("double").alias("score"),
+        F.when(i % 2 == 0, "complete").otherwise("internal").alias("kind"),
+    )
+
+
+@query("pep_to_gff3", """y AS (SELECT c.tx_id, c.id, c.strand, c.start, c.stop, t.bp FROM ca c JOIN t ON c.tx_id = t.tx_id)
+SELECT * FROM (SELECT tx_id, id, strand, unnest(['gene', 'mRNA', 'exon']) AS type, CAST(1 AS BIGINT) AS start, bp AS stop FROM y UNION ALL SELECT tx_id, id, strand, 'CDS', start, stop FROM y
+UNION ALL SELECT tx_id, id, strand, CASE WHEN strand = '+' THEN 'five_prime_UTR' ELSE 'three_prime_UTR' END, 1, start - 1 FROM y
+UNION ALL SELECT tx_id, id, strand, CASE WHEN strand = '+' THEN 'three_prime_UTR' ELSE 'five_prime_UTR' END, stop + 1, bp FROM y) WHERE start <= stop""", f"{FT}, {CAND},")
+def pep_to_gff3(spark, d):
+    lengths = P.features(spark, d).groupBy("tx_id").agg(F.sum(T.length()).alias("length"))
+    return evidence.candidate_rows(_candidates(spark, d).select("id", "tx_id", "start", "stop", "strand"), lengths)
+
+
+@query("hc_intrinsic", """u AS (SELECT tx_id, regexp_matches(upper(substr(text, 1, 400)), 'TAA|TAG|TGA|THE') AS flag FROM (SELECT 't' || doc_id AS tx_id, text FROM documents)),
+k AS (SELECT id, length * 3 >= 250 AND score > 50 AND kind = 'complete' AND flag AND (tx_id IN (SELECT tx_id FROM t WHERE bp % 2 = 0)) AS high, tx_id FROM ca JOIN u USING (tx_id))
+SELECT id, CASE WHEN high THEN 'HC' ELSE 'LC' END AS class FROM k""", f"{FT}, {CAND},")
+def hc_intrinsic(spark, d):
+    candidates = _candidates(spark, d)
+    free = candidates.join(T.assembled(P.features(spark, d)).select("tx_id", (F.col("bp") % 2 == 0).alias("flag")), "tx_id").select("id", "flag")
+    utr = P.table(spark, d, "documents").select(F.concat(F.lit("t"), "doc_id").alias("tx_id"), F.upper(F.substring("text", 1, 400)).rlike("TAA|TAG|TGA|THE").alias("flag"))
+    return evidence.confident(candidates, free, utr).select("id", "class")
+
+
+@query("anno_subset", "SELECT tx_id, replace(gene_id, 'g', 'x_') AS gene_id, start, stop FROM t WHERE seqid = 'chr0' UNION ALL SELECT tx_id, replace(gene_id, 'g', 'x_'), start, stop FROM t WHERE seqid = 'chr1'", FT)
+def anno_subset(spark, d):
+    """Union, subset and renaming of annotations."""
+    t = T.assembled(P.features(spark, d))
+    both = t.where("seqid = 'chr0'").unionByName(t.where("seqid = 'chr1'"))
+    return both.select("tx_id", F.replace("gene_id", F.lit("g"), F.lit("x_")).alias("gene_id"), "start", "stop")
+
+
+@query("lift_coordinates", """ex AS (SELECT tx_id, seqid, strand, start AS e0, stop AS e1, sum(stop - start + 1) OVER o - (stop - start + 1) AS before, sum(stop - start + 1) OVER o AS upto FROM f
+  WINDOW o AS (PARTITION BY tx_id ORDER BY CASE WHEN strand = '-' THEN -stop ELSE start END ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, greatest(5, before + 1) - before AS lo, least(60, upto) - before AS hi FROM ex WHERE upto >= 5 AND before < 60)
+SELECT tx_id, CAST(CASE WHEN strand = '-' THEN e1 - hi + 1 ELSE e0 + lo - 1 END AS BIGINT) AS start, CAST(CASE WHEN strand = '-' THEN e1 - lo + 1 ELSE e0 + hi - 1 END AS BIGINT) AS stop FROM c""", f"{F_},")
+def lift_coordinates(spark, d):
+    f = P.features(spark, d)
+    parts = f.select("tx_id").distinct().select("tx_id", F.lit(5).cast("long").alias("start"), F.lit(60).cast("long").alias("stop"))
+    return genome.lifted(parts, f).select("tx_id", "start", "stop")
+
+
+@query("shard_len_check", "SELECT count(*) AS n, bool_and(length(sequence) = 900) AS same FROM (SELECT rpad(substr(sequence, 1, 900), 900, 'N') AS sequence FROM d)", D)
+def shard_len_check(spark, d):
+    return genome.chunks(P.dna(spark, d), 900).where("start = 1 and strand = '+'").agg(F.count("*").alias("n"), F.bool_and(F.length("sequence") == 900).alias("same"))
