@@ -17,11 +17,6 @@ from locusframe.llm.sharding import shard_by_splitters
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one of ``ids``; a null id matches a null id."""
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line model predicts to be good."""
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -29,10 +24,15 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least id, of each group of near-duplicates; of repeated rows, or rows without an id, one stays."""
+    """One document, that of least id, of each group of near-duplicates; of repeated rows, or rows without an id, one stays.
+
+    The ids that stay are about as many as the documents, so they are joined by a shuffle at any size; repeated
+    rows are dropped within the same partitions, without another one.
+    """
+    key = F.coalesce("doc_id", F.lit(-(2**63))).alias("key")
     found = simhash.near_duplicates(docs)
-    first = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    return _kept(docs, first).dropDuplicates(["doc_id"]).select(*COLUMNS)
+    first = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct())
+    return docs.select(*COLUMNS, key).join(first.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
