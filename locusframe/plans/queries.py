@@ -13,7 +13,10 @@ from locusframe.functions.attributes import format_gff, parse
 from locusframe.operators import evaluation, evidence, intervals, labels, merging
 from locusframe.operators import transcripts as T
 from locusframe.plans import proxies as P
+from locusframe.session import fresh_path
+from locusframe.sources import text as io
 from locusframe.sources.text import wig_runs
+from locusframe.streaming.files import arriving
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -819,3 +822,62 @@ def lift_coordinates(spark, d):
 @query("shard_len_check", "SELECT count(*) AS n, bool_and(length(sequence) = 900) AS same FROM (SELECT rpad(substr(sequence, 1, 900), 900, 'N') AS sequence FROM d)", D)
 def shard_len_check(spark, d):
     return genome.chunks(P.dna(spark, d), 900).where("start = 1 and strand = '+'").agg(F.count("*").alias("n"), F.bool_and(F.length("sequence") == 900).alias("same"))
+
+
+# ---- files: tables are written in a format, then read
+
+
+@query("fasta_scan", "SELECT seq_name, md5(sequence) AS digest FROM d", D)
+def fasta_scan(spark, d):
+    path = fresh_path(spark)
+    io.write_fasta(P.dna(spark, d), path)
+    return io.read_fasta(spark, path).select("seq_name", F.md5("sequence").alias("digest"))
+
+
+@query("gtf_scan", "SELECT seqid, strand, tx_id, gene_id, start, stop, type FROM f WHERE s % 4 = 0", F_)
+def gtf_scan(spark, d):
+    path = fresh_path(spark)
+    attrs = F.concat(F.lit('gene_id "'), "gene_id", F.lit('"; transcript_id "'), "tx_id", F.lit('";'))
+    rows = P.features(spark, d).where("s % 4 = 0").withColumns({"source": F.lit("x"), "score": F.lit("."), "phase": F.lit("."), "attrs": attrs})
+    io.write_gff(rows, path)
+    return io.read_gff(spark, path).select(*T.TX, "gene_id", "start", "stop", "type")
+
+
+@query("wig_scan", "SELECT seqid, pos, CAST(max(val) AS DOUBLE) AS value FROM w GROUP BY seqid, pos", W)
+def wig_scan(spark, d):
+    path = fresh_path(spark)
+    io.write_wig(P.track(spark, d).groupBy("seqid", "pos").agg(F.max("val").alias("value")), path)
+    return io.read_wig(spark, path).select("seqid", "pos", "value")
+
+
+@query("shard_read", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(length(sequence)) AS BIGINT) AS bp FROM d", D)
+def shard_read(spark, d):
+    """Sequences written in 8 shards and read again."""
+    path = fresh_path(spark)
+    genome.with_shard(P.dna(spark, d), 8, "seq_name").write.partitionBy("shard").parquet(path)
+    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.sum(F.length("sequence").cast("long")).alias("bp"))
+
+
+@query("stream_hints", "SELECT line_no, CASE WHEN start + 15 > stop - 15 THEN (start + stop) // 2 ELSE start + 15 END AS start, CASE WHEN start + 15 > stop - 15 THEN (start + stop) // 2 ELSE stop - 15 END AS stop FROM f", F_)
+def stream_hints(spark, d):
+    """The hints of arriving feature files, by a stream that ends when it has read all."""
+    rows = P.features(spark, d).select("line_no", "start", "stop")
+    folder, out, state = fresh_path(spark), fresh_path(spark), fresh_path(spark)
+    rows.write.parquet(folder)
+    arriving(spark, folder, "line_no long, start long, stop long", evidence.cds_part_hints, out, state).awaitTermination()
+    return spark.read.schema("line_no long, start long, stop long").parquet(out)
+
+
+@query("gff_hierarchy", """SELECT gene_id, count(DISTINCT tx_id) AS n_tx, count(*) FILTER (p % 3 = 0) AS n_utr, count(*) FILTER (p % 3 <> 0) AS n_cds FROM f GROUP BY gene_id""", F_)
+def gff_hierarchy(spark, d):
+    """Genes with the numbers of their transcripts and of the features below by kind."""
+    f = P.features(spark, d).withColumn("type", F.when(F.col("p") % 3 == 0, "five_prime_UTR").otherwise("CDS"))
+    kind = lambda k: F.count(F.when(F.col("type") == k, 1))
+    return f.groupBy("gene_id").agg(F.countDistinct("tx_id").alias("n_tx"), kind("five_prime_UTR").alias("n_utr"), kind("CDS").alias("n_cds"))
+
+
+@query("near_sqrt_divisor", None)
+def near_sqrt_divisor(spark, d):
+    """Of each length up to 200 the divisor nearest to its root, and the adapted chunk size."""
+    rows = [(n, genome.near_sqrt_divisor(n), genome.adapted_chunk(n, 150, 4)) for n in range(1, 201)]
+    return spark.createDataFrame(rows, "n long, divisor long, chunk long")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +20,22 @@ def importable(spark: SparkSession) -> None:
     path = environment.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, path]))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Only a session on one machine may lack the setting; it then gets a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses."""
+    return f"{shared_folder(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
