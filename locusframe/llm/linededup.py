@@ -15,7 +15,7 @@ TAGS = r"<[^>]*>"
 
 def host_of(url: Column) -> Column:
     """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty without ``://`` or for null."""
-    host = F.regexp_extract(F.substring_index(F.regexp_replace(url, r"(?s)^.*?://", "\u0000"), "\u0000", -1), r"^[^/?#]*", 0)
+    host = F.regexp_extract(F.regexp_replace(url, r"(?s)^.*?://", ""), r"^[^/?#]*", 0)
     return F.when(F.coalesce(F.instr(url, "://") > 0, F.lit(False)), F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise("")
 
 

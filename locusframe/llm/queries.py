@@ -117,5 +117,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": oracles.LINE_DEDUP,
     "op2_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op3_chat_format": oracles.CHAT,
     "op6_mixing": oracles.mixing(25, 0.9, 0.01),
+    "op9_embedding_near_dedup": oracles.VECTORS,
 }
