@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Temporary folders of sessions on one machine that name none, by application.
+_LOCAL: dict[str, str] = {}
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -31,8 +33,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        name = spark.sparkContext.applicationId
+        folder = _LOCAL.setdefault(name, "") or "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+        _LOCAL[name] = folder
     return folder
 
 
