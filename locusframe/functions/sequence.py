@@ -24,9 +24,8 @@ def on_strand(seq: Column, strand: Column) -> Column:
 
 def codons(seq: Column) -> Column:
     """The whole codons of a sequence, in upper case."""
-    n = F.floor(F.length(seq) / 3).cast("int")
-    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.upper(F.substring(seq, i * 3 - 2, F.lit(3))))
-    return F.when(n > 0, each).otherwise(F.array().cast("array<string>"))
+    # One pass; a lambda over positions would compute ``seq`` anew for each codon where a filter is pushed down.
+    return F.transform(F.regexp_extract_all(seq, F.lit("(?s).{3}"), F.lit(0)), F.upper)
 
 
 def stop_check(seq: Column) -> dict[str, Column]:
