@@ -29,6 +29,13 @@ def best_hits(hits: DataFrame) -> DataFrame:
     return first_by(scored, ["query"], F.col("score").desc(), F.col("subject"), F.col("qstart"), F.col("alen"))
 
 
+def top_hits(hits: DataFrame, n: int) -> DataFrame:
+    """Of each query its ``n`` hits of largest score, numbered; Spark limits each group before the shuffle, so a hot query is small."""
+    scored = hits.withColumn("score", F.col("bits") * query_cover())
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "subject", "qstart", "alen")
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
 def ranked_species(hits: DataFrame, evalue: float, pident: float, qcov: float, top: int) -> DataFrame:
     """Species by the number of queries they are best for, then by score; ``top`` of them are marked."""
     votes = best_hits(good_hits(hits, evalue, pident, qcov)).groupBy("species").agg(F.count("*").alias("votes"), F.sum("score").alias("total"))

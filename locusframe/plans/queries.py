@@ -710,6 +710,11 @@ def mult_score(spark, d):
     return P.features(spark, d).select("line_no", F.coalesce(found.cast("long"), F.lit(1)).alias("score"))
 
 
+@query("top_hits", f"SELECT query, subject, place FROM (SELECT query, subject, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, subject, qstart, alen) AS BIGINT) AS place FROM ({SCORED})) WHERE place <= 5", H)
+def top_hits(spark, d):
+    return evidence.top_hits(P.hits(spark, d), 5).select("query", "subject", F.col("place").cast("long").alias("place"))
+
+
 @query("species_id", "SELECT subject, split_part(subject, '_', 1) AS species, count(*) AS n FROM h GROUP BY ALL", H)
 def species_id(spark, d):
     return P.hits(spark, d).select("subject", evidence.species_of(F.concat("subject", F.lit(" x_y"))).alias("species")).groupBy("subject", "species").agg(F.count("*").alias("n"))
@@ -749,6 +754,15 @@ def hints(spark, d):
     return parts.unionByName(gaps).groupBy("type", "tx_id", "start", "stop").agg(F.count("*").alias("n"))
 
 
+@query("concat_hints", f"SELECT 1 AS source, tx_id, start, stop FROM ({PART}) UNION ALL SELECT 2, tx_id, start, stop FROM ({INTRON})", F_)
+def concat_hints(spark, d):
+    """Hints of several sources as one bag, each with its source."""
+    f = P.features(spark, d)
+    parts = [evidence.cds_part_hints(f), evidence.intron_hints(f)]
+    first, second = (x.select(F.lit(i + 1).alias("source"), "tx_id", "start", "stop") for i, x in enumerate(parts))
+    return first.unionByName(second)
+
+
 @query("postprocess", "SELECT seq_name FROM c WHERE n >= 200 AND len(list_filter(c[:-2], lambda x: x IN ('TAA', 'TAG', 'TGA'))) = 0", f"{D}, {CODED}")
 def postprocess(spark, d):
     """Long enough coding sequences without an inner stop codon."""
@@ -834,6 +848,25 @@ def fasta_scan(spark, d):
     return io.read_fasta(spark, path).select("seq_name", F.md5("sequence").alias("digest"))
 
 
+@query("species_list", "SELECT 'sp' || s_suppkey AS name FROM supplier WHERE s_suppkey % 3 = 0")
+def species_list(spark, d):
+    """Names from a list file; its blank lines and comments are dropped."""
+    path = fresh_path(spark)
+    name = F.concat(F.lit("sp"), F.col("s_suppkey"))
+    line = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit(" "), name)).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("# "), name)).otherwise(" ")
+    P.table(spark, d, "supplier").select(line).write.text(path)
+    return io.read_lines(spark, path)
+
+
+@query("sniff_format", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fasta' WHEN doc_id % 3 = 1 AND doc_id % 2 = 0 THEN 'fastq' ELSE 'unknown' END AS format FROM documents""")
+def sniff_format(spark, d):
+    """The format of a file by its first and third line."""
+    i = F.col("doc_id")
+    first = F.concat(F.when(i % 3 == 0, ">").when(i % 3 == 1, "@").otherwise("s"), i)
+    lines = P.table(spark, d, "documents").select("doc_id", first.alias("a"), F.when(i % 2 == 0, "+").otherwise("ACGT").alias("c"))
+    return lines.select("doc_id", io.sniffed("a", "c").alias("format"))
+
+
 @query("gtf_scan", "SELECT seqid, strand, tx_id, gene_id, start, stop, type FROM f WHERE s % 4 = 0", F_)
 def gtf_scan(spark, d):
     path = fresh_path(spark)

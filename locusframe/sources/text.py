@@ -102,7 +102,8 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("name")).where("name != '' and not startswith(name, '#')")
 
 
-def sniffed(first_line: str = "value"):
-    """fasta, fastq or unknown, by a file's first character."""
-    c = F.substring(F.ltrim(F.col(first_line)), 1, 1)
-    return F.when(c == ">", "fasta").when(c == "@", "fastq").otherwise("unknown")
+def sniffed(first_line: str = "value", third_line: str | None = None):
+    """fasta, fastq or unknown, by how a file's first line starts; with a third line, fastq needs a + there."""
+    starts = lambda name, mark: F.coalesce(F.trim(F.col(name)).startswith(mark), F.lit(False))
+    plus = starts(third_line, "+") if third_line else F.lit(True)
+    return F.when(starts(first_line, ">"), "fasta").when(starts(first_line, "@") & plus, "fastq").otherwise("unknown")

@@ -222,3 +222,16 @@ def test_stream_equals_batch(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     arriving(spark, str(tmp_path / "in"), FEATURE, evidence.cds_part_hints, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert got(spark.read.parquet(str(tmp_path / "out")), "start", "stop") == got(evidence.cds_part_hints(rows), "start", "stop")
+
+
+def test_sniffed_needs_a_plus_for_fastq(spark):
+    rows = spark.createDataFrame([(1, ">a", "x"), (2, " @a", "+"), (3, "@a", "x"), (4, None, None)], "i int, a string, c string")
+    got = {r["i"]: r["f"] for r in rows.select("i", io.sniffed("a", "c").alias("f")).collect()}
+    assert got == {1: "fasta", 2: "fastq", 3: "unknown", 4: "unknown"}
+
+
+def test_top_hits_keeps_ties_in_order_of_subject(spark):
+    rows = spark.createDataFrame(
+        [("q", s, b, 1, 10.0, 10.0) for s, b in [("b", 5.0), ("a", 5.0), ("c", 1.0)]], "query string, subject string, bits double, qstart int, alen double, qlen double"
+    )
+    assert [(r["subject"], r["place"]) for r in evidence.top_hits(rows, 2).orderBy("place").collect()] == [("a", 1), ("b", 2)]
