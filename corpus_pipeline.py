@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import mixing, quality, simhash
+from locusframe.llm import mixing, nearcopies, quality
 from locusframe.llm._common import written
 from locusframe.llm.decontamination import find_contaminated
 from locusframe.llm.sharding import shard_by_splitters
@@ -23,16 +23,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score_quality(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """The rows with a row id, read back from Parquet so that it stays the same."""
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("rid")))
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least id, of each group of near-duplicates; of repeated rows, or rows without an id, one stays.
+    """One row, that of least id, of each group of near copies: five-word shingles, a similarity of 0.8 or more.
 
-    The ids that stay are about as many as the documents, so they are joined by a shuffle at any size; repeated
-    rows are dropped within the same partitions, without another one.
+    Rows are told apart by a row id, so null or repeated doc_ids merge nothing. The rows that stay are about as
+    many as the documents, so they are joined by a shuffle at any size.
     """
-    key = F.coalesce("doc_id", F.lit(-(2**63))).alias("key")
-    found = simhash.near_duplicates(docs)
-    first = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct())
-    return docs.select(*COLUMNS, key).join(first.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+    rows = tagged(docs)
+    first = written(nearcopies.kept_rows(rows))
+    return rows.join(first.hint("merge"), "rid", "left_semi").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,18 @@ def test_stages_and_run(spark, tables):
     out = corpus_pipeline.run(spark, folder).toPandas()
     assert set(out["doc_id"]) == set(mixed) and out["shard"].between(0, 39).all()
     assert (out.groupby("shard")["slot"].max() + 1 == out.groupby("shard").size()).all()
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_copies_beyond_the_fingerprint_go(spark):
+    """Few words replaced change many bits of a fingerprint; the exact similarity of the shingles decides."""
+    base = [hashlib.md5(f"w{i}".encode()).hexdigest()[:7] for i in range(100)]
+    near, far = list(base), list(base)
+    near[3], near[50] = "one", "two"  # 9 of 96 shingles differ: similarity 0.83
+    far[10], far[40], far[70] = "one", "two", "three"  # 15 of 96 differ: 0.73
+    many = [" ".join([*base[:40], f"x{i}", *base[41:]]) for i in range(300)]  # each 0.9 to base and to each other
+    rows = [(7, " ".join(base)), (8, " ".join(near)), (9, " ".join(far)), *((100 + i, t) for i, t in enumerate(many))]
+    assert {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, _docs(spark, rows), "").collect()} == {7, 9}
