@@ -60,3 +60,15 @@ def test_near_copies_beyond_the_fingerprint_go(spark):
     many = [" ".join([*base[:40], f"x{i}", *base[41:]]) for i in range(300)]  # each 0.9 to base and to each other
     rows = [(7, " ".join(base)), (8, " ".join(near)), (9, " ".join(far)), *((100 + i, t) for i, t in enumerate(many))]
     assert {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, _docs(spark, rows), "").collect()} == {7, 9}
+
+
+def test_rows_without_an_own_id_stay(spark, tmp_path):
+    rows = [(None, f"quite different words number {i} stand in row {i * 13} of this table") for i in range(6)]
+    rows += [(5, "one text of the repeated id says this"), (5, "and another text of it says something else"), (5, "one text of the repeated id says this")]
+    out = [r["text"] for r in corpus_pipeline.one_of_each(spark, _docs(spark, rows), "").collect()]
+    assert sorted(out) == sorted({t for _, t in rows})
+    item = " ".join(f"bench{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [(5, "clean text"), (5, f"here is {item}"), (None, "clean too"), (None, item)]
+    out = [r["text"] for r in corpus_pipeline.without_benchmark(spark, _docs(spark, left), str(tmp_path)).collect()]
+    assert sorted(out) == ["clean text", "clean too"]
