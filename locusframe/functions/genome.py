@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.sequence import revcomp
+from locusframe.operators.intervals import running
+from locusframe.session import fresh_path
 
 
 def chunks(sequences: DataFrame, size: int, overlap: int = 0, pad: bool = True) -> DataFrame:
@@ -30,25 +32,32 @@ def chunks(sequences: DataFrame, size: int, overlap: int = 0, pad: bool = True)
     )
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    path = fresh_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def greedy_groups(sequences: DataFrame, least: int, most: int) -> DataFrame:
-    """(seq_name, group): in order, a group closes when it reaches ``least``; beyond ``most`` groups, all go to the last.
+    """(seq_name, group): in order, a group closes when it reaches ``least`` (1 or more); beyond ``most`` groups, all go to the last.
 
-    A fold with a reset is sequential: it runs over one row of (name, length) of all contigs, a small table.
+    Running sums of length come from order ranges; the at most ``most`` - 1 ends are then found one after another,
+    each by a small aggregate: the first running sum that is ``least`` or more beyond the last end.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("seq_ord", "seq_name", F.length("sequence").cast("long").alias("n"))))
-    first = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("g"), F.array().cast("array<bigint>").alias("out"))
-
-    def add(acc, x):
-        full = acc["sum"] + x["n"] >= least
-        return F.struct(
-            F.when(full, 0).otherwise(acc["sum"] + x["n"]).cast("long").alias("sum"), (acc["g"] + full.cast("long")).alias("g"),
-            F.concat(acc["out"], F.array(acc["g"])).alias("out"),
-        )
-
-    whole = sequences.agg(ordered.alias("s")).withColumn("total", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
-    g = F.when((F.col("total") <= least) | F.lit(most == 1), F.lit(0).cast("long")).otherwise(F.least(F.col("z.g"), F.lit(most - 1).cast("long")))
-    pairs = whole.select("total", F.explode(F.arrays_zip(F.col("s"), F.aggregate("s", first, add, lambda a: a["out"]).alias("g"))).alias("z"))
-    return pairs.select(F.col("z.s.seq_name").alias("seq_name"), g.alias("group"))
+    order = ["seq_ord", "seq_name", "n"]
+    lengths = sequences.select("seq_ord", "seq_name", F.length("sequence").cast("long").alias("n"))
+    ranged = _stored(lengths.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    sums = _stored(running(ranged, [], order, "range", F.coalesce("n", F.lit(0)), "upto", "sum", 1))
+    ends: list[int] = []
+    if (sums.agg(F.max("upto")).first()[0] or 0) > least:
+        while len(ends) < most - 1:
+            end = sums.where(F.col("upto") >= (ends[-1] if ends else 0) + least).agg(F.min("upto")).first()[0]
+            if end is None:
+                break
+            ends.append(end)
+    before = F.col("upto") - F.coalesce("n", F.lit(0))
+    closed = F.filter(F.array(*map(F.lit, ends)).cast("array<bigint>"), lambda end: end <= before)
+    return sums.select("seq_name", F.size(closed).cast("long").alias("group"))
 
 
 def near_sqrt_divisor(n: int) -> int:

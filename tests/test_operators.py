@@ -123,6 +123,21 @@ def test_greedy_groups(spark):
     assert genome.near_sqrt_divisor(36) == 6 and genome.near_sqrt_divisor(20) in (4, 5) and genome.adapted_chunk(3, 10, 2) == 18
 
 
+def test_greedy_groups_gather_no_rows(spark):
+    sizes = [(i * 37) % 11 for i in range(500)]
+    seqs = spark.createDataFrame([(f"s{i}", i, "A" * n) for i, n in enumerate(sizes)], "seq_name string, seq_ord long, sequence string")
+    for least, most in ((25, 1000), (25, 7), (1, 9), (sum(sizes), 5), (sum(sizes) - 1, 5)):
+        total, group, want = 0, 0, {}
+        for i, n in enumerate(sizes):
+            want[f"s{i}"] = min(group, most - 1) if sum(sizes) > least else 0
+            total += n
+            if total >= least:
+                total, group = 0, group + 1
+        out = genome.greedy_groups(seqs, least, most)
+        assert {r["seq_name"]: r["group"] for r in out.collect()} == want
+        assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_lift_to_the_genome(spark):
     exons = feats(spark, [("a", 11, 20), ("a", 31, 40), ("m", 11, 20, "-"), ("m", 31, 40, "-")])
     parts = spark.createDataFrame([("a", 8, 13), ("m", 8, 13)], "tx_id string, start long, stop long")
