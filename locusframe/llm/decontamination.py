@@ -24,15 +24,13 @@ def _run(words: Column, start: Column, n: int) -> list[Column]:
 
 
 def benchmark_windows(bench: DataFrame, item_id: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
-    """(wid, words, n) for each distinct window, and (wid, item) for the items that have it."""
-    items = bench.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("w")).where(
-        "size(w) > 0 and item is not null"
-    )
+    """(wid, words, n) for each distinct window, and (wid, item) for the items that have it, null for those without an id."""
+    items = bench.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("w")).where("size(w) > 0")
     starts = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (window - 1))))
     each = items.select("item", "w", starts.alias("s")).select("item", F.slice("w", F.col("s"), window).alias("words"))
-    grouped = each.groupBy("words").agg(F.collect_set("item").alias("items"))
+    grouped = each.groupBy("words").agg(F.collect_set(F.struct("item")).alias("items"))
     ided = written(grouped.withColumn("wid", F.monotonically_increasing_id()).withColumn("n", F.size("words")))
-    return ided.select("wid", "words", "n"), ided.select("wid", F.explode("items").alias("item"))
+    return ided.select("wid", "words", "n"), ided.select("wid", F.explode("items.item").alias("item"))
 
 
 def find_contaminated(
@@ -61,7 +59,7 @@ def find_contaminated(
     hashes, are compared).
 
     Null or empty texts have no words and no hits; rows are told apart by their place in the input, so repeated
-    rows and null ids are kept. Items without an id are left out. Nothing is collected but shingle lengths.
+    rows and null ids are kept. Items without an id count in n_hit, together as one in n_items, and not in items_sha256. Nothing is collected but shingle lengths.
     """
     windows, items = benchmark_windows(bench, item_id, item_text, window)
     lengths = F.least(F.col("n"), F.lit(shingle))
@@ -123,14 +121,16 @@ def find_contaminated(
     spans = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(earlier, F.lit(0)))))
     covered = spans.groupBy("rid").agg(F.sum("new").alias("n_hit"))
     wids = matched.select("rid", "wid").distinct()
-    named = wids.join(hinted(items, BROADCAST_ROWS), "wid").groupBy("rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    named = wids.join(hinted(items, BROADCAST_ROWS), "wid").groupBy("rid").agg(
+        F.sort_array(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull().cast("long")).alias("unnamed")
+    )
     names = F.coalesce("items", F.array().cast("array<string>"))
     n_words, n_hit = F.col("n_words").cast("long"), F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     return (
         places.where("last").select("rid", "doc_id", "n_words")
         .join(covered, "rid", "left").join(named, "rid", "left")
         .select(
-            F.col("doc_id").alias(doc_id), n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
+            F.col("doc_id").alias(doc_id), n_words.alias("n_words"), n_hit.alias("n_hit"), (F.size(names) + F.coalesce("unnamed", F.lit(0))).cast("long").alias("n_items"),
             F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
             ((n_hit > 0) & (hit_share * n_hit >= n_words)).alias("contaminated"),
         )

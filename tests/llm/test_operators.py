@@ -64,6 +64,14 @@ def test_decontamination_of_empty_tables(spark):
     assert rows(find_contaminated(docs.limit(0), spark.createDataFrame([(1, "a")], "item_id long, text string"))) == []
 
 
+def test_decontamination_counts_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "x y z"), (3, "d")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c"), (None, "x y"), (7, "x y"), (None, "")], "item_id long, text string")
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(1, 3, 3, 1, digest(""), True), (2, 3, 2, 2, digest("7"), True), (3, 1, 0, 0, digest(""), False)]
+    assert rows(find_contaminated(docs, bench)) == want
+
+
 def brute_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
