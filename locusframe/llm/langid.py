@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,8 +35,8 @@ def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Numbers of a word's features: affixes of 1 to 3 letters, n-grams of 2 and 3, and its lexicon entry."""
     marked = f"<{word}>"
     names = [f"p{marked[:k]}" for k in (2, 3, 4)] + [f"s{marked[-k:]}" for k in (2, 3, 4)]
-    names += [marked[i : i + n] for n in (2, 3) for i in range(min(len(marked), 40) - n + 1)]
-    found = {zlib.crc32(x.encode("utf-8", "surrogatepass")) % SLOTS for x in names}
+    grams = (marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1))
+    found = {zlib.crc32(x.encode("utf-8", "surrogatepass")) % SLOTS for x in chain(names, grams)}
     if word in lexicon:
         found.add(lexicon[word])
     return sorted(found)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -312,3 +313,9 @@ def test_vectors_are_brute_force(spark):
     want |= {i: (0, i, True) for i in (900, 901, 902, 903, 904, 905)} | {906: (1, 906, True), 907: (1, 906, False)}
     assert got == want
     assert vectors.near_vectors(table.limit(0)).count() == 0
+
+
+def test_language_features_cover_the_whole_word():
+    long = "a" * 50 + "qxz" + "b" * 50
+    slot = zlib.crc32(b"qxz") % langid.SLOTS
+    assert slot in langid.word_features(long, {}) and slot not in langid.word_features("a" * 50 + "b" * 50, {})
