@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +38,29 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 def hinted(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (a shuffle join follows)."""
     return F.broadcast(df) if small_enough(df, rows) else df
+
+
+def drawn(wanted: int, of: int, salt: str, *key: str | Column) -> Column:
+    """Whether a row is in a sample of about ``wanted`` of ``of`` rows: its key's 64-bit hash is below that share of all hashes."""
+    if wanted >= of:
+        return F.lit(True)
+    return F.xxhash64(*key, F.lit(salt)) < F.lit((wanted << 64) // of - (1 << 63))
+
+
+def sampled(df: DataFrame, wanted: int, of: int, salt: str, *key: str) -> DataFrame:
+    """At most ``wanted`` distinct rows of ``df``, which has ``of``: those of the least hashes of ``key``, whatever the file layout.
+
+    Equal rows are drawn together and count once, so no repeated row fills the sample.
+    """
+    some = df.where(drawn(wanted + 6 * int(wanted**0.5) + 6, of, salt, *key)).distinct()
+    return some.orderBy(F.xxhash64(*key, F.lit(salt)), *key).limit(wanted)
+
+
+def in_parts(batch: pa.RecordBatch, text: int, most_bytes: int = 2 << 20, most_rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts (column ``text``) have ``most_bytes`` together, or of a single longer one."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    i = 0
+    while i < len(size):
+        n = int(np.searchsorted(np.cumsum(size[i : i + most_rows]), most_bytes, side="right"))
+        yield batch.slice(i, max(1, n))
+        i += max(1, n)

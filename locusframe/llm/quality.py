@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm import crf
+from locusframe.llm._common import in_parts, sampled, written
 from locusframe.session import importable
 
 CAPITALS = bytes(range(65, 91))
@@ -24,12 +25,17 @@ DIGITS = bytes(range(48, 58))
 SYMBOLS = b"*#$%&@^~=<>{}[]\\/_+`"
 OWN = 17
 LINE_END = re.compile(r"\n")
+#: Lines of a text whose features are held at a time.
+LINES_AT_ONCE = 8_192
 
 
-def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """One row of features for each non-blank line (or one, if there is none), and the lines' lengths."""
-    lines = [x for x in LINE_END.split(text or "") if x.strip()] or [""]
-    times = Counter(lines)
+def _lines(text: str | None) -> list[str]:
+    """The non-blank lines, or one empty line if there is none."""
+    return [x for x in LINE_END.split(text or "") if x.strip()] or [""]
+
+
+def own_features(lines: list[str], times: Counter[str]) -> np.ndarray:
+    """One row of features for each of these lines of a text, whose lines occur so many ``times``."""
     rows = []
     for line in lines:
         raw, words = line.encode("utf-8", "surrogatepass"), line.split()
@@ -42,12 +48,21 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             float(times[line] > 1), min(times[line] - 1, 8) / 4, float(line[:1].isupper()), float(raw[-1:] in b".!?" and raw != b""),
             float(len(words) < 4), 1.0,
         ))
-    own = np.array(rows)
+    return np.array(rows)
+
+
+def line_features(text: str | None, first: int = 0, most: int | None = None) -> np.ndarray:
+    """Own and neighbours' features of the lines ``first`` to ``first + most`` (of all), one row for each."""
+    lines = _lines(text)
+    stop = len(lines) if most is None else min(len(lines), first + most)
+    low, high = max(0, first - 1), min(len(lines), stop + 1)
+    own = own_features(lines[low:high], Counter(lines))
     around = np.zeros((len(own), 2 * (OWN - 1) + 2))
     around[1:, : OWN - 1] = own[:-1, :-1]
     around[:-1, OWN - 1 : -2] = own[1:, :-1]
-    around[0, -2] = around[-1, -1] = 1.0
-    return np.hstack([own, around]), np.array([max(1, len(x)) for x in lines], float)
+    around[0, -2] = float(low == 0)
+    around[-1, -1] = float(high == len(lines))
+    return np.hstack([own, around])[first - low : stop - low]
 
 
 @dataclass
@@ -55,14 +70,29 @@ class QualityModel:
     weights: np.ndarray
     moves: np.ndarray
 
+    def line_scores(self, lines: list[str]) -> np.ndarray:
+        """Label scores of all lines of a text; features of LINES_AT_ONCE lines are held at a time."""
+        times = Counter(lines)
+        edge = self.weights[3 * OWN - 2 :]
+        own, before = self.weights[:OWN], np.vstack([self.weights[OWN : 2 * OWN - 1], np.zeros((1, 2))])
+        after = np.vstack([self.weights[2 * OWN - 1 : 3 * OWN - 2], np.zeros((1, 2))])
+        each = [own_features(lines[i : i + LINES_AT_ONCE], times) @ np.hstack([own, before, after]) for i in range(0, len(lines), LINES_AT_ONCE)]
+        parts = np.vstack(each)
+        out = parts[:, :2].copy()
+        out[1:] += parts[:-1, 2:4]
+        out[:-1] += parts[1:, 4:]
+        out[0] += edge[0]
+        out[-1] += edge[1]
+        return out
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """For each text the share of its characters on good lines, by the lines' marginals."""
-        parts = [line_features(t) for t in texts]
-        if not parts:
+        if not texts:
             return np.empty(0)
-        lengths = np.array([len(size) for _, size in parts])
-        good = crf.marginals(np.vstack([x for x, _ in parts]) @ self.weights, lengths, self.moves)[:, 1]
-        size = np.concatenate([size for _, size in parts])
+        each = [_lines(t) for t in texts]
+        lengths = np.array([len(x) for x in each])
+        good = crf.marginals(np.vstack([self.line_scores(x) for x in each]), lengths, self.moves)[:, 1]
+        size = np.fromiter((max(1, len(x)) for lines in each for x in lines), float, int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths
         return np.clip(np.add.reduceat(good * size, starts) / np.add.reduceat(size, starts), 0.0, 1.0)
 
@@ -76,17 +106,19 @@ def fit_quality(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
     max_docs: int = 3_000, max_lines: int = 40, rounds: int = 150,
 ) -> QualityModel:
-    """Trains on about ``max_docs`` labelled documents at most, each with ``max_lines`` consecutive lines at most.
+    """Trains on ``max_docs`` labelled documents at most, each with ``max_lines`` consecutive lines at most.
 
-    The sample is drawn by a hash of the id over all labelled documents that aren't held out. Each line gets its
-    document's label. Rows without an id, a text or a label of 0 or 1, and ids with two different labels, are not
+    The sample is drawn by a hash of the id over all labelled documents that aren't held out: a chance of any size, so
+    it doesn't run empty where labels are many. Each line gets its document's label. ``max_lines`` keeps single long
+    texts from filling a sample that the driver holds; neighbours and repeats are looked up in the whole text. Rows without an id, a text or a label of 0 or 1, and ids with two different labels, are not
     used. Without any labelled row every document scores 0.5.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_y"), F.max(label).alias("_z")).where("_y = _z")
-    share = min(1.0, max_docs / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("_id", F.lit("quality")), F.lit(1_000_000)) < int(share * 1_000_000)).select("_id", "_y")
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text is not null").join(F.broadcast(known), "_id")
+    known = written(sampled(known.select("_id", "_y"), max_docs, known.count(), "quality", "_id"))
+    # Rows of one id and text count once, so repeated rows can't fill the sample; an id with several texts gives its least.
+    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where("_text is not null")
+    sample = sample.join(F.broadcast(known), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
 
     importable(docs.sparkSession)
 
@@ -94,9 +126,9 @@ def fit_quality(
         for part in parts:
             rows = []
             for i, x, y in zip(part["_id"], part["_text"], part["_y"], strict=True):
-                values = line_features(x)[0]
-                first = zlib.crc32(str(i).encode()) % max(1, len(values) - max_lines + 1) if len(values) > max_lines else 0
-                rows.append((str(i), int(y), values[first : first + max_lines].ravel().tolist()))
+                n = len(_lines(x))
+                first = zlib.crc32(str(i).encode()) % max(1, n - max_lines + 1)
+                rows.append((str(i), int(y), line_features(x, first, max_lines).ravel().tolist()))
             yield pd.DataFrame(rows, columns=["id", "y", "x"])
 
     got = sample.select("_id", "_text", "_y").mapInPandas(features, "id string, y int, x array<double>").toPandas().sort_values("id")
@@ -125,8 +157,7 @@ def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id",
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for part in in_parts(batch, place):
                 scores = model.scores(part.column(place).to_pylist())
                 columns = [*part.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())]
                 yield pa.record_batch(columns, [*names, score, predicted])
