@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm import crf
+from locusframe.llm._common import drawn, in_parts
 from locusframe.llm.quality import held_out
 from locusframe.session import importable
 
@@ -27,8 +28,12 @@ KEPT_WORDS = 300_000
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters (``str.isalpha``), in lower case."""
+    found = LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    # Numbers that are no decimal digits, such as fractions, are word characters but no letters.
+    return [w for x in found for w in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
 
 
 def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
@@ -92,15 +97,17 @@ def fit_languages(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
     max_docs: int = 3_000, span: int = 60, max_lexicon: int = 4_000, rounds: int = 60,
 ) -> LanguageModel:
-    """Trains on about ``max_docs`` documents at most, ``span`` consecutive words at most of each.
+    """Trains on ``max_docs`` documents at most, ``span`` consecutive words at most of each.
 
-    The sample is drawn by a hash of the id over all documents that have a text and a language and aren't held
-    out. Its spans are cut into runs of 3 to 20 words that are joined, in a fixed mixed order, to code-switched
+    The sample is drawn by a 64-bit hash over all documents that have a text and a language and aren't held out: a
+    chance of any size, so it doesn't run empty where documents are many. Its spans are cut into runs of 3 to 20 words that are joined, in a fixed mixed order, to code-switched
     sequences, from which the transitions are learned; labels are the documents' languages.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
-    share = min(1.0, max_docs / max(1, docs.where(F.col(lang).isNotNull() & ~held_out(doc_id)).count()))
-    usable = usable.where(F.pmod(F.xxhash64(doc_id, F.lit("language")), F.lit(1_000_000)) < int(share * 1_000_000))
+    slim = usable.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    # Drawn with the text, so rows that share an id are drawn apart; twice as many for those without letters.
+    n = slim.count()
+    some = slim.where(drawn(2 * max_docs, n, "language", "id", "text"))
 
     importable(docs.sparkSession)
 
@@ -113,9 +120,10 @@ def fit_languages(
                 rows.append((i, y, words[first : first + span]))
             yield pd.DataFrame(rows, columns=["id", "lang", "words"])
 
-    slim = usable.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    got = slim.mapInPandas(spans, "id string, lang string, words array<string>").toPandas()
-    got = got[got["words"].map(len) > 0].sort_values("id", kind="stable")
+    runs_of = some.mapInPandas(spans, "id string, lang string, words array<string>").where(F.size("words") > 0)
+    # Repeated rows count once; what is left is bounded, and sorted so that the file layout doesn't matter.
+    got = runs_of.distinct().orderBy(F.xxhash64("id", "words", F.lit("language")), "id", "lang").limit(max_docs).toPandas()
+    got = got.sort_values("id", kind="stable")
     languages = sorted(got["lang"].unique())
     if not languages:
         return LanguageModel([], {}, np.zeros((SLOTS, 0)), np.zeros((0, 0)))
@@ -140,7 +148,7 @@ def fit_languages(
     return LanguageModel(languages, lexicon, weights.astype(np.float32), moves)
 
 
-def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text", rows_at_once: int = 2_000) -> DataFrame:
+def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Adds lang_pred and score (0 to 1) to every row of ``docs``; whole texts are read.
 
     A text that is null or has no letters gets "und" and 0. Older columns of these names are replaced.
@@ -152,8 +160,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text",
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for i in range(0, batch.num_rows, rows_at_once):
-                part = batch.slice(i, rows_at_once)
+            for part in in_parts(batch, place):
                 languages, score = model.predict(part.column(place).to_pylist())
                 columns = [*part.columns, pa.array(languages, pa.string()), pa.array(score, pa.float64())]
                 yield pa.record_batch(columns, [*names, "lang_pred", "score"])
