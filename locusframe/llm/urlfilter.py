@@ -11,10 +11,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm._common import hinted, written
+from locusframe.llm._common import hinted, sampled, written
 from locusframe.llm.linededup import host_of
 
 BROADCAST_ROWS = 200_000
+#: Block rates of labelled rows are those of the other folds.
+FOLDS = 5
 FEATURES = [
     "url_length", "host_length", "path_length", "host_labels", "path_depth", "digit_ratio", "hyphens", "entropy", "parameters",
     "query_length", "is_https", "has_fragment", "has_file", "domain_rate", "suffix_rate",
@@ -62,10 +64,21 @@ def lexical(df: DataFrame) -> DataFrame:
     return df.withColumns({k: v.cast("double") for k, v in values.items()} | {"domain": domain, "suffix": F.element_at(labels, -1)})
 
 
-def _rates(labelled: DataFrame, column: str, name: str, prior: float, weight: float) -> DataFrame:
-    """Smoothed share of blocked rows by ``column`` of the (bounded) sample."""
-    rate = (F.sum("y") + prior * weight) / (F.count("*") + weight)
-    return written(labelled.groupBy(column).agg(rate.alias(name)))
+def _with_rates(df: DataFrame, sample: DataFrame, prior: float, own: bool, weight: float = 10.0) -> DataFrame:
+    """Adds the smoothed block rates of each row's domain and suffix in the (bounded) sample.
+
+    If ``df`` is the sample ``own`` itself, a row's rate is that of the other folds, so no row sees its own label.
+    """
+    for column, name in (("domain", "domain_rate"), ("suffix", "suffix_rate")):
+        sums = sample.groupBy(column).agg(F.sum("y").alias("_y"), F.count("*").alias("_n"))
+        keys = [column]
+        if own:
+            keys = [column, "fold"]
+            folds = sample.groupBy(*keys).agg(F.sum("y").alias("_yf"), F.count("*").alias("_nf")).join(sums, column)
+            sums = folds.withColumns({"_y": F.col("_y") - F.col("_yf"), "_n": F.col("_n") - F.col("_nf")})
+        rates = written(sums.select(*keys, ((F.col("_y") + prior * weight) / (F.col("_n") + weight)).alias(name)))
+        df = df.join(hinted(rates, BROADCAST_ROWS), keys, "left")
+    return df.fillna(prior, ["domain_rate", "suffix_rate"])
 
 
 def judge_urls(
@@ -77,8 +90,9 @@ def judge_urls(
     ``rules`` are (host, path, "allow" or "block"); one fits its host and all subdomains if the path starts with
     its path; the longest of them decides (of equal ones, the greatest by spelling). Other rows get the trees'
     verdict: "block" from a score of ``threshold`` on. ``labelled`` has (url, verdict) to learn from; without it,
-    the urls that rules decide are the labelled ones. About ``max_labelled`` are drawn by a hash. Features are
-    those of ``lexical`` and the sample's smoothed block rates by registered domain and public suffix. With no
+    the urls that rules decide are the labelled ones. ``max_labelled`` different ones at most are drawn by a hash.
+    Features are those of ``lexical`` and the sample's smoothed block rates by domain (two last labels) and suffix
+    (for training, out of fold). With no
     labelled rows, or one verdict only, the score is that verdict's share (0 without any). Null urls have an
     empty host and path, and are judged like any other.
     """
@@ -92,22 +106,16 @@ def judge_urls(
     ruled = rows.join(by_host, "host", "left").withColumn("hit", F.array_max(fits)).drop("rules")
     known = ruled.where("hit is not null").select("url", F.col("hit.verdict").alias("verdict")) if labelled is None else labelled
     known = known.where(F.col("url").isNotNull() & F.col("verdict").isin("allow", "block"))
-    share = min(1.0, max_labelled / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("url", F.lit("urls")), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = written(lexical(parsed(sample.select("url", (F.col("verdict") == "block").cast("double").alias("y")))))
+    known = known.select("url", "verdict")
+    sample = sampled(known, max_labelled, known.count(), "urls", "url", "verdict").withColumn("y", (F.col("verdict") == "block").cast("double"))
+    fold = F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS))
+    sample = written(lexical(parsed(sample)).withColumn("fold", fold))
     n, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     prior = blocked / n if n else 0.0
     if 0 < prior < 1:
-        domains, suffixes = _rates(sample, "domain", "domain_rate", prior, 10.0), _rates(sample, "suffix", "suffix_rate", prior, 10.0)
-
-        def with_rates(df: DataFrame) -> DataFrame:
-            # Both tables have no more rows than the sample.
-            df = df.join(hinted(domains, BROADCAST_ROWS), "domain", "left").join(hinted(suffixes, BROADCAST_ROWS), "suffix", "left")
-            return df.fillna(prior, ["domain_rate", "suffix_rate"])
-
         stages = [VectorAssembler(inputCols=FEATURES, outputCol="features"), GBTClassifier(labelCol="y", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7)]
-        model = Pipeline(stages=stages).fit(with_rates(sample))
-        scored = model.transform(with_rates(lexical(ruled))).withColumn("score", vector_to_array("probability")[1])
+        model = Pipeline(stages=stages).fit(_with_rates(sample, sample, prior, own=True))
+        scored = model.transform(_with_rates(lexical(ruled), sample, prior, own=False)).withColumn("score", vector_to_array("probability")[1])
     else:
         scored = ruled.withColumn("score", F.lit(float(prior)))
     learned = F.when(F.col("score") >= threshold, "block").otherwise("allow")
