@@ -150,7 +150,7 @@ def test_sharding(spark, hot):
     sizes = np.r_[rng.integers(16, 3000, 3000), np.full(hot, 500)]
     keys = np.r_[rng.integers(-(2**63), 2**63, 3000), np.full(hot, 77)]
     table = pd.DataFrame({"doc_id": range(len(sizes)), "k": keys, "size": sizes, "shard_of": "x"})
-    out = sharding.shard_by_splitters(spark.createDataFrame(table), "k", "size", ["doc_id"], n_shards=10, n_ranges=50, sample_rows=500).toPandas()
+    out = sharding.shard_by_splitters(spark.createDataFrame(table), "k", "size", ["doc_id"], n_shards=10, n_ranges=50, per_range=10).toPandas()
     assert sorted(out["doc_id"]) == list(range(len(sizes))) and set(out["law"]) == {"bytes"}
     check_shards(out, sizes, 10)
     totals = out.groupby("shard")["size"].sum()
