@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from locusframe.llm._common import written
 
+#: What no reader sees; without an end tag it goes on to the end of the page, as in browsers.
+HIDDEN = r"(?is)<(script|style)\b(?:.*?</\1>|.*)|<!--(?:.*?-->|.*)"
 #: What ends a line of a page: line ends, and the tags that browsers break at. Other tags are removed.
-HIDDEN = r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->"
 BREAKS = r"(?i)</?(?:p|div|li|ul|ol|br|h[1-6]|nav|article|section|footer|header|title|head|body|table|tr|td|th)\b[^>]*>|[\r\n]+"
 TAGS = r"<[^>]*>"
 
@@ -20,9 +21,9 @@ def host_of(url: Column) -> Column:
 
 
 def page_lines(html: Column) -> Column:
-    """The visible lines of a page, trimmed, without empty ones; none for null."""
+    """The visible lines of a page, without blanks and tabs around them and without empty ones; none for null."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, HIDDEN, "\n"), BREAKS, "\n"), TAGS, "")
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t"))), lambda x: x != "")
     return F.coalesce(lines, F.array().cast("array<string>"))
 
 

@@ -8,9 +8,9 @@ WITH p AS (
   FROM pages
 ), l AS (
   SELECT r, page_id, host, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(html,
-    '(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', chr(10), 'g'),
+    '(?is)<script\b(?:.*?</script>|.*)|<style\b(?:.*?</style>|.*)|<!--(?:.*?-->|.*)', chr(10), 'g'),
     '(?i)</?(?:p|div|li|ul|ol|br|h[1-6]|nav|article|section|footer|header|title|head|body|table|tr|td|th)\b[^>]*>|[\r\n]+', chr(10), 'g'),
-    '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines
+    '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> '') AS lines
   FROM p
 ), t AS (SELECT host, count(*) AS total FROM l GROUP BY host),
 c AS (SELECT host, line, count(DISTINCT r) AS n FROM (SELECT host, r, unnest(lines) AS line FROM l) GROUP BY host, line),
@@ -52,7 +52,7 @@ def mixing(rounds: int, power: float, whole_share: float) -> str:
     aims = ", ".join(f"pow(t_{d}, {power}) / (SELECT sum(pow(s, {power})) FROM (SELECT sum(tokens) AS s FROM x GROUP BY {d})) AS aim_{d}" for d in dims)
     sums = ", ".join(f"sum(tokens) OVER (PARTITION BY {d}) AS t_{d}" for d in dims)
     return f"""
-WITH x AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+WITH x AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(text), '') AS draw, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
     CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN contains(text, 'License') OR contains(text, 'Copyright') THEN 'licensed'
       WHEN contains(text, ' | ') THEN 'tabular' WHEN length(text) < 500 THEN 'short' ELSE 'prose' END AS topic,
     CAST(coalesce(length(text) - length(translate(text, ' ' || chr(10), '')), 0) + 1 AS BIGINT) AS tokens
@@ -65,7 +65,7 @@ rates AS (SELECT *, w / tokens AS rate FROM {last}),
 r AS (SELECT *, sum(tokens) OVER (ORDER BY rate, source, lang, topic ROWS UNBOUNDED PRECEDING) >= {1 - whole_share} * sum(tokens) OVER () AS enough FROM rates),
 p AS (SELECT *, least(1.0, rate / (SELECT min(rate) FROM r WHERE enough)) AS probability FROM r)
 SELECT doc_id, source, lang, topic, x.tokens, round(w, 9) AS weight, round(probability, 6) AS probability,
-  CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 < probability AS sampled
+  CAST(CAST('0x' || substr(md5(draw), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 < probability AS sampled
 FROM x JOIN p USING (source, lang, topic)
 """
 

@@ -47,10 +47,9 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("size"),
             F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
             F.xxhash64("text").alias("text_key"),
-            F.monotonically_increasing_id().alias("row_id"),
         )
     )
-    return shard_by_splitters(slim, "text_key", "size", ["doc_id", "row_id"]).select(
+    return shard_by_splitters(slim, "text_key", "size", ["doc_id"]).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
@@ -66,10 +65,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability, and whether it is sampled, by raked source, language and topic shares."""
     slim = table(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), mixing.tokens_of(F.col("text")).alias("tokens")
-    )
+        "doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic"), mixing.tokens_of(F.col("text")).alias("tokens"),
+        mixing.draw_key(F.col("doc_id"), F.col("text")).alias("draw"),
+    )
     dims = {n: F.col(n) for n in ("source", "lang", "topic")}
-    return mixing.mix_to_targets(written(slim), dims, F.col("tokens")).select(
+    return mixing.mix_to_targets(written(slim), dims, F.col("tokens"), F.col("draw")).select(
         "doc_id", "source", "lang", "topic", "tokens", F.round("weight", 9).alias("weight"),
         F.round("probability", 6).alias("probability"), "sampled",
     )
