@@ -51,14 +51,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents by probabilities raked to tempered source, language and topic shares."""
     text = F.col("text")
     dims = {"mix_source": F.col("source"), "mix_lang": F.col("lang"), "mix_topic": mixing.topic_of(text)}
-    return mixing.mix_to_targets(docs, dims, mixing.tokens_of(text)).where("sampled").select(*COLUMNS)
+    return mixing.mix_to_targets(docs, dims, mixing.tokens_of(text), mixing.draw_key(F.col("doc_id"), text)).where("sampled").select(*COLUMNS)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard of 40 and their slot in it."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    keyed = docs.select(*COLUMNS, size.alias("size"), F.xxhash64("text").alias("text_key"), F.coalesce("doc_id", F.lit(-1)).alias("tie"))
-    return shard_by_splitters(keyed, "text_key", "size", ["tie"]).select(*COLUMNS, "size", "law", "shard", "slot")
+    keyed = docs.select(*COLUMNS, size.alias("size"), F.xxhash64("text").alias("text_key"), F.xxhash64(*COLUMNS).alias("tie"))
+    return shard_by_splitters(keyed, "text_key", "size", ["doc_id", "tie"]).select(*COLUMNS, "size", "law", "shard", "slot")
 
 
 STAGES = [
