@@ -7,13 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm._common import written
+from locusframe.llm._common import hinted, written
 
 #: A turn is OPEN role MIDDLE text CLOSE. No text holds one of these, or another common control string, unescaped.
 OPEN, MIDDLE, CLOSE = "<s>[ROLE]", "[/ROLE]", "</s>"
 CONTROL = r"([<\[])(/?s>|/?ROLE\]|/?INST\]|/?SYS\]|</?SYS>>|\|)"
 #: Doubled where a text has it; single after the first character of a control string, which so is one no more.
 ESCAPE = "␛"
+#: One row for each range of conversations is broadcast up to this many.
+BROADCAST_RANGES = 100_000
 
 
 def escape(text: Column) -> Column:
@@ -26,11 +28,12 @@ def unescape(text: Column) -> Column:
 
 @dataclass
 class PrefixTree:
-    """``nodes``: (node, depth, start, stop, position, role, formatted, loss_start, loss_stop, attends), one for each
-    distinct prefix of turns: formatted text at [start, stop) of the emitted stream, depth first; the position id of
-    its first character; the stretch of the stream that counts for the loss (the text of an assistant turn, else
-    empty); and the stretches of its ancestors that it attends to besides itself. ``conversations``: (conv_id,
-    n_turns, nodes: start of each turn's node). Characters (code points) stand for tokens.
+    """``nodes``: (leaf, depth, node, start, stop, position, role, formatted, loss_start, loss_stop, attends, users), one for
+    each distinct prefix of turns: formatted text at [start, stop) of the emitted stream, depth first; the position id
+    of its first character; the stretch of the stream that counts for the loss (the text of an assistant turn, else
+    empty); the stretches of its ancestors that it attends to besides itself; the distinct conversation (leaf) that
+    emits it, and how many go through it. ``conversations``: (conv_id, leaf, n_turns, shared, nodes: start of each turn's
+    node; those beyond ``shared`` are emitted by the leaf itself). Characters (code points) stand for tokens.
     """
 
     nodes: DataFrame
@@ -56,121 +59,115 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, F.array().cast("array<struct<start:bigint,stop:bigint>>"), step)
 
 
+def _digest(*parts: Column) -> Column:
+    return F.unhex(F.md5(F.concat(*parts)))
+
+
 def build_tree(
-    rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
-    learned: str = "assistant", n_ranges: int = 64, sample_rows: int = 4_096,
-) -> PrefixTree:
+    rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learned: str = "assistant"
+) -> PrefixTree:
     """Merges conversations that share their first turns.
 
-    Turns are ordered by ``turn`` (then role and text, for equal numbers); null roles and texts are empty; rows
-    with a null id make one conversation. A prefix's key is a chained md5 over its formatted turns. Distinct
-    conversations, sorted by their chains of keys, stand next to those they share most with: each emits the
-    nodes that its predecessor lacks, which is depth-first order. The sort is split at sampled splitters, so a
-    first turn that a third of the conversations share is no single task; running sums within the ranges, plus
-    the sums of earlier ranges, give the places. Copies of a conversation add nothing to the stream.
+    Turns are ordered by ``turn`` (then role and the text's md5, for equal numbers; nulls first); null roles and texts
+    are empty; repeated rows are turns of their own; rows with a null id make one conversation. Other columns are
+    ignored; no rows give an empty tree. A prefix's key is a chained md5 over its formatted turns. Distinct
+    conversations, sorted by their chains of keys, stand next to those they share most with: each emits the nodes that
+    its predecessor lacks, which is depth-first order. The sort is by Spark's sampled ranges, so a first turn that a
+    third of the conversations share is no single task; running sums within the ranges, plus the sums of earlier
+    ranges, give the places. Copies of a conversation add nothing to the stream.
+
+    All that is done on digests and lengths. Texts are shuffled once, by digest, to the nodes that they belong to.
     """
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    turns = rows.select(F.col(conv_id).alias("conv_id"), F.struct(F.col(turn).alias("t"), plain(role).alias("role"), plain(text).alias("text")).alias("x"))
-    convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("turns"))
-
-    def formatted(x: Column) -> Column:
-        before = F.concat(F.lit(OPEN), escape(x["role"]), F.lit(MIDDLE))
-        inside = escape(x["text"])
-        return F.struct(
-            x["role"].alias("role"), F.concat(before, inside, F.lit(CLOSE)).alias("formatted"),
-            F.length(before).cast("long").alias("lead"), F.length(inside).cast("long").alias("inner"),
-        )
-
-    convs = convs.select("conv_id", F.transform("turns", formatted).alias("turns"))
-    chain = F.aggregate(
-        F.transform("turns", lambda x: x["formatted"]),
-        F.array(F.lit("")),
-        lambda acc, x: F.array_append(acc, F.md5(F.concat(F.element_at(acc, -1), x))),
-    )
-    convs = written(convs.withColumn("path", F.slice(chain, 2, F.size("turns"))).withColumn("leaf", F.element_at("path", -1)))
+    before = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE))
+    turns = rows.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("t"), plain(role).alias("role"), plain(text).alias("text"))
+    turns = turns.withColumns({"before": before, "inside": escape(F.col("text"))}).withColumn("formatted", F.concat("before", "inside", F.lit(CLOSE)))
+    one = F.struct("t", "role", F.md5("text").alias("m"), _digest(F.col("formatted")).alias("h"), F.length("formatted").cast("long").alias("size"))
+    convs = turns.select("conv_id", one.alias("x")).groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    own = F.transform("x", lambda x: x["h"])
+    chain = F.aggregate(own, F.array(F.lit(b"")), lambda acc, h: F.array_append(acc, _digest(F.element_at(acc, -1), h)))
+    convs = convs.select("conv_id", own.alias("own"), F.slice(chain, 2, F.size("x")).alias("path"), F.transform("x", lambda x: x["size"]).alias("sizes"))
+    convs = written(convs.withColumn("leaf", F.element_at("path", -1)))
+
     # Copies go by the leaf's key, which stands for all turns.
-    paths = convs.groupBy("leaf").agg(F.min("path").alias("path"))
-    first = convs.select("leaf", "turns", F.row_number().over(Window.partitionBy("leaf", F.pmod(F.xxhash64("conv_id"), F.lit(64))).orderBy("conv_id")).alias("n"))
-    first = first.where("n = 1").groupBy("leaf").agg(F.first("turns").alias("turns"))
-    paths = written(paths.join(first, "leaf").withColumn("sort", F.array_join("path", "")))
-
-    share = min(1.0, sample_rows / max(1, paths.count()))
-    drawn = paths.where(F.rand(11) < share).select("sort")
-    tiles = drawn.withColumn("tile", F.ntile(n_ranges).over(Window.orderBy("sort")))
-    cuts = [r[0] for r in tiles.groupBy("tile").agg(F.min("sort").alias("lo")).orderBy("tile").select("lo").distinct().orderBy("lo").collect()]
-
-    def tile(lo: int, hi: int) -> Column:
-        """Binary search among the splitters."""
-        if lo == hi:
-            return F.lit(lo)
-        middle = (lo + hi) // 2
-        return F.when(F.col("sort") < cuts[middle], tile(lo, middle)).otherwise(tile(middle + 1, hi))
-
-    ranged = paths.withColumn("range", tile(0, len(cuts)))
+    paths = convs.groupBy("leaf").agg(F.min(F.struct("path", "own", "sizes")).alias("x")).select("leaf", "x.*")
+    joined = F.aggregate("path", F.lit(b""), lambda acc, x: F.concat(acc, x))
+    ranged = written(paths.withColumn("sort", joined).repartitionByRange("sort").withColumn("range", F.spark_partition_id()))
     in_range = Window.partitionBy("range").orderBy("sort")
     ends = ranged.groupBy("range").agg(F.max(F.struct("sort", "path"))["path"].alias("last"))
     ends = ends.withColumn("before", F.lag("last").over(Window.orderBy("range"))).select("range", "before")
-    sizes = F.transform("turns", lambda x: F.length(x["formatted"]).cast("long"))
-    own = (
-        ranged.join(F.broadcast(written(ends)), "range")
-        .withColumn("shared", _common_prefix(F.col("path"), F.coalesce(F.lag("path").over(in_range), "before")))
-        .withColumn("sizes", sizes)
-    )
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    emitted = ranged.join(hinted(written(ends), BROADCAST_RANGES), "range").withColumn(
+        "shared", _common_prefix(F.col("path"), F.coalesce(F.lag("path").over(in_range), "before"))
+    )
     new = total(F.slice("sizes", F.col("shared") + 1, F.greatest(F.size("sizes") - F.col("shared"), F.lit(0))))
-    own = own.withColumn("new", new)
-    own = written(own.withColumn("upto", F.sum("new").over(in_range.rowsBetween(Window.unboundedPreceding, 0))))
-    sums = own.groupBy("range").agg(F.sum("new").alias("sum"))
+    emitted = emitted.withColumn("new", new)
+    upto = F.sum("new").over(in_range.rowsBetween(Window.unboundedPreceding, 0))
+    emitted = written(emitted.withColumn("upto", upto).drop("sort"))
+    sums = emitted.groupBy("range").agg(F.sum("new").alias("sum"))
     offsets = sums.withColumn("offset", F.sum("sum").over(Window.orderBy("range")) - F.col("sum")).select("range", "offset")
-    placed = own.join(F.broadcast(written(offsets)), "range").withColumn("base", F.col("offset") + F.col("upto") - F.col("new"))
+    placed = emitted.join(hinted(written(offsets), BROADCAST_RANGES), "range").withColumn("base", F.col("offset") + F.col("upto") - F.col("new"))
 
     # A node's place in the stream, from the conversation that emits it.
-    numbers = F.transform("turns", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    up_to = lambda i: total(F.slice("sizes", 1, i))
-    each = placed.select(
-        "leaf", "path", "base", "shared", "sizes",
-        F.explode(F.filter(numbers, lambda z: z["i"] >= F.col("shared"))).alias("z"),
-    )
-    position = F.when(F.col("z.i") == 0, F.lit(0).cast("long")).otherwise(up_to(F.col("z.i")))
-    skipped = F.when(F.col("shared") == 0, F.lit(0).cast("long")).otherwise(up_to(F.col("shared")))
-    start = F.col("base") + position - skipped
-    loss = F.when(F.col("z.x.role") == learned, F.col("z.x.inner")).otherwise(F.lit(0))
-    nodes = each.select(
-        "leaf", F.get("path", F.col("z.i")).alias("node"), (F.col("z.i") + 1).alias("depth"), start.alias("start"),
-        (start + F.get("sizes", F.col("z.i"))).alias("stop"), position.alias("position"), F.col("z.x.role").alias("role"),
-        F.col("z.x.formatted").alias("formatted"), (start + F.col("z.x.lead")).alias("loss_start"),
-        (start + F.col("z.x.lead") + loss).alias("loss_stop"), F.col("base"), F.col("shared"),
+    each = placed.select("leaf", "base", "shared", "sizes", F.posexplode(F.arrays_zip("path", "own")).alias("i", "z")).where("i >= shared")
+    up_to = lambda i: F.when(i > 0, total(F.slice("sizes", 1, F.greatest(i, F.lit(1))))).otherwise(F.lit(0).cast("long"))
+    position = up_to(F.col("i"))
+    slim = written(
+        each.withColumn("position", position).withColumn("start", F.col("base") + F.col("position") - up_to(F.col("shared"))).select(
+            "leaf", (F.col("i") + 1).alias("depth"), F.col("z.path").alias("node"), F.col("z.own").alias("own"), "start",
+            (F.col("start") + F.get("sizes", F.col("i"))).alias("stop"), "position", "base", "shared",
+        )
     )
-    nodes = written(nodes)
-
-    # The whole path of each distinct conversation, and what its new nodes attend to.
-    steps = placed.select("leaf", F.posexplode("path").alias("i", "node"))
-    spans = steps.join(nodes.select("node", "start", "stop"), "node")
-    walked = written(spans.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("i", "start", "stop"))).alias("spans")))
-    shared_spans = nodes.where("depth = shared + 1").select("leaf", "shared").join(walked, "leaf").select(
-        "leaf", _merged(F.slice("spans", 1, F.col("shared"))).alias("above")
-    )
+
+    # The whole path of each distinct conversation, what its new nodes attend to, and how many go through a node.
+    steps = placed.select("leaf", "shared", F.posexplode("path").alias("i", "node"))
+    spans = steps.join(slim.select("node", "start", "stop"), "node")
+    walked = written(spans.groupBy("leaf", "shared").agg(F.sort_array(F.collect_list(F.struct("i", "start", "stop"))).alias("spans")))
+    above = walked.select("leaf", _merged(F.slice("spans", 1, F.col("shared"))).alias("above"))
+    users = steps.groupBy("node").agg(F.count("*").alias("users"))
     ahead = F.when(F.col("start") > F.col("base"), F.array(F.struct(F.col("base").alias("start"), F.col("start").alias("stop")))).otherwise(
         F.array().cast("array<struct<start:bigint,stop:bigint>>")
     )
-    full = nodes.join(written(shared_spans), "leaf").withColumn("attends", _merged(F.concat("above", ahead))).drop("leaf", "base", "shared", "above")
-    taken = convs.select("conv_id", "leaf", F.size("turns").cast("long").alias("n_turns")).join(walked, "leaf")
-    conversations = taken.select("conv_id", "n_turns", F.transform("spans", lambda x: x["start"]).alias("nodes"))
-    return PrefixTree(written(full), conversations)
+    slim = slim.join(above, "leaf").join(users, "node").withColumn("attends", _merged(F.concat("above", ahead)))
 
+    # Their texts, each different one once; a turn that many nodes have is a hot key of a join that Spark may split.
+    texts = turns.select(_digest(F.col("formatted")).alias("own"), "role", "before", "inside").groupBy("own").agg(
+        F.first("role").alias("role"), F.first("before").alias("before"), F.first("inside").alias("inside")
+    )
+    nodes = slim.join(texts, "own")
+    loss = F.when(F.col("role") == learned, F.length("inside")).otherwise(F.lit(0))
+    loss_start = F.col("start") + F.length("before")
+    nodes = nodes.select(
+        "leaf", "depth", "node", "start", "stop", "position", "role", F.concat("before", "inside", F.lit(CLOSE)).alias("formatted"),
+        loss_start.alias("loss_start"), (loss_start + loss).alias("loss_stop"), "attends", "users",
+    )
+    taken = convs.select("conv_id", "leaf", F.size("path").cast("long").alias("n_turns")).join(walked, "leaf")
+    conversations = taken.select("conv_id", "leaf", "n_turns", "shared", F.transform("spans", lambda x: x["start"]).alias("nodes"))
+    return PrefixTree(written(nodes), written(conversations))
 
-def read_back(tree: PrefixTree) -> DataFrame:
-    """(conv_id, formatted, turns (role, text), learned): each conversation as the emitted stream has it."""
-    steps = tree.conversations.select("conv_id", F.posexplode("nodes").alias("i", "start"))
-    cut = F.substring(F.col("formatted"), (F.col("loss_start") - F.col("start") + 1).cast("int"), (F.col("loss_stop") - F.col("loss_start")).cast("int"))
-    parts = steps.join(tree.nodes.select("start", "formatted", cut.alias("masked")), "start")
-    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", "formatted", "masked"))).alias("p"))
+
+def read_leaves(tree: PrefixTree) -> DataFrame:
+    """(leaf, formatted, turns (role, text), learned): each distinct conversation as the emitted stream has it.
+
+    A leaf's own nodes go to it at once; only those that several go through are joined to the others.
+    """
+    mask = [(F.col("loss_start") - F.col("start") + 1).cast("int").alias("at"), (F.col("loss_stop") - F.col("loss_start")).cast("int").alias("n")]
+    own = tree.nodes.select("leaf", (F.col("depth") - 1).alias("i"), "formatted", *mask)
+    leaves = tree.conversations.groupBy("leaf").agg(F.first(F.struct("shared", "nodes")).alias("x")).select("leaf", "x.*")
+    steps = leaves.select("leaf", F.posexplode(F.slice("nodes", 1, F.col("shared"))).alias("i", "start"))
+    other = steps.join(tree.nodes.where("users > 1").select("start", "formatted", *mask), "start").select("leaf", "i", "formatted", "at", "n")
+    whole = own.union(other).groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("i", "formatted", "at", "n"))).alias("p"))
     formatted = F.array_join(F.transform("p", lambda x: x["formatted"]), "")
-    learned = F.array_join(F.transform("p", lambda x: unescape(x["masked"])), "")
+    learned = F.array_join(F.transform("p", lambda x: unescape(F.substring(x["formatted"], x["at"], x["n"]))), "")
     pieces = F.filter(F.split("formatted", r"<s>\[ROLE\]"), lambda x: x != "")
 
     def turn(piece: Column) -> Column:
         role, rest = F.substring_index(piece, MIDDLE, 1), F.substring_index(piece, MIDDLE, -1)
         return F.struct(unescape(role).alias("role"), unescape(F.substring_index(rest, CLOSE, 1)).alias("text"))
 
-    return whole.select("conv_id", formatted.alias("formatted"), learned.alias("learned")).withColumn("turns", F.transform(pieces, turn))
+    return whole.select("leaf", formatted.alias("formatted"), learned.alias("learned")).withColumn("turns", F.transform(pieces, turn))
+
+
+def read_back(tree: PrefixTree) -> DataFrame:
+    """(conv_id, formatted, learned, turns): every conversation, copies too, as the emitted stream has it."""
+    return tree.conversations.select("conv_id", "leaf").join(read_leaves(tree), "leaf").drop("leaf")

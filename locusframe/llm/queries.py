@@ -30,13 +30,14 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     trap = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    back = chat.read_back(chat.build_tree(rows.union(trap)))
+    tree = chat.build_tree(rows.union(trap))
     digest = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    return back.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
+    back = chat.read_leaves(tree).select(
+        "leaf", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+    return tree.conversations.select("conv_id", "leaf").join(back, "leaf").drop("leaf")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
