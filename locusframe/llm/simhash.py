@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm._common import written
+from locusframe.llm._common import hinted, written
 from locusframe.llm.components import connected_components
 from locusframe.session import importable
 
@@ -20,6 +20,8 @@ LENGTH, RADIUS, GENERATOR = 23, 3, 0b110001110101
 MASK = (1 << LENGTH) - 1
 #: Candidate pairs that are compared at a time in one task.
 PAIRS_AT_ONCE = 1_000_000
+#: Anchors that must be split are broadcast up to this many (of 16 bytes).
+BROADCAST_HOT = 500_000
 
 
 def fingerprint(text: bytes | None, words: int, seed: int) -> int:
@@ -103,6 +105,15 @@ def anchors(prints: np.ndarray, within: int) -> Iterator[tuple[np.ndarray, np.nd
             yield row, (low[row] ^ p) | (high[row] ^ q) << LENGTH, np.full(len(row), w <= RADIUS and v <= RADIUS)
 
 
+def nearest(prints: np.ndarray) -> np.ndarray:
+    """The one anchor within RADIUS bits of both halves of each fingerprint."""
+    patterns, starts, _ = _patterns(RADIUS)
+    kinds = np.arange(1 << 11)[:, None] * (RADIUS + 1) + np.arange(RADIUS + 1)
+    only = patterns[starts[kinds[np.arange(1 << 11), _patterns(RADIUS)[2][kinds].argmax(axis=1)]]]
+    low, high = prints & MASK, prints >> LENGTH & MASK
+    return (low ^ only[_syndrome(low)]) | (high ^ only[_syndrome(high)]) << LENGTH
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, least node of its component in these links), one for each node but the roots."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -121,20 +132,22 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[root[rest]]
 
 
-def _compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints of one anchor, of which one has its nearest anchor there; rows are sorted by anchor."""
-    edges = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True])
-    group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+def _compare(group: np.ndarray, fp: np.ndarray, home: np.ndarray, member: np.ndarray, within: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between fingerprints of one group: of those at home there with all members; rows are sorted by group."""
+    edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+    number = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    members = fp[member]
+    sizes = np.bincount(number[member], minlength=len(edges) - 1)
+    starts = np.cumsum(sizes) - sizes
     homes = np.flatnonzero(home)
-    first, size = edges[group[homes]], np.diff(edges)[group[homes]]
-    homes, first, size = homes[size > 1], first[size > 1], size[size > 1]
+    first, size = starts[number[homes]], sizes[number[homes]]
     found_a, found_b = [], []
     blocks = np.cumsum(size) // PAIRS_AT_ONCE
     for block in np.unique(blocks):
         pick = blocks == block
         h, f, n = homes[pick], first[pick], size[pick]
         x = np.repeat(fp[h], n)
-        y = fp[np.repeat(f, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        y = members[np.repeat(f, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         near = (x != y) & (np.bitwise_count((x ^ y).view(np.uint64)) <= within)
         if near.any():
             u, v = forest(x[near], y[near])
@@ -144,45 +157,59 @@ def _compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, within: int)
     return np.concatenate(found_a or [none]), np.concatenate(found_b or [none])
 
 
-def near_links(prints: DataFrame, within: int = 2) -> DataFrame:
+def near_links(prints: DataFrame, within: int = 2, hot_homes: int = 10_000, rows_at_once: int = 500_000) -> DataFrame:
     """(a, b): links that connect just what fingerprints (column fp, each once) at ``within`` or fewer bits connect.
 
-    Each fingerprint x is within 2 x RADIUS of its nearest anchor. One within ``within`` bits of x is then
+    Each fingerprint x is within 2 x RADIUS of its nearest anchor, its home. One within ``within`` bits of x is then
     within 2 x RADIUS + ``within`` of that anchor, so copying each fingerprint to all anchors that near loses no
-    pair. Rows are sorted by anchor; tasks take them as a stream, group by group, and return a spanning forest
-    of the links they find, not all pairs.
+    pair. Tasks take an anchor's rows as a stream, those at home there first, compare all with these, and return a
+    spanning forest of the links they find, not all pairs. An anchor with over ``hot_homes`` fingerprints at home is
+    split: its rows are dealt over as many parts as it has times so many, and those at home go to every part.
     """
 
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([nearest(batch.column(0).to_numpy())], ["anchor"])
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_prints = batch.column(0).to_numpy()
             for i in range(0, len(all_prints), 4096):
                 prints = all_prints[i : i + 4096]
                 for row, anchor, home in anchors(prints, within):
-                    yield pa.record_batch([anchor, prints[row], home], ["anchor", "fp", "home"])
+                    yield pa.record_batch([anchor, prints[row], home, np.ones(len(row), bool)], ["grp", "fp", "home", "member"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]]
+        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)]
+        waiting = [kept]
         for batch in batches:
-            part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if kept[0][-1].size and part[0][0] == part[0][-1] == kept[0][-1][-1]:  # one anchor goes on
-                for k, p in zip(kept, part, strict=True):
-                    k.append(p)
+            waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if sum(len(x[0]) for x in waiting) < rows_at_once:
                 continue
-            whole = [np.concatenate([*k, p]) for k, p in zip(kept, part, strict=True)]
-            cut = np.searchsorted(whole[0], whole[0][-1])
-            kept = [[w[cut:]] for w in whole]
-            if cut:
-                a, b = _compare(*(w[:cut] for w in whole), within)
-                yield pa.record_batch([a, b], ["a", "b"])
-        whole = [np.concatenate(k) for k in kept]
-        if len(whole[0]):
-            a, b = _compare(*whole, within)
+            kept = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            a, b = _compare(*kept, within)
             yield pa.record_batch([a, b], ["a", "b"])
+            # The last group may go on: its rows at home are compared with what comes, and all else is done with.
+            stays = (kept[0] == kept[0][-1]) & kept[2]
+            kept = [x[stays] for x in kept]
+            kept[3] = np.zeros(len(kept[3]), bool)
+            waiting = [kept]
+        a, b = _compare(*(np.concatenate(x) for x in zip(*waiting, strict=True)), within)
+        yield pa.record_batch([a, b], ["a", "b"])
 
     importable(prints.sparkSession)
-    near = prints.select("fp").mapInArrow(spread, "anchor long, fp long, home boolean")
-    return near.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
+    near = prints.select("fp").mapInArrow(spread, "grp long, fp long, home boolean, member boolean")
+    counted = prints.select("fp").mapInArrow(at_home, "anchor long").groupBy("anchor").count().where(F.col("count") > hot_homes)
+    hot = written(counted.select(F.col("anchor").alias("grp"), F.ceil(F.col("count") / hot_homes).alias("parts")))
+    if hot.limit(1).count():
+        one = F.pmod(F.xxhash64("fp"), F.col("parts"))
+        part = F.explode(F.when(F.col("home") & (F.col("parts") > 1), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(one)))
+        dealt = near.join(hinted(hot, BROADCAST_HOT), "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+        dealt = dealt.withColumn("part", part)
+        group = F.when(F.col("parts") > 1, F.xxhash64("grp", "part")).otherwise(F.col("grp"))
+        near = dealt.select(group.alias("grp"), "fp", "home", (F.col("part") == one).alias("member"))
+    near = near.repartition("grp").sortWithinPartitions("grp", F.col("home").desc())
+    return near.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, within: int = 2, seed: int = 42) -> DataFrame:

@@ -128,6 +128,20 @@ def test_anchors_lose_no_pair():
     assert all(len(home[i]) == 1 and home[i] <= near[i] for i in range(200))
 
 
+@pytest.mark.parametrize("hot", [10_000, 20])
+def test_hot_anchors_lose_no_pair(spark, hot):
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(2**63), 2**63, 4, dtype=np.int64)
+    flips = np.int64(1) << rng.integers(0, 63, (400, 3))  # near each other by up to 6 bits, most at one anchor
+    prints = sorted({int(base[i % 4] ^ np.bitwise_xor.reduce(f)) for i, f in enumerate(flips)})
+    own = {r: a for row, anchor, home in simhash.anchors(np.array(prints), 2) for r, a in zip(row[home], anchor[home], strict=True)}
+    assert simhash.nearest(np.array(prints)).tolist() == [own[i] for i in range(len(prints))]
+    links = simhash.near_links(spark.createDataFrame([(p,) for p in prints], "fp long"), hot_homes=hot, rows_at_once=1000)
+    root = dict(connected_components(links, "a", "b").collect())
+    least = brute_components([p % 2**64 for p in prints])
+    assert {p: root.get(p, p) for p in prints} == {p: min(prints[j] for j in range(len(prints)) if least[j] == least[i]) for i, p in enumerate(prints)}
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 200), (202, 202), (None, 5)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
