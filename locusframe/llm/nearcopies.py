@@ -1,4 +1,5 @@
-"""Near copies by exact similarity of word shingles; candidates share a MinHash band and are picked by SimHash bits."""
+"""Near copies by exact similarity of word shingles: candidates from SimHash anchors and, for copies whose fingerprints
+are too far apart for these, from MinHash bands."""
 
 from __future__ import annotations
 
@@ -12,12 +13,16 @@ from pyspark.sql import functions as F
 
 from locusframe.llm._common import hinted, written
 from locusframe.llm.components import connected_components
+from locusframe.llm.simhash import forest, near_links
 from locusframe.session import importable
 
 #: A pair of similarity s shares none of BANDS bands of ROWS minima with probability (1 - s**ROWS)**BANDS: 7e-5 at 0.8.
 BANDS, ROWS = 24, 5
-#: Rows of one band are linked to so many of their nearest by SimHash bits, looked for among so many neighbours in fingerprint order.
+#: Rows of one band are first compared with so many of their nearest by SimHash bits, looked for among so many neighbours
+#: in fingerprint order. Where a band has more rows, and they aren't all connected then, all are compared (``rest_links``).
 NEAREST, AMONG = 8, 4096
+#: Rows of a band that one task compares with each other, or with so many others.
+ROWS_AT_ONCE = 1_000
 #: Candidates' row ids are broadcast up to this many (of 8 bytes).
 BROADCAST_ROWS = 500_000
 _draw = np.random.default_rng(42)
@@ -73,7 +78,7 @@ def _links(rid: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
 
 
 def candidates(groups: DataFrame) -> DataFrame:
-    """(a, b), a < b, each once: links between rows (rid, bits, bands) that share a band."""
+    """(a, b), a < b: links between rows (rid, bits, bands) that share a band."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.empty(0, np.int64)] * 3
@@ -89,7 +94,7 @@ def candidates(groups: DataFrame) -> DataFrame:
 
     importable(groups.sparkSession)
     rows = groups.select(F.explode("bands").alias("band"), "rid", "bits").repartition("band").sortWithinPartitions("band")
-    return rows.mapInArrow(compare, "a long, b long").where("a < b").distinct()
+    return rows.mapInArrow(compare, "a long, b long").where("a < b")
 
 
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -119,6 +124,102 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -
     return both.mapInArrow(run, "a long, b long")
 
 
+def anchored(groups: DataFrame) -> DataFrame:
+    """(a, b), a < b: links between rows (rid, bits) whose fingerprints are equal or that the anchors connect."""
+    own = written(groups.groupBy("bits").agg(F.min("rid").alias("least")))
+    near = near_links(own.select(F.col("bits").alias("fp")))
+    x, y = own.toDF("a", "x"), own.toDF("b", "y")
+    apart = near.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = groups.join(own, "bits").where("rid != least").select(F.col("least").alias("a"), F.col("rid").alias("b"))
+    return apart.union(same)
+
+
+def _by_prefix(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets of different roots (and sides, unless all have one) of at least this similarity.
+
+    Elements are ordered by rarity. Sets that are similar enough share one of the first ``len - similarity * len + 1``
+    of them, and have sizes that are as similar; these pairs alone are looked at, and each exactly.
+    """
+    size = np.array([len(x) for x in sets])
+    every, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    order = np.lexsort((code, often[code], row))
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    first = place < np.repeat(size - np.ceil(similarity * size - 1e-9) + 1, size)
+    code, row = code[order][first], row[order][first]
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    edges = np.flatnonzero(np.r_[True, code[1:] != code[:-1], True])
+    seen: set[tuple[int, int]] = set()
+    one_side = side.min() == side.max()
+    found_a, found_b = [], []
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        if j - i < 2 or root[row[i:j]].min() == root[row[i:j]].max():
+            continue
+        for k in range(i, j - 1):
+            x, ys = row[k], row[k + 1 : j]
+            ok = (root[ys] != root[x]) & (np.minimum(size[ys], size[x]) >= similarity * np.maximum(size[ys], size[x]) - 1e-9)
+            if not one_side:
+                ok &= side[ys] != side[x]
+            for y in ys[ok].tolist():
+                if (x, y) in seen:
+                    continue
+                seen.add((x, y))
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both >= similarity * (size[x] + size[y] - both) - 1e-9:
+                    found_a.append(x)
+                    found_b.append(y)
+                    root = np.where(root == root[y], root[x], root)
+    return np.array(found_a, np.int64), np.array(found_b, np.int64)
+
+
+def rest_links(groups: DataFrame, roots: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): the links that ``candidates`` may have left out, so that components come out whole.
+
+    A band of up to NEAREST + 1 rows has had all its pairs compared, and one of a single component needs no more. For the
+    others, the sets of shingles themselves are dealt by band, in pairs of parts of about ROWS_AT_ONCE rows if there are
+    more, and compared inside tasks: no pairs are emitted but a spanning forest of links.
+    """
+    slim = groups.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("root"), F.explode("bands").alias("band"))
+    dense = slim.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
+    dense = dense.where((F.col("n") > NEAREST + 1) & (F.col("x") < F.col("y"))).select("band", F.ceil(F.col("n") / ROWS_AT_ONCE).alias("parts"))
+    places = written(slim.join(hinted(written(dense), BROADCAST_ROWS), "band"))
+    if not places.limit(1).count():
+        return places.select(F.col("rid").alias("a"), F.col("rid").alias("b"))
+    part = F.pmod(F.xxhash64("rid"), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    dealt = places.withColumn("part", part).withColumn("other", other)
+    key = F.xxhash64("band", F.least("part", "other"), F.greatest("part", "other")).alias("key")
+    dealt = dealt.groupBy("rid", "root").agg(F.collect_set(F.struct(key, (F.col("part") > F.col("other")).alias("side"))).alias("keys"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                yield pa.record_batch([*part.columns[:3], pa.array([np.unique(shingles(part.column(3)[0].as_py(), words)).tobytes()], pa.binary())], ["rid", "root", "keys", "elements"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+        for batch in _and_end(batches):
+            rows = [] if batch is None else list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for row in [*rows, None] if batch is None else rows:
+                if kept and (row is None or row[0] != kept[0][0]):
+                    _, rid, root, side, raw = zip(*kept, strict=True)
+                    a, b = _by_prefix([np.frombuffer(x, np.uint64) for x in raw], np.array(root), np.array(side), similarity)
+                    a, b = forest(np.array(rid)[a], np.array(rid)[b]) if len(a) else (a, b)
+                    yield pa.record_batch([np.minimum(a, b), np.maximum(a, b)], ["a", "b"])
+                    kept = []
+                if row is not None:
+                    kept.append(row)
+
+    importable(groups.sparkSession)
+    own = dealt.join(texts.select("rid", F.col("text").cast("binary").alias("text")), "rid").select("rid", "root", "keys", "text")
+    keys = "keys array<struct<key:bigint,side:boolean>>"
+    made = own.mapInArrow(sets, f"rid long, root long, {keys}, elements binary").select(F.explode("keys").alias("k"), "rid", "root", "elements")
+    made = made.select("k.key", "rid", "root", "k.side", "elements").repartition("key").sortWithinPartitions("key")
+    return made.mapInArrow(compare, "a long, b long")
+
+
 def kept_rows(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(rid): of ``rows`` (rid, doc_id, text; rid each once) one of each group of near copies, that of least doc_id.
 
@@ -141,7 +242,11 @@ def kept_rows(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataF
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     groups = signed.groupBy("k1", "k2").agg(F.min(best).alias("best"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     groups = written(groups.select(F.col("best.rid").alias("rid"), "best", "bits", "bands"))
-    links = written(similar(written(candidates(groups)), rows, words, similarity))
+    pairs = written(candidates(groups).union(anchored(groups)).distinct())
+    links = written(similar(pairs, rows, words, similarity))
     roots = written(connected_components(links, "a", "b"))
+    more = written(rest_links(groups, roots, rows, words, similarity))
+    if more.limit(1).count():
+        roots = written(connected_components(links.union(more), "a", "b"))
     of = groups.select("rid", "best").join(roots.withColumnRenamed("node", "rid"), "rid", "left")
     return of.groupBy(F.coalesce("root", "rid").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))

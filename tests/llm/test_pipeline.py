@@ -2,9 +2,11 @@
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 import pytest
 
+from locusframe.llm import nearcopies
 from tests.llm.test_operators import brute_components, brute_fingerprint, brute_windows
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -72,3 +74,28 @@ def test_rows_without_an_own_id_stay(spark, tmp_path):
     left = [(5, "clean text"), (5, f"here is {item}"), (None, "clean too"), (None, item)]
     out = [r["text"] for r in corpus_pipeline.without_benchmark(spark, _docs(spark, left), str(tmp_path)).collect()]
     assert sorted(out) == ["clean text", "clean too"]
+
+
+def test_dense_bands_lose_no_link(spark, monkeypatch):
+    """A passage that many unlike texts share fills bands; pairs among them beyond each row's nearest are still found."""
+    monkeypatch.setattr(nearcopies, "NEAREST", 0)
+    monkeypatch.setattr(nearcopies, "ROWS_AT_ONCE", 25)
+    rng = np.random.default_rng(4)
+    word = lambda *x: hashlib.md5(repr(x).encode()).hexdigest()[:6]
+    shared = [word("s", i) for i in range(60)]
+    texts = []
+    for i in range(60):  # pairs of near copies; different pairs are at about 0.5
+        own = [word(i, j) for j in range(28)]
+        texts += [shared + own, shared + own[:-3] + [word(i, "x", k) for k in range(3)]]
+    texts = [" ".join(t) for t in texts]
+    order = rng.permutation(len(texts))
+    docs = _docs(spark, [(int(i), texts[i]) for i in order])
+    sets = [set(nearcopies.shingles(t.encode(), 5).tolist()) for t in texts]
+    near = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    assert sum(map(sum, near)) == 240
+    rows = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    groups = [(i, nearcopies.signature(nearcopies.shingles(t.encode(), 5))[3]) for i, t in enumerate(texts)]
+    none = spark.createDataFrame([], "node long, root long")
+    links = nearcopies.rest_links(spark.createDataFrame(groups, "rid long, bands array<long>"), none, rows, 5, 0.8)
+    assert sorted({tuple(r) for r in links.collect()}) == [(i, i + 1) for i in range(0, 120, 2)]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()) == list(range(0, 120, 2))
