@@ -56,7 +56,7 @@ def sampled(df: DataFrame, wanted: int, of: int, salt: str, *key: str) -> DataFr
     return some.orderBy(F.xxhash64(*key, F.lit(salt)), *key).limit(wanted)
 
 
-def in_parts(batch: pa.RecordBatch, text: int, most_bytes: int = 2 << 20, most_rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+def in_parts(batch: pa.RecordBatch, text: int, most_bytes: int = 8 << 20, most_rows: int = 4_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts (column ``text``) have ``most_bytes`` together, or of a single longer one."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     i = 0

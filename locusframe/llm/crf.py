@@ -5,13 +5,12 @@ It runs inside Spark's tasks (marginals of a batch of texts) and on bounded samp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-#: Cells of one padded block; bounds the memory of a task.
-CELLS = 500_000
+#: Steps between two scalings to a sum of 1; each step's largest factors are 1, so little is lost in between.
+RESCALE = 8
 
 
 @dataclass
@@ -48,58 +47,53 @@ class Dense:
         return self.values.T @ rows
 
 
-def _blocks(lengths: np.ndarray, n_labels: int) -> Iterator[np.ndarray]:
-    """Sequences of about equal length, not more than CELLS padded cells at a time (or a single sequence)."""
-    order = np.argsort(lengths, kind="stable")
-    order = order[lengths[order] > 0]
-    i = 0
-    while i < len(order):
-        j = i + 1
-        # the longest of a block is its last
-        while j < len(order) and lengths[order[j]] * (j + 1 - i) * n_labels <= CELLS and lengths[order[j]] <= 1.3 * lengths[order[i]] + 8:
-            j += 1
-        yield order[i:j]
-        i = j
-
-
 def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, expected: np.ndarray | None = None) -> np.ndarray:
     """Label marginals for the rows of ``scores`` (sequences one after another, as long as ``lengths`` says).
 
     ``moves`` are the log weights of transitions. ``expected``, if given, gets the expected transition counts added.
+    All sequences go forward and backward together, the longest first: at step t the first ones are those that last so
+    long. Rows are held by step, without padding.
     """
     out = np.empty_like(scores)
+    longest = int(lengths.max(initial=0))
+    if not longest:
+        return out
+    order = np.argsort(-lengths, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    active = len(order) - np.searchsorted(lengths[order][::-1], np.arange(longest), side="right")
+    first = np.cumsum(active) - active
     starts = np.cumsum(lengths) - lengths
+    step_of = np.arange(len(scores)) - np.repeat(starts, lengths)
+    at = first[step_of] + np.repeat(rank, lengths)
+    emit = np.empty_like(scores, float)
+    emit[at] = np.exp(scores - scores.max(axis=1, keepdims=True))
     step = np.exp(moves - moves.max())
-    for ids in _blocks(lengths, scores.shape[1]):
-        n, longest = len(ids), int(lengths[ids[-1]])
-        inside = np.arange(longest)[:, None] < lengths[ids]
-        at = (starts[ids] + np.arange(longest)[:, None])[inside]
-        own = scores[at]
-        emit = np.ones((longest, n, scores.shape[1]))
-        emit[inside] = np.exp(own - own.max(axis=1, keepdims=True))
-        forward, backward = np.empty_like(emit), np.ones_like(emit)
-        a = emit[0] / emit[0].sum(axis=1, keepdims=True)
-        forward[0] = a
-        for t in range(1, longest):
-            a = (a @ step) * emit[t]
-            a /= a.sum(axis=1, keepdims=True)
-            forward[t] = a
-        b = backward[-1]
-        for t in range(longest - 2, -1, -1):
-            b = (emit[t + 1] * b) @ step.T
-            b /= b.sum(axis=1, keepdims=True)
-            if not inside[t + 1, 0]:  # only near the end of shorter sequences
-                b[~inside[t + 1]] = 1.0
-            backward[t] = b
-        both = forward * backward
-        both /= both.sum(axis=2, keepdims=True)
-        out[at] = both[inside]
-        if expected is not None and longest > 1:
-            ahead = emit[1:] * backward[1:]
-            whole = np.einsum("tni,ij,tnj->tn", forward[:-1], step, ahead)
-            ahead /= whole[:, :, None]
-            ahead[~inside[1:]] = 0
-            expected += np.einsum("tni,tnj->ij", forward[:-1], ahead) * step
+    one = np.ones(scores.shape[1])
+    forward, backward = np.empty_like(emit), np.ones_like(emit)
+    bounds = [*first.tolist(), len(emit)]
+    a = forward[: bounds[1]] = emit[: bounds[1]]
+    for t in range(1, longest):
+        i, j = bounds[t], bounds[t + 1]
+        a = (a[: j - i] @ step) * emit[i:j]
+        if not t % RESCALE:
+            a /= (a @ one)[:, None]
+        forward[i:j] = a
+    b = backward[bounds[-2] :]
+    for t in range(longest - 2, -1, -1):
+        i, j, k = bounds[t], bounds[t + 1], bounds[t + 2]
+        b = (emit[j:k] * b) @ step.T
+        if not t % RESCALE:
+            b /= (b @ one)[:, None]
+        backward[i : i + k - j] = b
+        b = backward[i:j]
+    both = forward * backward
+    out[:] = (both / (both @ one)[:, None])[at]
+    if expected is not None:
+        now = np.flatnonzero(step_of + 1 < np.repeat(lengths, lengths))
+        before, ahead = forward[at[now]], (emit * backward)[at[now + 1]]
+        whole = ((before @ step) * ahead) @ one
+        expected += ((before / whole[:, None]).T @ ahead) * step
     return out
 
 

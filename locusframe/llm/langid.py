@@ -30,7 +30,7 @@ KEPT_WORDS = 300_000
 def words_of(text: str | None) -> list[str]:
     """Runs of letters (``str.isalpha``), in lower case."""
     found = LETTERS.findall(text.lower()) if text else []
-    if all(map(str.isalpha, found)):
+    if not found or "".join(found).isalpha():
         return found
     # Numbers that are no decimal digits, such as fractions, are word characters but no letters.
     return [w for x in found for w in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
