@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def parse(attrs: Column) -> Column:
-    """A map from ``k=v;`` or ``k "v";`` (or a mixture); of a repeated key the last value holds."""
-    parts = F.filter(F.transform(F.split(attrs, ";"), lambda x: F.trim(x)), lambda x: x != "")
+def _parts(attrs: Column) -> Column:
+    return F.filter(F.transform(F.split(attrs, ";"), lambda x: F.trim(x)), lambda x: x != "")
+
 
-    def entry(x: Column) -> Column:
-        gff = x.contains("=") & ~F.substring_index(x, "=", 1).contains(" ")
-        key = F.when(gff, F.substring_index(x, "=", 1)).otherwise(F.substring_index(x, " ", 1))
-        value = F.when(gff, F.substring(x, F.length(key) + 2, F.length(x))).otherwise(F.trim(F.substring(x, F.length(key) + 2, F.length(x)), F.lit('" ')))
-        return F.struct(key.alias("key"), value.alias("value"))
+def _entry(x: Column) -> Column:
+    gff = x.contains("=") & ~F.substring_index(x, "=", 1).contains(" ")
+    key = F.when(gff, F.substring_index(x, "=", 1)).otherwise(F.substring_index(x, " ", 1))
+    value = F.when(gff, F.substring(x, F.length(key) + 2, F.length(x))).otherwise(F.trim(F.substring(x, F.length(key) + 2, F.length(x)), F.lit('" ')))
+    return F.struct(key.alias("key"), value.alias("value"))
 
-    entries = F.transform(parts, entry)
+
+def parse(attrs: Column) -> Column:
+    """A map from ``k=v;`` or ``k "v";`` (or a mixture); of a repeated key the last value holds."""
+    entries = F.transform(_parts(attrs), _entry)
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
     return F.map_from_entries(last)
 
@@ -33,3 +38,19 @@ def format_gtf(attributes: Column) -> Column:
     order = lambda k: F.when(k == "gene_id", "0").when(k == "transcript_id", "1").otherwise(F.concat(F.lit("2"), k))
     rows = F.array_sort(F.transform(F.map_entries(attributes), lambda e: F.struct(order(e["key"]).alias("o"), F.concat(e["key"], F.lit(' "'), e["value"], F.lit('";')).alias("s"))))
     return F.array_join(F.transform(rows, lambda r: r["s"]), " ")
+
+
+def format_pairs(pairs: Sequence[tuple[str, Column]]) -> Column:
+    """``k=v;k=v`` in the order given."""
+    return F.concat_ws(";", *(F.concat(F.lit(f"{k}="), v) for k, v in pairs))
+
+
+def parse_pairs(attrs: Column) -> Column:
+    """An array of (key, value) of ``k=v;`` or ``k "v";`` attributes in their order; repeated keys stay."""
+    return F.transform(_parts(attrs), _entry)
+
+
+def format_ordered(pairs: Column, gtf: bool = False) -> Column:
+    """What ``parse_pairs`` gives as text, in its order."""
+    middle, end, between = (' "', '";', " ") if gtf else ("=", "", ";")
+    return F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(middle), e["value"], F.lit(end))), between)

@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.functions.sequence import revcomp
+from locusframe.functions.sequence import on_strand, revcomp, stop_check, translate_cds
 from locusframe.operators.intervals import running
-from locusframe.session import fresh_path
+from locusframe.session import stored
+
+#: Positions of a tile that features are joined to.
+TILE = 1 << 12
+
+
+def _windows(sequence: Column, size: int, step: int) -> Column:
+    """An array of stretches of up to ``size``, one every ``step`` positions, in one pass over the sequence."""
+    return F.regexp_extract_all(sequence, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1))
 
 
 def chunks(sequences: DataFrame, size: int, overlap: int = 0, pad: bool = True) -> DataFrame:
@@ -19,11 +28,12 @@ def chunks(sequences: DataFrame, size: int, overlap: int = 0, pad: bool = True)
     Minus tiles hold the reverse complement of the plus tile, and are numbered backwards.
     """
     step = size - overlap
-    n = F.greatest(F.lit(1), F.ceil((F.length("sequence") - overlap) / step)) if pad else F.floor((F.length("sequence") - overlap) / step)
-    rows = sequences.withColumn("n", n.cast("long")).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    at = F.col("i") * step
-    cut = F.rpad(F.expr(f"substring(sequence, cast(i * {step} as int) + 1, {size})"), size, "N")
-    tiles = rows.select("seq_name", "n", "i", (at + 1).alias("start"), F.least(at + size, F.length("sequence")).alias("stop"), cut.alias("sequence"))
+    length = F.length("sequence").cast("long")
+    n = F.greatest(F.lit(1), F.ceil((length - overlap) / step)) if pad else F.floor((length - overlap) / step)
+    cuts = F.when(length > 0, _windows(F.col("sequence"), size, step)).otherwise(F.array(F.lit("")))
+    rows = sequences.select("seq_name", length.alias("length"), n.cast("long").alias("n"), F.posexplode(cuts).alias("i", "cut")).where("i < n")
+    at = F.col("i").cast("long") * step
+    tiles = rows.select("seq_name", "n", "i", (at + 1).alias("start"), F.least(at + size, F.col("length")).alias("stop"), F.rpad("cut", size, "N").alias("sequence"))
     both = tiles.withColumn("strand", F.explode(F.array(F.lit("-"), F.lit("+"))))
     minus = F.col("strand") == "-"
     return both.select(
@@ -32,10 +42,58 @@ def chunks(sequences: DataFrame, size: int, overlap: int = 0, pad: bool = True)
     )
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    path = fresh_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def sequence_tiles(sequences: DataFrame, extra: int = 0, size: int = TILE) -> DataFrame:
+    """(seqid, tile, tile_sequence): the positions from tile * size + 1 on, with ``extra`` of the next tile.
+
+    Features are joined to tiles, not to whole sequences, so a long sequence isn't copied to each of its features.
+    """
+    cuts = F.posexplode(_windows(F.col("sequence"), size + extra, size)).alias("tile", "tile_sequence")
+    return sequences.select(F.col("seq_name").alias("seqid"), cuts).withColumn("tile", F.col("tile").cast("long"))
+
+
+def with_bases(rows: DataFrame, tiles: DataFrame, at: Column, n: int, out: str, size: int = TILE) -> DataFrame:
+    """Adds the ``n`` bases from position ``at`` of each row's seqid; rows of unknown sequences or places are left out.
+
+    ``tiles`` must overlap by at least ``n`` - 1.
+    """
+    placed = rows.withColumn("_at", at).where("_at > 0").withColumn("tile", F.floor((F.col("_at") - 1) / size))
+    found = placed.join(tiles, ["seqid", "tile"])
+    return found.withColumn(out, F.substring("tile_sequence", (F.col("_at") - F.col("tile") * size).cast("int"), F.lit(n))).drop("_at", "tile", "tile_sequence")
+
+
+def spliced(cds: DataFrame, sequences: DataFrame, size: int = TILE) -> DataFrame:
+    """(seqid, strand, tx_id, sequence): the features of each transcript cut out of the genome and joined in reading order.
+
+    What lies beyond a sequence's end is left out; a transcript of an unknown sequence has a null one.
+    """
+    tile = F.explode(F.sequence(F.floor((F.col("start") - 1) / size), F.floor((F.col("stop") - 1) / size)))
+    cut = cds.select("seqid", "strand", "tx_id", "start", "stop", tile.alias("tile")).join(sequence_tiles(sequences, 0, size), ["seqid", "tile"], "left")
+    low = F.greatest("start", F.col("tile") * size + 1)
+    n = F.least("stop", (F.col("tile") + 1) * size) - low + 1
+    piece = F.substring("tile_sequence", (low - F.col("tile") * size).cast("int"), n.cast("int"))
+    parts = F.sort_array(F.collect_list(F.struct(low.alias("low"), F.col("stop"), piece.alias("piece"))))
+    whole = cut.groupBy("seqid", "strand", "tx_id").agg(parts.alias("parts"), F.max("tile_sequence").isNotNull().alias("known"))
+    joined = F.array_join(F.transform("parts", lambda p: p["piece"]), "")
+    return whole.select("seqid", "strand", "tx_id", F.when(F.col("known"), on_strand(joined, F.col("strand"))).alias("sequence"))
+
+
+def stop_report(cds: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Stop codons of each transcript's spliced coding sequence: one row a transcript, as ``stop_check`` has them, and the
+    first inner stop codon. One of an unknown sequence has length 0 and no codons."""
+    rows = spliced(cds, sequences).withColumn("sequence", F.coalesce("sequence", F.lit("")))
+    facts = rows.withColumn("x", stop_check(F.col("sequence")))
+    codon = F.when(F.col("x.first_internal") > 0, F.upper(F.substring("sequence", F.col("x.first_internal").cast("int"), F.lit(3)))).otherwise("NA")
+    return facts.select("seqid", "strand", "tx_id", "x.*", codon.alias("first_codon"))
+
+
+def passing(report: DataFrame) -> DataFrame:
+    """Of a ``stop_report`` the transcripts in frame, with a stop codon at the end and none before it."""
+    return report.where("in_frame and valid_stop and internal = 0")
+
+
+def proteins(cds: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(tx_id, sequence): the peptides of all transcripts of known sequences."""
+    return spliced(cds, sequences).where("sequence is not null").select("seqid", "strand", "tx_id", translate_cds(F.col("sequence")).alias("sequence"))
 
 
 def greedy_groups(sequences: DataFrame, least: int, most: int) -> DataFrame:
@@ -46,8 +104,8 @@ def greedy_groups(sequences: DataFrame, least: int, most: int) -> DataFrame:
     """
     order = ["seq_ord", "seq_name", "n"]
     lengths = sequences.select("seq_ord", "seq_name", F.length("sequence").cast("long").alias("n"))
-    ranged = _stored(lengths.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
-    sums = _stored(running(ranged, [], order, "range", F.coalesce("n", F.lit(0)), "upto", "sum", 1))
+    ranged = stored(lengths.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    sums = stored(running(ranged, [], order, "range", F.coalesce("n", F.lit(0)), "upto", "sum", 1))
     ends: list[int] = []
     if (sums.agg(F.max("upto")).first()[0] or 0) > least:
         while len(ends) < most - 1:
@@ -63,7 +121,15 @@ def greedy_groups(sequences: DataFrame, least: int, most: int) -> DataFrame:
 def near_sqrt_divisor(n: int) -> int:
     """The divisor of n that is nearest to its square root; of two as near, the smaller."""
     root = math.sqrt(n)
-    return min((d for d in range(1, n + 1) if n % d == 0), key=lambda d: (abs(d - root), d))
+    low = next(d for d in range(math.isqrt(n), 0, -1) if n % d == 0)
+    return min((low, n // low), key=lambda d: (abs(d - root), d))
+
+
+def nearest_divisor(n: Column) -> Column:
+    """``near_sqrt_divisor`` of a column of positive numbers."""
+    up_to = F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt(n)))
+    low = F.array_max(F.filter(up_to, lambda d: n % d == 0))
+    return F.when(F.sqrt(n) - low <= n / low - F.sqrt(n), low).otherwise(F.floor(n / low))
 
 
 def adapted_chunk(longest: int, size: int, factor: int) -> int:
@@ -72,9 +138,43 @@ def adapted_chunk(longest: int, size: int, factor: int) -> int:
     return size if longest >= size else max(unit, -(-longest // unit) * unit)
 
 
+def adapted_chunks(longest: Column, size: int, factor: int) -> Column:
+    """``adapted_chunk`` of a column."""
+    unit = math.lcm(18, factor)
+    return F.when(longest >= size, F.lit(size).cast("long")).otherwise(F.greatest(F.lit(unit).cast("long"), F.ceil(longest / unit) * unit))
+
+
+def divides(chunk: int) -> None:
+    """Fails unless a chunk size divides by 9 and by 2, as decoding in parallel stretches needs."""
+    if chunk % 9 or chunk % 2:
+        raise ValueError(f"the chunk size {chunk} must divide by 9 and 2")
+
+
 def with_shard(rows: DataFrame, k: int, *order: str) -> DataFrame:
-    """Adds shard: every k-th row by a hash of the order columns, which spreads neighbours."""
-    return rows.withColumn("shard", F.pmod(F.crc32(F.concat_ws("|", *order).cast("binary")), F.lit(k)))
+    """Adds shard: of the rows in an order by the md5 of the order columns, which mixes neighbours, every k-th one.
+
+    Counts of shards differ by one at most. Running numbers come from ranges of that order.
+    """
+    mixed = rows.withColumn("_mixed", F.md5(F.concat_ws("|", *order))).repartitionByRange("_mixed").withColumn("_range", F.spark_partition_id())
+    numbered = running(mixed, [], ["_range", "_mixed", *order], "_range", F.lit(1).cast("long"), "_n", "sum", 1)
+    return numbered.withColumn("shard", F.pmod(F.col("_n") - 1, F.lit(k))).drop("_mixed", "_range", "_n")
+
+
+def chunk_index(seqid: Column, start: Column, offsets: Mapping[str, int], size: int) -> Column:
+    """The number of the tile of a coordinate; ``offsets`` has the number of each sequence's first tile."""
+    table = F.create_map(*(F.lit(x) for pair in offsets.items() for x in pair))
+    return F.try_element_at(table, seqid) + F.floor(start / size)
+
+
+def length_check(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """One row: how many examples there are (n), and how many are not ``n`` long (short)."""
+    wrong = F.coalesce(F.length(column) != n, F.lit(True))
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(wrong.cast("long")), F.lit(0)).alias("short"))
+
+
+def clipped_log(x: Column, low: float = -30.0) -> Column:
+    """ln(x) between ``low`` and 0; ``low`` where x is 0 or less."""
+    return F.when(x > 0, F.greatest(F.lit(low), F.least(F.lit(0.0), F.ln(x)))).otherwise(F.lit(low))
 
 
 def lifted(features: DataFrame, exons: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STOPS = ("TAA", "TAG", "TGA")
+STARTS = ("ATG", "TTG", "GTG", "CTG")
 #: The standard genetic code (fixed values), by codon in TCAG order.
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 CODONS = {"".join(c): a for c, a in zip(product("TCAG", repeat=3), CODE, strict=True)}
@@ -25,26 +27,42 @@ def on_strand(seq: Column, strand: Column) -> Column:
 def codons(seq: Column) -> Column:
     """The whole codons of a sequence, in upper case."""
     # One pass; a lambda over positions would compute ``seq`` anew for each codon where a filter is pushed down.
-    return F.transform(F.regexp_extract_all(seq, F.lit("(?s).{3}"), F.lit(0)), F.upper)
+    return F.regexp_extract_all(F.upper(seq), F.lit("(?s).{3}"), F.lit(0))
 
 
-def stop_check(seq: Column) -> dict[str, Column]:
-    """Length, whether it is whole codons, the last codon, and stop codons before it."""
-    c = codons(seq)
-    inner = F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))
-    stops = F.filter(inner, lambda x: x.isin(*STOPS))
-    first = F.array_min(F.transform(F.array(*map(F.lit, STOPS)), lambda s: F.nullif(F.array_position(inner, s), F.lit(0).cast("long"))))
-    last = F.when(F.size(c) > 0, F.element_at(c, -1)).otherwise("NA")
-    return {
-        "n": F.length(seq).cast("long"), "in_frame": F.length(seq) % 3 == 0, "last": last, "valid_stop": last.isin(*STOPS),
-        "internal": F.size(stops).cast("long"), "first_internal": F.coalesce(first, F.lit(0).cast("long")),
-    }
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def stop_check(seq: Column) -> Column:
+    """A struct: length n, whether it is whole codons, the last three bases, and in-frame stop codons before them.
+
+    ``first_internal`` is the first such stop's place (of its first base, from 1), 0 if there is none. Sequences that
+    aren't whole codons have no valid and no internal stop.
+    """
+
+    def facts(x: Column) -> Column:
+        seq, c = x["seq"], x["codons"]
+        n = F.length(seq)
+        in_frame = (n % 3 == 0) & (n >= 3)
+        inner = F.when(in_frame, F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+        last = F.when(n >= 3, F.right(seq, F.lit(3))).otherwise("NA")
+        places = F.filter(F.transform(inner, lambda c, i: F.when(c.isin(*STOPS), 3 * i + 1)), lambda i: i.isNotNull())
+        return bound(places, lambda p: F.struct(
+            n.cast("long").alias("n"), in_frame.alias("in_frame"), last.alias("last"), (in_frame & last.isin(*STOPS)).alias("valid_stop"),
+            F.size(p).cast("long").alias("internal"), F.coalesce(F.get(p, F.lit(0)), F.lit(0)).cast("long").alias("first_internal"),
+        ))
+
+    return bound(bound(F.upper(seq), lambda s: F.struct(s.alias("seq"), codons(s).alias("codons"))), facts)
 
 
 def translate_cds(seq: Column) -> Column:
     """The peptide of a coding sequence; X for codons with other letters."""
-    table = F.create_map(*(F.lit(x) for pair in CODONS.items() for x in pair))
-    return F.array_join(F.transform(codons(seq), lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
+    # A codon's place in a text of all codons gives its amino acid; 0, if it isn't there, is X.
+    table, letters = F.lit(" ".join(CODONS)), F.lit("X" + CODE)
+    amino = lambda c: F.substring(letters, F.floor((F.instr(table, c) + 3) / 4).cast("int") + 1, F.lit(1))
+    return F.array_join(F.transform(codons(seq), amino), "")
 
 
 def base_rows(seq: Column) -> Column:

@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.functions import genome
+from locusframe.operators.intervals import merged
 from locusframe.session import importable
 
 
 def viterbi(scores: np.ndarray, moves: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """The best path for log scores [length, states], log transitions and log start weights."""
-    back = np.empty(scores.shape, np.int64)
-    best = start + scores[0]
-    for t in range(1, len(scores)):
-        each = best[:, None] + moves
-        back[t] = each.argmax(axis=0)
-        best = each.max(axis=0) + scores[t]
-    path = np.empty(len(scores), np.int64)
-    path[-1] = best.argmax()
-    for t in range(len(scores) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
+    """The best paths for log scores [chunks, length, states] (or one of [length, states]), log transitions and log
+    start weights; a step takes all chunks at once."""
+    if scores.ndim == 2:
+        return viterbi(scores[None], moves, start)[0]
+    n, length, states = scores.shape
+    back = np.empty((length, n, states), np.int16)
+    best = start + scores[:, 0]
+    for t in range(1, length):
+        each = best[:, :, None] + moves
+        back[t] = each.argmax(axis=1)
+        best = each.max(axis=1) + scores[:, t]
+    path = np.empty((n, length), np.int64)
+    path[:, -1] = best.argmax(axis=1)
+    for t in range(length - 1, 0, -1):
+        path[:, t - 1] = back[t, np.arange(n), path[:, t]]
     return path
 
 
@@ -37,22 +43,75 @@ def stay_or_leave(lengths: list[float], allowed: np.ndarray) -> np.ndarray:
     return out
 
 
-def decoded(chunks: DataFrame, scorer: Callable[[str], np.ndarray], moves: np.ndarray, start: np.ndarray) -> DataFrame:
-    """Adds labels (an array) to chunks with column sequence: ``scorer`` gives log scores, Viterbi the path."""
+def decoded(chunks: DataFrame, scorer: Callable[[list[str]], np.ndarray], moves: np.ndarray, start: np.ndarray, cells: int = 4_000_000) -> DataFrame:
+    """Adds labels (an array) to chunks with column sequence: ``scorer`` gives log scores [n, length, states] for ``n``
+    sequences of one length, Viterbi the paths. So many chunks are decoded at a time as have ``cells`` scores."""
     importable(chunks.sparkSession)
     names = chunks.columns
     kinds = dict(chunks.dtypes)
+    states = len(start)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.assign(labels=[viterbi(scorer(s), moves, start).tolist() if s else [] for s in part["sequence"]])
+            sequences = part["sequence"].fillna("").tolist()
+            labels: list[list[int]] = [[] for _ in sequences]
+            for length, rows in pd.Series(range(len(sequences))).groupby([len(s) for s in sequences]):
+                most = max(1, cells // max(1, length * states))
+                for i in range(0, len(rows) if length else 0, most):
+                    at = rows.to_numpy()[i : i + most]
+                    for k, path in zip(at, viterbi(scorer([sequences[j] for j in at]), moves, start), strict=True):
+                        labels[k] = path.tolist()
+            yield part.assign(labels=labels)
 
     return chunks.mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", labels array<int>")
 
 
 def label_runs(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, label, start, stop): maximal runs of one label over rows (keys, pos, label)."""
-    order = Window.partitionBy(*keys).orderBy("pos")
-    new = F.when((F.lag("label").over(order) == F.col("label")) & (F.lag("pos").over(order) == F.col("pos") - 1), 0).otherwise(1)
-    runs = labels.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*keys, "run", "label").agg(F.min("pos").alias("start"), F.max("pos").alias("stop")).drop("run")
+    """(keys, label, start, stop): maximal runs of one label over rows (keys, pos, label), each position once."""
+    return merged(labels.select(*keys, "label", F.col("pos").alias("start"), F.col("pos").alias("stop")), [*keys, "label"])
+
+
+def genome_runs(
+    sequences: DataFrame, size: int, overlap: int, scorer: Callable[[list[str]], np.ndarray], moves: np.ndarray, start: np.ndarray
+) -> DataFrame:
+    """(seq_name, strand, label, start, stop): maximal runs of labels on both strands of whole sequences.
+
+    Overlapping tiles of both strands are scored and decoded; labels of the minus strand are turned back to plus
+    positions. Of a stretch that two tiles share each gives the half that is nearer to its own middle. Runs are made
+    within tiles, then joined across their borders.
+    """
+    rows = decoded(genome.chunks(sequences, size, overlap), scorer, moves, start)
+    rows = rows.withColumn("labels", F.when(F.col("strand") == "-", F.reverse("labels")).otherwise(F.col("labels")))
+    half = overlap // 2
+    lengths = sequences.select("seq_name", F.length("sequence").cast("long").alias("n"))
+    low = F.when(F.col("start") == 1, F.col("start")).otherwise(F.col("start") + half)
+    high = F.when(F.col("stop") >= F.col("n"), F.col("n")).otherwise(F.col("stop") - (overlap - half))
+    each = rows.join(lengths, "seq_name").withColumns({"low": low, "high": high}).where("low <= high")
+    own = F.slice("labels", (F.col("low") - F.col("start") + 1).cast("int"), (F.col("high") - F.col("low") + 1).cast("int"))
+    each = each.select("seq_name", "strand", "low", "high", own.alias("own"))
+    # Where a label differs from the one before begins a run; it lasts to the next one's begin.
+    begins = F.filter(F.transform("own", lambda x, i: F.when((i == 0) | (x != F.get("own", i - 1)), i)), lambda i: i.isNotNull())
+    each = each.withColumn("begins", begins)
+    runs = F.transform("begins", lambda i, k: F.struct(
+        F.get("own", i).alias("label"), (F.col("low") + i).alias("start"), F.coalesce(F.col("low") + F.get("begins", k + 1) - 1, "high").alias("stop")
+    ))
+    return merged(each.select("seq_name", "strand", F.explode(runs).alias("r")).select("seq_name", "strand", "r.*"), ["seq_name", "strand", "label"])
+
+
+def annotated(runs: DataFrame, coding: Sequence[int]) -> DataFrame:
+    """(seq_name, strand, start, stop): stretches whose labels are all ``coding``: the coding parts of predicted genes."""
+    return merged(runs.where(F.col("label").isin(*coding)), ["seq_name", "strand"])
+
+
+def predicted_again(first: DataFrame, second: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """Predictions ``first`` (keys, strand, ...), but those of ``second`` for the chunks that evidence (keys, code) names:
+    on the plus strand (code 0), the minus strand (1) or both (2)."""
+    strands = F.when(F.col("code") == 0, F.array(F.lit("+"))).when(F.col("code") == 1, F.array(F.lit("-"))).when(F.col("code") == 2, F.array(F.lit("+"), F.lit("-")))
+    chosen = evidence.select(*keys, F.explode(strands).alias("strand")).distinct()
+    return first.join(chosen, [*keys, "strand"], "left_anti").unionByName(second.join(chosen, [*keys, "strand"], "left_semi"))
+
+
+def checked_features(scores: DataFrame, column: str, wanted: Sequence[int] = (5, 6)) -> DataFrame:
+    """The rows; fails where an input array's vectors have not one of the ``wanted`` numbers of features."""
+    n = F.size(F.get(column, F.lit(0)))
+    return scores.withColumn(column, F.when(n.isin(*wanted) | (F.size(column) == 0), F.col(column)).otherwise(F.raise_error(F.concat(F.lit("features: "), n))))

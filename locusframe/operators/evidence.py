@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.functions.sequence import STOPS, on_strand, splice_strand
+from locusframe.functions import genome
+from locusframe.functions.sequence import STARTS, STOPS, on_strand, splice_strand
 from locusframe.operators.transcripts import first_by
 
 
@@ -24,9 +25,13 @@ def good_hits(hits: DataFrame, evalue: float, pident: float, qcov: float) -> Dat
 
 
 def best_hits(hits: DataFrame) -> DataFrame:
-    """Of each query the hit of largest score (bits times query coverage); equal ones by subject."""
+    """Of each query the hit of largest score (bits times query coverage).
+
+    Of equal ones the first line, if there is a column line_no (as a file's reader adds it), else the least subject.
+    """
     scored = hits.withColumns({"score": F.col("bits") * query_cover(), "species": species_of(F.col("subject"))})
-    return first_by(scored, ["query"], F.col("score").desc(), F.col("subject"), F.col("qstart"), F.col("alen"))
+    ties = ["line_no"] if "line_no" in hits.columns else ["subject", "qstart", "alen"]
+    return first_by(scored, ["query"], F.col("score").desc(), *map(F.col, ties))
 
 
 def top_hits(hits: DataFrame, n: int) -> DataFrame:
@@ -43,8 +48,18 @@ def ranked_species(hits: DataFrame, evalue: float, pident: float, qcov: float, t
     return votes.withColumn("place", place.cast("long")).withColumn("mark", F.when(F.col("place") <= top, "TOP").otherwise(""))
 
 
-def supported_queries(hits: DataFrame, evalue: float, pident: float, qcov: float, tcov: float) -> DataFrame:
-    """The first strict hit of each query: both sides covered."""
+def supported_queries(
+    hits: DataFrame, evalue: float, pident: float, qcov: float, tcov: float, orfs: DataFrame | None = None, lengths: DataFrame | None = None
+) -> DataFrame:
+    """The first strict hit of each query: both sides covered.
+
+    ``lengths`` (subject, slen) gives target lengths, 0 where one is missing; a hit on a target of no length isn't strict.
+    ``orfs`` (query, header) limits the queries to complete ones that are known.
+    """
+    if lengths is not None:
+        hits = hits.drop("slen").join(lengths.select("subject", "slen"), "subject", "left").withColumn("slen", F.coalesce("slen", F.lit(0)))
+    if orfs is not None:
+        hits = hits.join(orfs.where(orf_type(F.col("header")) == "complete").select("query").distinct(), "query", "left_semi")
     strict = good_hits(hits, evalue, pident, qcov).where(F.when(F.col("slen") > 0, F.col("alen") / F.col("slen")) >= tcov)
     return first_by(strict, ["query"], F.col("bits").desc(), F.col("subject"), F.col("qstart"), F.col("alen"))
 
@@ -130,7 +145,7 @@ def intron_hints(parts: DataFrame) -> DataFrame:
 def codon_hints(cds: DataFrame, sequences: DataFrame, codons: tuple[str, ...], at: str) -> DataFrame:
     """Coding parts that begin with a start codon (``at`` "start"), or that a stop codon follows (``at`` "stop").
 
-    The hint lies on the part's first or last three bases. Sequences are joined by name; only the three bases are kept.
+    The hint lies on the part's first or last three bases, which are looked up in tiles of the sequences.
     """
     plus = F.col("strand") != "-"
     if at == "start":
@@ -139,19 +154,64 @@ def codon_hints(cds: DataFrame, sequences: DataFrame, codons: tuple[str, ...], a
     else:
         place = F.when(plus, F.col("stop") + 1).otherwise(F.col("start") - 3)
         low = F.when(plus, F.col("stop") - 2).otherwise(F.col("start"))
-    three = on_strand(F.substring(F.col("sequence"), F.col("_at").cast("int"), F.lit(3)), F.col("strand"))
-    found = cds.withColumn("_at", place).where("_at > 0").join(sequences, cds["seqid"] == sequences["seq_name"]).withColumn("codon", F.upper(three))
+    found = genome.with_bases(cds, genome.sequence_tiles(sequences, 2), place, 3, "codon").withColumn("codon", F.upper(on_strand(F.col("codon"), F.col("strand"))))
     return found.where(F.col("codon").isin(*codons)).select("seqid", "strand", "tx_id", low.alias("start"), (low + 2).alias("stop"), "codon")
 
 
+def mult_score(attrs: Column) -> Column:
+    """The number of alignments behind a hint (``mult=``), 1 unless it says."""
+    return F.coalesce(F.nullif(F.regexp_extract(attrs, r"mult=(\d+)", 1), F.lit("")).cast("long"), F.lit(1).cast("long"))
+
+
+def in_order(rows: DataFrame, start: str = "start", stop: str = "stop") -> DataFrame:
+    """Swaps the ends of reversed intervals."""
+    return rows.withColumns({start: F.least(start, stop), stop: F.greatest(start, stop)})
+
+
+def mapped_rates(alignments: DataFrame, key: str, mapped: Column, least: float = 0.0) -> DataFrame:
+    """(key, rate): percent of each key's alignments that are ``mapped``, if it is at least ``least``."""
+    rate = 100.0 * F.count(F.when(mapped, 1)) / F.count("*")
+    return alignments.groupBy(key).agg(rate.alias("rate")).where(F.col("rate") >= least)
+
+
+def mapped_percent(lines: Column) -> Column:
+    """The percentage in a report's line such as ``90 + 0 mapped (90.00% : N/A)``; null in other lines."""
+    return F.nullif(F.regexp_extract(lines, r"^\d+ \+ \d+ mapped \((\d+(?:\.\d+)?)%", 1), F.lit("")).cast("double")
+
+
+def aligned_hints(rows: DataFrame, sequences: DataFrame | None = None, source: str = "P", priority: int = 4, shrink: int = 15) -> DataFrame:
+    """Hint lines (seqid, strand, type, start, stop, score, phase, grp, attrs) from alignment features.
+
+    Features whose line has a ``*`` are left out. Ends are put in order. Coding parts give CDSpart hints; the gaps between
+    consecutive coding lines of a parent give intron hints; with ``sequences``, features of type gene give start and stop
+    hints where such codons stand at their first bases, or after their last.
+    """
+    kept = in_order(rows.where(~F.coalesce(F.col("attrs").contains("*"), F.lit(False))))
+    coding = kept.where(F.lower("type").isin("cds", "protein_match"))
+    columns = ["seqid", "strand", "tx_id", "start", "stop"]
+    parts = cds_part_hints(coding, shrink).select(*columns, F.lit("CDSpart").alias("type"), "score", "phase")
+    plain = lambda df, kind: df.select(*columns, F.lit(kind).alias("type"), F.lit("0").alias("score"), F.lit(".").alias("phase"))
+    every = parts.unionByName(plain(intron_hints(coding), "intron"))
+    if sequences is not None:
+        genes = kept.where("type = 'gene'")
+        every = every.unionByName(plain(codon_hints(genes, sequences, STARTS, "start"), "start")).unionByName(plain(codon_hints(genes, sequences, STOPS, "stop"), "stop"))
+    attrs = F.concat(F.lit(f"src={source};grp="), F.coalesce("tx_id", F.lit("")), F.lit(f";pri={priority}"))
+    return every.select("seqid", "strand", "type", "start", "stop", "score", "phase", F.col("tx_id").alias("grp"), attrs.alias("attrs"))
+
+
 def stranded_introns(introns: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Introns without a strand get it from their splice sites (both: two rows; neither: none); others stay."""
-    two = lambda at: F.substring(F.col("sequence"), at.cast("int"), F.lit(2))
-    known = introns.where(F.col("strand") != ".").select("seqid", "start", "stop", "strand")
-    open_ = introns.where("strand = '.'").join(sequences, introns["seqid"] == sequences["seq_name"])
-    open_ = open_.withColumn("s", splice_strand(two(F.col("start")), two(F.col("stop") - 1))).where("s is not null")
+    """Introns without a strand get it from their splice sites (both: two rows; neither: none); others stay.
+
+    With a column attrs, the score of each is its number of alignments.
+    """
+    extra = ["score"] if "attrs" in introns.columns else []
+    rows = introns.withColumn("score", mult_score(F.col("attrs"))) if extra else introns
+    known = rows.where(F.col("strand") != ".").select("seqid", "start", "stop", "strand", *extra)
+    tiles = genome.sequence_tiles(sequences, 1)
+    open_ = genome.with_bases(rows.where("strand = '.'"), tiles, F.col("start"), 2, "first")
+    open_ = genome.with_bases(open_, tiles, F.col("stop") - 1, 2, "last").withColumn("s", splice_strand(F.col("first"), F.col("last"))).where("s is not null")
     each = F.explode(F.when(F.col("s") == "both", F.array(F.lit("+"), F.lit("-"))).otherwise(F.array("s")))
-    return known.union(open_.select("seqid", "start", "stop", each.alias("strand")))
+    return known.union(open_.select("seqid", "start", "stop", each.alias("strand"), *extra))
 
 
 def has_stop(seq: Column) -> Column:
@@ -159,6 +219,11 @@ def has_stop(seq: Column) -> Column:
     return F.coalesce(F.upper(seq).rlike("|".join(STOPS)), F.lit(False))
 
 
+def stops_in_utrs(wanted: DataFrame, sequences: DataFrame, key: str = "tx_id") -> DataFrame:
+    """(key, flag): of the ``wanted`` transcripts that have a sequence, whether a stop codon stands in it."""
+    return sequences.join(wanted.select(key).distinct(), key, "left_semi").select(key, has_stop(F.col("sequence")).alias("flag"))
+
+
 def candidate_rows(peptides: DataFrame, lengths: DataFrame) -> DataFrame:
     """Gene models on transcripts: gene, mRNA, exon, CDS and UTR rows of each peptide whose transcript has a length.
 

@@ -8,30 +8,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.session import stored
+
 BIN = 1 << 14
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, value: Column, out: str, how: str, width: int = BIN) -> DataFrame:
     """Adds a running aggregate in coordinate order: ``how`` is "max" (of all earlier rows) or "sum" (up to this row).
 
-    The window runs inside bins of ``width``; what earlier bins hold comes from one row a bin.
+    The window runs inside bins of ``width``; what earlier bins hold comes from one row a bin. The rows are stored once,
+    as they are read for both.
     """
+    return _carried(stored(df.withColumn("_bin", F.floor(F.col(start) / width))), keys, order, value, out, how).drop("_bin")
+
+
+def _carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, how: str) -> DataFrame:
+    """``running`` on a stored table with its bins."""
     fn = F.max if how == "max" else F.sum
-    df = df.withColumn("_bin", F.floor(F.col(start) / width)).withColumn("_value", value)
-    bins = df.groupBy(*keys, "_bin").agg(fn("_value").alias("_all"))
+    bins = df.groupBy(*keys, "_bin").agg(fn(value).alias("_all"))
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select(*keys, "_bin", fn("_all").over(before).alias("_before"))
     inside = Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if how == "max" else 0)
-    both = df.withColumn("_inside", fn("_value").over(inside)).join(bins, [*keys, "_bin"])
+    both = df.withColumn("_inside", fn(value).over(inside)).join(bins, [*keys, "_bin"])
     merged = F.greatest("_inside", "_before") if how == "max" else F.col("_inside") + F.coalesce("_before", F.lit(0))
-    return both.withColumn(out, merged).drop("_bin", "_value", "_inside", "_before")
+    return both.withColumn(out, merged).drop("_inside", "_before")
 
 
 def with_cluster(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap: int = 0, width: int = BIN, out: str = "cluster") -> DataFrame:
     """Numbers groups of overlapping rows from 1 in each key; rows up to ``gap`` apart join too (1: adjacent ones)."""
-    reach = running(df, keys, order, "start", F.col("stop"), "_reach", "max", width)
+    reach = _carried(stored(df.withColumn("_bin", F.floor(F.col("start") / width))), keys, order, F.col("stop"), "_reach", "max")
     new = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + gap), 1).otherwise(0).cast("long")
-    return running(reach, keys, order, "start", new, out, "sum", width).drop("_reach")
+    marked = stored(reach.withColumn("_new", new).drop("_reach"))
+    return _carried(marked, keys, order, F.col("_new"), out, "sum").drop("_new", "_bin")
 
 
 def merged(df: DataFrame, keys: Sequence[str], gap: int = 1, width: int = BIN) -> DataFrame:
@@ -79,3 +87,19 @@ def on_windows(df: DataFrame, size: int, step: int) -> DataFrame:
     """A row for each window [w * step + 1, w * step + size] that an interval overlaps; windows may overlap."""
     first = F.greatest(F.lit(0), F.ceil((F.col("start") - size) / step))
     return df.withColumn("window", F.explode(F.sequence(first.cast("long"), F.floor((F.col("stop") - 1) / step))))
+
+
+def subtracted(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int = BIN) -> DataFrame:
+    """(keys, start, stop): the positions of ``a`` that ``b`` doesn't cover, as disjoint intervals.
+
+    Both are merged and cut into tiles of ``width``, so a tile has ``width`` / 2 stretches of ``b`` at most.
+    """
+    mine, other = on_tiles(merged(a, keys), width), on_tiles(merged(b, keys), width)
+    holes = other.groupBy(*keys, "tile").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("holes"))
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    rows = mine.join(holes, [*keys, "tile"], "left").withColumn("holes", F.coalesce("holes", none))
+    first = F.concat(F.array("start"), F.transform("holes", lambda h: h["stop"] + 1))
+    last = F.concat(F.transform("holes", lambda h: h["start"] - 1), F.array("stop"))
+    rest = F.transform(F.arrays_zip(first.alias("x"), last.alias("y")), lambda z: F.struct(F.greatest(z["x"], F.col("start")).alias("low"), F.least(z["y"], F.col("stop")).alias("high")))
+    left = rows.select(*keys, F.explode(F.filter(rest, lambda z: z["low"] <= z["high"])).alias("z"))
+    return merged(left.select(*keys, F.col("z.low").alias("start"), F.col("z.high").alias("stop")), keys)

@@ -5,11 +5,16 @@ Labels: 0 intergenic; 1-3 intron by phase; 4-6 exon by frame; 7 start; 8-10 exon
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.operators.intervals import merged
-from locusframe.operators.transcripts import TX, intron_phases, in_reading_order, with_phase
+from locusframe.operators.intervals import BIN, merged, subtracted
+from locusframe.operators.transcripts import TX, in_reading_order, with_phase
+from locusframe.session import importable, stored
 
 #: The exon labels by frame (fixed values).
 FRAMES = ((4, 7, 10, 12), (5, 8, 13), (6, 9, 11, 14))
@@ -28,80 +33,156 @@ def classes_of(scheme: int) -> list[int]:
     return out
 
 
+#: Older schemes of 7 classes (intergenic, intron by phase, exon by frame) and 5, by their number and that of fewer (fixed values).
+OLDER = {(7, 5): (0, 1, 1, 1, 2, 3, 4), (7, 3): (0, 1, 1, 1, 2, 2, 2), (7, 2): (0, 0, 0, 0, 1, 1, 1), (5, 3): (0, 1, 2, 2, 2), (5, 2): (0, 0, 1, 1, 1)}
+#: Tiles whose labels a task paints at once.
+TILES_AT_ONCE = 64
+
+
+def reduced_older(label: Column, classes: int, fewer: int) -> Column:
+    """A label of an older scheme of 7 or 5 classes in one of fewer."""
+    return F.get(F.array(*map(F.lit, OLDER[classes, fewer])), label)
+
+
 def reduced(label: Column, classes: int) -> Column:
     """A label of 15 classes in a scheme of fewer."""
     return F.get(F.array(*map(F.lit, classes_of(classes))), label)
 
 
-def exon_labels(cds: DataFrame) -> DataFrame:
-    """A row for each coding base: (seqid, strand, tx_id, pos, label), with start and stop at the transcript's ends.
+def pieces(cds: DataFrame) -> DataFrame:
+    """Coding exons and the introns between them as intervals: (TX, start, stop, phase, n, total), n null for introns.
 
-    With o = (3 - phase) mod 3 and k the base's place in its exon in reading order: inside 4 + (k + o) mod 3, the
-    first 11 + (o + 1) mod 3, the last 8 + (length - phase + 1) mod 3; the transcript's first is 7, its last 14.
+    ``phase`` is that of the exon itself, or of the exon after the intron; n is the exon's number of ``total``.
     """
     order, whole = Window.partitionBy(*TX).orderBy(*in_reading_order("line_no")), Window.partitionBy(*TX)
-    rows = with_phase(cds).withColumns({"n": F.row_number().over(order), "total": F.count("*").over(whole)})
-    bases = rows.withColumn("pos", F.explode(F.sequence("start", "stop")))
-    size = F.col("stop") - F.col("start") + 1
-    k = F.when(F.col("strand") == "-", F.col("stop") - F.col("pos")).otherwise(F.col("pos") - F.col("start"))
-    o = (3 - F.col("phase")) % 3
+    ahead = {"start_2": F.lead("start").over(order), "stop_2": F.lead("stop").over(order), "phase_2": F.lead("phase").over(order)}
+    rows = with_phase(cds).withColumns({"n": F.row_number().over(order), "total": F.count("*").over(whole), **ahead})
+    piece = lambda start, stop, phase, n: F.struct(start.alias("start"), stop.alias("stop"), phase.alias("phase"), n.alias("n"), F.col("total"))
+    exon = piece(F.col("start"), F.col("stop"), F.col("phase"), F.col("n"))
+    intron = piece(F.least("stop", "stop_2") + 1, F.greatest("start", "start_2") - 1, F.col("phase_2"), F.lit(None).cast("int"))
+    each = rows.select(*TX, F.explode(F.array(exon, intron)).alias("x")).where("x.start <= x.stop")
+    return each.select(*TX, "x.*")
+
+
+def label_at(x: Column, strand: Column, pos: Column) -> Column:
+    """The label of a position of a piece ``x`` (fields as in ``pieces``).
+
+    With o = (3 - phase) mod 3 and k the base's place in its exon in reading order: inside 4 + (k + o) mod 3, the
+    first 11 + (o + 1) mod 3, the last 8 + (length - phase + 1) mod 3; the transcript's first is 7, its last 14. An
+    intron has 1 + (o + 1) mod 3 of the exon that follows.
+    """
+    size = x["stop"] - x["start"] + 1
+    k = F.when(strand == "-", x["stop"] - pos).otherwise(pos - x["start"])
+    o = (3 - x["phase"]) % 3
     label = (
-        F.when((k == size - 1) & (F.col("n") == F.col("total")), 14).when((k == 0) & (F.col("n") == 1), 7)
-        .when(k == size - 1, 8 + (size - F.col("phase") + 1) % 3).when(k == 0, 11 + (o + 1) % 3).otherwise(4 + (k + o) % 3)
+        F.when(x["n"].isNull(), 1 + (o + 1) % 3).when((k == size - 1) & (x["n"] == x["total"]), 14).when((k == 0) & (x["n"] == 1), 7)
+        .when(k == size - 1, 8 + (size - x["phase"] + 1) % 3).when(k == 0, 11 + (o + 1) % 3).otherwise(4 + (k + o) % 3)
     )
-    return bases.select(*TX, "pos", label.cast("int").alias("label"))
+    return label.cast("int")
 
 
 def all_labels(cds: DataFrame) -> DataFrame:
-    """Coding bases and the introns between them; an intron has 1 + (o + 1) mod 3 of the exon that follows."""
-    gaps = intron_phases(cds).withColumn("pos", F.explode(F.sequence("start", "stop")))
-    label = 1 + ((3 - F.col("phase")) % 3 + 1) % 3
-    return exon_labels(cds).unionByName(gaps.select(*TX, "pos", label.cast("int").alias("label")))
+    """A row for each base of exons and introns: (seqid, strand, tx_id, pos, label)."""
+    rows = pieces(cds).withColumn("x", F.struct("start", "stop", "phase", "n", "total"))
+    return rows.withColumn("pos", F.explode(F.sequence("start", "stop"))).select(*TX, "pos", label_at(F.col("x"), F.col("strand"), F.col("pos")).alias("label"))
 
 
-def chunked(labels: DataFrame, size: int) -> DataFrame:
-    """Adds chunk and its offset, in reading direction on the minus strand; of two labels of one base the larger id wins."""
-    one = labels.groupBy("seqid", "strand", "pos").agg(F.max_by("label", "tx_id").alias("label"))
-    chunk, at = F.floor((F.col("pos") - 1) / size), (F.col("pos") - 1) % size
-    return one.withColumns({"chunk": chunk, "offset": F.when(F.col("strand") == "-", size - 1 - at).otherwise(at)})
+def exon_labels(cds: DataFrame) -> DataFrame:
+    """A row for each coding base: (seqid, strand, tx_id, pos, label), with start and stop at the transcript's ends."""
+    rows = pieces(cds).where("n is not null").withColumn("x", F.struct("start", "stop", "phase", "n", "total"))
+    return rows.withColumn("pos", F.explode(F.sequence("start", "stop"))).select(*TX, "pos", label_at(F.col("x"), F.col("strand"), F.col("pos")).alias("label"))
+
+
+def label_tiles(cds: DataFrame, size: int) -> DataFrame:
+    """(seqid, strand, chunk, labels): arrays of ``size`` labels for each tile that a transcript touches, in reading
+    direction; 0 where none is. Of two labels of one base that of the larger transcript id holds (of one transcript's, the
+    larger).
+
+    Only intervals are shuffled, cut at tiles. A task paints a batch of tiles at once: bases of all pieces, the largest id's
+    label at each place.
+    """
+    own = F.struct("tx_id", "start", "stop", F.col("phase").cast("int").alias("phase"), F.coalesce("n", F.lit(0)).alias("n"), F.col("total").cast("int").alias("total"))
+    tile = F.explode(F.sequence(F.floor((F.col("start") - 1) / size), F.floor((F.col("stop") - 1) / size)))
+    tiles = pieces(cds).withColumns({"own": own, "chunk": tile}).groupBy("seqid", "strand", "chunk").agg(F.sort_array(F.collect_list("own")).alias("own"))
+
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, TILES_AT_ONCE):
+                part = batch.slice(i, TILES_AT_ONCE)
+                n = part.num_rows
+                row = part["own"].value_parent_indices().to_numpy()
+                field = dict(zip(("start", "stop", "phase", "n", "total"), (c.to_numpy() for c in part["own"].flatten().flatten()[1:]), strict=True))
+                low = part["chunk"].to_numpy()[row] * size + 1
+                first, last = np.maximum(field["start"], low), np.minimum(field["stop"], low + size - 1)
+                count = last - first + 1
+                at = np.repeat(np.arange(len(row)), count)
+                pos = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                minus = (part["strand"].to_numpy(zero_copy_only=False) == "-")[row][at]
+                x = {k: v[at] for k, v in field.items()}
+                place = np.where(minus, size - 1 - (pos - low[at]), pos - low[at])
+                best = np.zeros(n * size, np.int64)
+                np.maximum.at(best, row[at] * size + place, (at + 1) * 16 + _labels(x, minus, pos))
+                flat = pa.array((best % 16).astype(np.int32))
+                arrays = pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size, dtype=np.int32)), flat)
+                yield pa.record_batch([part["seqid"], part["strand"], part["chunk"], arrays], ["seqid", "strand", "chunk", "labels"])
+
+    importable(cds.sparkSession)
+    kinds = dict(tiles.dtypes)
+    return tiles.mapInArrow(paint, f"seqid {kinds['seqid']}, strand {kinds['strand']}, chunk long, labels array<int>")
+
+
+def _labels(x: Mapping[str, np.ndarray], minus: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """``label_at`` for many positions; n is 0 for introns."""
+    size = x["stop"] - x["start"] + 1
+    k = np.where(minus, x["stop"] - pos, pos - x["start"])
+    o = (3 - x["phase"]) % 3
+    out = np.where(k == 0, 11 + (o + 1) % 3, 4 + (k + o) % 3)
+    out = np.where(k == size - 1, 8 + (size - x["phase"] + 1) % 3, out)
+    out = np.where((k == 0) & (x["n"] == 1), 7, out)
+    out = np.where((k == size - 1) & (x["n"] == x["total"]), 14, out)
+    return np.where(x["n"] == 0, 1 + (o + 1) % 3, out)
+
+
+def one_hot(labels: Column, classes: int = 15) -> Column:
+    """An array of ``classes`` channels for each label of an array."""
+    return F.transform(labels, lambda x: F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: (i == x).cast("int")))
 
 
 def masked(kept: DataFrame, filtered: DataFrame, keys: list[str], flank: int) -> DataFrame:
     """Half-open stretches whose bases have weight 0: the filtered ones, and half the flank around them unless a kept
     one is within the whole flank."""
-    at = lambda df, r: merged(df.select(*keys, F.greatest(F.col("start") - r, F.lit(0)).alias("start"), (F.col("stop") + r - 1).alias("stop")), keys)
-    far, near, core = at(filtered, flank // 2), at(kept, flank), at(filtered, 0)
-    mark = lambda df, n: df.select(*keys, F.col("start").alias("pos"), F.lit(n).alias("d"), F.lit(1).alias("u")).union(
-        df.select(*keys, F.col("stop") + 1, F.lit(n), F.lit(-1))
-    )
-    events = mark(far, 0).union(mark(near, 1)).union(mark(core, 2))
-    level = lambda n: F.sum(F.when(F.col("d") == n, F.col("u")).otherwise(0)).alias(f"d{n}")
-    steps = events.groupBy(*keys, "pos").agg(*map(level, range(3)))
-    order = Window.partitionBy(*keys).orderBy("pos")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    on = [F.sum(f"d{n}").over(running) > 0 for n in range(3)]
-    zero = steps.select(*keys, F.col("pos").alias("start"), F.lead("pos").over(order).alias("stop"), (on[2] | (on[0] & ~on[1])).alias("zero"))
-    out = zero.where("zero and stop is not null").select(*keys, "start", (F.col("stop") - 1).alias("stop"))
-    return merged(out, keys).withColumn("stop", F.col("stop") + 1)
-
-
-def transitions(labels: DataFrame, keys: list[str], reach: int) -> DataFrame:
-    """Half-open stretches within ``reach`` of a change between coding and not: rows (keys, pos, label) of all positions
-    that aren't intergenic; others count as not coding."""
-    coding = labels.where("label > 3").select(*keys, F.col("pos").alias("start"), F.col("pos").alias("stop"))
-    runs = merged(coding, keys)
+    at = lambda df, r: df.select(*keys, F.greatest(F.col("start") - r, F.lit(0)).alias("start"), (F.col("stop") + r - 1).alias("stop")).where("start <= stop")
+    around = subtracted(at(filtered, flank // 2), at(kept, flank), keys)
+    return merged(around.unionByName(at(filtered, 0)), keys).withColumn("stop", F.col("stop") + 1)
+
+
+def transitions(cds: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """Half-open stretches within ``reach`` of a change between coding and not."""
+    runs = merged(cds, keys)
     ends = runs.select(*keys, F.explode(F.array(F.col("start"), F.col("stop") + 1)).alias("at"))
     near = ends.select(*keys, F.greatest(F.lit(0), F.col("at") - reach).alias("start"), (F.col("at") + reach - 1).alias("stop"))
     return merged(near, keys).withColumn("stop", F.col("stop") + 1)
 
 
-def reading_frames(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start, stop): each start label with the first stop label more than three positions after it.
+def reading_frames(starts: DataFrame, stops: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
+    """(keys, start, stop): each start (keys, pos) with the first stop (keys, pos) more than three positions after it.
 
-    One backward running minimum over starts and stops, not a join of all pairs; a stop less than four positions
-    ahead is passed over by looking from four positions on.
+    A running minimum over starts and stops from the end of each bin of ``width`` positions, and the first stop of the
+    bins after it; not a join of all pairs. A stop less than four positions ahead is passed over by looking from four on.
     """
-    starts = labels.where("label = 7").select(*keys, (F.col("pos") + 4).alias("at"), F.col("pos").alias("start"), F.lit(None).cast("long").alias("end"))
-    stops = labels.where("label = 14").select(*keys, F.col("pos").alias("at"), F.lit(None).cast("long").alias("start"), F.col("pos").alias("end"))
-    ahead = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    return starts.union(stops).withColumn("stop", F.min("end").over(ahead)).where("start is not null and stop is not null").select(*keys, "start", "stop")
+    none = F.lit(None).cast("long")
+    ahead = starts.select(*keys, (F.col("pos") + 4).alias("at"), F.col("pos").alias("start"), none.alias("end"))
+    both = ahead.union(stops.select(*keys, F.col("pos").alias("at"), none.alias("start"), F.col("pos").alias("end")))
+    both = stored(both.withColumn("bin", F.floor(F.col("at") / width)))
+    later = Window.partitionBy(*keys).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    bins = both.groupBy(*keys, "bin").agg(F.min("end").alias("first")).withColumn("first", F.min("first").over(later))
+    inside = Window.partitionBy(*keys, "bin").orderBy(F.col("at").desc(), F.col("end").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("next", F.min("end").over(inside)).join(bins, [*keys, "bin"]).withColumn("stop", F.coalesce("next", "first"))
+    return found.where("start is not null and stop is not null").select(*keys, "start", "stop")
+
+
+def frame_ends(cds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seqid, strand, pos) of the start labels, and of the stop labels, of all transcripts."""
+    exons = stored(pieces(cds).where("n is not null and (n = 1 or n = total)"))
+    head, tail = (F.when(F.col("strand") == "-", F.col(a)).otherwise(F.col(b)).alias("pos") for a, b in (("stop", "start"), ("start", "stop")))
+    return exons.where("n = 1 and not (n = total and start = stop)").select("seqid", "strand", head), exons.where("n = total").select("seqid", "strand", tail)

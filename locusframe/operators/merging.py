@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from locusframe.operators.intervals import running, with_cluster, without_overlap
 from locusframe.operators.transcripts import first_by, structure
+from locusframe.session import stored
 
 KEYS = ["seqid", "strand"]
 
@@ -22,14 +23,23 @@ def distinct_structures(transcripts: DataFrame, keys: list[str]) -> DataFrame:
     return kept.drop("structure")
 
 
-def locus_ids(transcripts: DataFrame) -> DataFrame:
-    """Adds gene (seqid, number of the locus by its place in the sequence) and tx (its number in the locus)."""
-    loci = transcripts.groupBy(*KEYS, "locus").agg(F.min("start").alias("_from"), F.max("stop").alias("_to"))
-    loci = running(loci, ["seqid"], ["_from", "strand"], "_from", F.lit(1).cast("long"), "_n", "sum")
-    loci = loci.withColumn("gene", F.concat("seqid", F.lit(".gene_"), F.lpad(F.col("_n").cast("string"), 6, "0")))
-    number = F.row_number().over(Window.partitionBy(*KEYS, "locus").orderBy("start", "tx_id"))
-    named = transcripts.withColumn("n", number).join(loci.select(*KEYS, "locus", "gene"), [*KEYS, "locus"])
-    return named.withColumn("tx", F.concat("gene", F.lit(".t"), "n")).drop("n")
+def locus_ids(transcripts: DataFrame, locus: tuple[str, ...] = ("locus",)) -> DataFrame:
+    """Adds gene (gene_ and the number of the locus in order of sequence, start and strand) and tx (its number in the locus).
+
+    A locus is told apart by sequence, strand and the columns ``locus``. Loci are numbered within bins of each sequence;
+    one row a sequence says how many are in those before.
+    """
+    transcripts = stored(transcripts)
+    keys = [*KEYS, *locus]
+    loci = transcripts.groupBy(*keys).agg(F.min("start").alias("_from"))
+    loci = stored(running(loci, ["seqid"], ["_from", "strand"], "_from", F.lit(1).cast("long"), "_n", "sum"))
+    counts = loci.groupBy("seqid").agg(F.count("*").alias("_count"))
+    before = counts.withColumn("_earlier", F.sum("_count").over(Window.orderBy("seqid")) - F.col("_count")).drop("_count")
+    number = (F.col("_n") + F.col("_earlier")).cast("string")
+    gene = F.concat(F.lit("gene_"), F.when(F.length(number) < 6, F.lpad(number, 6, "0")).otherwise(number))
+    loci = loci.join(before, "seqid").select(*keys, gene.alias("gene"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("start", "tx_id"))
+    return transcripts.withColumn("_nth", nth).join(loci, keys).withColumn("tx", F.concat("gene", F.lit(".t"), "_nth")).drop("_nth")
 
 
 def merge_all(transcripts: DataFrame) -> DataFrame:
@@ -38,7 +48,9 @@ def merge_all(transcripts: DataFrame) -> DataFrame:
 
 
 def merge_by_priority(first: DataFrame, rest: DataFrame) -> DataFrame:
-    """All of ``first``, and of ``rest`` what overlaps none of its loci on the strand."""
-    loci = with_locus(first).groupBy(*KEYS, "locus").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    free = without_overlap(rest, loci, KEYS, ["tx_id", *KEYS])
-    return merge_all(first).unionByName(merge_all(free))
+    """All of ``first``, and of ``rest`` what overlaps none of its loci on the strand; both numbered together."""
+    first, rest = stored(with_locus(first)), stored(rest)
+    loci = first.groupBy(*KEYS, "locus").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    free = with_locus(without_overlap(rest, loci, KEYS, ["tx_id", *KEYS]))
+    both = first.withColumn("_side", F.lit(0)).unionByName(free.withColumn("_side", F.lit(1)))
+    return locus_ids(distinct_structures(both, [*KEYS, "_side", "locus"]), ("_side", "locus")).drop("_side")

@@ -23,12 +23,12 @@ def length() -> Column:
     return F.col("stop") - F.col("start") + 1
 
 
-def assembled(features: DataFrame) -> DataFrame:
-    """One row a transcript: span, number and total length of its features, and the features in order."""
+def assembled(features: DataFrame, *more: Column) -> DataFrame:
+    """One row a transcript: span, number and total length of its features, the features in order, and ``more`` aggregates."""
     parts = F.sort_array(F.collect_list(F.struct("start", "stop")))
     return features.groupBy("gene_id", *TX).agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n"), F.sum(length()).alias("bp"),
-        F.min("line_no").alias("line_no"), parts.alias("parts"),
+        F.min("line_no").alias("line_no"), parts.alias("parts"), *more,
     )
 
 
@@ -73,6 +73,63 @@ def glued(features: DataFrame) -> DataFrame:
     return run.groupBy("gene_id", *TX, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
 
 
+def having(features: DataFrame, kinds: tuple[str, ...] = ("CDS", "exon")) -> DataFrame:
+    """(TX) of transcripts that have a feature of one of these kinds."""
+    return features.where(F.col("type").isin(*kinds)).select(*TX).distinct()
+
+
+def of_kinds(features: DataFrame, kinds: tuple[str, ...], seqids: tuple[str, ...] | None = None) -> DataFrame:
+    """Features of these kinds, on these sequences (all unless given)."""
+    rows = features.where(F.col("type").isin(*kinds))
+    return rows if seqids is None else rows.where(F.col("seqid").isin(*seqids))
+
+
+def coordinates(features: DataFrame, kind: str = "CDS", instead: str = "exon") -> DataFrame:
+    """(TX, parts): each transcript's features of one kind in order; those of kind ``instead`` where it has none."""
+    of = lambda k: F.sort_array(F.collect_list(F.when(F.col("type") == k, F.struct("start", "stop", "phase"))))
+    both = features.groupBy(*TX).agg(of(kind).alias("parts"), of(instead).alias("other"))
+    return both.select(*TX, F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.col("other")).alias("parts"))
+
+
+def with_gene(transcripts: DataFrame, genes: DataFrame) -> DataFrame:
+    """Sets gene_id by a table (tx_id, new_gene); one that has none then gets ``<transcript>_g``."""
+    rows = transcripts.join(genes.select("tx_id", "new_gene"), "tx_id", "left")
+    return rows.withColumn("gene_id", F.coalesce("new_gene", "gene_id", F.concat("tx_id", F.lit("_g")))).drop("new_gene")
+
+
+def subset(transcripts: DataFrame, names: DataFrame) -> DataFrame:
+    """The transcripts whose tx_id is in ``names``."""
+    return transcripts.join(names.select("tx_id").distinct(), "tx_id", "left_semi")
+
+
+def with_prefix(transcripts: DataFrame, prefix: str) -> DataFrame:
+    """Ids of genes and transcripts with a prefix, so that annotations can be put together."""
+    return transcripts.withColumns({c: F.concat(F.lit(f"{prefix}."), c) for c in ("gene_id", "tx_id")})
+
+
+def codon_rows(features: DataFrame) -> DataFrame:
+    """(TX, type, start, stop): start_codon and stop_codon of each transcript's coding parts, its first and last three bases."""
+    ends = features.where("type = 'CDS'").groupBy(*TX).agg(F.min("start").alias("low"), F.max("stop").alias("high"))
+    left = F.struct(F.when(F.col("strand") == "-", "stop_codon").otherwise("start_codon").alias("type"), F.col("low").alias("start"), (F.col("low") + 2).alias("stop"))
+    right = F.struct(F.when(F.col("strand") == "-", "start_codon").otherwise("stop_codon").alias("type"), (F.col("high") - 2).alias("start"), F.col("high").alias("stop"))
+    return ends.select(*TX, F.explode(F.array(left, right)).alias("x")).select(*TX, "x.*")
+
+
+def statistics(features: DataFrame) -> DataFrame:
+    """(seqid, n_exons, bp, n_tx, n_genes, n_introns) of an annotation's features."""
+    rows = features.withColumn("gap", (F.lead("start").over(Window.partitionBy(*TX).orderBy("start", "stop")) > F.col("stop") + 1).cast("long"))
+    return rows.groupBy("seqid").agg(
+        F.count("*").alias("n_exons"), F.sum(length()).alias("bp"), F.countDistinct("tx_id").alias("n_tx"), F.countDistinct("gene_id").alias("n_genes"),
+        F.coalesce(F.sum("gap"), F.lit(0)).alias("n_introns"),
+    )
+
+
+def in_list(rows: DataFrame, names: DataFrame, key: str, flag: str) -> DataFrame:
+    """Adds ``flag``: whether a row's ``key`` is in the list ``names``."""
+    listed = names.select(key).distinct().withColumn(flag, F.lit(True))
+    return rows.join(listed, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in this order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
@@ -90,7 +147,7 @@ def widest_isoform(features: DataFrame) -> DataFrame:
 
 def normalised(features: DataFrame, kinds: tuple[str, ...] = ("CDS", "exon")) -> DataFrame:
     """Transcripts that have coding or exon features, with their introns and a transcript row; phases are anew."""
-    usable = features.join(features.where(F.col("type").isin(*kinds)).select(*TX).distinct(), TX, "left_semi")
+    usable = features.join(having(features, kinds), TX, "left_semi")
     none = F.lit(None).cast("long")
     rows = with_phase(usable).select(*TX, "type", "start", "stop", "phase")
     gaps = introns(usable).select(*TX, F.lit("intron").alias("type"), "start", "stop", none.alias("phase"))

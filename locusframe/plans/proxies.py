@@ -40,14 +40,14 @@ f AS (SELECT 'chr' || (o // 4 % 4) AS seqid, CASE WHEN o // 4 % 3 = 0 THEN '-' E
   (o // 4 % 4000) * 150 + ln * 80 + p % 30 + q - 1 AS stop, o * 10 + ln AS line_no, o % 2 AS file_idx, p, s FROM m)"""
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hits(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Alignment hits: a query for each order, a subject for each part, whose species is the supplier."""
     return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("q"), F.col("l_orderkey") % 5000).alias("query"),
         F.concat(F.lit("sp"), F.col("l_suppkey") % 40, F.lit("_"), F.col("l_partkey")).alias("subject"),
         F.round(100 * (1 - F.col("l_discount")), 2).alias("pident"), F.col("l_quantity").cast("double").alias("alen"),
         F.lit(50.0).alias("qlen"), (40 + F.col("l_partkey") % 30).cast("double").alias("slen"), F.col("l_tax").alias("evalue"),
-        F.round("l_extendedprice", 2).alias("bits"), (F.col("l_linenumber") * 3).cast("long").alias("qstart"), (F.col("l_suppkey") % 20).cast("long").alias("tstart"),
+        F.round("l_extendedprice", 2).alias("bits"), (F.col("l_linenumber") * 3).cast("long").alias("qstart"), (F.col("l_suppkey") % 20).cast("long").alias("tstart"), *more,
     )
 
 
@@ -66,6 +66,23 @@ DNA = f"""d AS (SELECT 'd' || doc_id AS seq_name, CAST(doc_id AS BIGINT) AS seq_
   regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGTacgt]', 'N', 'g') AS sequence FROM documents)"""
 
 
+def on_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gene models with the documents as their sequences: each transcript in one of them, anywhere in its length."""
+    f, docs = features(spark, sf_dir), table(spark, sf_dir, "documents")
+    o, ln = F.substring("tx_id", 2, 20).cast("long"), F.col("line_no") % 10
+    lengths = docs.select(F.concat(F.lit("d"), "doc_id").alias("seqid"), F.length("text").cast("long").alias("n"))
+    rows = f.withColumns({"seqid": F.concat(F.lit("d"), o % docs.count()), "o": o, "ln": ln}).join(lengths, "seqid")
+    start = 1 + F.col("o") * 37 % F.greatest(F.lit(1).cast("long"), F.col("n") - 700) + F.col("ln") * 80 + F.col("p") % 30
+    return rows.withColumns({"stop": start + F.col("stop") - F.col("start"), "start": start}).drop("o", "ln", "n")
+
+
+#: After FEATURES and DNA.
+ON_DOCUMENTS = """fd AS (SELECT seqid, strand, gene_id, tx_id, type, start, start + width AS stop, line_no, file_idx, p, s FROM (
+  SELECT d.seq_name AS seqid, strand, gene_id, tx_id, type, stop - start AS width, line_no, file_idx, p, s,
+    1 + CAST(substr(tx_id, 2) AS BIGINT) * 37 % greatest(1, length(sequence) - 700) + line_no % 10 * 80 + p % 30 AS start
+  FROM f JOIN d ON d.seq_name = 'd' || (CAST(substr(tx_id, 2) AS BIGINT) % (SELECT count(*) FROM documents))))"""
+
+
 def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values by position: a user is a sequence, half an hour is a position."""
     return table(spark, sf_dir, "events").select(
@@ -82,17 +99,19 @@ def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peptides with the facts of their headers: type, coordinates, strand."""
     kind = F.element_at(F.array(*map(F.lit, ("complete", "5prime_partial", "internal", "3prime_partial"))), (F.col("doc_id") % 4 + 1).cast("int"))
     seq = F.regexp_replace(F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS[:26], RESIDUES), "Y", "YM")
-    seq = F.concat(F.substring(seq, 1, 120), F.when(F.col("doc_id") % 2 == 0, "*").otherwise(""))
+    seq = F.concat(seq, F.when(F.col("doc_id") % 2 == 0, "*").otherwise(""))
     start = F.col("doc_id") * 10 + 1
     header = F.concat(
-        F.lit("p"), "doc_id", F.lit(" type:"), kind, F.lit(" len:"), F.length(seq), F.lit(" :"), start, F.lit("-"), start + 3 * F.length(seq) - 1,
+        F.lit("p"), "doc_id", F.lit(" type:"), kind, F.lit(" len:"), F.length("sequence"), F.lit(" :"), start, F.lit("-"), start + 3 * F.length("sequence") - 1,
         F.when(F.col("doc_id") % 3 == 0, "(-)").otherwise("(+)"),
     )
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), "doc_id").alias("id"), header.alias("header"), seq.alias("sequence"))
+    # As an exploded array of one, the sequence is computed once, whatever is selected from it later.
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(seq)).alias("sequence"))
+    return rows.select(F.concat(F.lit("p"), "doc_id").alias("id"), header.alias("header"), "sequence")
 
 
 PEPTIDES = f"""p0 AS (SELECT doc_id, (['complete', '5prime_partial', 'internal', '3prime_partial'])[doc_id % 4 + 1] AS kind,
-  substr(replace(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS[:26]}', '{RESIDUES}'), 'Y', 'YM'), 1, 120)
+  replace(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS[:26]}', '{RESIDUES}'), 'Y', 'YM')
     || CASE WHEN doc_id % 2 = 0 THEN '*' ELSE '' END AS sequence FROM documents),
 pep AS (SELECT 'p' || doc_id AS id, 'p' || doc_id || ' type:' || kind || ' len:' || length(sequence) || ' :' || (doc_id * 10 + 1) || '-'
   || (doc_id * 10 + 3 * length(sequence)) || CASE WHEN doc_id % 3 = 0 THEN '(-)' ELSE '(+)' END AS header, sequence FROM p0)"""

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.functions import genome
+from locusframe.functions import genome, tracks
 from locusframe.functions import sequence as S
 from locusframe.functions.attributes import format_gff, parse
-from locusframe.operators import evaluation, evidence, intervals, labels, merging
+from locusframe.operators import decoding, evaluation, evidence, intervals, labels, merging, models
 from locusframe.operators import transcripts as T
 from locusframe.plans import proxies as P
-from locusframe.session import fresh_path
+from locusframe.session import fresh_path, stored
+from locusframe.sources import cards as cards_io
 from locusframe.sources import text as io
 from locusframe.sources.text import wig_runs
 from locusframe.streaming.files import arriving
@@ -52,10 +54,11 @@ def query(name: str, sql: str | None, base: str = "") -> Callable[[Query], Query
 
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
     """The proxy's transcripts, with a source file and a number that stands for UTR bases."""
-    f = P.features(spark, d)
-    more = f.groupBy(*T.TX).agg(F.min("file_idx").alias("file_idx"), F.max("p").alias("utr_bp"))
-    return T.assembled(f).join(more, T.TX)
+    return T.assembled(P.features(spark, d), F.min("file_idx").alias("file_idx"), F.max("p").alias("utr_bp"))
+
 
+GAPS = """gaps AS (SELECT * FROM (SELECT seqid, strand, tx_id, gene_id, stop + 1 AS start,
+  lead(start) OVER (PARTITION BY seqid, strand, tx_id ORDER BY start, stop) - 1 AS stop FROM f) WHERE stop >= start)"""
 
 # ---- spans, lengths, sets of transcripts
 
@@ -65,7 +68,7 @@ FT = f"{P.FEATURES}, {TX_SQL}"
 
 @query("feature_filter", "SELECT tx_id, start, stop, type FROM f WHERE type IN ('CDS', 'intron') AND seqid IN ('chr0', 'chr2')", F_)
 def feature_filter(spark, d):
-    return P.features(spark, d).where(F.col("type").isin("CDS", "intron") & F.col("seqid").isin("chr0", "chr2")).select("tx_id", "start", "stop", "type")
+    return T.of_kinds(P.features(spark, d), ("CDS", "intron"), ("chr0", "chr2")).select("tx_id", "start", "stop", "type")
 
 
 @query("tx_assemble", "SELECT seqid, strand, gene_id, tx_id, start, stop, n, bp, parts AS structure FROM t", FT)
@@ -90,8 +93,9 @@ def gene_span(spark, d):
 
 @query("tx_with_cds", "SELECT tx_id FROM f GROUP BY tx_id HAVING count(*) FILTER (s % 5 = 0) > 0", F_)
 def tx_with_cds(spark, d):
-    """Transcripts that have a feature of one kind (here: of some suppliers)."""
-    return P.features(spark, d).groupBy("tx_id").agg(F.count(F.when(F.col("s") % 5 == 0, 1)).alias("n")).where("n > 0").select("tx_id")
+    """Transcripts that have a coding part or an exon (here: of some suppliers; the others are introns)."""
+    kind = F.when(F.col("s") % 5 == 0, F.when(F.col("p") % 2 == 0, "CDS").otherwise("exon")).otherwise("intron")
+    return T.having(P.features(spark, d).withColumn("type", kind)).select("tx_id")
 
 
 @query("source_labels", "SELECT gene_id, string_agg(DISTINCT CAST(s % 7 AS VARCHAR), ',' ORDER BY CAST(s % 7 AS VARCHAR)) AS sources FROM f GROUP BY gene_id", F_)
@@ -99,9 +103,10 @@ def source_labels(spark, d):
     return P.features(spark, d).groupBy("gene_id").agg(F.array_join(F.sort_array(F.collect_set((F.col("s") % 7).cast("string"))), ",").alias("sources"))
 
 
-@query("anno_stats", "SELECT seqid, count(*) AS n_exons, CAST(sum(stop - start + 1) AS BIGINT) AS bp, count(DISTINCT tx_id) AS n_tx, count(DISTINCT gene_id) AS n_genes FROM f GROUP BY seqid", F_)
+@query("anno_stats", """SELECT seqid, count(*) AS n_exons, CAST(sum(stop - start + 1) AS BIGINT) AS bp, count(DISTINCT tx_id) AS n_tx, count(DISTINCT gene_id) AS n_genes,
+  (SELECT count(*) FROM gaps WHERE gaps.seqid = f.seqid) AS n_introns FROM f GROUP BY seqid""", f"{F_}, {GAPS}")
 def anno_stats(spark, d):
-    return P.features(spark, d).groupBy("seqid").agg(F.count("*").alias("n_exons"), F.sum(T.length()).alias("bp"), F.countDistinct("tx_id").alias("n_tx"), F.countDistinct("gene_id").alias("n_genes"))
+    return T.statistics(P.features(spark, d))
 
 
 @query("lc_anti", "SELECT tx_id, bp FROM t WHERE tx_id NOT IN (SELECT tx_id FROM f WHERE p % 11 = 0)", FT)
@@ -110,12 +115,6 @@ def lc_anti(spark, d):
     return T.assembled(f).join(f.where("p % 11 = 0").select("tx_id").distinct(), "tx_id", "left_anti").select("tx_id", "bp")
 
 
-@query("passing_lines", "SELECT line_no, tx_id FROM f WHERE tx_id IN (SELECT tx_id FROM t WHERE bp % 3 = 0)", FT)
-def passing_lines(spark, d):
-    f = P.features(spark, d)
-    return f.join(T.assembled(f).where("bp % 3 = 0").select("tx_id"), "tx_id", "left_semi").select("line_no", "tx_id")
-
-
 @query("bed_from_gff", "SELECT coalesce(c.seqid, 'unknown') AS seqid, f.start, f.stop, f.tx_id FROM f LEFT JOIN (SELECT DISTINCT gene_id, seqid FROM f WHERE s % 3 = 0) c USING (gene_id)", F_)
 def bed_from_gff(spark, d):
     f = P.features(spark, d)
@@ -180,12 +179,13 @@ def window_overlap(spark, d):
 
 @query("chunk_index", "SELECT line_no, CAST(substr(seqid, 4) AS BIGINT) * 2000 + start // 500 AS chunk FROM f", F_)
 def chunk_index(spark, d):
-    return P.features(spark, d).select("line_no", (F.substring("seqid", 4, 9).cast("long") * 2000 + F.floor(F.col("start") / 500)).alias("chunk"))
+    offsets = {f"chr{i}": 2000 * i for i in range(4)}
+    return P.features(spark, d).select("line_no", genome.chunk_index(F.col("seqid"), F.col("start"), offsets, 500).alias("chunk"))
 
 
 @query("norm_coords", "SELECT line_no, least(start, p * 40) AS start, greatest(start, p * 40) AS stop FROM f", F_)
 def norm_coords(spark, d):
-    return P.features(spark, d).select("line_no", F.least("start", F.col("p") * 40).alias("start"), F.greatest("start", F.col("p") * 40).alias("stop"))
+    return evidence.in_order(P.features(spark, d).select("line_no", "start", (F.col("p") * 40).alias("stop")))
 
 
 # ---- inside transcripts
@@ -193,9 +193,6 @@ def norm_coords(spark, d):
 READ = "CASE WHEN strand = '-' THEN -stop ELSE start END, line_no"
 PHASE = f"""ph AS (SELECT *, CAST((3 - coalesce(sum(stop - start + 1) OVER (PARTITION BY seqid, strand, tx_id ORDER BY {READ}
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 3) % 3 AS BIGINT) AS phase FROM f)"""
-GAPS = """gaps AS (SELECT * FROM (SELECT seqid, strand, tx_id, gene_id, stop + 1 AS start,
-  lead(start) OVER (PARTITION BY seqid, strand, tx_id ORDER BY start, stop) - 1 AS stop FROM f) WHERE stop >= start)"""
-
 
 @query("introns", "SELECT tx_id, start, stop FROM gaps", f"{F_}, {GAPS}")
 def introns(spark, d):
@@ -286,9 +283,9 @@ def cdspart_hint(spark, d):
 # ---- merging and agreement
 
 STRUCT = """SELECT * FROM lt QUALIFY row_number() OVER (PARTITION BY seqid, strand, locus, parts ORDER BY utr_bp DESC, line_no) = 1"""
-MERGE = """n AS (SELECT seqid, strand, locus, row_number() OVER (PARTITION BY seqid ORDER BY min(start), strand) AS k FROM u GROUP BY seqid, strand, locus)
-SELECT tx_id, seqid || '.gene_' || lpad(CAST(k AS VARCHAR), 6, '0') AS gene,
-  seqid || '.gene_' || lpad(CAST(k AS VARCHAR), 6, '0') || '.t' || row_number() OVER (PARTITION BY seqid, strand, locus ORDER BY start, tx_id) AS tx, start, stop
+MERGE = """n AS (SELECT seqid, strand, locus, row_number() OVER (ORDER BY seqid, min(start), strand) AS k FROM u GROUP BY seqid, strand, locus)
+SELECT tx_id, 'gene_' || lpad(CAST(k AS VARCHAR), 6, '0') AS gene,
+  'gene_' || lpad(CAST(k AS VARCHAR), 6, '0') || '.t' || row_number() OVER (PARTITION BY seqid, strand, locus ORDER BY start, tx_id) AS tx, start, stop
 FROM u JOIN n USING (seqid, strand, locus)"""
 LT = f"lt AS (SELECT * EXCLUDE (cluster, new), cluster AS locus FROM ({_locus('t')}))"
 
@@ -303,19 +300,19 @@ def merge_full(spark, d):
     return merging.merge_all(transcripts(spark, d)).select("tx_id", "gene", "tx", "start", "stop")
 
 
-def _part(name: str, where: str) -> str:
-    return f"""{name}t AS (SELECT * FROM t WHERE {where}), {name}l AS (SELECT * EXCLUDE (cluster, new), cluster AS locus FROM ({_locus(name + "t")})),
-  {name}u AS ({STRUCT.replace("FROM lt", f"FROM {name}l")}), {name}m AS (WITH {MERGE.replace("FROM u", f"FROM {name}u")})"""
+def _part(name: str, where: str, number: int) -> str:
+    return f"""{name}t AS (SELECT * FROM t WHERE {where}), {name}l AS (SELECT * EXCLUDE (cluster, new), {number} * 1000000000 + cluster AS locus FROM ({_locus(name + "t")})),
+  {name}u AS ({STRUCT.replace("FROM lt", f"FROM {name}l")})"""
 
 
-PRIORITY = f"""{_part("first_", "file_idx = 0")}, ag AS (SELECT seqid, strand, locus, min(start) AS start, max(stop) AS stop FROM first_l GROUP BY ALL),
-{_part("second_", "file_idx = 1 AND NOT EXISTS (SELECT 1 FROM ag WHERE ag.seqid = t.seqid AND ag.strand = t.strand AND ag.start <= t.stop AND t.start <= ag.stop)")}
-SELECT * FROM first_m UNION ALL SELECT * FROM second_m"""
+PRIORITY = f"""{_part("first_", "file_idx = 0", 0)}, ag AS (SELECT seqid, strand, locus, min(start) AS start, max(stop) AS stop FROM first_l GROUP BY ALL),
+{_part("second_", "file_idx = 1 AND NOT EXISTS (SELECT 1 FROM ag WHERE ag.seqid = t.seqid AND ag.strand = t.strand AND ag.start <= t.stop AND t.start <= ag.stop)", 1)},
+u AS (SELECT * FROM first_u UNION ALL SELECT * FROM second_u), {MERGE}"""
 
 
 @query("priority_merge", PRIORITY, f"{FT},")
 def priority_merge(spark, d):
-    t = transcripts(spark, d)
+    t = stored(transcripts(spark, d))
     return merging.merge_by_priority(t.where("file_idx = 0"), t.where("file_idx = 1")).select("tx_id", "gene", "tx", "start", "stop")
 
 
@@ -384,13 +381,13 @@ CLASS = """b AS (SELECT a.query, a.subject, greatest(a.bits, c.bits) AS best, CA
     (c.tstart - a.tstart) - (a.qstart - 1) + pow(abs(ln(a.pident / CASE WHEN c.pident = 0 THEN 1e-4 ELSE c.pident END)), 1000) ELSE CAST('inf' AS DOUBLE) END AS support
   FROM h a JOIN h c ON a.query = c.query AND a.subject = c.subject)
 SELECT query, CASE WHEN bool_or(support > 0) THEN 'incomplete' ELSE 'complete' END AS class FROM (
-  SELECT *, row_number() OVER (PARTITION BY query ORDER BY best DESC, subject, support DESC) AS n FROM b) WHERE n <= 5 GROUP BY query"""
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY best DESC, subject, support DESC) AS n FROM b) WHERE n <= 25 GROUP BY query"""
 
 
 @query("cds_class", CLASS, f"{H},")
 def cds_class(spark, d):
     h = P.hits(spark, d)
-    return evidence.cds_classes(h, h, 5)
+    return evidence.cds_classes(h, h)
 
 
 @query("species_semi", f"SELECT DISTINCT subject FROM h WHERE split_part(subject, '_', 1) IN (SELECT species FROM ({SCORED}{GOOD}{BEST}) GROUP BY species HAVING count(*) > 60)", H)
@@ -403,6 +400,7 @@ def species_semi(spark, d):
 # ---- sequences
 
 D = P.DNA
+FD = f"{F_}, {D}, {P.ON_DOCUMENTS}"
 REV = "reverse(translate({}, 'ACGTNacgtn', 'TGCANtgcan'))"
 
 
@@ -440,13 +438,45 @@ def base_freq(spark, d):
 
 
 CODED = """c AS (SELECT seq_name, length(sequence) AS n, list_transform(generate_series(1, length(sequence) // 3), lambda i: upper(substr(sequence, i * 3 - 2, 3))) AS c FROM d)"""
+#: The coding sequences of all transcripts, cut out of the documents.
+SPLICED = f"""sp0 AS (SELECT seqid, strand, tx_id, string_agg(substr(sequence, start, stop - start + 1), '' ORDER BY start, stop) AS seq FROM fd JOIN d ON seqid = seq_name GROUP BY ALL),
+sp AS (SELECT seqid, strand, tx_id, CASE WHEN strand = '-' THEN {REV.format("seq")} ELSE seq END AS sequence FROM sp0)"""
+REPORT = """sc0 AS (SELECT *, length(sequence) AS n, length(sequence) % 3 = 0 AND length(sequence) >= 3 AS in_frame, upper(sequence) AS u FROM sp),
+sc1 AS (SELECT *, CASE WHEN in_frame THEN list_filter(generate_series(1, n - 3, 3), lambda i: substr(u, i, 3) IN ('TAA', 'TAG', 'TGA')) ELSE [] END AS at_ FROM sc0),
+sc AS (SELECT tx_id, CAST(n AS BIGINT) AS n, in_frame, CASE WHEN n >= 3 THEN right(u, 3) ELSE 'NA' END AS last, in_frame AND right(u, 3) IN ('TAA', 'TAG', 'TGA') AS valid_stop,
+  CAST(len(at_) AS BIGINT) AS internal, CAST(coalesce(at_[1], 0) AS BIGINT) AS first_internal, CASE WHEN len(at_) > 0 THEN substr(u, at_[1], 3) ELSE 'NA' END AS first_codon FROM sc1)"""
+
 
+@query("splice_cds", "SELECT tx_id, md5(sequence) AS digest FROM sp", f"{FD}, {SPLICED}")
+def splice_cds(spark, d):
+    """Coding sequences cut out of the genome."""
+    return genome.spliced(P.on_documents(spark, d), P.dna(spark, d)).select("tx_id", F.md5("sequence").alias("digest"))
 
-@query("stop_check", """SELECT seq_name, CAST(n AS BIGINT) AS n, n % 3 = 0 AS in_frame, coalesce(c[-1], 'NA') AS last, coalesce(c[-1], 'NA') IN ('TAA', 'TAG', 'TGA') AS valid_stop,
-  CAST(len(list_filter(c[:-2], lambda x: x IN ('TAA', 'TAG', 'TGA'))) AS BIGINT) AS internal,
-  CAST(coalesce(list_min(list_filter([list_position(c[:-2], 'TAA'), list_position(c[:-2], 'TAG'), list_position(c[:-2], 'TGA')], lambda x: x > 0)), 0) AS BIGINT) AS first_internal FROM c""", f"{D}, {CODED}")
+
+@query("stop_check", "SELECT * FROM sc", f"{FD}, {SPLICED}, {REPORT}")
 def stop_check(spark, d):
-    return P.dna(spark, d).select("seq_name", *(v.alias(k) for k, v in S.stop_check(F.col("sequence")).items()))
+    return genome.stop_report(P.on_documents(spark, d), P.dna(spark, d)).drop(*KEYS)
+
+
+@query("passing_lines", "SELECT line_no, tx_id FROM fd WHERE tx_id IN (SELECT tx_id FROM sc WHERE in_frame AND valid_stop AND internal = 0)", f"{FD}, {SPLICED}, {REPORT}")
+def passing_lines(spark, d):
+    """Lines of transcripts in frame, with a stop codon at the end and none before."""
+    f = stored(P.on_documents(spark, d))
+    return f.join(genome.passing(genome.stop_report(f, P.dna(spark, d))).select("tx_id"), "tx_id", "left_semi").select("line_no", "tx_id")
+
+
+@query("stop_table", """SELECT tx_id, CAST(n AS VARCHAR) AS n, CASE WHEN in_frame THEN 'True' ELSE 'False' END AS in_frame, first_codon FROM sc""", f"{FD}, {SPLICED}, {REPORT}")
+def stop_table(spark, d):
+    """The report as a table with a header, read again as text."""
+    path = fresh_path(spark)
+    io.write_table(genome.stop_report(P.on_documents(spark, d), P.dna(spark, d)), path)
+    return spark.read.csv(path, sep="\t", header=True).select("tx_id", "n", "in_frame", "first_codon")
+
+
+@query("postprocess", "SELECT tx_id FROM sc WHERE n >= 200 AND internal = 0", f"{FD}, {SPLICED}, {REPORT}")
+def postprocess(spark, d):
+    """Transcripts of long enough coding sequences without an inner stop codon."""
+    return genome.stop_report(P.on_documents(spark, d), P.dna(spark, d)).where("n >= 200 and internal = 0").select("tx_id")
 
 
 CODON_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in S.CODONS.items()) + "}"
@@ -457,9 +487,23 @@ def translate_cds(spark, d):
     return P.dna(spark, d).select("seq_name", F.md5(S.translate_cds(F.col("sequence"))).alias("digest"))
 
 
-@query("utr_stop", "SELECT seq_name, regexp_matches(upper(substr(sequence, 1, 60)), 'TAA|TAG|TGA') AS stop FROM d", D)
+AMINO = f"list_transform(generate_series(1, length(sequence) // 3), lambda i: coalesce(({CODON_MAP})[upper(substr(sequence, i * 3 - 2, 3))], 'X'))"
+
+
+@query("protein_from_gff", f"SELECT tx_id, coalesce(array_to_string({AMINO}, ''), '') AS sequence FROM sp", f"{FD}, {SPLICED}")
+def protein_from_gff(spark, d):
+    """Proteins of all transcripts, written as FASTA and read again."""
+    path = fresh_path(spark)
+    io.write_fasta(genome.proteins(P.on_documents(spark, d), P.dna(spark, d)).select("tx_id", "sequence"), path, "tx_id")
+    return io.read_fasta(spark, path).select(F.col("seq_name").alias("tx_id"), "sequence")
+
+
+@query("utr_stop", "SELECT seq_name, regexp_matches(upper(sequence), 'TAA|TAG|TGA') AS stop FROM d WHERE 'd' || (seq_ord % 7 * 3) <> seq_name", D)
 def utr_stop(spark, d):
-    return P.dna(spark, d).select("seq_name", evidence.has_stop(F.substring("sequence", 1, 60)).alias("stop"))
+    """Whether a stop codon stands anywhere in the UTRs (here: whole sequences) of transcripts that have a sequence."""
+    dna = P.dna(spark, d)
+    wanted = dna.where(F.concat(F.lit("d"), F.col("seq_ord") % 7 * 3) != F.col("seq_name")).select("seq_name")
+    return evidence.stops_in_utrs(wanted, dna, "seq_name").select("seq_name", F.col("flag").alias("stop"))
 
 
 SITES = "('gtag', 'gcag', 'atac')"
@@ -478,27 +522,18 @@ def intron_strand(spark, d):
 
 def _codon_sql(place: str, low: str, codons: str) -> str:
     three = f"upper(CASE WHEN strand = '-' THEN {REV.format('substr(sequence, place, 3)')} ELSE substr(sequence, place, 3) END)"
-    return f"""q AS (SELECT 'd' || (o % 1000) AS seqid, strand, tx_id, ln * 80 + p % 30 AS start, ln * 80 + p % 30 + stop - start AS stop FROM (SELECT f.*, CAST(substr(tx_id, 2) AS BIGINT) AS o, line_no % 10 AS ln FROM f)),
-x AS (SELECT q.*, {place} AS place FROM q)
+    return f"""x AS (SELECT fd.*, {place} AS place FROM fd)
 SELECT tx_id, {low} AS start, {low} + 2 AS stop, {three} AS codon FROM x JOIN d ON seqid = seq_name WHERE place > 0 AND {three} IN ({codons})"""
 
 
-def _on_documents(spark, d):
-    o, ln = F.substring("tx_id", 2, 20).cast("long"), F.col("line_no") % 10
-    start = ln * 80 + F.col("p") % 30
-    return P.features(spark, d).select(
-        F.concat(F.lit("d"), o % 1000).alias("seqid"), "strand", "tx_id", start.alias("start"), (start + F.col("stop") - F.col("start")).alias("stop")
-    )
-
-
-@query("start_hint", _codon_sql("CASE WHEN strand = '-' THEN stop - 2 ELSE start END", "place", "'ATG', 'TTG', 'GTG', 'CTG'"), f"{F_}, {D},")
+@query("start_hint", _codon_sql("CASE WHEN strand = '-' THEN stop - 2 ELSE start END", "place", "'ATG', 'TTG', 'GTG', 'CTG'"), FD + ",")
 def start_hint(spark, d):
-    return evidence.codon_hints(_on_documents(spark, d), P.dna(spark, d), ("ATG", "TTG", "GTG", "CTG"), "start").select("tx_id", "start", "stop", "codon")
+    return evidence.codon_hints(P.on_documents(spark, d), P.dna(spark, d), S.STARTS, "start").select("tx_id", "start", "stop", "codon")
 
 
-@query("stop_hint", _codon_sql("CASE WHEN strand = '-' THEN start - 3 ELSE stop + 1 END", "CASE WHEN strand = '-' THEN start ELSE stop - 2 END", "'TAA', 'TAG', 'TGA'"), f"{F_}, {D},")
+@query("stop_hint", _codon_sql("CASE WHEN strand = '-' THEN start - 3 ELSE stop + 1 END", "CASE WHEN strand = '-' THEN start ELSE stop - 2 END", "'TAA', 'TAG', 'TGA'"), FD + ",")
 def stop_hint(spark, d):
-    return evidence.codon_hints(_on_documents(spark, d), P.dna(spark, d), S.STOPS, "stop").select("tx_id", "start", "stop", "codon")
+    return evidence.codon_hints(P.on_documents(spark, d), P.dna(spark, d), S.STOPS, "stop").select("tx_id", "start", "stop", "codon")
 
 
 GREEDY = """RECURSIVE o AS (SELECT seq_name, CAST(length(sequence) AS BIGINT) AS n, row_number() OVER (ORDER BY seq_ord, seq_name, length(sequence)) AS k FROM d),
@@ -543,16 +578,17 @@ def wig_agg(spark, d):
     return P.track(spark, d).groupBy(*KEYS, "pos").agg(F.round(F.avg("val"), 6).alias("mean"), F.count("*").alias("n"))
 
 
-@query("wig_max", "SELECT seqid, pos, max(val) AS value FROM w GROUP BY seqid, pos", W)
+@query("wig_max", "SELECT seqid, pos, greatest(ln(0.001), max(val)) AS value FROM w GROUP BY seqid, pos", W)
 def wig_max(spark, d):
-    return P.track(spark, d).groupBy("seqid", "pos").agg(F.max("val").alias("value"))
+    """The largest value at each position, and the floor of the older format where it is below."""
+    return tracks.largest(P.track(spark, d), ["seqid", "pos"], "val").withColumnRenamed("val", "value")
 
 
 @query("wig_runs", """SELECT seqid, strand, min(pos) AS start, count(*) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY seqid, strand ORDER BY pos) AS run
   FROM (SELECT DISTINCT seqid, strand, pos FROM w)) GROUP BY seqid, strand, run""", W)
 def wig_runs_query(spark, d):
     means = P.track(spark, d).groupBy(*KEYS, "pos").agg(F.avg("val").alias("value"))
-    return wig_runs(means, KEYS).select(*KEYS, "start", F.size("values").cast("long").alias("n"))
+    return wig_runs(means, KEYS).select(*KEYS, "start", "n")
 
 
 # ---- labels
@@ -588,37 +624,42 @@ CHUNKED = """ch AS (SELECT seqid, strand, (pos - 1) // 500 AS chunk, CASE WHEN s
 
 @query("chunk_labels", """SELECT seqid, strand, chunk, count(*) AS n, CAST(sum("offset" * label) AS BIGINT) AS checksum FROM ch GROUP BY ALL""", f"{F_}, {LABELS}, {CHUNKED}")
 def chunk_labels(spark, d):
-    rows = labels.chunked(labels.all_labels(P.features(spark, d)), 500)
-    return rows.groupBy(*KEYS, "chunk").agg(F.count("*").alias("n"), F.sum(F.col("offset") * F.col("label")).alias("checksum"))
+    """How many bases of each tile have a label, and the sum of the labels by place."""
+    tiles = labels.label_tiles(P.features(spark, d), 500)
+    n = F.size(F.filter("labels", lambda x: x > 0)).cast("long")
+    total = F.aggregate(F.transform("labels", lambda x, i: x.cast("long") * i), F.lit(0).cast("long"), lambda a, x: a + x)
+    return tiles.select(*KEYS, "chunk", n.alias("n"), total.alias("checksum"))
 
 
 @query("nonempty_chunks", "SELECT seqid, strand, chunk FROM ch GROUP BY ALL HAVING max(label) > 3", f"{F_}, {LABELS}, {CHUNKED}")
 def nonempty_chunks(spark, d):
     """Chunks that hold a coding base."""
-    return labels.chunked(labels.all_labels(P.features(spark, d)), 500).groupBy(*KEYS, "chunk").agg(F.max("label").alias("m")).where("m > 3").select(*KEYS, "chunk")
+    return labels.label_tiles(P.features(spark, d), 500).where(F.exists("labels", lambda x: x > 3)).select(*KEYS, "chunk")
 
 
-MASK = """far AS (SELECT seqid, greatest(start - 10, 0) AS a, stop + 10 AS b FROM t WHERE line_no % 7 = 0 AND seqid = 'chr1'),
-near AS (SELECT seqid, greatest(start - 20, 0) AS a, stop + 20 AS b FROM t WHERE line_no % 7 <> 0 AND seqid = 'chr1'),
-core AS (SELECT seqid, start AS a, stop AS b FROM t WHERE line_no % 7 = 0 AND seqid = 'chr1'),
-fp AS (SELECT DISTINCT unnest(generate_series(a, b - 1)) AS pos FROM far), np AS (SELECT DISTINCT unnest(generate_series(a, b - 1)) AS pos FROM near),
-cp AS (SELECT DISTINCT unnest(generate_series(a, b - 1)) AS pos FROM core)
-SELECT 'chr1' AS seqid, count(*) AS n, CAST(sum(pos) AS BIGINT) AS checksum FROM (SELECT pos FROM cp UNION (SELECT pos FROM fp EXCEPT SELECT pos FROM np))"""
+MASK = """far AS (SELECT seqid, greatest(start - 10, 0) AS a, stop + 10 AS b FROM t WHERE line_no % 7 = 0),
+near AS (SELECT seqid, greatest(start - 20, 0) AS a, stop + 20 AS b FROM t WHERE line_no % 7 <> 0),
+core AS (SELECT seqid, start AS a, stop AS b FROM t WHERE line_no % 7 = 0),
+fp AS (SELECT DISTINCT seqid, unnest(generate_series(a, b - 1)) AS pos FROM far), np AS (SELECT DISTINCT seqid, unnest(generate_series(a, b - 1)) AS pos FROM near),
+cp AS (SELECT DISTINCT seqid, unnest(generate_series(a, b - 1)) AS pos FROM core)
+SELECT seqid, count(*) AS n, CAST(sum(pos) AS BIGINT) AS checksum FROM (SELECT * FROM cp UNION (SELECT * FROM fp EXCEPT SELECT * FROM np)) GROUP BY seqid"""
 
 
 @query("tx_mask", MASK, f"{FT},")
 def tx_mask(spark, d):
-    t = T.assembled(P.features(spark, d)).where("seqid = 'chr1'").select("seqid", "start", "stop", "line_no")
-    zero = labels.masked(t.where("line_no % 7 <> 0"), t.where("line_no % 7 = 0"), ["seqid"], 20)
+    """Masked positions by sequence; a list says which transcripts are filtered."""
+    t = stored(T.assembled(P.features(spark, d)).select("seqid", "tx_id", "start", "stop", "line_no"))
+    flagged = T.in_list(t, t.where("line_no % 7 = 0").select("tx_id"), "tx_id", "filtered")
+    zero = labels.masked(flagged.where("not filtered"), flagged.where("filtered"), ["seqid"], 20)
     n, ends = F.col("stop") - F.col("start"), F.col("stop") + F.col("start") - 1
     return zero.groupBy("seqid").agg(F.sum(n).alias("n"), F.sum((n * ends / 2).cast("long")).alias("checksum"))
 
 
-@query("shards", None)
+@query("shards", """SELECT CAST((row_number() OVER (ORDER BY md5(seq_name), seq_name) - 1) % 8 AS BIGINT) AS shard, count(*) OVER () AS n_all, seq_name FROM d""", D)
 def shards(spark, d):
-    """Sequences over 8 shards by a hash: rows and bases of each."""
-    rows = genome.with_shard(P.dna(spark, d), 8, "seq_name")
-    return rows.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.length("sequence")).alias("bp"))
+    """Sequences over 8 shards, every eighth one in a mixed order."""
+    dna = P.dna(spark, d).select("seq_name")
+    return genome.with_shard(dna, 8, "seq_name").withColumn("n_all", F.lit(dna.count()))
 
 
 # ---- peptides
@@ -706,8 +747,7 @@ def attr_format(spark, d):
 @query("mult_score", "SELECT line_no, CASE WHEN p % 3 = 0 THEN p ELSE 1 END AS score FROM f", F_)
 def mult_score(spark, d):
     attrs = F.when(F.col("p") % 3 == 0, F.concat(F.lit("src=E;mult="), "p", F.lit(";"))).otherwise("src=E;")
-    found = F.nullif(F.regexp_extract(attrs, r"mult=(\d+)", 1), F.lit(""))
-    return P.features(spark, d).select("line_no", F.coalesce(found.cast("long"), F.lit(1)).alias("score"))
+    return P.features(spark, d).select("line_no", evidence.mult_score(attrs).alias("score"))
 
 
 @query("top_hits", f"SELECT query, subject, place FROM (SELECT query, subject, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, subject, qstart, alen) AS BIGINT) AS place FROM ({SCORED})) WHERE place <= 5", H)
@@ -720,16 +760,35 @@ def species_id(spark, d):
     return P.hits(spark, d).select("subject", evidence.species_of(F.concat("subject", F.lit(" x_y"))).alias("species")).groupBy("subject", "species").agg(F.count("*").alias("n"))
 
 
-@query("hits_scan", """SELECT query, count(*) AS n, count(CASE WHEN pident % 2 >= 1 THEN pident END) AS numbers FROM h GROUP BY query""", H)
+@query("hits_scan", """SELECT query, count(*) AS n, count(CASE WHEN pident % 2 >= 1 THEN pident END) AS numbers, count(DISTINCT subject) AS subjects FROM h GROUP BY query""", H)
 def hits_scan(spark, d):
-    """Texts that are no numbers become null."""
+    """A table of 12 columns, written with texts that are no numbers and subjects with more than an id, and read."""
+    path = fresh_path(spark)
     text = F.when(F.col("pident") % 2 >= 1, F.col("pident").cast("string")).otherwise("-")
-    return P.hits(spark, d).groupBy("query").agg(F.count("*").alias("n"), F.count(text.try_cast("double")).alias("numbers"))
+    subject = F.concat("subject", F.when(F.col("qstart") % 2 == 0, " more").otherwise("\\nmore"))
+    rows = P.hits(spark, d).select("query", subject.alias("subject"), text.alias("pident"), *("alen qlen slen qstart qstart tstart tstart evalue bits".split()))
+    rows.toDF(*(f"c{i}" for i in range(12))).select(F.concat_ws("\t", *(F.col(f"c{i}").cast("string") for i in range(12)))).write.text(path)
+    return io.read_hits(spark, path).groupBy("query").agg(F.count("*").alias("n"), F.count("pident").alias("numbers"), F.countDistinct("subject").alias("subjects"))
+
+
+@query("short_hits", f"""SELECT species, count(*) AS votes, round(sum(score), 2) AS total FROM (SELECT *, bits * (alen / qlen) AS score, split_part(subject, '_', 1) AS species FROM h
+  WHERE evalue <= 0.05 AND pident >= 93 AND alen / qlen >= 0.5 QUALIFY row_number() OVER (PARTITION BY query ORDER BY bits * (alen / qlen) DESC, o, l) = 1) GROUP BY species""",
+  P.HITS.replace("AS tstart FROM", "AS tstart, l_orderkey AS o, l_linenumber AS l FROM"))
+def short_hits(spark, d):
+    """A table of 8 columns with comments and short lines; of a query's best hits the first line holds."""
+    path = fresh_path(spark)
+    rows = P.hits(spark, d, "l_orderkey", "l_linenumber")
+    line = F.concat_ws("\t", *(F.col(c).cast("string") for c in "query subject pident alen evalue bits qlen slen".split()))
+    lines = F.explode(F.array(line, F.when(F.col("l_linenumber") == 1, "# comment").otherwise("too\tshort")))
+    rows.repartitionByRange("l_orderkey", "l_linenumber").sortWithinPartitions("l_orderkey", "l_linenumber").select(lines).write.text(path)
+    hits = io.read_short_hits(spark, path, folders=True)
+    best = evidence.best_hits(evidence.good_hits(hits, 0.05, 93.0, 0.5))
+    return best.groupBy("species").agg(F.count("*").alias("votes"), F.round(F.sum("score"), 2).alias("total"))
 
 
 @query("prefilter_db", f"""r AS (SELECT species, count(*) AS votes, sum(score) AS total FROM ({SCORED}{GOOD}{BEST}) GROUP BY species),
 m AS (SELECT species FROM r ORDER BY votes DESC, round(total, 3) DESC, species LIMIT 5)
-SELECT DISTINCT subject FROM h WHERE split_part(subject, '_', 1) IN (SELECT species FROM m)""", f"{H},")
+SELECT DISTINCT subject FROM h WHERE (SELECT count(DISTINCT subject) FROM h) <= 1000 OR split_part(subject, '_', 1) IN (SELECT species FROM m)""", f"{H},")
 def prefilter_db(spark, d):
     h = P.hits(spark, d)
     return evidence.prefiltered(h.select("subject").distinct(), evidence.ranked_species(h, 0.05, 93.0, 0.5, 5), "subject", 1000)
@@ -737,8 +796,7 @@ def prefilter_db(spark, d):
 
 @query("align_rate", "SELECT query, round(100.0 * count(*) FILTER (alen >= 10) / count(*), 6) AS rate FROM h GROUP BY query HAVING 100.0 * count(*) FILTER (alen >= 10) / count(*) >= 80", H)
 def align_rate(spark, d):
-    rate = 100.0 * F.count(F.when(F.col("alen") >= 10, 1)) / F.count("*")
-    return P.hits(spark, d).groupBy("query").agg(rate.alias("rate")).where("rate >= 80").withColumn("rate", F.round("rate", 6))
+    return evidence.mapped_rates(P.hits(spark, d), "query", F.col("alen") >= 10, 80.0).withColumn("rate", F.round("rate", 6))
 
 
 PART = """SELECT 'CDSpart' AS type, tx_id, CASE WHEN start + 15 > stop - 15 THEN (start + stop) // 2 ELSE start + 15 END AS start, CASE WHEN start + 15 > stop - 15 THEN (start + stop) // 2 ELSE stop - 15 END AS stop FROM f"""
@@ -763,24 +821,17 @@ def concat_hints(spark, d):
     return first.unionByName(second)
 
 
-@query("postprocess", "SELECT seq_name FROM c WHERE n >= 200 AND len(list_filter(c[:-2], lambda x: x IN ('TAA', 'TAG', 'TGA'))) = 0", f"{D}, {CODED}")
-def postprocess(spark, d):
-    """Long enough coding sequences without an inner stop codon."""
-    checks = S.stop_check(F.col("sequence"))
-    return P.dna(spark, d).where((checks["n"] >= 200) & (checks["internal"] == 0)).select("seq_name")
-
-
 @query("orf_pairs", """a AS (SELECT seqid, strand, pos FROM la WHERE label = 7), z AS (SELECT seqid, strand, pos FROM la WHERE label = 14)
 SELECT seqid, strand, start, stop FROM (SELECT seqid, strand, pos AS start, (SELECT min(z.pos) FROM z WHERE z.seqid = a.seqid AND z.strand = a.strand AND z.pos > a.pos + 3) AS stop FROM a) WHERE stop IS NOT NULL""", f"{F_}, {LABELS},")
 def orf_pairs(spark, d):
-    return labels.reading_frames(labels.all_labels(P.features(spark, d)), KEYS)
+    return labels.reading_frames(*labels.frame_ends(P.features(spark, d)), KEYS)
 
 
 @query("transition_weights", f"""cd AS (SELECT DISTINCT seqid, strand, pos AS start, pos AS stop FROM la WHERE label > 3), ru AS ({_merged('cd')}),
 en AS (SELECT seqid, strand, unnest([start, stop + 1]) AS at_ FROM ru), ne AS (SELECT seqid, strand, greatest(0, at_ - 25) AS start, at_ + 24 AS stop FROM en)
 SELECT seqid, strand, start, stop + 1 AS stop FROM ({_merged('ne')})""", f"{F_}, {LABELS},")
 def transition_weights(spark, d):
-    return labels.transitions(labels.all_labels(P.features(spark, d)), KEYS, 25)
+    return labels.transitions(P.features(spark, d), KEYS, 25)
 
 
 CAND = """ca AS (SELECT 't' || doc_id || '.p1' AS id, 't' || doc_id AS tx_id, CAST(doc_id % 90 AS BIGINT) AS start, CAST(doc_id % 90 + 60 AS BIGINT) AS stop, CASE WHEN doc_id % 3 = 0 THEN '-' ELSE '+' END AS strand,
@@ -805,22 +856,24 @@ def pep_to_gff3(spark, d):
     return evidence.candidate_rows(_candidates(spark, d).select("id", "tx_id", "start", "stop", "strand"), lengths)
 
 
-@query("hc_intrinsic", """u AS (SELECT tx_id, regexp_matches(upper(substr(text, 1, 400)), 'TAA|TAG|TGA|THE') AS flag FROM (SELECT 't' || doc_id AS tx_id, text FROM documents)),
+@query("hc_intrinsic", """u AS (SELECT tx_id, regexp_matches(upper(text), 'TAA|TAG|TGA|THE') AS flag FROM (SELECT 't' || doc_id AS tx_id, text FROM documents)),
 k AS (SELECT id, length * 3 >= 250 AND score > 50 AND kind = 'complete' AND flag AND (tx_id IN (SELECT tx_id FROM t WHERE bp % 2 = 0)) AS high, tx_id FROM ca JOIN u USING (tx_id))
 SELECT id, CASE WHEN high THEN 'HC' ELSE 'LC' END AS class FROM k""", f"{FT}, {CAND},")
 def hc_intrinsic(spark, d):
     candidates = _candidates(spark, d)
     free = candidates.join(T.assembled(P.features(spark, d)).select("tx_id", (F.col("bp") % 2 == 0).alias("flag")), "tx_id").select("id", "flag")
-    utr = P.table(spark, d, "documents").select(F.concat(F.lit("t"), "doc_id").alias("tx_id"), F.upper(F.substring("text", 1, 400)).rlike("TAA|TAG|TGA|THE").alias("flag"))
+    utr = P.table(spark, d, "documents").select(F.concat(F.lit("t"), "doc_id").alias("tx_id"), F.upper("text").rlike("TAA|TAG|TGA|THE").alias("flag"))
     return evidence.confident(candidates, free, utr).select("id", "class")
 
 
-@query("anno_subset", "SELECT tx_id, replace(gene_id, 'g', 'x_') AS gene_id, start, stop FROM t WHERE seqid = 'chr0' UNION ALL SELECT tx_id, replace(gene_id, 'g', 'x_'), start, stop FROM t WHERE seqid = 'chr1'", FT)
+@query("anno_subset", """SELECT 'a.' || tx_id AS tx_id, 'a.' || gene_id AS gene_id, start, stop FROM t WHERE seqid = 'chr0' UNION ALL
+  SELECT 'b.' || tx_id, 'b.' || gene_id, start, stop FROM t WHERE tx_id IN (SELECT tx_id FROM f WHERE s % 4 = 0)""", FT)
 def anno_subset(spark, d):
-    """Union, subset and renaming of annotations."""
-    t = T.assembled(P.features(spark, d))
-    both = t.where("seqid = 'chr0'").unionByName(t.where("seqid = 'chr1'"))
-    return both.select("tx_id", F.replace("gene_id", F.lit("g"), F.lit("x_")).alias("gene_id"), "start", "stop")
+    """Two parts of an annotation, each with a prefix to its ids, together."""
+    f = P.features(spark, d)
+    t = T.assembled(f)
+    both = T.with_prefix(t.where("seqid = 'chr0'"), "a").unionByName(T.with_prefix(T.subset(t, f.where("s % 4 = 0")), "b"))
+    return both.select("tx_id", "gene_id", "start", "stop")
 
 
 @query("lift_coordinates", """ex AS (SELECT tx_id, seqid, strand, start AS e0, stop AS e1, sum(stop - start + 1) OVER o - (stop - start + 1) AS before, sum(stop - start + 1) OVER o AS upto FROM f
@@ -833,9 +886,14 @@ def lift_coordinates(spark, d):
     return genome.lifted(parts, f).select("tx_id", "start", "stop")
 
 
-@query("shard_len_check", "SELECT count(*) AS n, bool_and(length(sequence) = 900) AS same FROM (SELECT rpad(substr(sequence, 1, 900), 900, 'N') AS sequence FROM d)", D)
+@query("shard_len_check", """SELECT CAST(sum(2 * greatest(1, CAST(ceil(length(sequence) / 900.0) AS BIGINT))) AS BIGINT) AS n,
+  CAST(sum(CASE WHEN length(sequence) > 0 AND length(sequence) % 900 = 0 THEN 0 ELSE 2 END) AS BIGINT) AS short FROM d""", D)
 def shard_len_check(spark, d):
-    return genome.chunks(P.dna(spark, d), 900).where("start = 1 and strand = '+'").agg(F.count("*").alias("n"), F.bool_and(F.length("sequence") == 900).alias("same"))
+    """All tiles of both strands without padding at the end, and how many are shorter than 900."""
+    path = fresh_path(spark)
+    tiles = genome.chunks(P.dna(spark, d), 900)
+    tiles.withColumn("sequence", F.substring("sequence", F.lit(1), (F.col("stop") - F.col("start") + 1).cast("int"))).write.parquet(path)
+    return genome.length_check(spark.read.parquet(path), "sequence", 900)
 
 
 # ---- files: tables are written in a format, then read
@@ -858,20 +916,45 @@ def species_list(spark, d):
     return io.read_lines(spark, path)
 
 
-@query("sniff_format", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fasta' WHEN doc_id % 3 = 1 AND doc_id % 2 = 0 THEN 'fastq' ELSE 'unknown' END AS format FROM documents""")
+@query("sniff_format", """SELECT n_nationkey AS nation, CASE WHEN n_nationkey % 3 = 0 THEN 'fasta' WHEN n_nationkey % 3 = 1 AND n_nationkey % 2 = 0 THEN 'fastq' ELSE 'unknown' END AS format FROM nation""")
 def sniff_format(spark, d):
-    """The format of a file by its first and third line."""
-    i = F.col("doc_id")
+    """The formats of files by their first and third lines; one file a nation is written."""
+    path = fresh_path(spark)
+    i = F.col("n_nationkey")
     first = F.concat(F.when(i % 3 == 0, ">").when(i % 3 == 1, "@").otherwise("s"), i)
-    lines = P.table(spark, d, "documents").select("doc_id", first.alias("a"), F.when(i % 2 == 0, "+").otherwise("ACGT").alias("c"))
-    return lines.select("doc_id", io.sniffed("a", "c").alias("format"))
+    lines = F.concat_ws("\n", first, F.lit("ACGT"), F.when(i % 2 == 0, "+").otherwise("ACGT"))
+    P.table(spark, d, "nation").select(i.alias("nation"), lines.alias("value")).write.partitionBy("nation").text(path)
+    return io.sniff_files(spark, path).select(F.regexp_extract("file", r"nation=(\d+)", 1).cast("long").alias("nation"), "format")
 
 
-@query("gtf_scan", "SELECT seqid, strand, tx_id, gene_id, start, stop, type FROM f WHERE s % 4 = 0", F_)
+@query("model_cards", """SELECT CAST(n_nationkey AS BIGINT) AS nation, CASE WHEN n_nationkey % 3 = 0 THEN 'clamsa' ELSE '' END AS missing, 'http://host/w/' || n_regionkey AS url FROM nation""")
+def model_cards(spark, d):
+    """What cards lack, and their addresses; one file a nation is written."""
+    path = fresh_path(spark)
+    i = F.col("n_nationkey")
+    last = F.when(i % 3 == 0, "clamsa: null").otherwise("clamsa: false  # no")
+    card = F.concat_ws("\n", F.lit("# card"), F.concat(F.lit('weights_url: "http://host//w/'), "n_regionkey", F.lit('"')), F.lit("softmasking: true"), last)
+    P.table(spark, d, "nation").select(i.alias("nation"), card.alias("value")).write.partitionBy("nation").text(path)
+    cards = stored(cards_io.read_cards(spark, path))
+    known = cards_io.distinct_urls(cards)
+    url = F.regexp_replace(F.try_element_at("card", F.lit("weights_url")), "(?<!:)//+", "/")
+    rows = cards.select(F.regexp_extract("file", r"nation=(\d+)", 1).cast("long").alias("nation"), F.array_join(cards_io.missing_keys(F.col("card")), ",").alias("missing"), url.alias("url"))
+    return rows.join(known, "url", "left_semi").select("nation", "missing", "url")
+
+
+@query("latest_version", """SELECT n_regionkey AS region, 'v1.' || max(n_nationkey) || '.0' AS tag FROM nation GROUP BY n_regionkey""")
+def latest_version(spark, d):
+    """The highest version among tags, by numbers and not by letters."""
+    tag = F.concat(F.lit("v1."), "n_nationkey", F.lit(".0"))
+    tags = P.table(spark, d, "nation").select("n_regionkey", F.explode(F.array(tag, F.lit("latest"))).alias("tag"))
+    return tags.groupBy(F.col("n_regionkey").alias("region")).agg(F.max_by("tag", cards_io.version_of(F.col("tag"))).alias("tag"))
+
+
+@query("gtf_scan", "SELECT seqid, strand, tx_id, gene_id, start, stop, type FROM f", F_)
 def gtf_scan(spark, d):
     path = fresh_path(spark)
     attrs = F.concat(F.lit('gene_id "'), "gene_id", F.lit('"; transcript_id "'), "tx_id", F.lit('";'))
-    rows = P.features(spark, d).where("s % 4 = 0").withColumns({"source": F.lit("x"), "score": F.lit("."), "phase": F.lit("."), "attrs": attrs})
+    rows = P.features(spark, d).withColumns({"source": F.lit("x"), "score": F.lit("."), "phase": F.lit("."), "attrs": attrs})
     io.write_gff(rows, path)
     return io.read_gff(spark, path).select(*T.TX, "gene_id", "start", "stop", "type")
 
@@ -903,14 +986,170 @@ def stream_hints(spark, d):
 
 @query("gff_hierarchy", """SELECT gene_id, count(DISTINCT tx_id) AS n_tx, count(*) FILTER (p % 3 = 0) AS n_utr, count(*) FILTER (p % 3 <> 0) AS n_cds FROM f GROUP BY gene_id""", F_)
 def gff_hierarchy(spark, d):
-    """Genes with the numbers of their transcripts and of the features below by kind."""
-    f = P.features(spark, d).withColumn("type", F.when(F.col("p") % 3 == 0, "five_prime_UTR").otherwise("CDS"))
-    kind = lambda k: F.count(F.when(F.col("type") == k, 1))
-    return f.groupBy("gene_id").agg(F.countDistinct("tx_id").alias("n_tx"), kind("five_prime_UTR").alias("n_utr"), kind("CDS").alias("n_cds"))
+    """Genes with the numbers of their transcripts and parts, from a GFF3 file of genes, mRNAs and parts."""
+    path = fresh_path(spark)
+    f = P.features(spark, d)
+    parts = f.select("seqid", "strand", F.when(F.col("p") % 3 == 0, "five_prime_UTR").otherwise("CDS").alias("type"), "start", "stop", F.concat(F.lit("Parent="), "tx_id").alias("attrs"))
+    mrna = T.assembled(f).select("seqid", "strand", F.lit("mRNA").alias("type"), "start", "stop", F.concat(F.lit("ID="), "tx_id", F.lit(";Parent="), "gene_id").alias("attrs"))
+    gene = f.groupBy("seqid", "strand", "gene_id").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    gene = gene.select("seqid", "strand", F.lit("gene").alias("type"), "start", "stop", F.concat(F.lit("ID="), "gene_id").alias("attrs"))
+    io.write_gff(gene.unionByName(mrna).unionByName(parts).withColumns({c: F.lit(".") for c in ("source", "score", "phase")}), path)
+    return models.hierarchy_counts(io.read_gff(spark, path))
+
+
+MERGED_FILES = f"""x AS (SELECT *, CASE WHEN p % 3 = 0 THEN 'five_prime_UTR' ELSE 'CDS' END AS kind FROM f),
+t AS (SELECT file_idx, seqid, strand, tx_id AS tid, min(start) FILTER (kind = 'CDS') AS start, max(stop) FILTER (kind = 'CDS') AS stop, file_idx * 1000000000000 + min(line_no) AS line_no,
+  string_agg(start || '-' || stop, ',' ORDER BY start, stop) FILTER (kind = 'CDS') AS parts, coalesce(sum(stop - start + 1) FILTER (kind <> 'CDS'), 0) AS utr_bp, min(start) AS out_start,
+  max(stop) AS out_stop, file_idx || ':' || seqid || ':' || strand || ':' || tx_id AS tx_id FROM x GROUP BY file_idx, seqid, strand, tx_id HAVING count(*) FILTER (kind = 'CDS') > 0),
+{LT}, u AS ({STRUCT}), m0 AS (WITH {MERGE}), mg AS (SELECT m0.gene, m0.tx, t.* FROM m0 JOIN t USING (tx_id)),
+pt AS (SELECT mg.tx, x.*, row_number() OVER (PARTITION BY tx, kind ORDER BY x.start, x.stop) AS i FROM mg JOIN x ON x.file_idx = mg.file_idx AND x.seqid = mg.seqid AND x.strand = mg.strand AND x.tx_id = mg.tid)
+SELECT seqid, strand, 'gene' AS type, min(out_start) AS start, max(out_stop) AS stop, 'ID=' || gene AS attrs FROM mg GROUP BY seqid, strand, gene
+UNION ALL SELECT seqid, strand, 'transcript', out_start, out_stop, 'ID=' || tx || ';Parent=' || gene FROM mg
+UNION ALL SELECT seqid, strand, 'exon', start, stop, 'ID=' || tx || '.exon' || i || ';Parent=' || tx FROM pt WHERE kind = 'CDS'
+UNION ALL SELECT seqid, strand, kind, start, stop, 'ID=' || tx || CASE WHEN kind = 'CDS' THEN '.cds' ELSE '.utr' END || i || ';Parent=' || tx FROM pt"""
+
+
+@query("merge_files", MERGED_FILES, f"{F_},")
+def merge_files(spark, d):
+    """Two files, a GTF and a GFF3, merged, written as GFF3 and read again."""
+    f = P.features(spark, d).withColumn("type", F.when(F.col("p") % 3 == 0, "five_prime_UTR").otherwise("CDS")).withColumns({c: F.lit(".") for c in ("source", "score", "phase")})
+    gtf, gff, out = fresh_path(spark), fresh_path(spark), fresh_path(spark)
+    io.write_gtf(f.where("file_idx = 0").withColumn("attributes", F.create_map(F.lit("gene_id"), "gene_id", F.lit("transcript_id"), "tx_id")), gtf, ["line_no"])
+    io.write_gff(f.where("file_idx = 1").withColumn("attrs", F.concat(F.lit("Parent="), "tx_id")), gff, ["line_no"])
+    found = models.models_of(io.read_models(spark, [gtf, gff], folders=True))
+    io.write_gff(models.cluster_rows(merging.merge_all(found)), out, ["gene", "nth", "rank", "i"])
+    return io.read_gff(spark, out).select("seqid", "strand", "type", "start", "stop", "attrs")
+
+
+GTF = """ct AS (SELECT *, count(*) OVER w AS c, row_number() OVER (w ORDER BY CASE WHEN strand = '-' THEN -stop ELSE start END, line_no) AS r FROM f WINDOW w AS (PARTITION BY seqid, strand, tx_id)),
+ck AS (SELECT *, CASE WHEN c = 1 THEN 'single' WHEN r = 1 THEN 'initial' WHEN r = c THEN 'terminal' ELSE 'internal' END AS kind FROM ct)
+SELECT seqid, 'gene' AS type, min(start) AS start, max(stop) AS stop, gene_id AS attrs FROM f GROUP BY seqid, gene_id
+UNION ALL SELECT seqid, 'transcript', min(start), max(stop), 'x.' || tx_id FROM f GROUP BY seqid, strand, gene_id, tx_id
+UNION ALL SELECT seqid, 'CDS', start, stop, 'transcript_id "x.' || tx_id || '"; gene_id "' || gene_id || '"; cds_type=' || kind || ';' FROM ck
+UNION ALL SELECT seqid, 'exon', start, stop, 'transcript_id "x.' || tx_id || '"; gene_id "' || gene_id || '";' FROM ck"""
+
+
+@query("write_gtf", GTF, f"{F_},")
+def write_gtf(spark, d):
+    """The annotation as an ordered GTF file, read again."""
+    path = fresh_path(spark)
+    io.write_gtf(models.gtf_rows(P.features(spark, d), "x"), path, ["seqid", "gene_start", "gene_stop", "gene_id", "tx_id", "rank", "start", "stop", "type"])
+    return io.read_gff(spark, path).select("seqid", "type", "start", "stop", "attrs")
 
 
-@query("near_sqrt_divisor", None)
+REBUILD = f"""c AS (SELECT seqid, strand, tx_id, line_no, CASE WHEN strand = '-' AND lo = 1 THEN least(start, coalesce(low, start)) ELSE start END AS start,
+  CASE WHEN strand = '+' AND hi = 1 THEN greatest(stop, coalesce(high, stop)) ELSE stop END AS stop FROM (
+  SELECT *, row_number() OVER (PARTITION BY tx_id ORDER BY stop DESC, line_no) AS hi, row_number() OVER (PARTITION BY tx_id ORDER BY start, line_no) AS lo FROM f
+  WHERE s % 3 <> 0) LEFT JOIN (SELECT tx_id, max(stop) AS high, min(start) AS low FROM f WHERE s % 3 = 0 GROUP BY tx_id) USING (tx_id)),
+b AS (SELECT seqid, strand, tx_id, start, stop, 'CDS' AS type FROM c UNION ALL SELECT seqid, strand, tx_id, start, stop, 'UTR' FROM f WHERE s % 3 = 0 AND tx_id IN (SELECT tx_id FROM c)),
+w AS (SELECT tx_id, seqid, strand, min(start) AS start, max(stop) AS stop FROM b GROUP BY ALL),
+g AS (SELECT w.*, CASE WHEN gene_id IN (SELECT gene_id FROM f WHERE s % 9 = 0) THEN gene_id ELSE w.tx_id || '.gene' END AS gene FROM w JOIN (SELECT DISTINCT tx_id, gene_id FROM f) USING (tx_id)),
+e AS (SELECT tx_id, min(start) AS start, max(stop) AS stop FROM (SELECT *, sum(new) OVER (PARTITION BY tx_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS k FROM (
+  SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY tx_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM b)) GROUP BY tx_id, k),
+r AS (SELECT 'gene' AS type, min(start) AS start, max(stop) AS stop, 'ID=' || gene AS attrs FROM g GROUP BY gene
+UNION ALL SELECT 'transcript', start, stop, 'ID=' || tx_id || ';Parent=' || gene FROM g
+UNION ALL SELECT 'exon', start, stop, 'ID=' || tx_id || '.exon' || row_number() OVER (PARTITION BY tx_id ORDER BY start) || ';Parent=' || tx_id FROM e
+UNION ALL SELECT type, start, stop, 'ID=' || tx_id || '.' || lower(type) || row_number() OVER (PARTITION BY tx_id, type ORDER BY start, stop) || ';Parent=' || tx_id FROM b)
+SELECT * FROM r"""
+
+
+@query("extend_rebuild", REBUILD, f"{F_},")
+def extend_rebuild(spark, d):
+    """Coding parts reach to stop codons, exons are made anew from them and the UTRs, missing genes are made; as GFF3."""
+    f = stored(P.features(spark, d).withColumns({"source": F.lit("x"), "phase": F.lit(".")}))
+    stops = f.where("s % 3 = 0")
+    cds = T.with_stop_codon(f.where("s % 3 <> 0"), stops)
+    rows = models.rebuilt_rows(cds, stops.withColumn("type", F.lit("UTR")), f.select("tx_id", "gene_id"), f.where("s % 9 = 0"))
+    path = fresh_path(spark)
+    io.write_gff(rows, path, ["seqid", "gene_start", "gene_id", "tx_start", "tx_id", "rank", "i"])
+    return io.read_gff(spark, path).select("type", "start", "stop", "attrs")
+
+
+ISOFORM = r"""ch AS (SELECT gene_id, tx_id FROM t QUALIFY row_number() OVER (PARTITION BY gene_id ORDER BY bp DESC, line_no) = 1),
+li AS (SELECT 'gene_id "' || gene_id || '";' AS a, ' transcript_id "' || tx_id || '";' AS b, * FROM f JOIN ch USING (gene_id, tx_id)),
+sp AS (SELECT any_value(seqid) || chr(9) || '.' || chr(9) AS l, chr(9) || min(start) || chr(9) || max(stop) || chr(9) || '.' || chr(9) || any_value(strand) || chr(9) || '.' || chr(9) AS r, a, b FROM li GROUP BY a, b)
+SELECT seqid || chr(9) || '.' || chr(9) || 'CDS' || chr(9) || start || chr(9) || stop || chr(9) || '.' || chr(9) || strand || chr(9) || '.' || chr(9) || a || b AS line FROM li
+UNION ALL SELECT l || 'gene' || r || a FROM sp UNION ALL SELECT l || 'transcript' || r || a || b FROM sp"""
+
+
+@query("isoform_gtf", ISOFORM, f"{FT},")
+def isoform_gtf(spark, d):
+    """The lines of each gene's longest isoform, with gene and transcript lines before, in the file's order."""
+    path, out = fresh_path(spark), fresh_path(spark)
+    attributes = F.create_map(F.lit("gene_id"), "gene_id", F.lit("transcript_id"), "tx_id")
+    io.write_gtf(P.features(spark, d).withColumns({c: F.lit(".") for c in ("source", "score", "phase")} | {"attributes": attributes}), path, ["line_no"])
+    rows = stored(io.read_gff(spark, path, raw=True, folders=True))
+    io.write_lines(models.isoform_lines(rows, T.longest_isoform(rows)), out, ["file", "place"])
+    return spark.read.text(out).withColumnRenamed("value", "line")
+
+
+HINT_SQL = f"""k AS (SELECT * FROM fd WHERE p % 13 <> 0),
+pa AS (SELECT 'CDSpart' AS type, tx_id, CASE WHEN start + 15 > stop - 15 THEN (start + stop) // 2 ELSE start + 15 END AS start, CASE WHEN start + 15 > stop - 15 THEN (start + stop) // 2 ELSE stop - 15 END AS stop FROM k),
+ga AS (SELECT 'intron' AS type, tx_id, start, stop FROM (SELECT tx_id, least(stop, lag(stop) OVER o) + 1 AS start, greatest(start, lag(start) OVER o) - 1 AS stop, lag(start) OVER o AS s0
+  FROM k WINDOW o AS (PARTITION BY seqid, tx_id ORDER BY line_no)) WHERE s0 IS NOT NULL AND start <= stop),
+ge AS (SELECT seqid, strand, tx_id, min(start) AS start, max(stop) AS stop FROM fd GROUP BY ALL),
+st AS (SELECT tx_id, strand, start, stop, upper(CASE WHEN strand = '-' THEN {REV.format('substr(sequence, stop - 2, 3)')} ELSE substr(sequence, start, 3) END) AS a,
+  CASE WHEN strand = '-' AND start < 4 THEN '' ELSE upper(CASE WHEN strand = '-' THEN {REV.format('substr(sequence, start - 3, 3)')} ELSE substr(sequence, stop + 1, 3) END) END AS z FROM ge JOIN d ON seqid = seq_name),
+co AS (SELECT 'start' AS type, tx_id, CASE WHEN strand = '-' THEN stop - 2 ELSE start END AS start, CASE WHEN strand = '-' THEN stop ELSE start + 2 END AS stop FROM st WHERE a IN ('ATG', 'TTG', 'GTG', 'CTG')
+  UNION ALL SELECT 'stop', tx_id, CASE WHEN strand = '-' THEN start ELSE stop - 2 END, CASE WHEN strand = '-' THEN start + 2 ELSE stop END FROM st WHERE z IN ('TAA', 'TAG', 'TGA'))
+SELECT type, start, stop, 'src=P;grp=' || tx_id || ';pri=4' AS attrs FROM (SELECT * FROM pa UNION ALL SELECT * FROM ga UNION ALL SELECT * FROM co)"""
+
+
+@query("aligned_hints", HINT_SQL, f"{FD},")
+def aligned_hints(spark, d):
+    """Hints from alignments, as a GFF file read again: coding parts, introns, start and stop codons; lines with a * are left out."""
+    f = P.on_documents(spark, d).withColumns({"score": F.lit("."), "phase": F.lit("."), "attrs": F.when(F.col("p") % 13 == 0, "x*").otherwise("x")})
+    f = stored(f.select(*T.TX, "type", "start", "stop", "score", "phase", "attrs", "line_no"))
+    spans = f.groupBy(*T.TX).agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    genes = spans.withColumns({"type": F.lit("gene"), "score": F.lit("."), "phase": F.lit("."), "attrs": F.lit("x"), "line_no": F.lit(0).cast("long")})
+    path = fresh_path(spark)
+    io.write_gff(evidence.aligned_hints(f.unionByName(genes), P.dna(spark, d)).withColumn("source", F.lit("x")), path)
+    return io.read_gff(spark, path).select("type", "start", "stop", "attrs")
+
+
+@query("annotate", """ch AS (SELECT seq_name, unnest(generate_series(1, length(sequence))) AS pos, sequence FROM d),
+gc AS (SELECT seq_name, pos FROM ch WHERE upper(substr(sequence, pos, 1)) IN ('G', 'C')),
+ru AS (SELECT seq_name, min(pos) AS start, max(pos) AS stop FROM (SELECT *, pos - row_number() OVER (PARTITION BY seq_name ORDER BY pos) AS k FROM gc) GROUP BY seq_name, k)
+SELECT seq_name, strand, count(*) AS n, CAST(sum(start * 7 + stop) AS BIGINT) AS checksum FROM ru, (SELECT unnest(['+', '-']) AS strand) GROUP BY ALL""".replace(
+    "ch AS (SELECT seq_name, unnest(generate_series(1, length(sequence))) AS pos, sequence FROM d),\ngc AS (SELECT seq_name, pos FROM ch WHERE upper(substr(sequence, pos, 1)) IN ('G', 'C'))",
+    "gc AS (SELECT seq_name, unnest(list_filter(generate_series(1, length(sequence)), lambda i: cs[i] IN ('G', 'C'))) AS pos FROM (SELECT *, string_split(upper(sequence), '') AS cs FROM d))"), f"{D},")
+def annotate(spark, d):
+    """Whole sequences tiled, scored on both strands and decoded; the scorer here tells G and C from the rest."""
+    moves = np.log(np.full((2, 2), 0.5))
+    runs = decoding.genome_runs(P.dna(spark, d), 900, 90, gc_scores, moves, moves[0])
+    found = decoding.annotated(runs, [1])
+    return found.groupBy("seq_name", "strand").agg(F.count("*").alias("n"), F.sum(F.col("start") * 7 + F.col("stop")).alias("checksum"))
+
+
+def gc_scores(sequences: list[str]) -> np.ndarray:
+    """Log scores of two states for sequences of one length: 1 for G and C."""
+    letters = np.frombuffer("".join(sequences).upper().encode(), np.uint8).reshape(len(sequences), -1)
+    strong = (letters == ord("G")) | (letters == ord("C"))
+    return np.stack([np.where(strong, -3.0, 0.0), np.where(strong, 0.0, -3.0)], axis=2)
+
+
+@query("track_tiles", """v AS (SELECT seqid, pos - (SELECT min(pos) FROM w) AS pos, max(val) AS val FROM w GROUP BY seqid, pos),
+n AS (SELECT seqid, max(pos) + 1 AS length FROM v GROUP BY seqid),
+ti AS (SELECT seqid, length, unnest(generate_series(0, length // 50 - 1)) AS tile FROM n WHERE length >= 50),
+s AS (SELECT ti.seqid, tile, (SELECT max(length // 50) - 1 FROM n) AS last, round(coalesce(sum(greatest(val, ln(0.001)) * (pos % 50)), 0) + ln(0.001) * (1225 - coalesce(sum(pos % 50), 0)), 4) AS a,
+  round(coalesce(sum(greatest(val, ln(0.001)) * (49 - pos % 50)), 0) + ln(0.001) * (1225 - coalesce(sum(49 - pos % 50), 0)), 4) AS b
+  FROM ti LEFT JOIN v ON v.seqid = ti.seqid AND v.pos // 50 = tile GROUP BY ti.seqid, tile)
+SELECT seqid, '+' AS strand, tile, a AS checksum FROM s UNION ALL SELECT seqid, '-', last - tile, b FROM s""", f"{W},")
+def track_tiles(spark, d):
+    """Tiles of 50 values of a track, also read backwards."""
+    t = P.track(spark, d)
+    first = t.agg(F.min("pos")).first()[0] or 0
+    own = stored(tracks.largest(t.withColumn("pos", F.col("pos") - first), ["seqid", "pos"], "val"))
+    lengths = own.groupBy("seqid").agg((F.max("pos") + 1).alias("length"))
+    tiles = stored(tracks.track_tiles(own, lengths, ["seqid"], ["val"], 50, [tracks.FLOOR]))
+    last = tiles.agg(F.max("tile")).first()[0] or 0
+    total = F.aggregate(F.transform("val", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    return tracks.both_strands(tiles, [], last).select("seqid", "strand", "tile", F.round(total, 4).alias("checksum"))
+
+
+@query("near_sqrt_divisor", """dv AS (SELECT n, unnest(list_filter(generate_series(1, n), lambda d: n % d = 0)) AS d FROM (SELECT DISTINCT p_partkey AS n FROM part WHERE p_partkey > 0))
+SELECT n, arg_min(d, abs(d - sqrt(n)) * 1000000 + d) AS divisor, CASE WHEN n >= 150 THEN 150 ELSE greatest(36, CAST(ceil(n / 36.0) AS BIGINT) * 36) END AS chunk FROM dv GROUP BY n""", " ")
 def near_sqrt_divisor(spark, d):
-    """Of each length up to 200 the divisor nearest to its root, and the adapted chunk size."""
-    rows = [(n, genome.near_sqrt_divisor(n), genome.adapted_chunk(n, 150, 4)) for n in range(1, 201)]
-    return spark.createDataFrame(rows, "n long, divisor long, chunk long")
+    """Of each part's number the divisor nearest to its root, and the adapted chunk size."""
+    rows = P.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("n")).where("n > 0").distinct()
+    return rows.select("n", genome.nearest_divisor(F.col("n")).cast("long").alias("divisor"), genome.adapted_chunks(F.col("n"), 150, 4).cast("long").alias("chunk"))

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Temporary folders of sessions on one machine that name none, by application.
 _LOCAL: dict[str, str] = {}
@@ -42,3 +43,18 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession) -> str:
     """A path in the shared folder that nothing uses."""
     return f"{shared_folder(spark).rstrip('/')}/t-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: what reads it more than once computes it once, and no lost executor
+    makes it anew."""
+    spark = df.sparkSession
+    importable(spark)
+    path = fresh_path(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def hinted(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is (a shuffle join follows)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.functions.attributes import format_gff, parse
+from locusframe.functions.attributes import format_gff, format_gtf, parse
+from locusframe.operators.intervals import BIN, merged
+from locusframe.session import hinted, stored
+
+#: Feature types that have children and an ID of their own.
+PARENTS = ("gene", "transcript", "mRNA")
 
 GFF = "seqid string, source string, type string, start long, stop long, score string, strand string, phase string, attrs string"
 HITS = (
@@ -16,13 +22,14 @@ HITS = (
 )
 
 
-def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | Sequence[str], upper: bool = False) -> DataFrame:
     """(seq_name, header, sequence) of plain, .gz or .bz2 files; the name is the header's first word. Records are
-    split by Spark; line ends of either kind and blank lines are dropped, and a record may have no sequence."""
+    split by Spark; line ends of either kind and blank lines are dropped, and a record may have no sequence. With
+    ``upper``, the soft mask is dropped."""
     raw = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^[\s>]+", "").alias("v")).where("v != ''")
     header = F.trim(F.substring_index("v", "\n", 1), F.lit("\r \t"))
     body = F.when(F.instr("v", "\n") > 0, F.expr(r"substring(v, instr(v, '\n') + 1)")).otherwise("")
-    return raw.select(F.split(header, r"\s")[0].alias("seq_name"), header.alias("header"), F.regexp_replace(body, r"\s", "").alias("sequence"))
+    return raw.select(F.split(header, r"\s")[0].alias("seq_name"), header.alias("header"), (F.upper if upper else F.lit)(F.regexp_replace(body, r"\s", "")).alias("sequence"))
 
 
 def write_fasta(df: DataFrame, path: str, header: str = "seq_name", width: int = 80) -> None:
@@ -31,39 +38,107 @@ def write_fasta(df: DataFrame, path: str, header: str = "seq_name", width: int =
     df.select(F.concat(F.lit(">"), header, F.lit("\n"), lines)).write.text(path)
 
 
-def read_gff(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Rows of 9 columns with attributes (a map), file_idx and line_no (order within the file); others are dropped.
+def write_fasta_groups(df: DataFrame, path: str, group: str, header: str = "seq_name", width: int = 80) -> None:
+    """FASTA files in a folder for each value of ``group``, such as the parts of a genome."""
+    lines = F.regexp_replace(F.col("sequence"), f"(.{{{width}}})(?=.)", "$1\n")
+    df.select(group, F.concat(F.lit(">"), header, F.lit("\n"), lines).alias("value")).repartition(group).write.partitionBy(group).text(path)
+
+
+def numbered_lines(spark: SparkSession, path: str | Sequence[str], folders: bool = False) -> DataFrame:
+    """(file, line_no, line): lines with their place in their file, from 0. Large files are read in many parts.
+
+    Rows within a part come in order; a part's first line number is the sum of the lines of the parts before. With
+    ``folders``, a folder's files, in order of their names, count as one file, as Spark writes it.
+    """
+    name = F.col("_metadata.file_path")
+    raw = spark.read.text(path).select(
+        (F.regexp_replace(name, "/[^/]*$", "") if folders else name).alias("file"), F.struct(name.alias("name"), F.col("_metadata.file_block_start").alias("at")).alias("part"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line")
+    )
+    parts = raw.groupBy("file", "part").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("part")) - F.col("lines")
+    parts = stored(parts.withColumn("before", before).drop("lines"))
+    return raw.join(hinted(parts), ["file", "part"]).select("file", (F.col("n") - F.col("first") + F.col("before")).alias("line_no"), F.regexp_replace("line", r"\r$", "").alias("line"))
+
+
+def read_gff(spark: SparkSession, path: str | Sequence[str], raw: bool = False, folders: bool = False) -> DataFrame:
+    """Rows of 9 columns with attributes (a map), file and line_no (order within the file); others are dropped.
 
-    A file is read whole by one task only to number its lines; files are read in parallel.
+    With ``raw``, the line itself stays as column line. A path may be a list, or have Hadoop's globs such as ``{a,b}*``.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    lines = numbered_lines(spark, path, folders)
     parts = lines.where(~F.col("line").startswith("#")).withColumn("c", F.split("line", "\t")).where(F.size("c") == 9)
     names = [x.split() for x in GFF.split(", ")]
     columns = [F.col("c")[i].try_cast(kind).alias(name) for i, (name, kind) in enumerate(names)]
-    rows = parts.select("file", F.col("line_no").cast("long").alias("line_no"), *columns).where("start is not null and stop is not null")
+    rows = parts.select("file", "line_no", *columns, *(["line"] if raw else [])).where("start is not null and stop is not null")
     a = parse(F.col("attrs"))
+    value = lambda k: F.nullif(F.try_element_at(F.col("attributes"), F.lit(k)), F.lit(""))
+    own = F.when(F.col("type").isin(*PARENTS), value("ID"))
+    bare = F.when(F.col("type").isin(*PARENTS) & ~F.col("attrs").rlike('[="]'), F.trim("attrs"))  # some writers give the id alone
     ids = {
-        "attributes": a,
-        "tx_id": F.coalesce(F.try_element_at(a, F.lit("transcript_id")), F.split(F.try_element_at(a, F.lit("Parent")), ",")[0], F.try_element_at(a, F.lit("ID"))),
-        "gene_id": F.coalesce(F.try_element_at(a, F.lit("gene_id")), F.try_element_at(a, F.lit("gene"))),
+        "tx_id": F.coalesce(value("transcript_id"), value("transcriptId"), F.when(F.col("type") != "gene", own), F.trim(F.split(value("Parent"), ",")[0]), value("ID"), bare),
+        "gene_id": F.coalesce(value("gene_id"), value("gene"), F.when(F.col("type") == "gene", F.coalesce(own, bare)), F.when(F.col("type").isin(*PARENTS), value("Parent"))),
     }
-    return rows.withColumns(ids)
+    return rows.withColumn("attributes", a).withColumns(ids)
+
+
+def read_models(spark: SparkSession, paths: Sequence[str], folders: bool = False) -> DataFrame:
+    """The rows of several GTF or GFF3 files (or globs), with file_idx: the place of a file's path in ``paths``."""
+    each = [read_gff(spark, p, folders=folders).withColumn("file_idx", F.lit(i).cast("long")) for i, p in enumerate(paths)]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _gff_line(attrs: Column) -> Column:
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
+    return F.concat_ws("\t", *map(cell, ("seqid", "source", "type", "start", "stop", "score", "strand", "phase")), attrs)
 
 
 def write_gff(df: DataFrame, path: str, order: Sequence[str] = ("seqid", "start", "stop")) -> None:
     """GFF3 lines in this order; column attributes (a map) is written, or attrs as it is. Null becomes a dot."""
-    attrs = format_gff(F.col("attributes")) if "attributes" in df.columns else F.col("attrs")
-    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
-    line = F.concat_ws("\t", *map(cell, ("seqid", "source", "type", "start", "stop", "score", "strand", "phase")), attrs)
-    df.orderBy(*order).select(line).write.text(path)
+    attrs = format_gff(F.col("attributes")) if "attributes" in df.columns else F.coalesce("attrs", F.lit("."))
+    df.orderBy(*order).select(_gff_line(attrs)).write.text(path)
+
+
+def write_gtf(df: DataFrame, path: str, order: Sequence[str] = ("seqid", "start", "stop")) -> None:
+    """GTF lines in this order; column attributes (a map) is written as ``k "v";``, or attrs as it is."""
+    attrs = format_gtf(F.col("attributes")) if "attributes" in df.columns else F.coalesce("attrs", F.lit("."))
+    df.orderBy(*order).select(_gff_line(attrs)).write.text(path)
+
+
+def write_lines(df: DataFrame, path: str, order: Sequence[str] = ("file", "line_no")) -> None:
+    """Column line, in the order of the files it came from."""
+    df.orderBy(*order).select("line").write.text(path)
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """A tab-separated table with a header; null is NA, booleans are True and False."""
+    kinds = dict(df.dtypes)
+    text = lambda c: F.initcap(F.col(c).cast("string")) if kinds[c] == "boolean" else F.col(c).cast("string")
+    df.select(*(F.coalesce(text(c), F.lit("NA")).alias(c) for c in df.columns)).write.csv(path, sep="\t", header=True)
+
+
+def write_classes(df: DataFrame, path: str, key: str = "query", value: str = "class") -> None:
+    """One JSON object a line: {key: value}; a reader merges them into one map."""
+    df.select(F.to_json(F.create_map(F.col(key), F.col(value)))).write.text(path)
+
+
+def _subject(column: str) -> Column:
+    return F.regexp_extract(column, r"^(?:(?!\\t|\\n)\S)*", 0)
 
 
 def read_hits(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """A table of 12 columns; what is no number becomes null, subjects end at a blank, tab or their escapes."""
     raw = spark.read.csv(path, sep="\t", quote="", comment="#", schema=HITS)
-    subject = F.regexp_extract("subject", r"^(?:(?!\\t|\\n)\S)*", 0)
     numbers = {c: F.col(c).try_cast("double") for c in ("pident", "alen", "qstart", "qend", "tstart", "tend", "evalue", "bits")}
-    return raw.withColumns({"subject": subject, **numbers})
+    return raw.withColumns({"subject": _subject("subject"), **numbers})
+
+
+def read_short_hits(spark: SparkSession, path: str | Sequence[str], folders: bool = False) -> DataFrame:
+    """A table of 8 columns with query and target lengths, and line_no; blank lines, comments and shorter lines are
+    skipped, columns beyond the eighth too. A line whose numbers are none is skipped as well."""
+    names = ("pident", "alen", "evalue", "bits", "qlen", "slen")
+    lines = numbered_lines(spark, path, folders).where(~F.col("line").startswith("#")).withColumn("c", F.split("line", "\t")).where(F.size("c") >= 8)
+    rows = lines.select("line_no", F.col("c")[0].alias("query"), F.col("c")[1].alias("subject"), *(F.trim(F.col("c")[i + 2]).try_cast("double").alias(n) for i, n in enumerate(names)))
+    return rows.dropna(subset=list(names))
 
 
 def read_wig(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -77,19 +152,29 @@ def read_wig(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def wig_runs(df: DataFrame, keys: Sequence[str], step: int = 1) -> DataFrame:
-    """(keys, run, start, values): maximal runs of positions ``step`` apart; one row a position must be given."""
-    order = Window.partitionBy(*keys).orderBy("pos")
+    """(keys, start, n): maximal runs of positions ``step`` apart; one row a position must be given."""
+    rows = df.select(*keys, F.pmod("pos", F.lit(step)).alias("_rest"), F.floor(F.col("pos") / step).alias("start"), F.floor(F.col("pos") / step).alias("stop"))
+    runs = merged(rows, [*keys, "_rest"])
+    return runs.select(*keys, (F.col("start") * step + F.col("_rest")).alias("start"), (F.col("stop") - F.col("start") + 1).alias("n"))
+
+
+def wig_blocks(df: DataFrame, keys: Sequence[str], step: int = 1, most: int = BIN) -> DataFrame:
+    """(keys, start, values): runs of positions ``step`` apart, cut where they pass a multiple of ``most`` steps, so that no
+    row holds more values."""
+    place = F.floor(F.col("pos") / step)
+    tile = df.withColumns({"_tile": F.floor(place / most), "_rest": F.pmod("pos", F.lit(step))})
+    order = Window.partitionBy(*keys, "_rest", "_tile").orderBy("pos")
     new = F.when(F.col("pos") - F.lag("pos").over(order) == step, 0).otherwise(1)
-    numbered = df.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = tile.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     values = F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"])
-    return numbered.groupBy(*keys, "run").agg(F.min("pos").alias("start"), values.alias("values"))
+    return numbered.groupBy(*keys, "_rest", "_tile", "_run").agg(F.min("pos").alias("start"), values.alias("values")).select(*keys, "start", "values")
 
 
 def write_wig(df: DataFrame, path: str, keys: Sequence[str] = ("seqid",), step: int = 1) -> None:
-    """fixedStep blocks, one for each run."""
+    """fixedStep blocks, ordered by sequence and place."""
     head = F.format_string("fixedStep chrom=%s start=%d step=" + str(step), F.col(keys[0]), F.col("start"))
     body = F.array_join(F.transform("values", lambda x: x.cast("string")), "\n")
-    wig_runs(df, keys, step).orderBy(*keys, "start").select(F.concat(head, F.lit("\n"), body)).write.text(path)
+    wig_blocks(df, keys, step).orderBy(*keys, "start").select(F.concat(head, F.lit("\n"), body)).write.text(path)
 
 
 def write_bed(df: DataFrame, path: str) -> None:
@@ -102,6 +187,19 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("name")).where("name != '' and not startswith(name, '#')")
 
 
+def read_pairs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(name, length) of a list of sequence names, one a line, with a blank between."""
+    parts = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).select(parts.alias("p")).where(F.size("p") >= 2).select(F.col("p")[0].alias("name"), F.col("p")[1].try_cast("long").alias("length"))
+
+
+def sniff_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, format): what each text file's first lines look like; blank lines count."""
+    lines = numbered_lines(spark, path).where("line_no < 3").groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "line"))).alias("x"))
+    line = lambda i: F.try_element_at("x", F.lit(i).cast("long"))
+    return lines.select("file", line(0).alias("first"), line(2).alias("third")).select("file", sniffed("first", "third").alias("format"))
+
+
 def sniffed(first_line: str = "value", third_line: str | None = None):
     """fasta, fastq or unknown, by how a file's first line starts; with a third line, fastq needs a + there."""
     starts = lambda name, mark: F.coalesce(F.trim(F.col(name)).startswith(mark), F.lit(False))
