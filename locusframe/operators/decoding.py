@@ -55,7 +55,7 @@ def decoded(chunks: DataFrame, scorer: Callable[[list[str]], np.ndarray], moves:
         for part in parts:
             sequences = part["sequence"].fillna("").tolist()
             labels: list[list[int]] = [[] for _ in sequences]
-            for length, rows in pd.Series(range(len(sequences))).groupby([len(s) for s in sequences]):
+            for length, rows in pd.Series(range(len(sequences))).groupby(np.array([len(s) for s in sequences], int)):
                 most = max(1, cells // max(1, length * states))
                 for i in range(0, len(rows) if length else 0, most):
                     at = rows.to_numpy()[i : i + most]

@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.functions import genome
+from locusframe.functions import genome, tracks
 from locusframe.functions import sequence as S
-from locusframe.functions.attributes import format_gff, format_gtf, parse
-from locusframe.operators import decoding, evaluation, evidence, intervals, labels, merging
+from locusframe.functions.attributes import format_gff, format_gtf, format_ordered, parse, parse_pairs
+from locusframe.operators import decoding, evaluation, evidence, intervals, labels, merging, models
 from locusframe.operators import transcripts as T
+from locusframe.sources import cards
 from locusframe.sources import text as io
 from locusframe.streaming.files import arriving
 
@@ -93,12 +94,25 @@ def test_stop_codons_extend_the_outer_exon(spark):
 
 def test_stop_check(spark):
     rows = spark.createDataFrame([("ATGTAA",), ("ATGTAGTAA",), ("ATGTA",), ("ATGAAA",), ("",)], "s string")
-    out = [tuple(r) for r in rows.select(*(v.alias(k) for k, v in S.stop_check(F.col("s")).items())).collect()]
+    out = [tuple(r["x"]) for r in rows.select(S.stop_check(F.col("s")).alias("x")).collect()]
     assert out == [
-        (6, True, "TAA", True, 0, 0), (9, True, "TAA", True, 1, 2), (5, False, "ATG", False, 0, 0), (6, True, "AAA", False, 0, 0), (0, True, "NA", False, 0, 0)
+        (6, True, "TAA", True, 0, 0), (9, True, "TAA", True, 1, 4), (5, False, "GTA", False, 0, 0), (6, True, "AAA", False, 0, 0), (0, False, "NA", False, 0, 0)
     ]
 
 
+def test_splicing_and_the_stop_report(spark):
+    genome_rows = spark.createDataFrame([("chr1", "ccATGTAGcccTAAccTTATTTCATcc" * 3)], "seq_name string, sequence string")
+    whole = "ccATGTAGcccTAAccTTATTTCATcc" * 3
+    rows = feats(spark, [("a", 3, 8), ("a", 12, 14), ("m", 17, 25, "-"), ("far", 80, 99)]).unionByName(feats(spark, [("gone", 1, 9)], seqid="chr9"))
+    for size in (4, 7, 4096):  # parts that cross tiles
+        out = {r["tx_id"]: r["sequence"] for r in genome.spliced(rows, genome_rows, size).collect()}
+        assert out == {"a": "ATGTAGTAA", "m": "ATGAAATAA", "far": whole[79:99], "gone": None}
+    report = {r["tx_id"]: tuple(r)[3:] for r in genome.stop_report(rows, genome_rows).collect()}
+    assert report["a"] == (9, True, "TAA", True, 1, 4, "TAG") and report["m"] == (9, True, "TAA", True, 0, 0, "NA") and report["gone"] == (0, False, "NA", False, 0, 0, "NA")
+    assert got(genome.passing(genome.stop_report(rows, genome_rows)), "tx_id") == [("m",)]
+    assert got(genome.proteins(rows, genome_rows).where("tx_id in ('a', 'm')"), "tx_id", "sequence") == [("a", "M**"), ("m", "MK*")]
+
+
 def test_sequence_functions(spark):
     row = spark.createDataFrame([("AaCxTNB", "ATGgcNtaa")], "a string, b string")
     bases = row.select(F.inline(S.base_rows(F.col("a")))).select(S.one_hot(F.col("base"), F.col("softmask")).alias("x")).collect()
@@ -147,9 +161,50 @@ def test_lift_to_the_genome(spark):
 def test_golden_labels(spark):
     plus = labels.all_labels(feats(spark, [("a", 4, 11), ("a", 16, 22)])).toPandas().set_index("pos")["label"]
     assert [int(plus.get(p, 0)) for p in range(1, 24)] == [0, 0, 0, 7, 5, 6, 4, 5, 6, 4, 8, 1, 1, 1, 1, 11, 4, 5, 6, 4, 5, 14, 0]
-    minus = labels.chunked(labels.all_labels(feats(spark, [("a", 4, 11), ("a", 16, 22)], "-")), 23).toPandas().set_index("offset")["label"]
-    assert [int(minus.get(p, 0)) for p in range(23)] == [0, 7, 5, 6, 4, 5, 6, 10, 3, 3, 3, 3, 13, 6, 4, 5, 6, 4, 5, 14, 0, 0, 0]
+    minus = labels.label_tiles(feats(spark, [("a", 4, 11), ("a", 16, 22)], "-"), 23).first()["labels"]
+    assert minus == [0, 7, 5, 6, 4, 5, 6, 10, 3, 3, 3, 3, 13, 6, 4, 5, 6, 4, 5, 14, 0, 0, 0]
     assert [labels.classes_of(5)[i] for i in (4, 7, 10, 12, 5, 8, 13, 6, 9, 11, 14)] == [2] * 4 + [3] * 3 + [4] * 4
+    row = spark.range(7).select(labels.reduced_older(F.col("id").cast("int"), 7, 5).alias("a"), labels.reduced_older(F.col("id").cast("int"), 7, 3).alias("b")).collect()
+    assert [tuple(r) for r in row] == [(0, 0), (1, 1), (1, 1), (1, 1), (2, 2), (3, 2), (4, 2)]
+    hot = spark.createDataFrame([([0, 14],)], "x array<int>").select(labels.one_hot(F.col("x")).alias("h")).first()["h"]
+    assert [h.index(1) for h in hot] == [0, 14] and all(sum(h) == 1 for h in hot)
+
+
+@pytest.mark.parametrize("size", [10, 37])
+def test_label_tiles_are_the_labels_of_bases(spark, size):
+    rng = np.random.default_rng(size)
+    rows = [(f"t{k}", int(s), int(s + w), "+-"[k % 2]) for k in range(12) for s, w in zip(np.cumsum(rng.integers(30, 60, 3)) + 20 * k, rng.integers(0, 25, 3), strict=True)]
+    cds = feats(spark, rows)
+    want = {}
+    for r in labels.all_labels(cds).collect():
+        key = (r["strand"], r["pos"])
+        want[key] = max(want.get(key, ("", 0)), (r["tx_id"], r["label"]))
+    found = {}
+    for r in labels.label_tiles(cds, size).collect():
+        for i, x in enumerate(r["labels"] if r["strand"] == "+" else r["labels"][::-1]):
+            if x:
+                found[r["strand"], r["chunk"] * size + i + 1] = x
+    assert found == {k: v[1] for k, v in want.items()}
+
+
+@pytest.mark.parametrize("width", [8, 1 << 14])
+def test_reading_frames_are_brute_force(spark, width):
+    rng = np.random.default_rng(width)
+    starts, stops = (sorted(set(rng.integers(0, 300, n).tolist())) for n in (60, 30))
+    table = lambda x: spark.createDataFrame([("c", v) for v in x], "seqid string, pos long")
+    want = sorted((a, min(z for z in stops if z > a + 3)) for a in starts if any(z > a + 3 for z in stops))
+    assert sorted((r["start"], r["stop"]) for r in labels.reading_frames(table(starts), table(stops), ["seqid"], width).collect()) == want
+
+
+def test_subtracted_is_brute_force(spark):
+    rng = np.random.default_rng(1)
+    make = lambda n: [(str(i), int(s), int(s + rng.integers(0, 30))) for i, s in enumerate(rng.integers(1, 400, n))]
+    a, b = make(25), make(15)
+    on = lambda x: {p for r in x for p in range(r[1], r[2] + 1)}
+    for width in (16, 1 << 14):
+        out = intervals.subtracted(feats(spark, a), feats(spark, b), ["seqid"], width).collect()
+        assert {p for r in out for p in range(r["start"], r["stop"] + 1)} == on(a) - on(b)
+        assert sum(r["stop"] - r["start"] + 1 for r in out) == len(on(a) - on(b))
 
 
 def test_mask(spark):
@@ -225,11 +280,135 @@ def test_viterbi_is_the_best_path(spark):
     value = lambda p: start[p[0]] + sum(scores[t, s] for t, s in enumerate(p)) + sum(moves[a, b] for a, b in zip(p, p[1:], strict=False))
     assert tuple(decoding.viterbi(scores, moves, start)) == max(np.ndindex(*[3] * 6), key=value)
     chunks = spark.createDataFrame([("a", "AAATTT"), ("b", "")], "chunk string, sequence string")
-    score = lambda s: np.array([[0.0, -3.0] if c == "A" else [-3.0, 0.0] for c in s])
+    score = lambda many: np.array([[[0.0, -3.0] if c == "A" else [-3.0, 0.0] for c in s] for s in many])
     out = decoding.decoded(chunks, score, np.log([[0.9, 0.1], [0.1, 0.9]]), np.log([0.5, 0.5]))
     assert got(out, "chunk", "labels") == [("a", [0, 0, 0, 1, 1, 1]), ("b", [])]
     runs = decoding.label_runs(out.select("chunk", F.posexplode("labels").alias("pos", "label")), ["chunk"])
     assert got(runs, "label", "start", "stop") == [(0, 0, 2), (1, 3, 5)]
+    genome_rows = spark.createDataFrame([("s", "AAAATTTTTTAAATAAAATT")], "seq_name string, sequence string")
+    even = np.log(np.full((2, 2), 0.5))
+    both = decoding.genome_runs(genome_rows, 6, 2, score, even, even[0])
+    plus = decoding.annotated(both.where("strand = '+'"), [1])
+    assert got(plus, "start", "stop") == [(14, 14), (19, 20), (5, 10)]
+    assert got(decoding.annotated(both.where("strand = '-'"), [1]), "start", "stop") == [(1, 4), (11, 13), (15, 18)]
+    chosen = spark.createDataFrame([("s", 1)], "seq_name string, code int")
+    again = both.withColumn("label", F.col("label") + 10)
+    mixed = decoding.predicted_again(both, again, chosen, ["seq_name"])
+    assert {(r["strand"], r["label"] >= 10) for r in mixed.collect()} == {("+", False), ("-", True)}
+    with pytest.raises(Exception, match="features: 4"):
+        decoding.checked_features(spark.createDataFrame([([[0.0] * 4],)], "x array<array<double>>"), "x").collect()
+
+
+def test_models_from_files(spark, tmp_path):
+    (tmp_path / "a.gtf").write_text(
+        "#x\nc\tA\tCDS\t10\t20\t.\t+\t0\tgene_id \"g\"; transcript_id \"t\";\nc\tA\tUTR\t1\t9\t.\t+\t.\tgene_id \"g\"; transcript_id \"t\";\n"
+        "d\tA\tCDS\t10\t20\t.\t+\t0\tgene_id \"g\"; transcript_id \"t\";\n"
+    )
+    (tmp_path / "b.gff").write_text("c\tB\texon\t10\t20\t.\t+\t.\tParent=u\nc\tB\tCDS\t12\t18\t.\t+\t0\tParent=u\nc\tB\tUTR\t30\t40\t.\t+\t.\tParent=only\n")
+    found = models.models_of(io.read_models(spark, [str(tmp_path / "a.gtf"), str(tmp_path / "b.gff")]))
+    assert got(found, "tx_id", "start", "stop", "out_start", "utr_bp") == [("0:c:+:t", 10, 20, 1, 9), ("0:d:+:t", 10, 20, 10, 0), ("1:c:+:u", 10, 20, 10, 0)]
+    rows = models.cluster_rows(merging.merge_all(found))
+    io.write_gff(rows, str(tmp_path / "out"), ["gene", "nth", "rank", "i"])
+    lines = [r[0].split("\t") for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert [(x[0], x[1], x[2], x[3], x[4], x[8]) for x in lines] == [
+        ("c", "A", "gene", "1", "20", "ID=gene_000001"), ("c", "A", "transcript", "1", "20", "ID=gene_000001.t1;Parent=gene_000001"),
+        ("c", "A", "exon", "10", "20", "ID=gene_000001.t1.exon1;Parent=gene_000001.t1"), ("c", "A", "UTR", "1", "9", "ID=gene_000001.t1.utr1;Parent=gene_000001.t1"),
+        ("c", "A", "CDS", "10", "20", "ID=gene_000001.t1.cds1;Parent=gene_000001.t1"), ("d", "A", "gene", "10", "20", "ID=gene_000002"),
+        ("d", "A", "transcript", "10", "20", "ID=gene_000002.t1;Parent=gene_000002"), ("d", "A", "exon", "10", "20", "ID=gene_000002.t1.exon1;Parent=gene_000002.t1"),
+        ("d", "A", "CDS", "10", "20", "ID=gene_000002.t1.cds1;Parent=gene_000002.t1"),
+    ]
+
+
+def test_exons_are_rebuilt_from_parts(spark):
+    part = lambda n, s, e: ("c", "+", n, "x", "CDS", s, e, "0")
+    schema = "seqid string, strand string, tx_id string, source string, type string, start long, stop long, phase string"
+    cds = spark.createDataFrame([part("t", 10, 20), part("o", 100, 110)], schema)
+    utr = spark.createDataFrame([("c", "+", "t", "x", "UTR", s, e, ".") for s, e in ((21, 30), (40, 50))] + [("c", "+", "none", "x", "UTR", 1, 2, ".")], schema)
+    parents = spark.createDataFrame([("t", "g"), ("o", "lost")], "tx_id string, gene_id string")
+    rows = models.rebuilt_rows(cds, utr, parents, spark.createDataFrame([("g",)], "gene_id string"))
+    assert got(rows.where("type = 'exon'"), "tx_id", "start", "stop") == [("o", 100, 110), ("t", 10, 30), ("t", 40, 50)]
+    assert got(rows.where("type = 'gene'"), "attrs", "source", "start", "stop") == [("ID=g", "x", 10, 50), ("ID=o.gene", "rebuild", 100, 110)]
+
+
+def test_lines_are_numbered_across_parts(spark, tmp_path):
+    (tmp_path / "long.txt").write_text("".join(f"line {i}\r\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        lines = io.numbered_lines(spark, str(tmp_path / "long.txt"))
+        assert lines.rdd.getNumPartitions() > 3
+        assert got(lines, "line_no", "line") == sorted(((i, f"line {i}") for i in range(5000)), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_short_hits_skip_what_the_format_skips(spark, tmp_path):
+    (tmp_path / "h.tsv").write_text("# q\nq\ts_1\t50\t10\t1e-9\t99\t20\t30\textra\n\nq\tshort\t1\nq\ts_2\t50\t10\t1e-9\t99\t20\t30\nq\ts_3\tx\t10\t1e-9\t99\t20\t30\n")
+    hits = io.read_short_hits(spark, str(tmp_path / "h.tsv"))
+    assert got(hits, "line_no", "subject") == [(1, "s_1"), (4, "s_2")]
+    assert got(evidence.best_hits(hits), "query", "subject") == [("q", "s_1")]
+
+
+def test_supported_queries_look_up_lengths_and_orfs(spark):
+    schema = "query string, subject string, pident double, alen double, qlen double, slen double, evalue double, bits double, qstart long, tstart long"
+    row = lambda q, s: (q, s, 90.0, 9.0, 10.0, 0.0, 1e-9, 50.0, 1, 1)
+    hits = spark.createDataFrame([row("a", "x"), row("b", "x"), row("c", "y")], schema)
+    lengths = spark.createDataFrame([("x", 10.0)], "subject string, slen double")
+    orfs = spark.createDataFrame([("a", "a type:complete"), ("b", "b type:internal"), ("c", "c type:complete")], "query string, header string")
+    assert got(evidence.supported_queries(hits, 1e-5, 30.0, 0.5, 0.5, orfs, lengths), "query") == [("a",)]
+
+
+def test_codon_rows_and_coordinates(spark):
+    rows = feats(spark, [("a", 1, 9), ("a", 21, 29), ("m", 1, 9, "-")])
+    assert got(T.codon_rows(rows), "tx_id", "type", "start", "stop") == [
+        ("a", "start_codon", 1, 3), ("a", "stop_codon", 27, 29), ("m", "start_codon", 7, 9), ("m", "stop_codon", 1, 3)
+    ]
+    mixed = rows.withColumn("type", F.when(F.col("tx_id") == "m", "exon").otherwise("CDS")).withColumn("phase", F.lit(0))
+    assert {r["tx_id"]: [(p["start"], p["stop"]) for p in r["parts"]] for r in T.coordinates(mixed).collect()} == {"a": [(1, 9), (21, 29)], "m": [(1, 9)]}
+    named = spark.createDataFrame([("a", "new")], "tx_id string, new_gene string")
+    own = T.assembled(rows).withColumn("gene_id", F.lit(None).cast("string"))
+    assert got(T.with_gene(own, named), "tx_id", "gene_id") == [("a", "new"), ("m", "m_g")]
+
+
+def test_tracks(spark):
+    values = spark.createDataFrame([("s", 0, 1.0, -9.0), ("s", 3, 2.0, 0.5)], "seqid string, pos long, a double, b double")
+    lengths = spark.createDataFrame([("s", 5), ("tiny", 1)], "seqid string, length long")
+    tiles = tracks.track_tiles(values, lengths, ["seqid"], ["a", "b"], 2, [0.0, -1.0])
+    assert got(tiles, "tile", "a", "b") == [(0, [1.0, 0.0], [-9.0, -1.0]), (1, [0.0, 2.0], [-1.0, 0.5])]
+    minus = tracks.both_strands(tiles, [("a", "b")], 1).where("strand = '-'")
+    assert got(minus, "tile", "a", "b") == [(0, [0.5, -1.0], [2.0, 0.0]), (1, [-1.0, -9.0], [0.0, 1.0])]
+
+
+def test_small_settings(spark, tmp_path):
+    (tmp_path / "one.yaml").write_text("# c\nweights_url: 'http://h//a'\nsoftmasking: true # yes\nclamsa:\n")
+    (tmp_path / "two.yaml").write_text("# nothing\n")
+    read = cards.read_cards(spark, [str(tmp_path / "one.yaml"), str(tmp_path / "two.yaml")])
+    assert sorted(r[0] for r in read.select(F.array_join(cards.missing_keys(F.col("card")), ",")).collect()) == ["clamsa", "weights_url,softmasking,clamsa"]
+    assert got(cards.distinct_urls(read), "url") == [("http://h/a",)]
+    tags = spark.createDataFrame([("v1.9.0",), ("1.10.0",), ("latest",)], "tag string")
+    assert tags.agg(F.max_by("tag", cards.version_of(F.col("tag")))).first()[0] == "1.10.0"
+    names = spark.createDataFrame([("epoch_10",), ("epoch_9",), ("other",)], "name string")
+    assert [r["name"] for r in cards.numbered(names, "name").orderBy("n").collect()] == ["epoch_9", "epoch_10"]
+    genome.divides(18)
+    with pytest.raises(ValueError, match="must divide"):
+        genome.divides(20)
+    logs = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (-1.0,)], "x double").select(genome.clipped_log(F.col("x"))).collect()
+    assert [r[0] for r in logs] == [-30.0, 0.0, 0.0, -30.0]
+    report = spark.createDataFrame([("12 + 0 mapped (93.50% : N/A)",), ("x",)], "v string").select(evidence.mapped_percent(F.col("v"))).collect()
+    assert [r[0] for r in report] == [93.5, None]
+
+
+def test_attributes_in_their_order(spark):
+    rows = spark.createDataFrame([('b "2"; a "1"; b "3";',)], "x string").select(parse_pairs(F.col("x")).alias("p"))
+    assert tuple(rows.select(format_ordered(F.col("p")), format_ordered(F.col("p"), gtf=True)).first()) == ("b=2;a=1;b=3", 'b "2"; a "1"; b "3";')
+
+
+def test_interval_plans_read_their_input_once(spark):
+    """What is read more than once is stored; else each nesting would double the reads."""
+    seen = F.udf(lambda x: x, "long")
+    for build in (merging.merge_all, merging.with_locus):
+        table = T.assembled(feats(spark, [("a", 1, 10), ("b", 5, 20)])).withColumns({"utr_bp": F.lit(0), "start": seen("start")})
+        plan = build(table)._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" not in plan and plan.count("Scan parquet") <= 4
 
 
 def test_stream_equals_batch(spark, tmp_path):
