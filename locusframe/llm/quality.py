@@ -157,7 +157,7 @@ def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id",
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for part in in_parts(batch, place):
+            for part in in_parts(batch, place, 2 << 20):
                 scores = model.scores(part.column(place).to_pylist())
                 columns = [*part.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())]
                 yield pa.record_batch(columns, [*names, score, predicted])

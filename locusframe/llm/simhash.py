@@ -65,15 +65,17 @@ def _patterns(most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     A word minus any pattern of its own syndrome is a code word, at the pattern's weight.
     """
-    words = np.arange(1 << LENGTH, dtype=np.uint32)
-    words = words[np.bitwise_count(words) <= most]
+    levels = [np.zeros(1, np.int64)]
+    for _ in range(most):  # one more bit, above those that are set; each level is sorted
+        levels.append(np.concatenate([levels[-1][: np.searchsorted(levels[-1], 1 << b)] | 1 << b for b in range(LENGTH)]))
+    words = np.concatenate(levels)
     remainder = words.copy()
     for bit in range(LENGTH - 1, 10, -1):
-        remainder ^= np.where(remainder >> bit & 1, np.uint32(GENERATOR << (bit - 11)), np.uint32(0))
-    kind = remainder.astype(np.int64) * (most + 1) + np.bitwise_count(words)
+        remainder ^= (remainder >> bit & 1) * (GENERATOR << (bit - 11))
+    kind = remainder * (most + 1) + np.bitwise_count(words)
     order = np.argsort(kind, kind="stable")
     sizes = np.bincount(kind, minlength=(most + 1) << 11)
-    return words[order].astype(np.int64), np.cumsum(sizes) - sizes, sizes
+    return words[order], np.cumsum(sizes) - sizes, sizes
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:

@@ -7,11 +7,13 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from locusframe.llm import chat, crf, langid, linededup, mixing, quality, sharding, simhash, urlfilter, vectors
+from locusframe.llm._common import drawn, in_parts, sampled
 from locusframe.llm.components import connected_components
 from locusframe.llm.decontamination import find_contaminated
 
@@ -179,6 +181,50 @@ def test_sharding_of_few_rows(spark):
     check_shards(out, out["size"], 40)
 
 
+def test_shards_do_not_follow_the_file_layout(spark):
+    rng = np.random.default_rng(14)
+    texts = [None, ""] + [f"t{i % 40}" for i in range(300)] + ["hot"] * 300
+    rows = [(int(i) if i % 50 else None, t, int(s), "x", "y", "z") for i, (t, s) in enumerate(zip(texts, rng.integers(16, 400, len(texts)), strict=True))]
+    schema = "doc_id long, text string, size long, shard string, slot string, law string"  # names that the result has, too
+    outs = []
+    for table in (spark.createDataFrame(rows, schema).coalesce(1), spark.createDataFrame(rows[::-1], schema).repartition(5)):
+        keyed = table.withColumn("k", F.xxhash64("text"))
+        out = sharding.shard_by_splitters(keyed, "k", "size", ["doc_id", "text"], n_shards=7, n_ranges=20).toPandas()
+        assert list(out.columns) == ["doc_id", "text", "size", "k", "law", "shard", "slot"]
+        check_shards(out, out["size"], 7)
+        outs.append(sorted(map(repr, out[["doc_id", "text", "size", "shard"]].values.tolist())))
+    assert outs[0] == outs[1]
+
+
+def test_samples_hold_at_any_count(spark):
+    """The chance of a row is a share of 2^64, so it isn't rounded to none where rows are many."""
+    rows = spark.range(200_000)
+    n = rows.where(drawn(3_000, 200_000, "x", "id")).count()
+    assert 2_700 < n < 3_300 and rows.where(drawn(5, 5, "x", "id")).count() == 200_000
+    for count in (10**10, 10**13, 10**17):
+        limit = (3_000 << 64) // count - (1 << 63)
+        assert limit > -(1 << 63) and abs((limit + (1 << 63)) / 2**64 * count / 3_000 - 1) < 1e-2
+    some = sampled(rows.union(rows), 100, 400_000, "x", "id")
+    assert 50 < some.count() == some.distinct().count() <= 100  # of rows that repeat, fewer may be left
+
+
+def test_parts_are_cut_by_bytes():
+    batch = pa.record_batch([pa.array(["x" * n for n in (5, 5, 100, 1, 1)] + [None])], ["t"])
+    assert [p.num_rows for p in in_parts(batch, 0, most_bytes=10)] == [2, 1, 3]
+    assert [p.num_rows for p in in_parts(batch, 0, most_bytes=1000, most_rows=4)] == [4, 2]
+
+
+def test_line_dedup_of_repeats_ties_and_long_pages(spark):
+    page = "<SCRIPT>hidden</script>\t<p>common</p><p>\tcommon </p>own {}<script>never closed"
+    data = [(i, "http://h", page.format(i)) for i in range(6)] * 2 + [(90, "http://g", "<script " * 20_000), (91, "http://g", "word " * 50_000), (92, "http://g", None)]
+    out = linededup.drop_site_lines(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    assert len(out) == 15 and {r["text"] for r in out if r["host"] == "h"} == {f"own {i}" for i in range(6)}
+    assert {(r["n_lines"], r["n_dropped"]) for r in out if r["host"] == "h"} == {(3, 2)}
+    assert {r["page_id"]: len(r["text"]) for r in out if r["host"] == "g"} == {90: 0, 91: 249_999, 92: 0}
+    half = [(i, "http://h", "<p>a</p>" if i < 3 else "<p>b</p>") for i in range(10)]  # exactly the ratio is not over it
+    assert {r["text"] for r in linededup.drop_site_lines(spark.createDataFrame(half, "page_id long, url string, html string"), max_ratio=0.7, min_pages=1).collect()} == {"a", "b"}
+
+
 def test_line_dedup(spark):
     page = lambda body: f"<html><nav>Home</nav><p>{body}</p><script>x</script><footer>&copy; us</footer></html>"
     data = [(i, f"https://A.example/{i}", page(f"text {i}")) for i in range(8)] + [(50, "http://b.example", page("alone")), (51, None, None), (52, "no", "")]
@@ -193,7 +239,7 @@ def test_chat_round_trip_and_sharing(spark):
     talks = {
         1: [("user", "hi"), ("assistant", "yes"), ("user", "more")], 2: [("user", "hi"), ("assistant", "yes"), ("user", "else")], 3: [("user", "hi"), ("assistant", "yes")],
         4: [("user", "hi"), ("assistant", "yes"), ("user", "more")], 5: [(trap, trap), ("assistant", trap)], 6: [("user", None), (None, "x")], 7: [("assistant", "")], None: [("user", "n")],
-        8: [("user", "hi")] + [("assistant", str(i)) for i in range(60)],
+        8: [("user", "hi")] + [("assistant", str(i)) for i in range(60)], 9: [("user", "same")] * 5, 10: [("user", LONG), ("assistant", LONG)],
     }
     data = [(c, i, r, t) for c, turns in talks.items() for i, (r, t) in enumerate(turns)]
     table = spark.createDataFrame(data, "conv_id long, turn int, role string, text string").withColumn("path", F.lit(0))
@@ -210,6 +256,15 @@ def test_chat_round_trip_and_sharing(spark):
         assert sum(a["stop"] - a["start"] for a in r.attends) == r.position
         assert all(a["stop"] <= r.start for a in r.attends)
     assert chat.read_back(chat.build_tree(table.limit(0))).count() == 0
+    users = {r["node"]: r["users"] for r in tree.nodes.collect()}
+    assert sum(users.values()) == sum(len(t) for c, t in talks.items() if c != 4)  # 4 is a copy of 1
+
+
+def test_chat_of_equal_turn_numbers_and_repeated_rows(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, None, "system", "first"), (1, 0, "user", "a")]
+    back = chat.read_back(chat.build_tree(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).first()
+    texts = sorted(["a", "a", "b"], key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert [tuple(t) for t in back["turns"]] == [("system", "first"), ("assistant", "z")] + [("user", t) for t in texts]
 
 
 def test_crf_marginals_are_brute_force():
@@ -279,6 +334,20 @@ def test_mixing(spark):
     assert mixing.mix_to_targets(docs.limit(0), dims, mixing.tokens_of(F.col("text"))).count() == 0
 
 
+def test_mixing_in_spark_is_mixing_on_the_driver(spark):
+    rng = np.random.default_rng(17)
+    data = [(i if i % 9 else None, "t " * int(n), ["en", "fr", None][i % 3], f"s{i % 7}") for i, n in enumerate(rng.integers(0, 60, 500))]
+    docs = spark.createDataFrame(data, DOCS)
+    dims = {"src": F.col("source"), "lg": F.col("lang")}
+    for aims in ({}, {"src": {"s1": 0.5, "s2": 0.5}}):
+        args = (dims, mixing.tokens_of(F.col("text")), mixing.draw_key(F.col("doc_id"), F.col("text")), aims)
+        small, large = (mixing.mix_to_targets(docs, *args, rounds=6, whole_share=0.2, driver_cells=n).toPandas().sort_values(["text", "src", "lg", "doc_id"]) for n in (1000, 1))
+        assert np.allclose(small["weight"], large["weight"]) and np.allclose(small["probability"], large["probability"])
+        assert (small["sampled"].to_numpy() == large["sampled"].to_numpy()).all()
+        if not aims:
+            assert small[small["doc_id"].isna()]["sampled"].nunique() == 2  # rows without an id are drawn by their texts
+
+
 def test_rake_reaches_both_marginals():
     cells = np.array([(i, j) for i in range(3) for j in range(2)])
     out = mixing.rake(cells, np.arange(1.0, 7.0), [np.array([0.2, 0.3, 0.5]), np.array([0.6, 0.4])], 50)
@@ -304,6 +373,20 @@ def test_urls(spark):
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
 
 
+def test_urls_learned_from_labels(spark):
+    """Held-out urls: what the trees say agrees with labels that depend on form alone, on suffixes they have not seen."""
+    rng = np.random.default_rng(21)
+    words = ["alpha", "beta", "gamma", "delta"]
+    good = lambda i: f"https://{rng.choice(words)}{i}.{['com', 'org', 'net'][i % 3]}/{rng.choice(words)}/{rng.choice(words)}"
+    bad = lambda i: f"http://{i * 7919 % 10_007}-{i}.{['com', 'org', 'net'][i % 3]}/a?id={i}&x={i * 31}&y=1&s={i * 17}"
+    labelled = spark.createDataFrame([(good(i), "allow") for i in range(400)] + [(bad(i), "block") for i in range(400)] + [(None, "block"), ("http://z", None)], "url string, verdict string")
+    held = [(i, good(10_000 + i)) for i in range(100)] + [(1000 + i, bad(10_000 + i)) for i in range(100)] + [(5000, "http://" + "a" * 100_000)]
+    out = urlfilter.judge_urls(spark.createDataFrame(held, "page_id long, url string"), [], labelled).toPandas()
+    low, high = out[out["page_id"] < 1000]["score"].to_numpy(), out[out["page_id"].between(1000, 4999)]["score"].to_numpy()
+    auc = (high[:, None] > low).mean() + 0.5 * (high[:, None] == low).mean()
+    assert auc > 0.97 and len(out) == 201
+
+
 def test_vectors_are_brute_force(spark):
     rng = np.random.default_rng(8)
     centre = rng.normal(size=(60, 16))
@@ -329,6 +412,41 @@ def test_vectors_are_brute_force(spark):
     assert vectors.near_vectors(table.limit(0)).count() == 0
 
 
+def test_repeated_vectors_and_split_lists(spark):
+    """Lists are split into parts, ids repeat, lengths differ in size: nothing is lost or counted twice."""
+    rng = np.random.default_rng(31)
+    centre = rng.normal(size=(8, 24))
+    x = np.concatenate([c + rng.normal(size=(40, 24)) * 0.02 for c in centre]).astype(np.float32)
+    x[::7] *= np.float32(1e-25)
+    data = [(i % 300, v.tolist(), "l") for i, v in enumerate(x)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<float>, label string")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_vectors(table, list_size=40, part_rows=30).collect())
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    ids = np.arange(len(x)) % 300
+    least = ids.copy()
+    for _ in range(len(x)):
+        least = np.array([least[n].min() for n in near])
+    assert got == sorted((int(i), int(n.sum()) - 1, int(c)) for i, n, c in zip(ids, near, least, strict=True))
+
+
+def test_letters_are_alphabetic():
+    assert langid.words_of("² ½ Ⅷ ① 123 _") == [] and langid.words_of("aⅧb É²x") == ["a", "b", "é", "x"]
+
+
+def test_language_and_quality_of_many_lines_and_repeats(spark):
+    docs, labels = quality_tables(spark)
+    model = quality.fit_quality(docs, labels)
+    many = "Plain words make up this line.\n" * 30_000
+    lines = quality._lines(many)
+    assert np.allclose(model.line_scores(lines[:20_000])[5:100], quality.line_features("\n".join(lines[:20_000]))[5:100] @ model.weights)
+    odd = spark.createDataFrame([(1, many), (1, many), (2, "\n\n \n"), (3, None)], "doc_id long, text string")
+    out = quality.score_quality(odd, model).toPandas()
+    assert len(out) == 4 and out["score"].between(0, 1).all() and out[out["doc_id"] == 1]["score"].nunique() == 1
+    again = quality.fit_quality(docs.union(docs), labels)
+    assert np.allclose(again.weights, model.weights)  # repeated rows teach nothing new
+
+
 def test_language_features_cover_the_whole_word():
     long = "a" * 50 + "qxz" + "b" * 50
     slot = zlib.crc32(b"qxz") % langid.SLOTS

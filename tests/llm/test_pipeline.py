@@ -99,3 +99,21 @@ def test_dense_bands_lose_no_link(spark, monkeypatch):
     links = nearcopies.rest_links(spark.createDataFrame(groups, "rid long, bands array<long>"), none, rows, 5, 0.8)
     assert sorted({tuple(r) for r in links.collect()}) == [(i, i + 1) for i in range(0, 120, 2)]
     assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()) == list(range(0, 120, 2))
+
+
+def test_stages_on_odd_rows(spark, tables):
+    """Null and repeated ids, null and very long texts, extra and clashing columns, and no rows at all."""
+    folder, docs, _ = tables
+    long = " ".join(hashlib.md5(f"l{i}".encode()).hexdigest()[:5] for i in range(30_000))
+    texts = [docs["text"][i] for i in range(12)] + [long, None, None, "", "  "]
+    rows = [(None if i % 3 == 0 else 7, t, "en", None, 1, "s", 1.0, 3) for i, t in enumerate(texts)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard string, score double, rid int")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, folder).toPandas()
+        assert set(corpus_pipeline.COLUMNS) <= set(out.columns), name
+        assert set(out["text"].dropna()) <= set(t for t in texts if t is not None)
+        if name == "SimHash near-dedup":
+            assert len(out) == 14  # the texts without words are one group
+        if name == "sharding":
+            assert len(out) == len(texts)
+        assert stage(spark, odd.limit(0), folder).count() == 0, name
