@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,8 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         name = spark.sparkContext.applicationId
-        folder = _LOCAL.setdefault(name, "") or "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        _LOCAL[name] = folder
+        if name not in _LOCAL:
+            path = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
+            _LOCAL[name] = f"file://{path}"
+        folder = _LOCAL[name]
     return folder
 
 
