@@ -4,6 +4,8 @@ are too far apart for these, from MinHash bands."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +99,12 @@ def candidates(groups: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long").where("a < b")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            yield from zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True)
+
+
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -199,18 +207,11 @@ def rest_links(groups: DataFrame, roots: DataFrame, texts: DataFrame, words: int
                 yield pa.record_batch([*part.columns[:3], pa.array([np.unique(shingles(part.column(3)[0].as_py(), words)).tobytes()], pa.binary())], ["rid", "root", "keys", "elements"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
-        for batch in _and_end(batches):
-            rows = [] if batch is None else list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            for row in [*rows, None] if batch is None else rows:
-                if kept and (row is None or row[0] != kept[0][0]):
-                    _, rid, root, side, raw = zip(*kept, strict=True)
-                    a, b = _by_prefix([np.frombuffer(x, np.uint64) for x in raw], np.array(root), np.array(side), similarity)
-                    a, b = forest(np.array(rid)[a], np.array(rid)[b]) if len(a) else (a, b)
-                    yield pa.record_batch([np.minimum(a, b), np.maximum(a, b)], ["a", "b"])
-                    kept = []
-                if row is not None:
-                    kept.append(row)
+        for _, rows in groupby(_rows(batches), itemgetter(0)):
+            _, rid, root, side, raw = zip(*rows, strict=True)
+            a, b = _by_prefix([np.frombuffer(x, np.uint64) for x in raw], np.array(root), np.array(side), similarity)
+            a, b = forest(np.array(rid)[a], np.array(rid)[b]) if len(a) else (a, b)
+            yield pa.record_batch([np.minimum(a, b), np.maximum(a, b)], ["a", "b"])
 
     importable(groups.sparkSession)
     own = dealt.join(texts.select("rid", F.col("text").cast("binary").alias("text")), "rid").select("rid", "root", "keys", "text")
@@ -220,6 +221,15 @@ def rest_links(groups: DataFrame, roots: DataFrame, texts: DataFrame, words: int
     return made.mapInArrow(compare, "a long, b long")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) after more links: only the roots that these connect are looked at anew."""
+    x, y = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+    tops = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    above = written(connected_components(tops, "a", "b")).toDF("node", "top")
+    moved = roots.join(above.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.union(above.join(roots.select("node"), "node", "left_anti").select("node", F.col("top").alias("root")))
+
+
 def kept_rows(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(rid): of ``rows`` (rid, doc_id, text; rid each once) one of each group of near copies, that of least doc_id.
 
@@ -247,6 +257,6 @@ def kept_rows(rows: DataFrame, words: int = 5, similarity: float = 0.8) -> DataF
     roots = written(connected_components(links, "a", "b"))
     more = written(rest_links(groups, roots, rows, words, similarity))
     if more.limit(1).count():
-        roots = written(connected_components(links.union(more), "a", "b"))
+        roots = written(_joined(roots, more))
     of = groups.select("rid", "best").join(roots.withColumnRenamed("node", "rid"), "rid", "left")
     return of.groupBy(F.coalesce("root", "rid").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
