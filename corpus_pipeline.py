@@ -31,6 +31,8 @@ def tagged(docs: DataFrame) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that of least id, of each group of near copies: five-word shingles, a similarity of 0.8 or more.
 
+    Candidates come from the SimHash operator's anchors and from MinHash bands; each link is verified exactly.
+
     Rows are told apart by a row id, so null or repeated doc_ids merge nothing. The rows that stay are about as
     many as the documents, so they are joined by a shuffle at any size.
     """
