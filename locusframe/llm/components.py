@@ -20,15 +20,16 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = written(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
     )
-    mark = None
+    # No table of a round has more rows than two for each link.
+    n, mark = 2 * now.count(), None
     while True:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = written(large.where("hi != lo").distinct())
-        least = written(large.groupBy("hi").agg(F.min("lo").alias("m")))
+        large = written(large.where("hi != lo").distinct(), n)
+        least = written(large.groupBy("hi").agg(F.min("lo").alias("m")), n)
         small = large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = written(small.union(least.select("hi", F.col("m").alias("lo"))).distinct())
+        now = written(small.union(least.select("hi", F.col("m").alias("lo"))).distinct(), n)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
