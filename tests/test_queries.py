@@ -45,4 +45,4 @@ def test_entry_points(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
-    assert QUERIES["shards"](spark, FOLDER).agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    assert QUERIES["shards"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
