@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import chat, langid, linededup, mixing, oracles, quality, simhash, urlfilter, vectors
+from locusframe.llm import chat, langid, linededup, mixing, oracles, quality, repair, simhash, urlfilter, vectors
 from locusframe.llm._common import written
 from locusframe.llm.decontamination import find_contaminated
 from locusframe.llm.sharding import shard_by_splitters
@@ -103,6 +103,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with planted faults, and the cheapest edits that repair each."""
+    return repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -114,6 +119,7 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_sharding": op4_sharding,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": oracles.LINE_DEDUP,
