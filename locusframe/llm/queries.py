@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import chat, langid, linededup, mixing, oracles, quality, repair, simhash, urlfilter, vectors
+from locusframe.llm import cascade, chat, langid, linededup, mixing, oracles, quality, repair, simhash, urlfilter, vectors
 from locusframe.llm._common import written
 from locusframe.llm.decontamination import find_contaminated
 from locusframe.llm.sharding import shard_by_splitters
@@ -103,6 +103,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of every document that quality rules are made of, and whether a cascade of rules keeps it."""
+    report = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = cascade.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), report=report)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select("doc_id", *report, failed.alias("base_failed"), "kept")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations with planted faults, and the cheapest edits that repair each."""
     return repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")))
@@ -119,6 +127,7 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_sharding": op4_sharding,
+    "op12_quality_rules": op12_quality_rules,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {
