@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import cascade, chat, langid, linededup, mixing, oracles, quality, repair, simhash, urlfilter, vectors
+from locusframe.llm import cascade, chat, langid, linededup, mixing, oracles, quality, repair, simhash, spelling, urlfilter, vectors
 from locusframe.llm._common import written
 from locusframe.llm.decontamination import find_contaminated
 from locusframe.llm.sharding import shard_by_splitters
@@ -103,6 +103,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, each with its more frequent form one edit away."""
+    words = written(spelling.counted_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return spelling.spelling_variants(words)
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of every document that quality rules are made of, and whether a cascade of rules keeps it."""
     report = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -127,6 +133,7 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_sharding": op4_sharding,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_quality_rules": op12_quality_rules,
     "op13_conversation_repair": op13_conversation_repair,
 }
