@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import cascade, chat, langid, linededup, mixing, oracles, quality, repair, simhash, spelling, urlfilter, vectors
+from locusframe.llm import cascade, chat, langid, linededup, mixing, oracles, oracles_more, quality, repair, simhash, spelling, urlfilter, vectors
 from locusframe.llm._common import written
 from locusframe.llm.decontamination import find_contaminated
 from locusframe.llm.sharding import shard_by_splitters
@@ -143,4 +143,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": oracles.CHAT,
     "op6_mixing": oracles.mixing(25, 0.9, 0.01),
     "op9_embedding_near_dedup": oracles.VECTORS,
+    "op11_spelling_variants": oracles_more.SPELLING,
+    "op12_quality_rules": oracles_more.RULES,
+    "op13_conversation_repair": oracles_more.REPAIR,
 }
