@@ -66,6 +66,19 @@ DNA = f"""d AS (SELECT 'd' || doc_id AS seq_name, CAST(doc_id AS BIGINT) AS seq_
   regexp_replace(translate(text, '{LETTERS}', '{BASES}'), '[^ACGTacgt]', 'N', 'g') AS sequence FROM documents)"""
 
 
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of some hundred bases: 16 from the digest of each line of 16 neighbouring orders, in their order."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("o"), F.col("l_linenumber").cast("long").alias("ln")).distinct()
+    bases = F.translate(F.substring(F.md5(F.concat_ws("-", "o", "ln")), 1, 16), "0123456789abcdef", "ACGTACGTACGTACGT")
+    lines = F.sort_array(F.collect_list(F.struct("o", "ln", bases.alias("bases"))))
+    whole = rows.groupBy(F.floor(F.col("o") / 16).alias("k")).agg(lines.alias("lines"))
+    return whole.select(F.concat(F.lit("c"), "k").alias("seq_name"), F.array_join(F.transform("lines", lambda x: x["bases"]), "").alias("sequence"))
+
+
+CONTIGS = """ctg AS (SELECT 'c' || (o // 16) AS seq_name, string_agg(translate(substr(md5(o || '-' || ln), 1, 16), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY o, ln) AS sequence
+  FROM (SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS o, CAST(l_linenumber AS BIGINT) AS ln FROM lineitem) GROUP BY o // 16)"""
+
+
 def on_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gene models with the documents as their sequences: each transcript in one of them, anywhere in its length."""
     f, docs = features(spark, sf_dir), table(spark, sf_dir, "documents")

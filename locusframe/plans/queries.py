@@ -1153,3 +1153,6 @@ def near_sqrt_divisor(spark, d):
     """Of each part's number the divisor nearest to its root, and the adapted chunk size."""
     rows = P.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("n")).where("n > 0").distinct()
     return rows.select("n", genome.nearest_divisor(F.col("n")).cast("long").alias("divisor"), genome.adapted_chunks(F.col("n"), 150, 4).cast("long").alias("chunk"))
+
+
+from locusframe.plans import gene_queries  # noqa: E402, F401 - registers its queries
