@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.genome import stop_report
@@ -37,6 +37,8 @@ REACH = 2
 DONORS, ACCEPTORS = ("GT", "GC"), ("AG",)
 #: Positions of padded blocks that a task decodes at a time, as one batch.
 CELLS = 1 << 17
+#: Positions of both strands that one task decodes.
+TASK = 1 << 19
 
 Scorer = Callable[[list[str]], np.ndarray]
 
@@ -60,12 +62,8 @@ def class_scores(probabilities: np.ndarray, epsilon: float = 0.01) -> np.ndarray
     return np.round(UNIT * np.log(np.maximum(mixed, 1e-12))).astype(np.int64)
 
 
-_PRED = np.full((STATES, 3), STATES)
-for _to in range(STATES):
-    _from = [s for s, after in STEPS.items() if _to in after]
-    _PRED[_to, : len(_from)] = _from
-#: The places of state 5 before 6 and 9: the steps that end a whole codon of one exon.
-_AFTER_5 = [(to, int(np.flatnonzero(_PRED[to] == 5)[0])) for to in (6, 9)]
+#: The states before each state, in order.
+_BEFORE = [[s for s, after in STEPS.items() if to in after] for to in range(STATES)]
 _CODE = np.full(256, 4, np.int64)
 for _i, _base in enumerate("ACGT"):
     _CODE[ord(_base)] = _CODE[ord(_base.lower())] = _i
@@ -97,48 +95,48 @@ def masked_scores(scores: np.ndarray, letters: np.ndarray, donors: Sequence[str]
 
 
 def forward(entry: np.ndarray, scores: np.ndarray, stops: np.ndarray, lengths: np.ndarray, moves: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Best scores at the end of each of n blocks for entry vectors [n, rows, 15]; with ``keep``, also the states before, [length, n, 15].
+    """Best scores at the end of each of n blocks for entry vectors [n, rows, 15]; with ``keep``, also the states before, [length, 15, n].
 
-    A step doesn't go from state 5 to 6 or 9 where a stop codon ends. Of steps as good that from the lower state holds.
-    Blocks shorter than the longest are padded; ``lengths`` has their own.
+    A step doesn't go from state 5 to 6 or 9 where a stop codon ends. Of steps as good that from the lower state holds; states before
+    are those of the first row. Blocks shorter than the longest are padded; ``lengths`` has their own.
     """
     n, length = scores.shape[:2]
-    step = np.full((STATES, 3), NEVER, np.int64)
-    for to in range(STATES):
-        for k, state in enumerate(_PRED[to]):
-            if state < STATES:
-                step[to, k] = moves[state, to]
-    now = np.full((n, entry.shape[1], STATES + 1), NEVER, np.int64)
-    now[..., :STATES] = entry
-    back = np.empty((length, n, STATES), np.int8) if keep else None
+    now = np.ascontiguousarray(np.moveaxis(entry, 2, 0)).astype(np.int64)
+    new = np.empty_like(now)
+    each = np.ascontiguousarray(np.moveaxis(scores, 0, 2))
+    back = np.zeros((length, STATES, n), np.int8) if keep else None
     for t in range(length):
-        ways = [now[..., _PRED[:, k]] + step[:, k] for k in range(3)]
-        stop = stops[:, t]
-        if stop.any():
-            for to, k in _AFTER_5:
-                ways[k][stop, :, to] = NEVER
-        best = np.maximum(np.maximum(ways[0], ways[1]), ways[2])
-        if back is not None:
-            first = np.where(ways[0] == best, 0, np.where(ways[1] == best, 1, 2))[:, 0]
-            back[t] = _PRED[np.arange(STATES), first]
-        new = np.maximum(best + scores[:, None, t], NEVER)
-        live = lengths > t
-        if live.all():
-            now[..., :STATES] = new
-        else:
-            now[live, :, :STATES] = new[live]
-    return now[..., :STATES], back
+        stop = np.flatnonzero(stops[:, t])
+        for to, before in enumerate(_BEFORE):
+            best = new[to]
+            for k, state in enumerate(before):
+                way = now[state] + moves[state, to]
+                if state == 5 and to != STOP and len(stop):
+                    way[stop] = NEVER
+                if back is not None:
+                    back[t, to] = state if k == 0 else np.where(way[:, 0] > best[:, 0], state, back[t, to])
+                if k == 0:
+                    best[:] = way
+                else:
+                    np.maximum(best, way, out=best)
+            best += each[t, to][:, None]
+        np.maximum(new, NEVER, out=new)
+        over = np.flatnonzero(lengths <= t)
+        if len(over):
+            new[:, over] = now[:, over]
+        now, new = new, now
+    return np.moveaxis(now, 0, 2), back
 
 
 def paths(back: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The states [n, exits, 1 + length] on the paths that end in ``ends`` [n, exits]; the first is the state before the block."""
-    length, n = back.shape[:2]
+    length, _, n = back.shape
     out = np.zeros((n, ends.shape[1], length + 1), np.int8)
     now, rows = ends.astype(np.int64), np.arange(n)[:, None]
     for t in range(length - 1, -1, -1):
         live = (lengths > t)[:, None]
         out[:, :, t + 1] = np.where(live, now, 0)
-        now = np.where(live, np.minimum(back[t][rows, now], STATES - 1), now)
+        now = np.where(live, back[t][now, rows], now)
     out[:, :, 0] = now
     return out
 
@@ -298,15 +296,17 @@ def _paths(scorer: Scorer, moves: np.ndarray, margin: int) -> Callable:
 
 
 def decoded_blocks(sequences: DataFrame, scorer: Scorer, moves: np.ndarray, size: int = 1 << 12, margin: int = REACH, ends: Sequence[int] = (INTERGENIC, STOP)) -> DataFrame:
-    """(seq_name, strand, block, total, score, runs): the best path of every sequence (seq_name, sequence) on both strands, as runs in each block.
+    """(seq_name, strand, block, total, came, score, runs): the best path of every sequence (seq_name, sequence) on both strands, as runs in each block.
 
     The path is that of one pass over the whole sequence (``decode``), whatever ``size`` is, if the scorer looks no further than ``margin``
     bases. A run has kind (0 intergenic, 1 to 3 intron, 4 exon), start and stop on its own strand, and the states at its ends; a run
-    at a block's border may go on in the next block. ``score`` is the whole path's, in the sequence's last block, else null. A
+    at a block's border may go on in the next block. ``came`` is the state before the block. ``score`` is the whole path's, in the sequence's last block, else null. A
     sequence must begin after an intergenic base and end in a state of ``ends``; seq_name must be unique. Empty sequences give no row.
     """
     importable(sequences.sparkSession)
-    table = stored(blocks(sequences, size, margin))
+    positions = sequences.agg(F.sum(2 * F.length("sequence").cast("long"))).first()[0] or 0
+    # Sequences are few bytes for their work, so blocks are dealt out by their number, not by bytes.
+    table = stored(blocks(sequences, size, margin).repartition(max(1, -(-positions // TASK)), *KEYS, "block"))
     entries = border_scores(table, scorer, moves, margin)
     rows = table.join(entries, [*KEYS, "block"]).withColumn("exits", F.when(F.col("last"), F.array(*map(F.lit, ends))))
     each = stored(rows.mapInArrow(_paths(scorer, moves, margin), f"{_kinds(table)}, last boolean, total long, leave int, came int, score long, runs {RUN}"))
@@ -344,7 +344,7 @@ def decoded_blocks(sequences: DataFrame, scorer: Scorer, moves: np.ndarray, size
 
     slim = each.select(*KEYS, "block", "last", "leave", "came", "score").repartition(*KEYS).sortWithinPartitions(*KEYS, F.col("block").desc(), "leave")
     chosen = slim.mapInArrow(chain, f"{_kinds(table)}, leave int, path_score long")
-    return each.join(chosen, [*KEYS, "block", "leave"]).select(*KEYS, "block", "total", F.col("path_score").alias("score"), "runs")
+    return each.join(chosen, [*KEYS, "block", "leave"]).select(*KEYS, "block", "total", "came", F.col("path_score").alias("score"), "runs")
 
 
 def _kinds(table: DataFrame) -> str:
@@ -356,6 +356,74 @@ def path_pieces(blocks_: DataFrame) -> DataFrame:
     return blocks_.select(*KEYS, "total", F.explode("runs").alias("r")).select(*KEYS, "total", "r.*")
 
 
+def state_at(run: Column, pos: Column) -> Column:
+    """The state of a run at one of its positions: inside an exon by the frame of its first state."""
+    frames = F.array(*(F.lit(FRAME.get(s, 0)) for s in range(STATES)))
+    inner = 4 + (F.get(frames, run["first"]) + (pos - run["start"]).cast("int")) % 3
+    return F.when(pos == run["start"], run["first"]).when(pos == run["stop"], run["last"]).when(run["kind"] < 4, run["kind"]).otherwise(inner).cast("int")
+
+
+def _state_in(runs: Column, pos: Column) -> Column:
+    return F.get(F.transform(F.filter(runs, lambda r: (r["start"] <= pos) & (pos <= r["stop"])), lambda r: state_at(r, pos)), F.lit(0))
+
+
+def doubtful(first: DataFrame, table: DataFrame, size: int) -> DataFrame:
+    """(seq_name, window, code): block borders (the place after them on the plus strand) inside a gene, by strand: 0 plus, 1 minus, 2 both.
+
+    ``table``: the ``blocks`` that ``first`` (``decoded_blocks``) was decoded from.
+    """
+    begins = first.join(table.select(*KEYS, "block", F.col("first").alias("at")), [*KEYS, "block"]).where("block > 0 and came != 0 and runs[0].first != 0")
+    place = F.when(F.col("strand") == "-", F.col("total") + 2 - F.col("at")).otherwise(F.col("at"))
+    sides = begins.groupBy("seq_name", place.alias("window")).agg(F.bool_or(F.col("strand") == "+").alias("plus"), F.bool_or(F.col("strand") == "-").alias("minus"))
+    return sides.select("seq_name", "window", F.when(F.col("plus") & F.col("minus"), 2).when(F.col("minus"), 1).otherwise(0).alias("code"))
+
+
+def predicted_again(
+    sequences: DataFrame, first: DataFrame, scorer: Scorer, moves: np.ndarray, size: int, margin: int, evidence: DataFrame | None = None
+) -> DataFrame:
+    """Pieces (as ``path_pieces`` gives them) of the first result, with stretches around doubtful block borders scored and decoded again.
+
+    ``evidence`` (seq_name, window, code) names borders and strands, as ``doubtful`` does, which is used if it is None. A window has half of
+    ``size`` on each side of its border, so the scorer now sees what was cut; its path must leave and enter the first result in the states
+    that this has at the window's ends, so the two always fit together. Windows of one strand don't overlap.
+    """
+    half = size // 2
+    table = stored(blocks(sequences, size, margin))
+    first = stored(first)
+    evidence = doubtful(first, table, size) if evidence is None else evidence
+    strands = F.when(F.col("code") == 0, F.array(F.lit("+"))).when(F.col("code") == 1, F.array(F.lit("-"))).when(F.col("code") == 2, F.array(F.lit("+"), F.lit("-")))
+    chosen = evidence.select("seq_name", "window", F.explode(strands).alias("strand")).distinct()
+    both = table.join(first.select(*KEYS, "block", "came", "runs"), [*KEYS, "block"])
+    place = F.when(F.col("strand") == "-", F.col("total") + 2 - F.col("first")).otherwise(F.col("first"))
+    right = both.where("block > 0").withColumn("window", place).join(chosen, [*KEYS, "window"], "left_semi").drop("window", "last")
+    names = {c: f"{c}_2" for c in ("first", "length", "letters", "came", "runs")}
+    left = both.withColumn("block", F.col("block") + 1).select(*KEYS, "block", *(F.col(c).alias(n) for c, n in names.items()))
+    a, c = F.least(F.lit(half), "length_2").alias("a"), F.least(F.lit(half), "length").alias("c")
+    pairs = right.join(left, [*KEYS, "block"]).withColumns({"a": a, "c": c})
+    begin, end = F.col("first") - F.col("a"), F.col("first") + F.col("c") - 1
+    entry = F.when(F.col("a") == F.col("length_2"), F.col("came_2")).otherwise(_state_in(F.col("runs_2"), begin - 1))
+    letters = F.concat(F.substring("letters_2", F.col("length_2") - F.col("a") + 1, F.col("a") + margin), F.substring("letters", F.lit(margin + 1), F.col("c") + margin))
+    # States first: lambdas in a select see its own new columns.
+    known = pairs.withColumns({"before": entry, "leave": _state_in(F.col("runs"), end), "letters": letters})
+    vector = F.transform(F.sequence(F.lit(0), F.lit(STATES - 1)), lambda s: F.when(s == F.col("before"), F.lit(0)).otherwise(F.lit(NEVER)).cast("long"))
+    windows = known.select(
+        *KEYS, "block", F.lit(False).alias("last"), "total", begin.alias("first"), (F.col("a") + F.col("c")).alias("length"), "letters",
+        vector.alias("entry"), F.array("leave").alias("exits"),
+    )
+    windows = stored(windows)
+    importable(sequences.sparkSession)
+    again = windows.mapInArrow(_paths(scorer, moves, margin), f"{_kinds(table)}, last boolean, total long, leave int, came int, score long, runs {RUN}")
+    # What the first result keeps of each block: all but the windows at its two ends.
+    ends = windows.select(*KEYS, "block", F.col("first").alias("low_w"), (F.col("first") + F.col("length") - 1).alias("high_w"))
+    kept = first.select(*KEYS, "block", "total", "runs").join(ends.select(*KEYS, "block", "high_w"), [*KEYS, "block"], "left")
+    kept = kept.join(ends.select(*KEYS, (F.col("block") - 1).alias("block"), "low_w"), [*KEYS, "block"], "left")
+    low, high = F.coalesce(F.col("high_w") + 1, F.lit(1)), F.coalesce(F.col("low_w") - 1, "total")
+    rest = kept.select(*KEYS, "total", low.alias("low"), high.alias("high"), F.explode("runs").alias("r")).where("r.start <= high and r.stop >= low")
+    begin, end = F.greatest("r.start", "low"), F.least("r.stop", "high")
+    cut = rest.select(*KEYS, "total", F.col("r.kind").alias("kind"), begin.alias("start"), end.alias("stop"), state_at(F.col("r"), begin).alias("first"), state_at(F.col("r"), end).alias("last"))
+    return cut.unionByName(path_pieces(again))
+
+
 def gene_parts(pieces: DataFrame, width: int = 1 << 14) -> DataFrame:
     """(seq_name, strand, total, tx, start, stop): coding exons of all transcripts, put together over block borders; ``tx`` is the place of the
     start codon on the own strand.

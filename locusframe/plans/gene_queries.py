@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.operators import grammar, models
@@ -71,16 +72,29 @@ fp AS (SELECT *, (3 - coalesce(sum(stop - start + 1) OVER (PARTITION BY gene_id
 names AS (SELECT *, 'transcript_id "' || gene_id || '.t1"; gene_id "' || gene_id || '";' AS a FROM fp)"""
 
 
+def _said(pieces: DataFrame, scores: DataFrame) -> DataFrame:
+    """Coding exons of all transcripts of each sequence and strand as text."""
+    exons = F.array_sort(F.collect_list(F.struct("start", "stop")))
+    text = F.concat(F.lit(";"), F.array_join(F.transform("exons", lambda x: F.concat(x["start"], F.lit("-"), x["stop"])), ","))
+    each = grammar.gene_parts(pieces).groupBy(*grammar.KEYS, "tx").agg(exons.alias("exons")).select(*grammar.KEYS, "tx", text.alias("text"))
+    genes = each.groupBy(*grammar.KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tx", "text"))), lambda x: x["text"]), "").alias("genes"))
+    return scores.join(genes, grammar.KEYS, "left").withColumn("genes", F.coalesce("genes", F.lit("")))
+
+
 @query("decode_grammar", "SELECT seq_name, strand, score, genes FROM path", f"RECURSIVE {P.CONTIGS}, {_recursion()}")
 def decode_grammar(spark, d):
     """The best path of gene labels through each sequence, both strands: its score, and coding exons by transcript."""
     found = stored(grammar.decoded_blocks(P.contigs(spark, d), base_scores, MOVES, size=256))
-    exons = F.array_sort(F.collect_list(F.struct("start", "stop")))
-    text = F.concat(F.lit(";"), F.array_join(F.transform("exons", lambda x: F.concat(x["start"], F.lit("-"), x["stop"])), ","))
-    each = grammar.gene_parts(grammar.path_pieces(found)).groupBy(*grammar.KEYS, "tx").agg(exons.alias("exons")).select(*grammar.KEYS, "tx", text.alias("text"))
-    genes = each.groupBy(*grammar.KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tx", "text"))), lambda x: x["text"]), "").alias("genes"))
-    scores = found.where("score is not null").select(*grammar.KEYS, "score")
-    return scores.join(genes, grammar.KEYS, "left").select(*grammar.KEYS, "score", F.coalesce("genes", F.lit("")).alias("genes"))
+    return _said(grammar.path_pieces(found), found.where("score is not null").select(*grammar.KEYS, "score"))
+
+
+@query("annotate_again", "SELECT seq_name, strand, genes FROM path", f"RECURSIVE {P.CONTIGS}, {_recursion()}")
+def annotate_again(spark, d):
+    """What blocks cut is decoded again around their borders. The scores here are by base alone, so the best path stays what it was."""
+    sequences = stored(P.contigs(spark, d))
+    first = stored(grammar.decoded_blocks(sequences, base_scores, MOVES, size=128))
+    pieces = grammar.predicted_again(sequences, first, base_scores, MOVES, 128, grammar.REACH)
+    return _said(pieces, first.where("score is not null").select(*grammar.KEYS))
 
 
 @query("annotate_genes", """SELECT seqid, 'gene' AS type, min(start) AS start, max(stop) AS stop, strand, '.' AS phase, gene_id AS attrs FROM fp GROUP BY seqid, strand, gene_id

@@ -123,6 +123,71 @@ def test_genes_do_not_depend_on_blocks(spark):
         assert not {"TAA", "TAG", "TGA"} & {coded[i : i + 3] for i in range(0, len(coded) - 3, 3)}
 
 
+def smooth(sequences):
+    """Scores by the bases around each place, as far as the given stretch goes: cut stretches are scored otherwise at their ends."""
+    out = base_scores(sequences)
+    total = np.cumsum(np.pad(out, ((0, 0), (1, 0), (0, 0))), axis=1)
+    n = out.shape[1]
+    low, high = np.maximum(np.arange(n) - 12, 0), np.minimum(np.arange(n) + 13, n)
+    return (total[:, high] - total[:, low]) // (high - low)[None, :, None]
+
+
+def test_second_prediction_is_decoded_in_its_window(spark):
+    rng = np.random.default_rng(21)
+    sequences = {f"s{i}": genome(rng, n).upper() for i, n in enumerate((900, 640, 131))}
+    table = spark.createDataFrame(list(sequences.items()), "seq_name string, sequence string")
+    moves, size, margin = grammar.gene_moves(40, 60, 60), 128, 2
+    first = grammar.decoded_blocks(table, smooth, moves, size, margin)
+    rows = {(r["seq_name"], r["strand"], r["block"]): r for r in first.collect()}
+
+    def states(pieces, total):
+        """The path, from runs, by the grammar's frames."""
+        out = np.zeros(total + 1, int)
+        for kind, start, stop, head, tail in pieces:
+            out[start : stop + 1] = kind if kind < 4 else 4 + (grammar.FRAME[head] + np.arange(stop - start + 1)) % 3
+            out[start], out[stop] = head, tail
+        return out[1:]
+
+    turn = str.maketrans("ACGTN", "TGCAN")
+    wanted, codes = {}, {}
+    for name, sequence in sequences.items():
+        for strand in "+-":
+            own = sequence if strand == "+" else sequence.translate(turn)[::-1]
+            n, mine = len(own), sorted((b, r) for (a, s, b), r in rows.items() if (a, s) == (name, strand))
+            path = states([tuple(x) for _, r in mine for x in r["runs"]], n)
+            new = path.copy()
+            for _, r in mine[1:]:
+                at = r["runs"][0]["start"]
+                if path[at - 2] == 0 or path[at - 1] == 0:
+                    continue
+                plus = at if strand == "+" else n + 2 - at
+                codes[name, plus] = codes.get((name, plus), set()) | {strand}
+                low, high = max(1, at - size // 2), min(n, at + size // 2 - 1)
+                padded = "NN" + own + "NN"
+                stretch = padded[low - 1 : high + 4]
+                scores, stops = grammar.masked_scores(smooth([stretch])[:, 2:-2], np.frombuffer(stretch.encode(), np.uint8)[None])
+                entry = np.full((1, 1, 15), grammar.NEVER)
+                entry[0, 0, path[low - 2] if low > 1 else 0] = 0
+                size_ = np.array([high - low + 1])
+                _, back = grammar.forward(entry, scores, stops, size_, moves, keep=True)
+                new[low - 1 : high] = grammar.paths(back, size_, np.array([[path[high - 1]]]))[0, 0, 1:]
+            wanted[name, strand] = new.tolist()
+    found = {}
+    for r in grammar.predicted_again(table, first, smooth, moves, size, margin).collect():
+        found.setdefault((r["seq_name"], r["strand"]), []).append((r["kind"], r["start"], r["stop"], r["first"], r["last"]))
+    assert {k: states(v, len(sequences[k[0]])).tolist() for k, v in found.items()} == wanted
+    assert codes and any(wanted[k] != states([tuple(x) for b in sorted(b for a, s, b in rows if (a, s) == k) for x in rows[*k, b]["runs"]], len(sequences[k[0]])).tolist() for k in wanted)
+    code = {k: 2 if len(v) == 2 else int("-" in v) for k, v in codes.items()}
+    table_2 = grammar.blocks(table, size, margin)
+    assert {(r["seq_name"], r["window"]): r["code"] for r in grammar.doubtful(first, table_2, size).collect()} == code
+    # Named borders alone are decoded again, on the strands of their codes.
+    none = spark.createDataFrame([], "seq_name string, window long, code int")
+    same = {}
+    for r in grammar.predicted_again(table, first, smooth, moves, size, margin, none).collect():
+        same.setdefault((r["seq_name"], r["strand"]), []).append((r["kind"], r["start"], r["stop"], r["first"], r["last"]))
+    assert all(states(v, len(sequences[k[0]])).tolist() == states([tuple(x) for b in sorted(b for a, s, b in rows if (a, s) == k) for x in rows[*k, b]["runs"]], len(sequences[k[0]])).tolist() for k, v in same.items())
+
+
 def test_class_scores_spread_epsilon():
     p = np.zeros((1, 2, 15))
     p[0, 0, 3], p[0, 1, 7] = 1.0, 0.5
