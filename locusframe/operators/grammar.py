@@ -303,10 +303,14 @@ def decoded_blocks(sequences: DataFrame, scorer: Scorer, moves: np.ndarray, size
     at a block's border may go on in the next block. ``came`` is the state before the block. ``score`` is the whole path's, in the sequence's last block, else null. A
     sequence must begin after an intergenic base and end in a state of ``ends``; seq_name must be unique. Empty sequences give no row.
     """
-    importable(sequences.sparkSession)
     positions = sequences.agg(F.sum(2 * F.length("sequence").cast("long"))).first()[0] or 0
     # Sequences are few bytes for their work, so blocks are dealt out by their number, not by bytes.
-    table = stored(blocks(sequences, size, margin).repartition(max(1, -(-positions // TASK)), *KEYS, "block"))
+    return decoded_table(stored(blocks(sequences, size, margin).repartition(max(1, -(-positions // TASK)), *KEYS, "block")), scorer, moves, margin, ends)
+
+
+def decoded_table(table: DataFrame, scorer: Scorer, moves: np.ndarray, margin: int, ends: Sequence[int] = (INTERGENIC, STOP)) -> DataFrame:
+    """``decoded_blocks`` for a stored table of blocks, such as ``parts.tile_blocks`` makes from files without a whole sequence in any row."""
+    importable(table.sparkSession)
     entries = border_scores(table, scorer, moves, margin)
     rows = table.join(entries, [*KEYS, "block"]).withColumn("exits", F.when(F.col("last"), F.array(*map(F.lit, ends))))
     each = stored(rows.mapInArrow(_paths(scorer, moves, margin), f"{_kinds(table)}, last boolean, total long, leave int, came int, score long, runs {RUN}"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from locusframe.operators import grammar, models
 from locusframe.operators import transcripts as T
 from locusframe.plans import proxies as P
-from locusframe.plans.queries import REV, query
+from locusframe.plans.queries import REV, D, query
 from locusframe.session import fresh_path, stored
+from locusframe.sources import parts
 from locusframe.sources import text as io
 
 #: Mean lengths of exons, introns and what is between genes, and scores of a strong (G, C) and a weak base (A, T) in exons and introns.
@@ -107,3 +108,12 @@ def annotate_genes(spark, d):
     path = fresh_path(spark)
     io.write_gtf(models.gtf_rows(T.with_phase(cds)), path, ["seqid", "gene_start", "gene_stop", "gene_id", "tx_id", "rank", "start", "stop", "type"])
     return io.read_gff(spark, path).select("seqid", "type", "start", "stop", "strand", "phase", "attrs")
+
+
+@query("fasta_tiles", """SELECT seq_name, tile, md5(substr(sequence, CAST(tile * 4096 + 1 AS BIGINT), 4096)) AS digest
+FROM (SELECT *, unnest(range(0, CAST((length(sequence) + 4095) // 4096 AS BIGINT))) AS tile FROM d)""", D)
+def fasta_tiles(spark, d):
+    """Tiles of records, written as FASTA and read in parts."""
+    path = fresh_path(spark)
+    io.write_fasta(P.dna(spark, d), path)
+    return parts.fasta_tiles(spark, path).select("seq_name", "tile", F.md5("sequence").alias("digest"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from locusframe.functions.attributes import format_gff, format_gtf, parse
 from locusframe.operators.intervals import BIN, merged
 from locusframe.session import hinted, stored
+from locusframe.sources.parts import wig_positions
 
 #: Feature types that have children and an ID of their own.
 PARENTS = ("gene", "transcript", "mRNA")
@@ -24,7 +25,7 @@ HITS = (
 
 def read_fasta(spark: SparkSession, path: str | Sequence[str], upper: bool = False) -> DataFrame:
     """(seq_name, header, sequence) of plain, .gz or .bz2 files; the name is the header's first word. Records are
-    split by Spark; line ends of either kind and blank lines are dropped, and a record may have no sequence. With
+    split by Spark, each one row (``parts.fasta_tiles`` is for longer ones); line ends of either kind and blank lines are dropped, and a record may have no sequence. With
     ``upper``, the soft mask is dropped."""
     raw = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^[\s>]+", "").alias("v")).where("v != ''")
     header = F.trim(F.substring_index("v", "\n", 1), F.lit("\r \t"))
@@ -142,13 +143,8 @@ def read_short_hits(spark: SparkSession, path: str | Sequence[str], folders: boo
 
 
 def read_wig(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(seqid, pos, value) of fixedStep blocks; blocks are split by Spark."""
-    raw = spark.read.text(path, lineSep="fixedStep").where(F.col("value").rlike(r"chrom=\S+"))
-    fact = lambda k, d: F.coalesce(F.nullif(F.regexp_extract("value", rf"{k}=(\d+)", 1), F.lit("")).cast("long"), F.lit(d))
-    # The block's first line is its header; it is no number.
-    values = F.filter(F.split("value", r"\r?\n"), lambda x: x.try_cast("double").isNotNull())
-    rows = raw.select(F.regexp_extract("value", r"chrom=(\S+)", 1).alias("seqid"), fact("start", 1).alias("s"), fact("step", 1).alias("step"), F.posexplode(values).alias("i", "x"))
-    return rows.select("seqid", (F.col("s") + F.col("i") * F.col("step")).alias("pos"), F.col("x").cast("double").alias("value"))
+    """(seqid, pos, value) of fixedStep blocks of any length; a block is read in as many parts as its file."""
+    return wig_positions(spark, path)
 
 
 def wig_runs(df: DataFrame, keys: Sequence[str], step: int = 1) -> DataFrame:
