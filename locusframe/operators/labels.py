@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.operators.intervals import BIN, merged, subtracted
+from locusframe.operators.envelope import stretches
+from locusframe.operators.intervals import BIN, merged, on_windows, subtracted
 from locusframe.operators.transcripts import TX, in_reading_order, with_phase
 from locusframe.session import importable, stored
 
@@ -93,17 +94,25 @@ def exon_labels(cds: DataFrame) -> DataFrame:
     return rows.withColumn("pos", F.explode(F.sequence("start", "stop"))).select(*TX, "pos", label_at(F.col("x"), F.col("strand"), F.col("pos")).alias("label"))
 
 
-def label_tiles(cds: DataFrame, size: int) -> DataFrame:
+def label_runs(cds: DataFrame, width: int = BIN) -> DataFrame:
+    """(seqid, strand, tx_id, start, stop): which transcript's labels hold where, as maximal runs. Of transcripts at one base that of
+    the larger id holds; each base has one owner."""
+    own = stretches(pieces(cds), width).select("seqid", "strand", "tx_id", F.col("low").alias("start"), F.col("high").alias("stop"))
+    return merged(own, TX)
+
+
+def label_tiles(cds: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     """(seqid, strand, chunk, labels): arrays of ``size`` labels for each tile that a transcript touches, in reading
     direction; 0 where none is. Of two labels of one base that of the larger transcript id holds (of one transcript's, the
-    larger).
+    larger). A tile begins every ``size - overlap`` positions.
 
-    Only intervals are shuffled, cut at tiles. A task paints a batch of tiles at once: bases of all pieces, the largest id's
-    label at each place.
+    Only intervals are shuffled. Each stretch of a tile has one owner before anything is painted (``envelope.stretches``), so a tile
+    has ``size`` stretches at most and a base is painted once, however many transcripts cover it.
     """
-    own = F.struct("tx_id", "start", "stop", F.col("phase").cast("int").alias("phase"), F.coalesce("n", F.lit(0)).alias("n"), F.col("total").cast("int").alias("total"))
-    tile = F.explode(F.sequence(F.floor((F.col("start") - 1) / size), F.floor((F.col("stop") - 1) / size)))
-    tiles = pieces(cds).withColumns({"own": own, "chunk": tile}).groupBy("seqid", "strand", "chunk").agg(F.sort_array(F.collect_list("own")).alias("own"))
+    step = size - overlap
+    own = F.struct(F.col("start").alias("s"), F.col("stop").alias("e"), "phase", "n", "total", "low", "high")
+    held = stretches(pieces(cds), size).withColumns({"own": own, "start": F.col("low"), "stop": F.col("high")})
+    tiles = on_windows(held, size, step).groupBy("seqid", "strand", F.col("window").alias("chunk")).agg(F.collect_list("own").alias("own"))
 
     def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +120,9 @@ def label_tiles(cds: DataFrame, size: int) -> DataFrame:
                 part = batch.slice(i, TILES_AT_ONCE)
                 n = part.num_rows
                 row = part["own"].value_parent_indices().to_numpy()
-                field = dict(zip(("start", "stop", "phase", "n", "total"), (c.to_numpy() for c in part["own"].flatten().flatten()[1:]), strict=True))
-                low = part["chunk"].to_numpy()[row] * size + 1
-                first, last = np.maximum(field["start"], low), np.minimum(field["stop"], low + size - 1)
+                field = dict(zip(("start", "stop", "phase", "n", "total", "low", "high"), (c.to_numpy() for c in part["own"].flatten().flatten()), strict=True))
+                low = part["chunk"].to_numpy()[row] * step + 1
+                first, last = np.maximum(field.pop("low"), low), np.minimum(field.pop("high"), low + size - 1)
                 count = last - first + 1
                 at = np.repeat(np.arange(len(row)), count)
                 pos = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
@@ -121,8 +130,8 @@ def label_tiles(cds: DataFrame, size: int) -> DataFrame:
                 x = {k: v[at] for k, v in field.items()}
                 place = np.where(minus, size - 1 - (pos - low[at]), pos - low[at])
                 best = np.zeros(n * size, np.int64)
-                np.maximum.at(best, row[at] * size + place, (at + 1) * 16 + _labels(x, minus, pos))
-                flat = pa.array((best % 16).astype(np.int32))
+                np.maximum.at(best, row[at] * size + place, _labels(x, minus, pos))
+                flat = pa.array(best.astype(np.int32))
                 arrays = pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size, dtype=np.int32)), flat)
                 yield pa.record_batch([part["seqid"], part["strand"], part["chunk"], arrays], ["seqid", "strand", "chunk", "labels"])
 

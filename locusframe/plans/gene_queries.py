@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.operators import grammar, models
+from locusframe.operators import grammar, labels, models
 from locusframe.operators import transcripts as T
 from locusframe.plans import proxies as P
-from locusframe.plans.queries import REV, D, query
+from locusframe.plans.queries import F_, KEYS, LABELS, REV, D, query
 from locusframe.session import fresh_path, stored
 from locusframe.sources import parts
 from locusframe.sources import text as io
@@ -117,3 +117,21 @@ def fasta_tiles(spark, d):
     path = fresh_path(spark)
     io.write_fasta(P.dna(spark, d), path)
     return parts.fasta_tiles(spark, path).select("seq_name", "tile", F.md5("sequence").alias("digest"))
+
+
+@query("label_runs", """ow AS (SELECT seqid, strand, pos, max(tx_id) AS tx_id FROM la GROUP BY ALL)
+SELECT seqid, strand, tx_id, min(pos) AS start, max(pos) AS stop FROM (SELECT *, pos - row_number() OVER (PARTITION BY seqid, strand, tx_id ORDER BY pos) AS k FROM ow) GROUP BY seqid, strand, tx_id, k""", f"{F_}, {LABELS},")
+def label_runs(spark, d):
+    """Which transcript owns which stretch, where they lie over each other."""
+    return labels.label_runs(P.features(spark, d))
+
+
+@query("overlap_labels", """ow AS (SELECT seqid, strand, pos, arg_max(label, tx_id) AS label FROM la GROUP BY ALL),
+wi AS (SELECT *, unnest(range(greatest(0, CAST(ceil((pos - 500) / 450.0) AS BIGINT)), (pos - 1) // 450 + 1)) AS chunk FROM ow),
+pl AS (SELECT *, CASE WHEN strand = '-' THEN 499 - (pos - 1 - chunk * 450) ELSE pos - 1 - chunk * 450 END AS place FROM wi)
+SELECT seqid, strand, chunk, count(*) AS n, CAST(sum(place * label) AS BIGINT) AS checksum FROM pl GROUP BY ALL""", f"{F_}, {LABELS},")
+def overlap_labels(spark, d):
+    """Labels of tiles that overlap by 50 bases."""
+    tiles = labels.label_tiles(P.features(spark, d), 500, 50)
+    total = F.aggregate(F.transform("labels", lambda x, i: x.cast("long") * i), F.lit(0).cast("long"), lambda a, x: a + x)
+    return tiles.select(*KEYS, "chunk", F.size(F.filter("labels", lambda x: x > 0)).cast("long").alias("n"), total.alias("checksum"))
