@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.functions import examples
 from locusframe.operators import grammar, labels, models
 from locusframe.operators import transcripts as T
 from locusframe.plans import proxies as P
-from locusframe.plans.queries import F_, KEYS, LABELS, REV, D, query
+from locusframe.plans.queries import FD, F_, KEYS, LABELS, REV, D, query
 from locusframe.session import fresh_path, stored
 from locusframe.sources import parts
 from locusframe.sources import text as io
@@ -135,3 +136,44 @@ def overlap_labels(spark, d):
     tiles = labels.label_tiles(P.features(spark, d), 500, 50)
     total = F.aggregate(F.transform("labels", lambda x, i: x.cast("long") * i), F.lit(0).cast("long"), lambda a, x: a + x)
     return tiles.select(*KEYS, "chunk", F.size(F.filter("labels", lambda x: x > 0)).cast("long").alias("n"), total.alias("checksum"))
+
+
+ON_D = LABELS.replace("FROM f)", "FROM fd)", 1)
+EXAMPLES = f"""tt AS (SELECT seqid, min(start) AS start, max(stop) AS stop, min(line_no) AS line_no FROM fd GROUP BY gene_id, seqid, strand, tx_id),
+far AS (SELECT DISTINCT seqid, unnest(range(greatest(start - 10, 0), stop + 10)) AS pos FROM tt WHERE line_no % 7 = 0),
+near AS (SELECT DISTINCT seqid, unnest(range(greatest(start - 20, 0), stop + 20)) AS pos FROM tt WHERE line_no % 7 <> 0),
+core AS (SELECT DISTINCT seqid, unnest(range(start, stop)) AS pos FROM tt WHERE line_no % 7 = 0),
+zero AS (SELECT * FROM core UNION (SELECT * FROM far EXCEPT SELECT * FROM near)),
+tv AS (SELECT 'd' || substr(seqid, 2) AS seqid, pos - (SELECT min(pos) FROM w) AS pos, max(val) AS val FROM w GROUP BY ALL),
+ow AS (SELECT seqid, strand, pos, arg_max(label, tx_id) AS label FROM la GROUP BY ALL),
+ti AS (SELECT seq_name AS seqid, unnest(range(0, greatest(1, CAST(ceil(length(sequence) / 500.0) AS BIGINT)))) AS tile, sequence FROM d),
+cu AS (SELECT seqid, tile, rpad(substr(sequence, CAST(tile * 500 + 1 AS BIGINT), 500), 500, 'N') AS s FROM ti),
+st AS (SELECT seqid, unnest(['+', '-']) AS strand, tile, s FROM cu),
+sl AS (SELECT seqid, strand, (pos - 1) // 500 AS tile, CAST(sum(label * CASE WHEN strand = '-' THEN 499 - (pos - 1) % 500 ELSE (pos - 1) % 500 END) AS BIGINT) AS v FROM ow GROUP BY ALL),
+sm AS (SELECT seqid, pos // 500 AS tile, count(*) AS n, CAST(sum(pos % 500) AS BIGINT) AS v FROM zero GROUP BY ALL),
+sv AS (SELECT seqid, pos // 500 AS tile, sum(val * (pos % 500)) AS plus, sum(val * (499 - pos % 500)) AS minus FROM tv GROUP BY ALL)
+SELECT st.seqid, st.strand, st.tile, md5(CASE WHEN st.strand = '-' THEN {REV.format("s")} ELSE s END) AS digest, coalesce(sl.v, 0) AS labels, coalesce(n, 0) AS masked,
+  coalesce(CASE WHEN st.strand = '-' THEN 499 * n - sm.v ELSE sm.v END, 0) AS masked_places, round(coalesce(CASE WHEN st.strand = '-' THEN minus ELSE plus END, 0), 3) AS track,
+  CAST((row_number() OVER (ORDER BY md5(st.seqid || '|' || st.strand || '|' || st.tile), st.seqid, st.strand, st.tile) - 1) % 8 AS BIGINT) AS shard
+FROM st LEFT JOIN sl ON sl.seqid = st.seqid AND sl.strand = st.strand AND sl.tile = st.tile LEFT JOIN sm ON sm.seqid = st.seqid AND sm.tile = st.tile
+  LEFT JOIN sv ON sv.seqid = st.seqid AND sv.tile = st.tile"""
+
+
+@query("example_shards", EXAMPLES, f"{FD}, {P.TRACK}, {ON_D},")
+def example_shards(spark, d):
+    """Training examples of all tiles of both strands, written in 8 shards and read again: sums of their parts by place."""
+    cds, track = stored(P.on_documents(spark, d)), P.track(spark, d)
+    tx = T.assembled(cds).select("seqid", "tx_id", "start", "stop", (F.col("line_no") % 7 == 0).alias("filtered"))
+    masked = labels.masked(tx.where("not filtered"), tx.where("filtered"), ["seqid"], 20)
+    first = track.agg(F.min("pos")).first()[0] or 0
+    values = track.groupBy(F.concat(F.lit("d"), F.substring("seqid", 2, 20)).alias("seqid"), (F.col("pos") - first).alias("pos")).agg(F.max("val").alias("value"))
+    rows = examples.examples(P.dna(spark, d), cds, masked, values, 500, buckets=8)
+    path = fresh_path(spark)
+    examples.write_shards(examples.example_shards(rows, 8), path)
+    back = spark.read.parquet(path)
+    by_place = lambda c, kind: F.aggregate(F.transform(c, lambda x, i: x.cast(kind) * i), F.lit(0).cast(kind), lambda a, x: a + x)
+    zero = F.transform("weights", lambda x: (x == 0).cast("long"))
+    return back.select(
+        *examples.KEYS, F.md5("sequence").alias("digest"), by_place("labels", "long").alias("labels"), F.aggregate(zero, F.lit(0).cast("long"), lambda a, x: a + x).alias("masked"),
+        by_place(zero, "long").alias("masked_places"), F.round(by_place("track", "double"), 3).alias("track"), F.col("shard").cast("long").alias("shard"),
+    )
