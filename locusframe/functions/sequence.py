@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STOPS = ("TAA", "TAG", "TGA")
@@ -58,11 +58,27 @@ def stop_check(seq: Column) -> Column:
 
 
 def translate_cds(seq: Column) -> Column:
-    """The peptide of a coding sequence; X for codons with other letters."""
-    # A codon's place in a text of all codons gives its amino acid; 0, if it isn't there, is X.
-    table, letters = F.lit(" ".join(CODONS)), F.lit("X" + CODE)
-    amino = lambda c: F.substring(letters, F.floor((F.instr(table, c) + 3) / 4).cast("int") + 1, F.lit(1))
-    return F.array_join(F.transform(codons(seq), amino), "")
+    """The peptide of a coding sequence; X for codons with other letters, and what isn't a whole codon at the end is left out."""
+    # Bases become digits, 4 for other letters, so a codon read as a number is its place in a table.
+    digits = F.translate(F.regexp_replace(F.upper(seq), "[^ACGT]", "4"), "ACGT", "0123")
+    places = {int("".join(str("ACGT".index(x)) for x in codon)): amino for codon, amino in CODONS.items()}
+    table = F.array(*(F.lit(places.get(i, "X")) for i in range(445)))
+    return F.array_join(F.transform(F.regexp_extract_all(digits, F.lit("(?s).{3}"), F.lit(0)), lambda c: F.get(table, c.cast("int"))), "")
+
+
+def cleaned_protein(seq: Column) -> Column:
+    """A peptide with the usual sign for stops: a dot becomes a star."""
+    return F.translate(seq, ".", "*")
+
+
+def base_channels(channels: Column, n: int = 5) -> Column:
+    """The first ``n`` channels of each position of a one-hot array: the bases without the soft mask."""
+    return F.transform(channels, lambda x: F.slice(x, 1, n))
+
+
+def first_sequences(sequences: DataFrame, n: int, order: str = "seq_ord") -> DataFrame:
+    """The first ``n`` sequences in order."""
+    return sequences.orderBy(order, "seq_name").limit(n)
 
 
 def base_rows(seq: Column) -> Column:

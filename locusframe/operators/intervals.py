@@ -35,11 +35,27 @@ def _carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Co
 
 
 def with_cluster(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap: int = 0, width: int = BIN, out: str = "cluster") -> DataFrame:
-    """Numbers groups of overlapping rows from 1 in each key; rows up to ``gap`` apart join too (1: adjacent ones)."""
-    reach = _carried(stored(df.withColumn("_bin", F.floor(F.col("start") / width))), keys, order, F.col("stop"), "_reach", "max")
-    new = F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + gap), 1).otherwise(0).cast("long")
-    marked = stored(reach.withColumn("_new", new).drop("_reach"))
-    return _carried(marked, keys, order, F.col("_new"), out, "sum").drop("_new", "_bin")
+    """Numbers groups of overlapping rows from 1 in each key; rows up to ``gap`` apart join too (1: adjacent ones).
+
+    The rows are stored once. What earlier bins reach, and how many groups begin in them, comes from one row a bin, found from the keys
+    and ends alone; then one shuffle and sort of whole rows serves both windows.
+    """
+    table = stored(df.withColumn("_bin", F.floor(F.col("start") / width)))
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_bin").orderBy(*order)
+    reach = stored(table.groupBy(*keys, "_bin").agg(F.max("stop").alias("_all")).select(*keys, "_bin", F.max("_all").over(earlier).alias("_before")))
+
+    def flagged(rows: DataFrame) -> DataFrame:
+        upto = F.greatest(F.max("stop").over(inside.rowsBetween(Window.unboundedPreceding, -1)), "_before")
+        new = F.when(F.col("_upto").isNull() | (F.col("start") > F.col("_upto") + gap), 1).otherwise(0).cast("long")
+        return rows.withColumn("_upto", upto).withColumn("_new", new)
+
+    slim = table.select(*dict.fromkeys([*keys, "_bin", "start", "stop", *order]))
+    begun = flagged(slim.join(reach, [*keys, "_bin"])).groupBy(*keys, "_bin").agg(F.sum("_new").alias("_all"))
+    begun = begun.select(*keys, "_bin", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_begun"))
+    rows = flagged(table.join(reach.join(begun, [*keys, "_bin"]), [*keys, "_bin"]))
+    number = F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_begun")
+    return rows.withColumn(out, number).drop("_upto", "_new", "_before", "_begun", "_bin")
 
 
 def merged(df: DataFrame, keys: Sequence[str], gap: int = 1, width: int = BIN) -> DataFrame:

@@ -509,14 +509,18 @@ def utr_stop(spark, d):
 SITES = "('gtag', 'gcag', 'atac')"
 
 
-@query("intron_strand", f"""i AS (SELECT seq_name, 5 + seq_ord % 50 AS start, 20 + seq_ord % 50 AS stop, sequence FROM d),
+@query("intron_strand", f"""i0 AS (SELECT seq_name, sequence, unnest(range(0, CAST(length(sequence) // 600 + 1 AS BIGINT))) * 600 + 5 + seq_ord * 37 % 500 AS start FROM d),
+i AS (SELECT seq_name, start, start + 15 AS stop, sequence FROM i0 WHERE start + 15 <= length(sequence)),
 x AS (SELECT seq_name, start, stop, lower(substr(sequence, start, 2) || substr(sequence, stop - 1, 2)) AS a,
   lower({REV.format('substr(sequence, stop - 1, 2)')} || {REV.format('substr(sequence, start, 2)')}) AS b FROM i)
 SELECT seq_name, start, stop, '+' AS strand FROM x WHERE a IN {SITES} UNION ALL SELECT seq_name, start, stop, '-' FROM x WHERE b IN {SITES}""", f"{D},")
 def intron_strand(spark, d):
-    """Strands of made-up introns, one in each sequence."""
+    """Strands of made-up introns, one in each 600 bases of all sequences."""
     dna = P.dna(spark, d)
-    made = dna.select(F.col("seq_name").alias("seqid"), (5 + F.col("seq_ord") % 50).alias("start"), (20 + F.col("seq_ord") % 50).alias("stop"), F.lit(".").alias("strand"))
+    n = F.length("sequence").cast("long")
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(n / 600))).alias("k")
+    made = dna.select(F.col("seq_name").alias("seqid"), "seq_ord", n.alias("n"), at).withColumn("start", F.col("k") * 600 + 5 + F.col("seq_ord") * 37 % 500)
+    made = made.where("start + 15 <= n").select("seqid", "start", (F.col("start") + 15).alias("stop"), F.lit(".").alias("strand"))
     return evidence.stranded_introns(made, dna.select("seq_name", "sequence")).withColumnRenamed("seqid", "seq_name")
 
 
@@ -856,13 +860,15 @@ def pep_to_gff3(spark, d):
     return evidence.candidate_rows(_candidates(spark, d).select("id", "tx_id", "start", "stop", "strand"), lengths)
 
 
-@query("hc_intrinsic", """u AS (SELECT tx_id, regexp_matches(upper(text), 'TAA|TAG|TGA|THE') AS flag FROM (SELECT 't' || doc_id AS tx_id, text FROM documents)),
+@query("hc_intrinsic", """u AS (SELECT tx_id, regexp_matches(upper(sequence), 'TAA|TAG|TGA') AS flag FROM (SELECT 't' || substr(seq_name, 2) AS tx_id, substr(sequence, 1, 60) AS sequence FROM d)),
 k AS (SELECT id, length * 3 >= 250 AND score > 50 AND kind = 'complete' AND flag AND (tx_id IN (SELECT tx_id FROM t WHERE bp % 2 = 0)) AS high, tx_id FROM ca JOIN u USING (tx_id))
-SELECT id, CASE WHEN high THEN 'HC' ELSE 'LC' END AS class FROM k""", f"{FT}, {CAND},")
+SELECT id, CASE WHEN high THEN 'HC' ELSE 'LC' END AS class FROM k""", f"{FT}, {CAND}, {D},")
 def hc_intrinsic(spark, d):
+    """Confidence of all candidates; the 5' UTR is a transcript's first 60 bases here."""
     candidates = _candidates(spark, d)
     free = candidates.join(T.assembled(P.features(spark, d)).select("tx_id", (F.col("bp") % 2 == 0).alias("flag")), "tx_id").select("id", "flag")
-    utr = P.table(spark, d, "documents").select(F.concat(F.lit("t"), "doc_id").alias("tx_id"), F.upper("text").rlike("TAA|TAG|TGA|THE").alias("flag"))
+    utrs = P.dna(spark, d).select(F.concat(F.lit("t"), F.substring("seq_name", 2, 20)).alias("tx_id"), F.substring("sequence", 1, 60).alias("sequence"))
+    utr = evidence.stops_in_utrs(candidates, utrs)
     return evidence.confident(candidates, free, utr).select("id", "class")
 
 
@@ -1155,4 +1161,4 @@ def near_sqrt_divisor(spark, d):
     return rows.select("n", genome.nearest_divisor(F.col("n")).cast("long").alias("divisor"), genome.adapted_chunks(F.col("n"), 150, 4).cast("long").alias("chunk"))
 
 
-from locusframe.plans import gene_queries  # noqa: E402, F401 - registers its queries
+from locusframe.plans import file_queries, gene_queries  # noqa: E402, F401 - they register their queries

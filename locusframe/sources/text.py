@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions.attributes import format_gff, format_gtf, parse
 from locusframe.operators.intervals import BIN, merged
-from locusframe.session import hinted, stored
+from locusframe.session import hinted, importable, stored
 from locusframe.sources.parts import wig_positions
 
 #: Feature types that have children and an ID of their own.
@@ -118,8 +119,24 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_classes(df: DataFrame, path: str, key: str = "query", value: str = "class") -> None:
-    """One JSON object a line: {key: value}; a reader merges them into one map."""
-    df.select(F.to_json(F.create_map(F.col(key), F.col(value)))).write.text(path)
+    """One JSON map {key: value} over all files of the folder in order of their names, an entry a line; keys must be distinct.
+
+    Entries are sorted by key, and all but the first begin with a comma, so no task needs to know the others' entries.
+    """
+    rows = df.select(F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("v"))
+    least = rows.agg(F.min("k")).first()[0]
+    entry = F.regexp_replace(F.to_json(F.create_map("k", "v")), r"(?s)^\{|\}$", "")
+    lines = rows.select(F.lit(1).alias("rank"), "k", F.concat(F.when(F.col("k") == F.lit(least), "").otherwise(","), entry).alias("line"))
+    ends = df.sparkSession.createDataFrame([(0, None, "{"), (2, None, "}")], "rank int, k string, line string")
+    lines.unionByName(ends).orderBy("rank", "k").select("line").write.text(path)
+
+
+def read_classes(spark: SparkSession, path: str | Sequence[str], key: str = "query", value: str = "class") -> DataFrame:
+    """(key, value) of a JSON map with an entry a line."""
+    entry = F.regexp_replace(F.trim("value"), r"^,|,$", "")
+    parsed = F.from_json(F.concat(F.lit("{"), entry, F.lit("}")), "map<string,string>")
+    lines = spark.read.text(path).where(~F.trim("value").isin("{", "}", ""))
+    return lines.select(F.explode(parsed).alias(key, value))
 
 
 def _subject(column: str) -> Column:
@@ -190,10 +207,24 @@ def read_pairs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def sniff_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(file, format): what each text file's first lines look like; blank lines count."""
-    lines = numbered_lines(spark, path).where("line_no < 3").groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("line_no", "line"))).alias("x"))
-    line = lambda i: F.try_element_at("x", F.lit(i).cast("long"))
-    return lines.select("file", line(0).alias("first"), line(2).alias("third")).select("file", sniffed("first", "third").alias("format"))
+    """(file, format): what each text file's first lines look like; blank lines count. Only the first part of a file is looked at."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value").where("at = 0").select("file", "value")
+
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A part's lines come in order, one file after another."""
+        now, n = None, 0
+        for batch in batches:
+            out = []
+            for name, line in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                now, n = (now, n + 1) if name == now else (name, 0)
+                if n in (0, 2):
+                    out.append((name, n, line))
+            yield pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["file", "n", "line"])
+
+    importable(spark)
+    line = lambda i: F.max(F.when(F.col("n") == i, F.col("line")))
+    heads = lines.mapInArrow(first_lines, "file string, n int, line string").groupBy("file").agg(line(0).alias("first"), line(2).alias("third"))
+    return heads.select("file", sniffed("first", "third").alias("format"))
 
 
 def sniffed(first_line: str = "value", third_line: str | None = None):
