@@ -16,6 +16,8 @@ from locusframe.session import fresh_path, importable
 
 #: Runs of letters of which words are made: all in one byte of Latin-1.
 RUNS = r"[A-Za-zÀ-ÿ]{%d,}"
+#: Words that one task looks for.
+TASK_WORDS = 1 << 15
 
 
 def counted_words(docs: DataFrame, least: int = 7, twice: int = 2, every: int = 31, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -174,6 +176,8 @@ def near_words(words: DataFrame, shard_words: int = 1 << 18, shard_chars: int =
     """
     spark = words.sparkSession
     importable(spark)
+    # Words are few bytes for their work, so they are dealt out by number.
+    words = written(words.repartition(max(1, -(-words.count() // TASK_WORDS))))
     shards = written(trie_shards(words, shard_words, shard_chars))
     sizes = [(r["part"], r["k"], r["bytes"]) for r in shards.select("part", "k", "bytes").orderBy("part", "k").toLocalIterator()]
     path = fresh_path(spark)
