@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,12 @@ class ProductIndex:
     def decode(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
         return self.coarse[own] + np.hstack([b[codes[:, i]] for i, b in enumerate(self.books)])
 
+    @cached_property
+    def apart(self) -> np.ndarray:
+        """Distances of all centres, rounded up a little so that no list is missed: once for an index, four bytes a pair."""
+        square = (self.coarse**2).sum(axis=1)
+        return (np.sqrt(np.maximum(square[:, None] + square - 2 * self.coarse @ self.coarse.T, 0)) + 1e-5).astype(np.float32)
+
     def probes(self, rows: np.ndarray, own: np.ndarray, reach: float) -> list[np.ndarray]:
         """For each row its own list and all others beyond a plane that is at most ``reach`` away.
 
@@ -68,8 +75,7 @@ class ProductIndex:
         of both is at most half their distance from it.
         """
         square = (rows**2).sum(axis=1)[:, None] + (self.coarse**2).sum(axis=1) - 2 * rows @ self.coarse.T
-        apart = np.sqrt(((self.coarse[:, None] - self.coarse[None]) ** 2).sum(axis=2))
-        near = square - square[np.arange(len(rows)), own][:, None] <= 2 * reach * apart[own] + 1e-9
+        near = square - square[np.arange(len(rows)), own][:, None] <= 2 * reach * self.apart[own] + 1e-9
         near[np.arange(len(rows)), own] = True
         return [np.flatnonzero(x) for x in near]
 
