@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from locusframe.functions import sequence as S
 from locusframe.operators import evidence, models
 from locusframe.operators import transcripts as T
+from locusframe.operators.evidence_run import Limits, run_evidence
 from locusframe.plans import proxies as P
-from locusframe.plans.queries import F_, FT, GOOD, KIND, PEP, D, H, query
+from locusframe.plans.queries import CLASS, F_, FT, GOOD, KIND, PEP, REV, SHORT, D, H, query
 from locusframe.session import fresh_path
 from locusframe.sources import listing
 from locusframe.sources import text as io
@@ -114,3 +115,34 @@ def hc_complete(spark, d):
     lengths = h.where(F.split("subject", "_")[1].cast("long") % 5 != 0).select("subject", "slen").distinct()
     orfs = P.peptides(spark, d).select(F.concat(F.lit("q"), F.substring("id", 2, 20)).alias("query"), "header")
     return evidence.supported_queries(h, 0.05, 93.0, 0.5, 0.6, orfs, lengths).select("query", "subject", "bits")
+
+
+SCORED_PEP = PEP.replace("pep AS", "pep_ AS", 1) + ", pep AS (SELECT id, header || ' score=' || (CAST(substr(id, 2) AS BIGINT) % 120) AS header, sequence FROM pep_)"
+CLASSED = CLASS.replace("FROM h a JOIN h c", "FROM hp a JOIN hp c").split("\nSELECT query", 1)
+RUN = f"""hp AS (SELECT * REPLACE ('p' || substr(query, 2) AS query) FROM h), {CLASSED[0]},
+cl AS (SELECT query{CLASSED[1]}),
+rv AS (SELECT pep.id, CASE WHEN c THEN CASE WHEN contains(sh.header, 'type:5prime_partial') THEN replace(sh.header, 'type:5prime_partial', 'type:complete')
+  ELSE replace(sh.header, 'type:internal', 'type:3prime_partial') END ELSE pep.header END AS header, CASE WHEN c THEN sh.sequence ELSE pep.sequence END AS sequence
+FROM (SELECT *, {KIND} IN ('5prime_partial', 'internal') AS k FROM pep) pep LEFT JOIN sh ON sh.id = pep.id LEFT JOIN cl ON cl.query = pep.id, LATERAL (SELECT coalesce(k AND class = 'complete' AND sh.id IS NOT NULL, false) AS c)),
+fa AS (SELECT id, {KIND} AS kind, CAST(regexp_extract(header, 'len:(\\d+)', 1) AS BIGINT) AS n, CAST(regexp_extract(header, ':(\\d+)-(\\d+)\\(', 1) AS BIGINT) AS a, CAST(regexp_extract(header, ':(\\d+)-(\\d+)\\(', 2) AS BIGINT) AS b,
+  regexp_extract(header, '\\(([+-])\\)', 1) AS st, CAST(regexp_extract(header, 'score=([0-9.]+)', 1) AS DOUBLE) AS score, length(rtrim(sequence, '*')) AS qlen FROM rv),
+su AS (SELECT DISTINCT id FROM fa JOIN (SELECT * EXCLUDE (qlen) FROM hp) hq ON hq.query = id WHERE kind = 'complete' AND evalue <= 0.05 AND pident >= 93 AND qlen > 0 AND alen / qlen >= 0.01 AND alen / slen >= 0.6),
+ut AS (SELECT id, regexp_matches(upper(CASE WHEN st = '-' THEN {REV.format("substr(sequence, b + 1)")} ELSE substr(sequence, 1, a - 1) END), 'TAA|TAG|TGA') AS flag
+  FROM fa JOIN d ON 'p' || substr(seq_name, 2) = id)"""
+
+
+@query("evidence_run", """SELECT id, 'HC' AS class, 'protein' AS by FROM su
+UNION ALL SELECT id, CASE WHEN n * 3 >= 250 AND score > 50 AND kind = 'complete' AND coalesce(flag, false) THEN 'HC' ELSE 'LC' END, 'itself' FROM fa LEFT JOIN ut USING (id) WHERE id NOT IN (SELECT id FROM su)""", f"{H}, {SCORED_PEP}, {SHORT}, {D}, {RUN}")
+def evidence_run(spark, d):
+    """Hits to classes, revised peptides, gene models and confidence, all from files and with files."""
+    path = fresh_path(spark)
+    pep = P.peptides(spark, d)
+    pep.select(F.concat(F.lit(">"), "header", F.lit(" score="), F.substring("id", 2, 20).cast("long") % 120, F.lit("\n"), "sequence")).write.text(f"{path}/pep")
+    io.write_fasta(P.dna(spark, d).select(F.concat(F.lit("p"), F.substring("seq_name", 2, 20)).alias("seq_name"), "sequence"), f"{path}/transcripts")
+    h = P.hits(spark, d).withColumn("query", F.concat(F.lit("p"), F.substring("query", 2, 20)))
+    io.write_fasta(h.select(F.col("subject").alias("seq_name"), F.repeat(F.lit("M"), F.col("slen").cast("int")).alias("sequence")).distinct(), f"{path}/proteins")
+    columns = ["query", "subject", "pident", "alen", F.lit(0), F.lit(0), "qstart", F.lit(0), "tstart", F.lit(0), "evalue", "bits"]
+    h.select(*(F.col(c).cast("string") if isinstance(c, str) else c.alias(f"x{i}") for i, c in enumerate(columns))).write.csv(f"{path}/hits", sep="\t")
+    limits = Limits(0.05, 93.0, 0.01, 0.6)
+    out = run_evidence(spark, f"{path}/pep", f"{path}/transcripts", f"{path}/proteins", f"{path}/hits", f"{path}/hits", f"{path}/out", limits)
+    return out.select("id", "class", "by")
