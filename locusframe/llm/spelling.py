@@ -177,7 +177,7 @@ def near_words(words: DataFrame, shard_words: int = 1 << 18, shard_chars: int =
     spark = words.sparkSession
     importable(spark)
     # Words are few bytes for their work, so they are dealt out by number.
-    words = written(words.repartition(max(1, -(-words.count() // TASK_WORDS))))
+    dealt = words.repartition(max(1, -(-words.count() // TASK_WORDS)))
     shards = written(trie_shards(words, shard_words, shard_chars))
     sizes = [(r["part"], r["k"], r["bytes"]) for r in shards.select("part", "k", "bytes").orderBy("part", "k").toLocalIterator()]
     path = fresh_path(spark)
@@ -185,7 +185,7 @@ def near_words(words: DataFrame, shard_words: int = 1 << 18, shard_chars: int =
     for number, block in enumerate(_blocks(sizes, block_bytes) if sizes else [[]]):
         chosen = shards.where(F.struct("part", "k").between(F.struct(*map(F.lit, block[0])), F.struct(*map(F.lit, block[-1])))) if block else shards.limit(0)
         sent = spark.sparkContext.broadcast([r["trie"] for r in chosen.select("trie").collect()])
-        words.mapInArrow(_search(sent, number == 0), schema).write.mode("append").parquet(path)
+        dealt.mapInArrow(_search(sent, number == 0), schema).write.mode("append").parquet(path)
         sent.destroy()
     found = spark.read.schema(schema).parquet(path)
     best = F.min(F.when(F.col("best").isNotNull(), F.struct((-F.col("best_n")).alias("m"), "best")))
