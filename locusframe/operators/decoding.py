@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +14,16 @@ from locusframe.functions import genome
 from locusframe.operators.intervals import merged
 from locusframe.session import importable
 
+Scorer = Callable[[list[str]], np.ndarray]
+Work = Callable[[np.ndarray, np.ndarray, pa.RecordBatch], list[pa.Array]]
+#: What shorter sequences of a batch are filled with.
+FILL = "N"
 
-def viterbi(scores: np.ndarray, moves: np.ndarray, start: np.ndarray) -> np.ndarray:
+
+def viterbi(scores: np.ndarray, moves: np.ndarray, start: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
     """The best paths for log scores [chunks, length, states] (or one of [length, states]), log transitions and log
-    start weights; a step takes all chunks at once."""
+    start weights; a step takes all chunks at once. Chunks that end before others (``lengths``) stay in their last state
+    from there on, whatever the scores of the filling are."""
     if scores.ndim == 2:
         return viterbi(scores[None], moves, start)[0]
     n, length, states = scores.shape
@@ -25,7 +32,12 @@ def viterbi(scores: np.ndarray, moves: np.ndarray, start: np.ndarray) -> np.ndar
     for t in range(1, length):
         each = best[:, :, None] + moves
         back[t] = each.argmax(axis=1)
-        best = each.max(axis=1) + scores[:, t]
+        after = each.max(axis=1) + scores[:, t]
+        if lengths is not None:
+            ended = lengths <= t
+            back[t, ended] = np.arange(states)
+            after[ended] = best[ended]
+        best = after
     path = np.empty((n, length), np.int64)
     path[:, -1] = best.argmax(axis=1)
     for t in range(length - 1, 0, -1):
@@ -43,27 +55,98 @@ def stay_or_leave(lengths: list[float], allowed: np.ndarray) -> np.ndarray:
     return out
 
 
-def decoded(chunks: DataFrame, scorer: Callable[[list[str]], np.ndarray], moves: np.ndarray, start: np.ndarray, cells: int = 4_000_000) -> DataFrame:
-    """Adds labels (an array) to chunks with column sequence: ``scorer`` gives log scores [n, length, states] for ``n``
-    sequences of one length, Viterbi the paths. So many chunks are decoded at a time as have ``cells`` scores."""
+def length_batches(parts: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """Rows in ascending order of the length of ``sequence``, cut where their number times the longest would exceed
+    ``cells``, over the borders of the given parts. A longer row is a batch of its own."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for part in parts:
+        begin = 0
+        for i, n in enumerate(pc.fill_null(pc.utf8_length(part["sequence"]), 0).to_numpy(zero_copy_only=False)):
+            if rows and (rows + 1) * max(1, n) > cells:
+                yield pa.concat_batches([*held, part.slice(begin, i - begin)])
+                held, rows, begin = [], 0, i
+            rows += 1
+        held.append(part.slice(begin))
+    if rows:
+        yield pa.concat_batches(held)
+
+
+def _batched(chunks: DataFrame, scorer: Scorer, states: int, cells: int, added: dict[str, str], work: Work) -> DataFrame:
+    """Adds columns to chunks: what ``work`` gives for the scores, lengths and rows of a batch of filled-up sequences.
+
+    Rows of a partition are sorted by length, so a batch has little filling; Spark's sort spills, and a batch is bounded.
+    """
     importable(chunks.sparkSession)
-    names = chunks.columns
     kinds = dict(chunks.dtypes)
-    states = len(start)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            sequences = part["sequence"].fillna("").tolist()
-            labels: list[list[int]] = [[] for _ in sequences]
-            for length, rows in pd.Series(range(len(sequences))).groupby(np.array([len(s) for s in sequences], int)):
-                most = max(1, cells // max(1, length * states))
-                for i in range(0, len(rows) if length else 0, most):
-                    at = rows.to_numpy()[i : i + most]
-                    for k, path in zip(at, viterbi(scorer([sequences[j] for j in at]), moves, start), strict=True):
-                        labels[k] = path.tolist()
-            yield part.assign(labels=labels)
-
-    return chunks.mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", labels array<int>")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in length_batches(parts, max(1, cells // max(1, states))):
+            sequences = [x or "" for x in batch["sequence"].to_pylist()]
+            lengths = np.array([len(x) for x in sequences], np.int64)
+            longest = int(lengths.max())
+            scores = scorer([x.ljust(longest, FILL) for x in sequences]) if longest else np.empty((len(sequences), 0, states))
+            new = work(scores, lengths, batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in (kinds | added).items())
+    return chunks.sortWithinPartitions(F.length("sequence")).mapInArrow(run, schema)
+
+
+def _lists(values: np.ndarray, lengths: np.ndarray, missing: np.ndarray | None = None) -> pa.ListArray:
+    """The first ``lengths`` values of each row as a column of arrays."""
+    real = np.arange(values.shape[1]) < lengths[:, None]
+    flat = pa.array(values[real], mask=None if missing is None else missing[real])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), flat)
+
+
+def decoded(chunks: DataFrame, scorer: Scorer, moves: np.ndarray, start: np.ndarray, cells: int = 4_000_000) -> DataFrame:
+    """Adds labels (an array) to chunks with column sequence: ``scorer`` gives log scores [n, length, states] for ``n``
+    sequences of one length, Viterbi the paths.
+
+    Sequences of unlike length are filled with N in batches of at most ``cells`` scores (or one sequence); their labels
+    are those of each sequence alone if the scorer looks at single bases, and as if N followed otherwise. A null
+    or empty sequence has an empty array. Other columns stay; repeated rows are decoded each; no rows give none.
+    """
+
+    def paths(scores: np.ndarray, lengths: np.ndarray, _: pa.RecordBatch) -> list[pa.Array]:
+        found = viterbi(scores, moves, start, lengths) if scores.shape[1] else np.empty(scores.shape[:2])
+        return [_lists(found.astype(np.int32), lengths)]
+
+    return _batched(chunks, scorer, len(start), cells, {"labels": "array<int>"}, paths)
+
+
+def error_map(chunks: DataFrame, scorer: Scorer, states: int, cells: int = 4_000_000) -> DataFrame:
+    """Adds predicted and loss (arrays, by base) to chunks with columns sequence and labels: the state of the best score (of
+    equal ones the first) and the negative log share that the label's state has of all scores (their softmax).
+
+    The loss is null where a base has no label: null, no state, or labels shorter than the sequence; labels beyond the
+    sequence's end count for nothing. Sequences are scored in batches as in ``decoded``.
+    """
+
+    def compare(scores: np.ndarray, lengths: np.ndarray, batch: pa.RecordBatch) -> list[pa.Array]:
+        truth = np.full(scores.shape[:2], -1, np.int64)
+        for row, one in zip(truth, batch["labels"], strict=True):
+            if one.is_valid:
+                values = pc.fill_null(one.values.cast(pa.int64()), -1).to_numpy(zero_copy_only=False)[: truth.shape[1]]
+                row[: len(values)] = values
+        missing = (truth < 0) | (truth >= states)
+        if not scores.shape[1]:
+            return [_lists(truth.astype(np.int32), lengths), _lists(truth.astype(float), lengths)]
+        top = scores.max(axis=2)
+        whole = top + np.log(np.exp(scores - top[:, :, None]).sum(axis=2))
+        own = np.take_along_axis(scores, np.where(missing, 0, truth)[:, :, None], axis=2)[:, :, 0]
+        return [_lists(scores.argmax(axis=2).astype(np.int32), lengths), _lists((whole - own).astype(float), lengths, missing)]
+
+    return _batched(chunks, scorer, states, cells, {"predicted": "array<int>", "loss": "array<double>"}, compare)
+
+
+def confusion(errors: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label, predicted, n, loss): bases of an error map by label and prediction, and the sum of their losses; bases
+    without a label are left out."""
+    zipped = F.explode(F.arrays_zip("labels", "predicted", "loss")).alias("z")
+    each = errors.select(*keys, zipped).select(*keys, "z.*").where("loss is not null")
+    return each.groupBy(*keys, F.col("labels").alias("label"), "predicted").agg(F.count("*").alias("n"), F.sum("loss").alias("loss"))
 
 
 def label_runs(labels: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,11 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.functions import examples
-from locusframe.operators import grammar, labels, models
+from locusframe.functions import examples, genome
+from locusframe.operators import decoding, grammar, labels, models
 from locusframe.operators import transcripts as T
 from locusframe.plans import proxies as P
-from locusframe.plans.queries import FD, F_, KEYS, LABELS, REV, D, query
+from locusframe.plans.queries import FD, F_, KEYS, LABELS, REV, D, gc_scores, query
 from locusframe.session import fresh_path, stored
 from locusframe.sources import parts
 from locusframe.sources import text as io
@@ -177,3 +177,18 @@ def example_shards(spark, d):
         *examples.KEYS, F.md5("sequence").alias("digest"), by_place("labels", "long").alias("labels"), F.aggregate(zero, F.lit(0).cast("long"), lambda a, x: a + x).alias("masked"),
         by_place(zero, "long").alias("masked_places"), F.round(by_place("track", "double"), 3).alias("track"), F.col("shard").cast("long").alias("shard"),
     )
+
+
+@query("error_map", """ti AS (SELECT seq_name, k AS tile, string_split(substr(sequence, k * 900 + 1, 900), '') AS cs
+  FROM (SELECT seq_name, sequence, unnest(range(0, (length(sequence) + 899) // 900)) AS k FROM d)),
+b AS (SELECT seq_name, tile, unnest(cs) AS c FROM ti),
+p AS (SELECT seq_name, tile, CASE WHEN c IN ('a', 'c', 'g', 't') THEN 1 ELSE 0 END AS label, CASE WHEN upper(c) IN ('G', 'C') THEN 1 ELSE 0 END AS predicted FROM b WHERE c <> 'N' AND c <> '')
+SELECT seq_name, CAST(tile AS BIGINT) AS tile, CAST(label AS INTEGER) AS label, CAST(predicted AS INTEGER) AS predicted, count(*) AS n,
+  round(count(*) * (ln(1 + exp(-3)) + CASE WHEN label = predicted THEN 0 ELSE 3 END), 4) AS loss FROM p GROUP BY seq_name, tile, label, predicted""", f"{D},")
+def error_map(spark, d):
+    """Tiles of all sequences, the last ones short, scored in filled-up batches and held against the soft mask as labels; N has none."""
+    tiles = genome.sequence_tiles(P.dna(spark, d), 0, 900).withColumnsRenamed({"seqid": "seq_name", "tile_sequence": "sequence"})
+    letters = F.regexp_extract_all("sequence", F.lit("(?s)."), F.lit(0))
+    mask = F.transform(letters, lambda c: F.when(c == "N", F.lit(None)).otherwise(c.isin("a", "c", "g", "t").cast("int")))
+    errors = decoding.error_map(tiles.withColumn("labels", mask), gc_scores, 2)
+    return decoding.confusion(errors, ["seq_name", "tile"]).withColumn("loss", F.round("loss", 4))
