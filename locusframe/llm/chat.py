@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm._common import hinted, written
+from locusframe.session import importable
 
 #: A turn is OPEN role MIDDLE text CLOSE. No text holds one of these, or another common control string, unescaped.
 OPEN, MIDDLE, CLOSE = "<s>[ROLE]", "[/ROLE]", "</s>"
@@ -63,6 +68,27 @@ def _digest(*parts: Column) -> Column:
     return F.unhex(F.md5(F.concat(*parts)))
 
 
+def _chained(convs: DataFrame) -> DataFrame:
+    """Adds path (the chained keys of an array of digests) and places (sums of sizes before each turn, and of all) to rows
+    (conv_id, own, sizes), in one pass over each row's turns."""
+    importable(convs.sparkSession)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            paths, places = [], []
+            for own, sizes in zip(part["own"], part["sizes"], strict=True):
+                key, path = b"", []
+                for digest in own.as_py():
+                    key = hashlib.md5(key + digest).digest()
+                    path.append(key)
+                paths.append(path)
+                places.append(np.concatenate([[0], np.cumsum(sizes.values.to_numpy(), dtype=np.int64)]))
+            added = [pa.array(paths, pa.list_(pa.binary())), pa.array(places, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part["conv_id"], part["own"], *added], ["conv_id", "own", "path", "places"])
+
+    return convs.mapInArrow(run, f"conv_id {dict(convs.dtypes)['conv_id']}, own array<binary>, path array<binary>, places array<bigint>")
+
+
 def build_tree(
     rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learned: str = "assistant"
 ) -> PrefixTree:
@@ -76,7 +102,8 @@ def build_tree(
     third of the conversations share is no single task; running sums within the ranges, plus the sums of earlier
     ranges, give the places. Copies of a conversation add nothing to the stream.
 
-    All that is done on digests and lengths. Texts are shuffled once, by digest, to the nodes that they belong to.
+    All that is done on digests and lengths, in time that grows with the turns of a conversation: it is one row of about 50
+    bytes a turn, and must fit in a task. Texts are shuffled once, by digest, to the nodes that they belong to.
     """
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     before = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE))
@@ -85,37 +112,33 @@ def build_tree(
     one = F.struct("t", "role", F.md5("text").alias("m"), _digest(F.col("formatted")).alias("h"), F.length("formatted").cast("long").alias("size"))
     convs = turns.select("conv_id", one.alias("x")).groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
     own = F.transform("x", lambda x: x["h"])
-    chain = F.aggregate(own, F.array(F.lit(b"")), lambda acc, h: F.array_append(acc, _digest(F.element_at(acc, -1), h)))
-    convs = convs.select("conv_id", own.alias("own"), F.slice(chain, 2, F.size("x")).alias("path"), F.transform("x", lambda x: x["size"]).alias("sizes"))
+    convs = _chained(convs.select("conv_id", own.alias("own"), F.transform("x", lambda x: x["size"]).alias("sizes")))
     convs = written(convs.withColumn("leaf", F.element_at("path", -1)))
 
     # Copies go by the leaf's key, which stands for all turns.
-    paths = convs.groupBy("leaf").agg(F.min(F.struct("path", "own", "sizes")).alias("x")).select("leaf", "x.*")
-    joined = F.aggregate("path", F.lit(b""), lambda acc, x: F.concat(acc, x))
-    ranged = written(paths.withColumn("sort", joined).repartitionByRange("sort").withColumn("range", F.spark_partition_id()))
-    in_range = Window.partitionBy("range").orderBy("sort")
-    ends = ranged.groupBy("range").agg(F.max(F.struct("sort", "path"))["path"].alias("last"))
+    paths = convs.groupBy("leaf").agg(F.min(F.struct("path", "own", "places")).alias("x")).select("leaf", "x.*")
+    ranged = written(paths.repartitionByRange("path").withColumn("range", F.spark_partition_id()))
+    in_range = Window.partitionBy("range").orderBy("path")
+    ends = ranged.groupBy("range").agg(F.max("path").alias("last"))
     ends = ends.withColumn("before", F.lag("last").over(Window.orderBy("range"))).select("range", "before")
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
     emitted = ranged.join(hinted(written(ends), BROADCAST_RANGES), "range").withColumn(
         "shared", _common_prefix(F.col("path"), F.coalesce(F.lag("path").over(in_range), "before"))
     )
-    new = total(F.slice("sizes", F.col("shared") + 1, F.greatest(F.size("sizes") - F.col("shared"), F.lit(0))))
-    emitted = emitted.withColumn("new", new)
+    emitted = emitted.withColumn("skipped", F.get("places", F.col("shared"))).withColumn("new", F.element_at("places", -1) - F.col("skipped"))
     upto = F.sum("new").over(in_range.rowsBetween(Window.unboundedPreceding, 0))
-    emitted = written(emitted.withColumn("upto", upto).drop("sort"))
+    emitted = written(emitted.withColumn("upto", upto))
     sums = emitted.groupBy("range").agg(F.sum("new").alias("sum"))
     offsets = sums.withColumn("offset", F.sum("sum").over(Window.orderBy("range")) - F.col("sum")).select("range", "offset")
     placed = emitted.join(hinted(written(offsets), BROADCAST_RANGES), "range").withColumn("base", F.col("offset") + F.col("upto") - F.col("new"))
 
     # A node's place in the stream, from the conversation that emits it.
-    each = placed.select("leaf", "base", "shared", "sizes", F.posexplode(F.arrays_zip("path", "own")).alias("i", "z")).where("i >= shared")
-    up_to = lambda i: F.when(i > 0, total(F.slice("sizes", 1, F.greatest(i, F.lit(1))))).otherwise(F.lit(0).cast("long"))
-    position = up_to(F.col("i"))
+    turn_at = F.arrays_zip("path", "own", F.slice("places", 1, F.size("path")).alias("position"), F.slice("places", 2, F.size("path")).alias("end"))
+    each = placed.select("leaf", "base", "shared", "skipped", F.posexplode(turn_at).alias("i", "z")).where("i >= shared")
+    start = F.col("base") + F.col("z.position") - F.col("skipped")
     slim = written(
-        each.withColumn("position", position).withColumn("start", F.col("base") + F.col("position") - up_to(F.col("shared"))).select(
-            "leaf", (F.col("i") + 1).alias("depth"), F.col("z.path").alias("node"), F.col("z.own").alias("own"), "start",
-            (F.col("start") + F.get("sizes", F.col("i"))).alias("stop"), "position", "base", "shared",
+        each.select(
+            "leaf", (F.col("i") + 1).alias("depth"), F.col("z.path").alias("node"), F.col("z.own").alias("own"), start.alias("start"),
+            (start + F.col("z.end") - F.col("z.position")).alias("stop"), F.col("z.position").alias("position"), "base", "shared",
         )
     )
 

@@ -354,6 +354,20 @@ def test_rake_reaches_both_marginals():
     assert np.allclose(np.bincount(cells[:, 0], out), [0.2, 0.3, 0.5]) and np.allclose(np.bincount(cells[:, 1], out), [0.6, 0.4])
 
 
+def test_chat_of_one_long_conversation(spark):
+    """Rows without an id are one conversation; its turns cost no more than those of short ones."""
+    n = 30_000
+    rows = spark.range(n).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("say "), "id").alias("text"))
+    short = rows.where("turn < 3").withColumn("conv_id", F.lit(1).cast("long"))
+    tree = chat.build_tree(rows.union(short))
+    assert tree.nodes.count() == n and tree.nodes.agg(F.max("users")).first()[0] == 2
+    back = {r["conv_id"]: r for r in chat.read_back(tree).select("conv_id", "turns", "learned").collect()}
+    assert [t["text"] for t in back[None]["turns"]] == [f"say {i}" for i in range(n)] and len(back[1]["turns"]) == 3
+    assert back[None]["learned"] == "".join(f"say {i}" for i in range(1, n, 2))
+    last = tree.nodes.orderBy(F.desc("depth")).select("start", "position", "attends").first()
+    assert last["start"] == last["position"] and [(x["start"], x["stop"]) for x in last["attends"]] == [(0, last["start"])]
+
+
 def test_urls(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
     cases = {
