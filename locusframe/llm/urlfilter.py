@@ -67,10 +67,12 @@ def lexical(df: DataFrame) -> DataFrame:
 def _with_rates(df: DataFrame, sample: DataFrame, prior: float, own: bool, weight: float = 10.0) -> DataFrame:
     """Adds the smoothed block rates of each row's domain and suffix in the (bounded) sample.
 
-    If ``df`` is the sample ``own`` itself, a row's rate is that of the other folds, so no row sees its own label.
+    If ``df`` is the sample ``own`` itself, a row's rate is that of the other folds, so no row sees its own label. Keys that
+    have one verdict only in the sample get the share of all rows: such a rate would say the label outright, and the
+    trees would learn nothing of the urls' form.
     """
     for column, name in (("domain", "domain_rate"), ("suffix", "suffix_rate")):
-        sums = sample.groupBy(column).agg(F.sum("y").alias("_y"), F.count("*").alias("_n"))
+        sums = sample.groupBy(column).agg(F.sum("y").alias("_y"), F.count("*").alias("_n")).where("_y > 0 and _y < _n")
         keys = [column]
         if own:
             keys = [column, "fold"]
