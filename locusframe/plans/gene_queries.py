@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions import examples, genome
-from locusframe.operators import decoding, grammar, labels, models
+from locusframe.operators import decoding, evidence, grammar, labels, models
 from locusframe.operators import transcripts as T
 from locusframe.plans import proxies as P
 from locusframe.plans.queries import FD, F_, KEYS, LABELS, REV, D, gc_scores, query
 from locusframe.session import fresh_path, stored
-from locusframe.sources import parts
+from locusframe.sources import cards, parts
 from locusframe.sources import text as io
 
 #: Mean lengths of exons, introns and what is between genes, and scores of a strong (G, C) and a weak base (A, T) in exons and introns.
@@ -192,3 +192,67 @@ def error_map(spark, d):
     mask = F.transform(letters, lambda c: F.when(c == "N", F.lit(None)).otherwise(c.isin("a", "c", "g", "t").cast("int")))
     errors = decoding.error_map(tiles.withColumn("labels", mask), gc_scores, 2)
     return decoding.confusion(errors, ["seq_name", "tile"]).withColumn("loss", F.round("loss", 4))
+
+
+@query("feature_parts", """k AS (SELECT *, CASE WHEN line_no % 3 = 0 OR gene_id LIKE '%5' THEN 'exon' ELSE 'CDS' END AS kind FROM f),
+c AS (SELECT tx_id, kind, string_agg(start || '-' || stop, ',' ORDER BY start, stop) AS parts FROM k GROUP BY tx_id, kind)
+SELECT tx_id, coalesce(max(parts) FILTER (WHERE kind = 'CDS'), max(parts)) AS parts FROM c GROUP BY tx_id""", f"{F_},")
+def feature_parts(spark, d):
+    """Coding parts of all transcripts, exons of those that have no coding ones."""
+    exon = (F.col("line_no") % 3 == 0) | F.col("gene_id").endswith("5")
+    rows = P.features(spark, d).withColumns({"type": F.when(exon, "exon").otherwise("CDS"), "phase": F.lit(None).cast("int")})
+    text = F.array_join(F.transform("parts", lambda x: F.concat(x["start"], F.lit("-"), x["stop"])), ",")
+    return T.coordinates(rows).select("tx_id", text.alias("parts"))
+
+
+@query("gene_names", """x AS (SELECT DISTINCT tx_id, CASE WHEN line_no // 10 % 5 = 0 THEN NULL ELSE gene_id END AS own, CASE WHEN line_no // 10 % 7 = 0 THEN 'new_' || gene_id END AS given FROM f)
+SELECT tx_id, coalesce(given, own, tx_id || '_g') AS gene_id FROM x""", f"{F_},")
+def gene_names(spark, d):
+    """All transcripts with new genes for some; those that have none are a gene of their own."""
+    o = F.floor(F.col("line_no") / 10)
+    rows = P.features(spark, d).select("tx_id", F.when(o % 5 != 0, F.col("gene_id")).alias("gene_id"), F.when(o % 7 == 0, F.concat(F.lit("new_"), "gene_id")).alias("new_gene")).distinct()
+    return T.with_gene(rows.select("tx_id", "gene_id"), rows.where("new_gene is not null"))
+
+
+@query("label_channels", """b AS (SELECT seq_name, unnest(string_split(upper(sequence), '')) AS c FROM d)
+SELECT seq_name, [count(*) FILTER (WHERE c = 'A'), count(*) FILTER (WHERE c = 'C'), count(*) FILTER (WHERE c = 'G'), count(*) FILTER (WHERE c = 'T')]::VARCHAR AS channels FROM b WHERE c <> '' GROUP BY seq_name""", f"{D},")
+def label_channels(spark, d):
+    """Channels of all labels of all sequences, summed; a label that no channel stands for adds to none."""
+    tiles = genome.sequence_tiles(P.dna(spark, d)).select(F.col("seqid").alias("seq_name"), F.regexp_extract_all(F.upper("tile_sequence"), F.lit("(?s)."), F.lit(0)).alias("c"))
+    hot = tiles.select("seq_name", labels.one_hot(F.transform("c", lambda x: F.instr(F.lit("ACGTN"), x) - 1), 4).alias("hot"))
+    of = lambda i: F.aggregate("hot", F.lit(0).cast("long"), lambda s, x: s + x[i])
+    each = hot.groupBy("seq_name").agg(*(F.sum(of(i)).alias(f"c{i}") for i in range(4)))
+    return each.select("seq_name", F.concat(F.lit("["), F.concat_ws(", ", *(f"c{i}" for i in range(4))), F.lit("]")).alias("channels"))
+
+
+@query("log_track", """SELECT seqid, strand, pos, event_id, round(CASE WHEN x > 0 THEN greatest(-6.0, least(0.0, ln(x))) ELSE -6.0 END, 6) AS log
+FROM (SELECT *, (val - 20) / 100 AS x FROM w)""", P.TRACK)
+def log_track(spark, d):
+    """Logarithms of all values of a track, within bounds; those of values that have none are the lower bound."""
+    x = (F.col("val") - 20) / 100
+    return P.track(spark, d).select("seqid", "strand", "pos", "event_id", F.round(genome.clipped_log(x, -6.0), 6).alias("log"))
+
+
+@query("mapped_reports", """WITH n AS (SELECT l_suppkey AS run, count(*) AS n, count(*) FILTER (WHERE l_returnflag <> 'R') AS m FROM lineitem GROUP BY l_suppkey)
+SELECT 'run' || run AS run, CAST(10000 * m // n AS DOUBLE) / 100 AS percent FROM n""")
+def mapped_reports(spark, d):
+    """Mapped percentages read from reports of runs: each has a line of all alignments, one of mapped ones, and one of pairs."""
+    rows = P.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count(F.when(F.col("l_returnflag") != "R", 1)).alias("m"))
+    share = F.floor(F.lit(10000) * F.col("m") / F.col("n"))
+    percent = F.concat(F.floor(share / 100), F.lit("."), F.lpad((share % 100).cast("string"), 2, "0"))
+    texts = F.array(
+        F.concat("n", F.lit(" + 0 in total (QC-passed reads + QC-failed reads)")), F.concat("m", F.lit(" + 0 mapped ("), percent, F.lit("% : N/A)")),
+        F.concat("m", F.lit(" + 0 properly paired (12.50% : N/A)")),
+    )
+    path = fresh_path(spark)
+    said = rows.select("l_suppkey", F.explode(texts).alias("line"))
+    said.select(F.concat(F.lit("run"), "l_suppkey", F.lit("\t"), "line").alias("value")).write.text(path)
+    lines = spark.read.text(path).select(F.substring_index("value", "\t", 1).alias("run"), evidence.mapped_percent(F.substring_index("value", "\t", -1)).alias("percent"))
+    return lines.where("percent is not null")
+
+
+@query("newest_epoch", """SELECT o_custkey AS run, max(o_orderkey) AS n, 'epoch_' || max(o_orderkey) AS name FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey""")
+def newest_epoch(spark, d):
+    """The folder of the highest epoch of each run, by number and not by spelling; other folders are passed over."""
+    names = P.table(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.concat(F.when(F.col("o_orderstatus") == "F", "best_").otherwise("epoch_"), "o_orderkey").alias("name"))
+    return cards.numbered(names, "name").groupBy("run").agg(F.max("n").alias("n"), F.max_by("name", "n").alias("name"))
