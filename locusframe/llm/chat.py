@@ -21,6 +21,8 @@ CONTROL = r"([<\[])(/?s>|/?ROLE\]|/?INST\]|/?SYS\]|</?SYS>>|\|)"
 ESCAPE = "␛"
 #: One row for each range of conversations is broadcast up to this many.
 BROADCAST_RANGES = 100_000
+#: A conversation with more than one in so many of all copies is dealt out in pieces; there are fewer of these than that.
+SHARES = 500
 
 
 def escape(text: Column) -> Column:
@@ -89,6 +91,20 @@ def _chained(convs: DataFrame) -> DataFrame:
     return convs.mapInArrow(run, f"conv_id {dict(convs.dtypes)['conv_id']}, own array<binary>, path array<binary>, places array<bigint>")
 
 
+def to_copies(copies: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Copies (conv_id, leaf, ...) with the columns of their leaf, each leaf once in ``leaves``.
+
+    Copies of a frequent conversation go to several tasks, and its leaf to each of them.
+    """
+    total = copies.count()
+    counts = copies.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") * SHARES > total)
+    frequent = F.broadcast(written(counts.select("leaf", F.least("n", F.ceil(F.col("n") * SHARES / F.lit(total))).alias("pieces"))))
+    pieces = F.coalesce("pieces", F.lit(1).cast("long"))
+    left = copies.join(frequent, "leaf", "left").withColumn("piece", F.pmod(F.xxhash64("conv_id"), pieces)).drop("pieces")
+    right = leaves.join(frequent, "leaf", "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("pieces")
+    return left.join(right, ["leaf", "piece"]).drop("piece")
+
+
 def build_tree(
     rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learned: str = "assistant"
 ) -> PrefixTree:
@@ -164,7 +180,7 @@ def build_tree(
         "leaf", "depth", "node", "start", "stop", "position", "role", F.concat("before", "inside", F.lit(CLOSE)).alias("formatted"),
         loss_start.alias("loss_start"), (loss_start + loss).alias("loss_stop"), "attends", "users",
     )
-    taken = convs.select("conv_id", "leaf", F.size("path").cast("long").alias("n_turns")).join(walked, "leaf")
+    taken = to_copies(convs.select("conv_id", "leaf", F.size("path").cast("long").alias("n_turns")), walked)
     conversations = taken.select("conv_id", "leaf", "n_turns", "shared", F.transform("spans", lambda x: x["start"]).alias("nodes"))
     return PrefixTree(written(nodes), written(conversations))
 
@@ -193,4 +209,4 @@ def read_leaves(tree: PrefixTree) -> DataFrame:
 
 def read_back(tree: PrefixTree) -> DataFrame:
     """(conv_id, formatted, learned, turns): every conversation, copies too, as the emitted stream has it."""
-    return tree.conversations.select("conv_id", "leaf").join(read_leaves(tree), "leaf").drop("leaf")
+    return to_copies(tree.conversations.select("conv_id", "leaf"), read_leaves(tree)).drop("leaf")

@@ -37,7 +37,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
-    return tree.conversations.select("conv_id", "leaf").join(back, "leaf").drop("leaf")
+    return chat.to_copies(tree.conversations.select("conv_id", "leaf"), back).drop("leaf")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -368,6 +368,17 @@ def test_chat_of_one_long_conversation(spark):
     assert last["start"] == last["position"] and [(x["start"], x["stop"]) for x in last["attends"]] == [(0, last["start"])]
 
 
+def test_chat_of_many_copies(spark):
+    """Copies of a frequent conversation are dealt out, and none is lost or doubled."""
+    copies = spark.range(2_000).select(F.col("id").alias("conv_id"), F.when(F.col("id") % 3 == 0, F.lit("a")).otherwise(F.concat(F.lit("b"), F.col("id") % 700)).alias("leaf"))
+    leaves = copies.select("leaf").distinct().withColumn("said", F.upper("leaf"))
+    out = chat.to_copies(copies, leaves).collect()
+    assert sorted(r["conv_id"] for r in out) == list(range(2_000)) and all(r["said"] == r["leaf"].upper() for r in out)
+    few = chat.to_copies(copies.where("conv_id < 4"), leaves)
+    assert sorted(r["conv_id"] for r in few.collect()) == [0, 1, 2, 3]
+    assert chat.to_copies(copies.limit(0), leaves).count() == 0
+
+
 def test_urls(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
     cases = {
