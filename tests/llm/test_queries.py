@@ -1,12 +1,13 @@
 """The subpackage's queries: against DuckDB where SQL can express them, else their contracts, on the smallest tables."""
 
+import math
 import re
 import zlib
 
 import numpy as np
 import pytest
 
-from locusframe.llm import langid
+from locusframe.llm import langid, quality
 from locusframe.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_operators import brute_components, brute_fingerprint
 from tests.test_queries import FOLDER, needs_tables, same_rows
@@ -82,7 +83,7 @@ def test_language_scores_are_forward_backward(spark):
     model = langid.fit_languages(docs)
     out = QUERIES["op5_language_id"](spark, FOLDER).toPandas().set_index("doc_id")
     k, step = len(model.languages), np.exp(model.moves)
-    for r in docs.where("length(text) < 400").orderBy("doc_id").limit(40).collect():
+    for r in docs.orderBy("doc_id").collect():
         words = langid.words_of(r["text"])
         if not words:
             assert tuple(out.loc[r["doc_id"], ["lang_pred", "score"]]) == ("und", 0.0)
@@ -97,3 +98,46 @@ def test_language_scores_are_forward_backward(spark):
             back[0] /= back[0].sum()
         both = np.array([a * b / (a * b).sum() for a, b in zip(ahead, back, strict=True)]).mean(axis=0)
         assert out.loc[r["doc_id"], "lang_pred"] == model.languages[both.argmax()] and abs(out.loc[r["doc_id"], "score"] - both.max()) < 1e-4
+
+
+def plain_features(lines, i):
+    """What a line says of itself, in plain loops."""
+    line = lines[i]
+    raw, words = line.encode("utf-8", "surrogatepass"), line.split()
+    n, k = max(1, len(raw)), max(1, len(words))
+    same = sum(1 for x in lines if x == line)
+    count = lambda chars: sum(1 for b in raw if chr(b) in chars)
+    return [
+        math.log(1 + len(line)), math.log(1 + len(words)), min(len(line) / k, 40) / 10, 10 * count("*#$%&@^~=<>{}[]\\/_+`") / n, 2 * count("|") / k,
+        4 * count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / n, 10 * count("0123456789") / n, 2 * count("!") / k, 4 * count(".,") / k, len(set(words)) / k,
+        3 * sum(1 for a, b in zip(words, words[1:], strict=False) if a == b) / k, 1.0 if same > 1 else 0.0, min(same - 1, 8) / 4,
+        1.0 if line[:1].isupper() else 0.0, 1.0 if line and line[-1] in ".!?" else 0.0, 1.0 if len(words) < 4 else 0.0, 1.0,
+    ]
+
+
+def test_quality_scores_are_forward_backward(spark):
+    """The query's scores of all rows, from its own model's weights by plain loops over lines."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = quality.fit_quality(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    out = QUERIES["op8_quality_classifier"](spark, FOLDER).toPandas().set_index("doc_id")["score"]
+    step = [[math.exp(x) for x in row] for row in model.moves]
+    assert len(out) == docs.count()
+    for r in docs.collect():
+        lines = [x for x in (r["text"] or "").split("\n") if x.strip()] or [""]
+        own = [plain_features(lines, i) for i in range(len(lines))]
+        emit = []
+        for i in range(len(lines)):
+            before = own[i - 1][:-1] if i else [0.0] * (len(own[0]) - 1)
+            after = own[i + 1][:-1] if i + 1 < len(lines) else [0.0] * (len(own[0]) - 1)
+            row = [*own[i], *before, *after, float(i == 0), float(i + 1 == len(lines))]
+            total = [sum(x * w[y] for x, w in zip(row, model.weights, strict=True)) for y in (0, 1)]
+            emit.append([math.exp(t - max(total)) for t in total])
+        ahead, back = [emit[0]], [[1.0, 1.0]]
+        scaled = lambda pair: [x / sum(pair) for x in pair]
+        for e in emit[1:]:
+            ahead.append(scaled([sum(ahead[-1][i] * step[i][j] for i in (0, 1)) * e[j] for j in (0, 1)]))
+        for e in reversed(emit[1:]):
+            back.append(scaled([sum(step[i][j] * e[j] * back[-1][j] for j in (0, 1)) for i in (0, 1)]))
+        good = [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(ahead, reversed(back), strict=True)]
+        size = [max(1, len(x)) for x in lines]
+        assert abs(out[r["doc_id"]] - sum(g * n for g, n in zip(good, size, strict=True)) / sum(size)) < 1e-6, r["doc_id"]
