@@ -72,7 +72,8 @@ def spliced(cds: DataFrame, sequences: DataFrame, size: int = TILE) -> DataFrame
     n = F.least("stop", (F.col("tile") + 1) * size) - low + 1
     piece = F.substring("tile_sequence", (low - F.col("tile") * size).cast("int"), n.cast("int"))
     parts = F.sort_array(F.collect_list(F.struct(low.alias("low"), F.col("stop"), piece.alias("piece"))))
-    whole = cut.groupBy("seqid", "strand", "tx_id").agg(parts.alias("parts"), F.max("tile_sequence").isNotNull().alias("known"))
+    # Whether there is a tile, not the tile itself, goes through the shuffle.
+    whole = cut.groupBy("seqid", "strand", "tx_id").agg(parts.alias("parts"), F.bool_or(F.col("tile_sequence").isNotNull()).alias("known"))
     joined = F.array_join(F.transform("parts", lambda p: p["piece"]), "")
     return whole.select("seqid", "strand", "tx_id", F.when(F.col("known"), on_strand(joined, F.col("strand"))).alias("sequence"))
 
