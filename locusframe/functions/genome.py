@@ -27,17 +27,24 @@ def chunks(sequences: DataFrame, size: int, overlap: int = 0, pad: bool = True)
     A tile begins every ``size - overlap`` positions. The last is filled with N, or left out if not ``pad`` and short.
     Minus tiles hold the reverse complement of the plus tile, and are numbered backwards.
     """
+    return tiled(sequences, size, overlap, pad).drop("length")
+
+
+def tiled(sequences: DataFrame, size: int, overlap: int = 0, pad: bool = True) -> DataFrame:
+    """``chunks`` with length, that of the whole sequence."""
     step = size - overlap
     length = F.length("sequence").cast("long")
     n = F.greatest(F.lit(1), F.ceil((length - overlap) / step)) if pad else F.floor((length - overlap) / step)
     cuts = F.when(length > 0, _windows(F.col("sequence"), size, step)).otherwise(F.array(F.lit("")))
-    rows = sequences.select("seq_name", length.alias("length"), n.cast("long").alias("n"), F.posexplode(cuts).alias("i", "cut")).where("i < n")
+    # Cut first, then explode: else each tile's row has a copy of the whole sequence, to find its length from.
+    each = sequences.select("seq_name", length.alias("length"), n.cast("long").alias("n"), cuts.alias("cuts"))
+    rows = each.select("seq_name", "length", "n", F.posexplode("cuts").alias("i", "cut")).where("i < n")
     at = F.col("i").cast("long") * step
-    tiles = rows.select("seq_name", "n", "i", (at + 1).alias("start"), F.least(at + size, F.col("length")).alias("stop"), F.rpad("cut", size, "N").alias("sequence"))
+    tiles = rows.select("seq_name", "length", "n", "i", (at + 1).alias("start"), F.least(at + size, F.col("length")).alias("stop"), F.rpad("cut", size, "N").alias("sequence"))
     both = tiles.withColumn("strand", F.explode(F.array(F.lit("-"), F.lit("+"))))
     minus = F.col("strand") == "-"
     return both.select(
-        "seq_name", "strand", F.when(minus, F.col("n") - 1 - F.col("i")).otherwise(F.col("i")).alias("chunk"), "start", "stop",
+        "seq_name", "length", "strand", F.when(minus, F.col("n") - 1 - F.col("i")).otherwise(F.col("i")).alias("chunk"), "start", "stop",
         F.when(minus, revcomp(F.col("sequence"))).otherwise(F.col("sequence")).alias("sequence"),
     )
 

@@ -180,7 +180,8 @@ def blocks(sequences: DataFrame, size: int, margin: int = REACH) -> DataFrame:
         raise ValueError(f"the margin must be {REACH} at least")
     pad = F.lit("N" * margin)
     cuts = F.regexp_extract_all(F.concat(pad, "sequence", pad), F.lit(f"(?s)(?=(.{{1,{size + 2 * margin}}})).{{1,{size}}}"), F.lit(1))
-    rows = sequences.where(F.length("sequence") > 0).select("seq_name", F.length("sequence").cast("long").alias("total"), F.posexplode(cuts).alias("i", "letters"))
+    each = sequences.where(F.length("sequence") > 0).select("seq_name", F.length("sequence").cast("long").alias("total"), cuts.alias("cuts"))
+    rows = each.select("seq_name", "total", F.posexplode("cuts").alias("i", "letters"))
     rows = rows.withColumn("count", F.ceil(F.col("total") / size)).where("i < count")
     length = F.least(F.lit(size).cast("long"), F.col("total") - F.col("i").cast("long") * size)
     both = rows.withColumns({"length": length, "strand": F.explode(F.array(F.lit("+"), F.lit("-")))})

@@ -19,3 +19,45 @@ def test_spliced_shuffles_pieces_and_no_tiles(spark):
     rows = genome.spliced(cds, dna, 4)
     assert sorted(map(tuple, rows.select("tx_id", "sequence").collect()), key=str) == [("a", "CGTTAC"), ("b", "GTAC"), ("c", None)]
     assert "max(tile_sequence" not in plan(rows)
+
+
+def test_tiles_hold_no_whole_sequence(spark):
+    from pyspark.sql import functions as F
+
+    dna = spark.range(3).select(F.col("id").cast("string").alias("seq_name"), F.repeat(F.lit("ACG"), F.col("id").cast("int") * 5).alias("sequence"))
+    rows = genome.chunks(dna, 4, 1)
+    generate = next(x for x in plan(rows).split("== Physical Plan ==")[1].splitlines() if "Generate posexplode" in x)
+    assert "sequence" not in generate.split("posexplode(", 1)[1].split(")", 1)[1].split("], ")[0]
+    assert rows.where("seq_name = '2'").count() == 20
+
+
+def test_runs_inside_tiles_are_not_merged_again(spark, monkeypatch):
+    import numpy as np
+
+    from locusframe.operators import decoding
+
+    seen = []
+    real = decoding.merged
+
+    def counted(df, keys, *more):
+        seen.append(df.count())
+        return real(df, keys, *more)
+
+    monkeypatch.setattr(decoding, "merged", counted)
+    letters = "GGATTTGCGCAAAGATTACCCCCCCCCCCCCCCCCCCCCCCCATAT" * 3
+
+    def score(sequences):
+        strong = np.array([[c in "GC" for c in x] for x in sequences])
+        return np.stack([np.where(strong, -3.0, 0.0), np.where(strong, 0.0, -3.0)], axis=2)
+
+    even = np.log(np.full((2, 2), 0.5))
+    dna = spark.createDataFrame([("s", letters), ("e", ""), ("z", None)], "seq_name string, sequence string")
+    found = decoding.genome_runs(dna, 10, 4, score, even, even[0])
+    strong = [c in "GC" for c in letters]
+    begins = [0, *(i for i in range(1, len(letters)) if strong[i] != strong[i - 1]), len(letters)]
+    expected = [(int(strong[a]), a + 1, b) for a, b in zip(begins, begins[1:], strict=False)]
+    for strand in "+-":
+        got = found.where(f"strand = '{strand}' and seq_name = 's'").select("label", "start", "stop").collect()
+        assert sorted(map(tuple, got), key=lambda x: x[1]) == expected
+    assert decoding.annotated(found, [1]).count() == 2 * sum(x[0] for x in expected)
+    assert len(seen) == 1 and seen[0] <= 2 * 2 * -(-len(letters) // 6)
