@@ -61,3 +61,26 @@ def test_runs_inside_tiles_are_not_merged_again(spark, monkeypatch):
         assert sorted(map(tuple, got), key=lambda x: x[1]) == expected
     assert decoding.annotated(found, [1]).count() == 2 * sum(x[0] for x in expected)
     assert len(seen) == 1 and seen[0] <= 2 * 2 * -(-len(letters) // 6)
+
+
+def test_bins_fit_the_lengths_of_rows(spark):
+    from locusframe.operators import intervals
+
+    rows = [("c", i * 40, i * 40 + 25, i) for i in range(200)]
+    a, b = (spark.createDataFrame(rows, f"k string, start long, stop long, {n} long") for n in "ab")
+    width = intervals.fitting_width(a, b)
+    assert width == 32
+    assert sorted(map(tuple, intervals.overlaps(a, b, ["k"], width).select("a", "b").collect())) == [(i, i) for i in range(200)]
+    long = spark.createDataFrame([("c", 1, 1 << 40)], "k string, start long, stop long")
+    assert intervals.fitting_width(a, long) == 1 << 40
+    assert intervals.fitting_width(a.limit(0)) == 32
+
+
+def test_set_scores_deal_rows_by_their_number(spark, monkeypatch):
+    from locusframe.operators import evaluation
+
+    monkeypatch.setattr(evaluation, "ROWS", 10)
+    one, two = (spark.range(*x).selectExpr("cast(id as string) as k", "id % 3 as v") for x in ((0, 60), (20, 90)))
+    got = evaluation.set_scores(one.union(one), two)
+    assert tuple(got.select("tp", "fp", "fn").first()) == (40, 20, 30)
+    assert "REPARTITION_BY_NUM" in plan(got) and plan(got).count("HashAggregate(keys=[k") <= 2
