@@ -15,6 +15,8 @@ from locusframe.operators.labels import label_tiles
 from locusframe.session import fresh_path, importable
 
 KEYS = ["seqid", "strand", "tile"]
+#: Tiles that a bucket holds on average, at most.
+TILES = 20_000
 
 
 def bucketed(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
@@ -61,19 +63,27 @@ def track_part(track: DataFrame, size: int, empty: float) -> DataFrame:
 
 
 def examples(
-    sequences: DataFrame, cds: DataFrame, masked: DataFrame, track: DataFrame, size: int, empty: float = 0.0, buckets: int = 200
+    sequences: DataFrame, cds: DataFrame, masked: DataFrame, track: DataFrame, size: int, empty: float = 0.0, buckets: int = 200, shards: int = 0
 ) -> DataFrame:
     """(seqid, strand, tile, sequence, labels, weights, track): all tiles of all sequences (seq_name, sequence) on both strands.
 
     Each part is shuffled once, by its own tiles, into a bucketed table; the four then meet bucket by bucket. A tile without a part has
     label 0, weight 1 and the track's ``empty`` value all along. Parts of tiles that no sequence has are left out.
+
+    There are ``buckets`` buckets at least, and more where one would hold over ``TILES`` tiles. With ``shards``, column shard is added as
+    ``example_shards`` does, but found from the tiles' keys alone: the arrays are not shuffled for it.
     """
+    tiles = sequences.agg(F.sum(2 * F.ceil(F.greatest(F.lit(1), F.length("sequence")) / size))).first()[0] or 0
+    buckets = max(buckets, -(-int(tiles) // TILES))
     parts = [bucketed(p, KEYS, buckets) for p in (sequence_part(sequences, size), label_part(cds, size), weight_part(masked, size), track_part(track, size, empty))]
+    if shards:
+        parts.append(bucketed(with_shard(parts[0].select(*KEYS), shards, *KEYS), KEYS, buckets))
     out = parts[0]
     for part in parts[1:]:
         out = out.join(part.hint("merge"), KEYS, "left")
     fill = lambda c, value: F.coalesce(c, F.array_repeat(value, size)).alias(c)
-    return out.select(*KEYS, "sequence", fill("labels", F.lit(0)), fill("weights", F.lit(1.0)), fill("track", F.lit(float(empty))))
+    more = ["shard"] if shards else []
+    return out.select(*KEYS, "sequence", fill("labels", F.lit(0)), fill("weights", F.lit(1.0)), fill("track", F.lit(float(empty))), *more)
 
 
 def example_shards(rows: DataFrame, shards: int) -> DataFrame:
@@ -82,5 +92,5 @@ def example_shards(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def write_shards(rows: DataFrame, path: str) -> None:
-    """A folder of Parquet for each shard."""
-    rows.repartition("shard").write.partitionBy("shard").parquet(path)
+    """A folder of Parquet for each shard, with a file from each task that has rows of it: whole examples are not shuffled once more."""
+    rows.write.partitionBy("shard").parquet(path)

@@ -167,9 +167,9 @@ def example_shards(spark, d):
     masked = labels.masked(tx.where("not filtered"), tx.where("filtered"), ["seqid"], 20)
     first = track.agg(F.min("pos")).first()[0] or 0
     values = track.groupBy(F.concat(F.lit("d"), F.substring("seqid", 2, 20)).alias("seqid"), (F.col("pos") - first).alias("pos")).agg(F.max("val").alias("value"))
-    rows = examples.examples(P.dna(spark, d), cds, masked, values, 500, buckets=8)
+    rows = examples.examples(P.dna(spark, d), cds, masked, values, 500, buckets=8, shards=8)
     path = fresh_path(spark)
-    examples.write_shards(examples.example_shards(rows, 8), path)
+    examples.write_shards(rows, path)
     back = spark.read.parquet(path)
     by_place = lambda c, kind: F.aggregate(F.transform(c, lambda x, i: x.cast(kind) * i), F.lit(0).cast(kind), lambda a, x: a + x)
     zero = F.transform("weights", lambda x: (x == 0).cast("long"))

@@ -84,3 +84,21 @@ def test_set_scores_deal_rows_by_their_number(spark, monkeypatch):
     got = evaluation.set_scores(one.union(one), two)
     assert tuple(got.select("tp", "fp", "fn").first()) == (40, 20, 30)
     assert "REPARTITION_BY_NUM" in plan(got) and plan(got).count("HashAggregate(keys=[k") <= 2
+
+
+def test_shards_are_found_from_keys_alone(spark, monkeypatch):
+    from locusframe.functions import examples
+
+    seen = []
+    real = examples.with_shard
+    monkeypatch.setattr(examples, "with_shard", lambda rows, *more: seen.append(rows.columns) or real(rows, *more))
+    monkeypatch.setattr(examples, "TILES", 5)
+    dna = spark.createDataFrame([("a", "ACGT" * 12 + "G"), ("b", "TTTTa"), ("e", "")], "seq_name string, sequence string")
+    cds = spark.createDataFrame([("a", "+", "g", "t1", "CDS", 3, 11, 1)], "seqid string, strand string, gene_id string, tx_id string, type string, start long, stop long, line_no long")
+    masked = spark.createDataFrame([("a", 0, 3)], "seqid string, start long, stop long")
+    track = spark.createDataFrame([("a", 0, 1.5)], "seqid string, pos long, value double")
+    rows = examples.examples(dna, cds, masked, track, 20, 0.0, 1, 3)
+    assert seen == [examples.KEYS]
+    assert rows.rdd.getNumPartitions() == 2 and "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    slim = examples.example_shards(rows.drop("shard"), 3).select(*examples.KEYS, "shard")
+    assert sorted(map(tuple, rows.select(*examples.KEYS, "shard").collect())) == sorted(map(tuple, slim.collect()))
