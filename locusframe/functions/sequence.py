@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.session import importable
+
 STOPS = ("TAA", "TAG", "TGA")
 STARTS = ("ATG", "TTG", "GTG", "CTG")
 #: The standard genetic code (fixed values), by codon in TCAG order.
@@ -76,6 +80,29 @@ def base_channels(channels: Column, n: int = 5) -> Column:
     return F.transform(channels, lambda x: F.slice(x, 1, n))
 
 
+def channel_sums(sequences: DataFrame) -> DataFrame:
+    """(seq_name, sums): the five base channels of ``one_hot`` (A, C, G, T, N) summed over each sequence; null for a null one.
+
+    A task counts the bytes of a text and looks their channels up in a table; bytes within a letter of several count for nothing.
+    """
+    table = np.zeros((256, 5), np.int64)
+    table[:, 4] = 1
+    table[0x80:0xC0] = 0
+    for i, base in enumerate("ACGT"):
+        for letter in (base, base.lower()):
+            table[ord(letter)] = np.eye(5, dtype=np.int64)[i]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = batch["sequence"].cast(pa.large_binary())
+            out = [np.bincount(np.frombuffer(x.as_buffer(), np.uint8), minlength=256) @ table if x.is_valid else None for x in each]
+            yield pa.record_batch([batch["seq_name"], pa.array(out, pa.list_(pa.int64()))], ["seq_name", "sums"])
+
+    importable(sequences.sparkSession)
+    rows = sequences.select("seq_name", "sequence")
+    return rows.mapInArrow(sums, f"seq_name {dict(rows.dtypes)['seq_name']}, sums array<long>")
+
+
 def first_sequences(sequences: DataFrame, n: int, order: str = "seq_ord") -> DataFrame:
     """The first ``n`` sequences in order."""
     return sequences.orderBy(order, "seq_name").limit(n)

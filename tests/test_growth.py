@@ -102,3 +102,10 @@ def test_shards_are_found_from_keys_alone(spark, monkeypatch):
     assert rows.rdd.getNumPartitions() == 2 and "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     slim = examples.example_shards(rows.drop("shard"), 3).select(*examples.KEYS, "shard")
     assert sorted(map(tuple, rows.select(*examples.KEYS, "shard").collect())) == sorted(map(tuple, slim.collect()))
+
+
+def test_channels_are_summed_in_one_pass(spark):
+    from locusframe.functions import sequence as S
+
+    rows = spark.createDataFrame([("a", "ACgtNNxé"), ("e", ""), ("z", None)], "seq_name string, sequence string")
+    assert {r["seq_name"]: r["sums"] for r in S.channel_sums(rows).collect()} == {"a": [1, 1, 1, 1, 4], "e": [0] * 5, "z": None}
