@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.genome import stop_report
 from locusframe.functions.sequence import revcomp
-from locusframe.operators.intervals import running
+from locusframe.operators.intervals import running_all
 from locusframe.session import importable, stored
 
 STATES = 15
@@ -39,6 +39,8 @@ DONORS, ACCEPTORS = ("GT", "GC"), ("AG",)
 CELLS = 1 << 17
 #: Positions of both strands that one task decodes.
 TASK = 1 << 19
+#: Bases of the longest sequence that is decoded in one pass, and positions of both strands of such ones in one task.
+WHOLE, WHOLE_TASK = 1 << 13, 1 << 21
 
 Scorer = Callable[[list[str]], np.ndarray]
 
@@ -64,6 +66,11 @@ def class_scores(probabilities: np.ndarray, epsilon: float = 0.01) -> np.ndarray
 
 #: The states before each state, in order.
 _BEFORE = [[s for s, after in STEPS.items() if to in after] for to in range(STATES)]
+#: The first, second and third of them; a state with fewer has its first again. State 5 alone has three.
+_WAYS = np.array([[x[k] if k < len(x) else x[0] for k in range(3)] for x in _BEFORE])
+_THIRD = _BEFORE[5][2]
+_OTHER = np.arange(256, dtype=np.uint8)
+_OTHER[list(b"ACGTNacgtn")] = list(b"TGCANtgcan")
 _CODE = np.full(256, 4, np.int64)
 for _i, _base in enumerate("ACGT"):
     _CODE[ord(_base)] = _CODE[ord(_base.lower())] = _i
@@ -95,50 +102,66 @@ def masked_scores(scores: np.ndarray, letters: np.ndarray, donors: Sequence[str]
 
 
 def forward(entry: np.ndarray, scores: np.ndarray, stops: np.ndarray, lengths: np.ndarray, moves: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Best scores at the end of each of n blocks for entry vectors [n, rows, 15]; with ``keep``, also the states before, [length, 15, n].
+    """Best scores at the end of each of n blocks for entry vectors [n, rows, 15]; with ``keep``, also the ways taken, [length, 15, n], for ``paths``.
 
-    A step doesn't go from state 5 to 6 or 9 where a stop codon ends. Of steps as good that from the lower state holds; states before
-    are those of the first row. Blocks shorter than the longest are padded; ``lengths`` has their own.
+    A step doesn't go from state 5 to 6 or 9 where a stop codon ends. Of steps as good that from the lower state holds; ways
+    are those of the first row. Blocks shorter than the longest are padded; ``lengths`` has their own. All states go one place
+    on together: each has two states before it (the same one twice, if it has one), and state 5 a third.
     """
     n, length = scores.shape[:2]
+    rows = entry.shape[1]
     now = np.ascontiguousarray(np.moveaxis(entry, 2, 0)).astype(np.int64)
-    new = np.empty_like(now)
+    one, two = np.empty_like(now), np.empty_like(now)
     each = np.ascontiguousarray(np.moveaxis(scores, 0, 2))
     back = np.zeros((length, STATES, n), np.int8) if keep else None
+    every, states = np.arange(STATES), (_WAYS[:, 0], _WAYS[:, 1])
+    # Spread out once: an array goes into a sum or maximum faster than one number a row.
+    first, second = (np.ascontiguousarray(np.broadcast_to(moves[x, every][:, None, None], now.shape)) for x in states)
+    least = np.full(now.shape, NEVER, np.int64)
+    third, shortest = moves[_THIRD, 5], int(lengths.min()) if n else 0
+    place, stop = np.nonzero(stops.T)
+    bounds = np.searchsorted(place, np.arange(length + 1)).tolist()
     for t in range(length):
-        stop = np.flatnonzero(stops[:, t])
-        for to, before in enumerate(_BEFORE):
-            best = new[to]
-            for k, state in enumerate(before):
-                way = now[state] + moves[state, to]
-                if state == 5 and to != STOP and len(stop):
-                    way[stop] = NEVER
-                if back is not None:
-                    back[t, to] = state if k == 0 else np.where(way[:, 0] > best[:, 0], state, back[t, to])
-                if k == 0:
-                    best[:] = way
-                else:
-                    np.maximum(best, way, out=best)
-            best += each[t, to][:, None]
-        np.maximum(new, NEVER, out=new)
-        over = np.flatnonzero(lengths <= t)
-        if len(over):
-            new[:, over] = now[:, over]
-        now, new = new, now
-    return np.moveaxis(now, 0, 2), back
+        np.add(np.take(now, states[0], axis=0, out=one, mode="clip"), first, out=one)
+        np.add(np.take(now, states[1], axis=0, out=two, mode="clip"), second, out=two)
+        if bounds[t] < bounds[t + 1]:
+            # State 5 is the first one before both 6 and 9.
+            ended = stop[bounds[t] : bounds[t + 1]]
+            one[6, ended] = NEVER
+            one[9, ended] = NEVER
+        last = now[_THIRD] + third
+        if back is not None:
+            np.greater(two[:, :, 0], one[:, :, 0], out=back[t].view(bool))
+        np.maximum(one, two, out=one)
+        if back is not None:
+            back[t, 5][last[:, 0] > one[5, :, 0]] = 2
+        np.maximum(one[5], last, out=one[5])
+        one += each[t][:, :, None]
+        np.maximum(one, least, out=one)
+        if t >= shortest:
+            over = np.flatnonzero(lengths <= t)
+            one[:, over] = now[:, over]
+        now, one = one, now
+    return np.moveaxis(now, 0, 2).reshape(n, rows, STATES), back
 
 
 def paths(back: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The states [n, exits, 1 + length] on the paths that end in ``ends`` [n, exits]; the first is the state before the block."""
     length, _, n = back.shape
-    out = np.zeros((n, ends.shape[1], length + 1), np.int8)
+    out = np.zeros((length + 1, n, ends.shape[1]), np.int8)
     now, rows = ends.astype(np.int64), np.arange(n)[:, None]
+    ways, flat, shortest = _WAYS.ravel(), back.reshape(length, -1), int(lengths.min()) if n else 0
     for t in range(length - 1, -1, -1):
-        live = (lengths > t)[:, None]
-        out[:, :, t + 1] = np.where(live, now, 0)
-        now = np.where(live, back[t][now, rows], now)
-    out[:, :, 0] = now
-    return out
+        before = ways[now * 3 + flat[t][now * n + rows]]
+        if t >= shortest:
+            live = (lengths > t)[:, None]
+            out[t + 1] = np.where(live, now, 0)
+            now = np.where(live, before, now)
+        else:
+            out[t + 1] = now
+            now = before
+    out[0] = now
+    return np.moveaxis(out, 0, 2)
 
 
 def decode(sequence: str, scorer: Scorer, moves: np.ndarray, ends: Sequence[int] = (INTERGENIC, STOP)) -> tuple[int, np.ndarray]:
@@ -296,17 +319,106 @@ def _paths(scorer: Scorer, moves: np.ndarray, margin: int) -> Callable:
     return run
 
 
-def decoded_blocks(sequences: DataFrame, scorer: Scorer, moves: np.ndarray, size: int = 1 << 12, margin: int = REACH, ends: Sequence[int] = (INTERGENIC, STOP)) -> DataFrame:
+def _whole(scorer: Scorer, moves: np.ndarray, size: int, margin: int, ends: Sequence[int]) -> Callable:
+    """For sequences (seq_name, sequence): the rows of ``decoded_blocks``, from one pass over each strand of a whole sequence."""
+    exits = np.array(sorted(ends))
+
+    def letters_of(texts: list[bytes], longest: int) -> np.ndarray:
+        """Both strands (plus first) as bytes, with ``margin`` N before and N after."""
+        out = np.full((2 * len(texts), longest + 2 * margin), ord("N"), np.uint8)
+        for i, text in enumerate(texts):
+            own = np.frombuffer(text, np.uint8)
+            out[i, margin : margin + len(own)] = own
+            out[len(texts) + i, margin : margin + len(own)] = _OTHER[own[::-1]]
+        return out
+
+    def scored_blocks(letters: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each block is scored by itself, with its margins; those of one length together."""
+        n, longest = len(letters), letters.shape[1] - 2 * margin
+        scores, stops = np.zeros((n, longest, STATES), np.int64), np.zeros((n, longest), bool)
+        for own in np.unique(length).tolist():
+            at = np.flatnonzero(length == own)
+            r, place = row[at, None], start[at, None] + np.arange(own)
+            some = letters[r, start[at, None] + np.arange(own + 2 * margin)]
+            text, wide = some.tobytes().decode("ascii"), own + 2 * margin
+            found = scorer([text[i : i + wide] for i in range(0, len(text), wide)])[:, margin : margin + own]
+            scores[r, place], stops[r, place] = masked_scores(found, some[:, margin - REACH : margin + own + REACH])
+        return scores, stops
+
+    def decoded(names: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+        total = np.tile([len(x) for x in texts], 2)
+        n, count = len(total), -(-total // size)
+        minus = np.arange(n) >= len(texts)
+        # Blocks are cut on the plus strand, so the first one of the minus strand may be short.
+        shift = np.where(minus, count * size - total, 0)
+        row = np.repeat(np.arange(n), count)
+        block = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        start = np.maximum(block * size - shift[row], 0)
+        length = np.minimum((block + 1) * size - shift[row], total[row]) - start
+        scores, stops = scored_blocks(letters_of(texts, int(total.max())), row, start, length)
+        entry = np.full((n, 1, STATES), NEVER, np.int64)
+        entry[:, 0, INTERGENIC] = 0
+        best, back = forward(entry, scores, stops, total, moves, keep=True)
+        end = exits[best[:, 0, exits].argmax(axis=1)]
+        score = best[np.arange(n), 0, end]
+        states = paths(back, total, end[:, None])[:, 0]
+        path, column = states[:, 1:], np.arange(states.shape[1] - 1)
+        kind = np.minimum(path, 4)
+        new = (column + shift[:, None]) % size == 0
+        new[:, 0] = True
+        new[:, 1:] |= kind[:, 1:] != kind[:, :-1]
+        new &= (column < total[:, None]) & (score > NEVER // 2)[:, None]
+        at, begin = np.nonzero(new)
+        stop = np.append(begin[1:], 0)
+        stop[np.append(at[1:] != at[:-1], True)] = 0
+        stop = np.where(stop == 0, total[at], stop)
+        heads = np.flatnonzero((begin == 0) | ((begin + shift[at]) % size == 0))
+        r, b = at[heads], (begin[heads] + shift[at[heads]]) // size
+        fields = {"kind": kind[at, begin].astype(np.int32), "start": begin + 1, "stop": stop, "first": path[at, begin].astype(np.int32), "last": path[at, stop - 1].astype(np.int32)}
+        runs = pa.StructArray.from_arrays([pa.array(c) for c in fields.values()], list(fields))
+        return pa.record_batch([
+            names.take(pa.array(r % len(texts))), pa.array(np.where(minus[r], "-", "+")).cast(pa.string()), pa.array(b), pa.array(total[r]), pa.array(states[r, begin[heads]].astype(np.int32)),
+            pa.array(score[r], mask=b != count[r] - 1), pa.ListArray.from_arrays(pa.array(np.append(heads, len(at)).astype(np.int32)), runs),
+        ], [*KEYS, "block", "total", "came", "score", "runs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.encode("ascii", "replace") for x in batch.column("sequence").to_pylist()]
+            for at in packed(np.array([2 * len(x) for x in texts])):
+                yield decoded(batch.column("seq_name").take(pa.array(at)), [texts[i] for i in at])
+
+    return run
+
+
+def decoded_blocks(
+    sequences: DataFrame, scorer: Scorer, moves: np.ndarray, size: int = 1 << 12, margin: int = REACH, ends: Sequence[int] = (INTERGENIC, STOP), whole: int = WHOLE
+) -> DataFrame:
     """(seq_name, strand, block, total, came, score, runs): the best path of every sequence (seq_name, sequence) on both strands, as runs in each block.
 
     The path is that of one pass over the whole sequence (``decode``), whatever ``size`` is, if the scorer looks no further than ``margin``
     bases. A run has kind (0 intergenic, 1 to 3 intron, 4 exon), start and stop on its own strand, and the states at its ends; a run
     at a block's border may go on in the next block. ``came`` is the state before the block. ``score`` is the whole path's, in the sequence's last block, else null. A
     sequence must begin after an intergenic base and end in a state of ``ends``; seq_name must be unique. Empty sequences give no row.
+
+    Sequences of up to ``whole`` bases are decoded in one pass inside a task (their blocks are only scored by themselves); longer ones
+    by blocks in tasks of their own. Both have the same result.
     """
-    positions = sequences.agg(F.sum(2 * F.length("sequence").cast("long"))).first()[0] or 0
-    # Sequences are few bytes for their work, so blocks are dealt out by their number, not by bytes.
-    return decoded_table(stored(blocks(sequences, size, margin).repartition(max(1, -(-positions // TASK)), *KEYS, "block")), scorer, moves, margin, ends)
+    if margin < REACH:
+        raise ValueError(f"the margin must be {REACH} at least")
+    n = F.length("sequence").cast("long")
+    short = F.sum(F.when(n <= whole, 2 * n))
+    positions, rest = sequences.agg(F.coalesce(short, F.lit(0)), F.coalesce(F.sum(F.when(n > whole, 2 * n)), F.lit(0))).first()
+    out = []
+    # Sequences are few bytes for their work, so they and blocks are dealt out by their number, not by bytes.
+    if rest or not positions:
+        table = blocks(sequences.where(n > whole), size, margin).repartition(max(1, -(-rest // TASK)), *KEYS, "block")
+        out.append(decoded_table(stored(table), scorer, moves, margin, ends))
+    if positions:
+        importable(sequences.sparkSession)
+        dealt = sequences.where((n > 0) & (n <= whole)).select("seq_name", "sequence").repartition(-(-positions // WHOLE_TASK), "seq_name")
+        name = dict(dealt.dtypes)["seq_name"]
+        out.append(dealt.mapInArrow(_whole(scorer, moves, size, margin, ends), f"seq_name {name}, strand string, block long, total long, came int, score long, runs {RUN}"))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def decoded_table(table: DataFrame, scorer: Scorer, moves: np.ndarray, margin: int, ends: Sequence[int] = (INTERGENIC, STOP)) -> DataFrame:
@@ -440,8 +552,8 @@ def gene_parts(pieces: DataFrame, width: int = 1 << 14) -> DataFrame:
     exons = pieces.where("kind = 4")
     begin = F.when(F.col("first").isin(START, *EXON_BEGINS), F.col("start"))
     start = F.when(F.col("first") == START, F.col("start"))
-    rows = running(exons.withColumns({"begin": begin, "tx": start}), KEYS, ["start"], "start", F.col("begin"), "begin_before", "max", width)
-    rows = running(rows, KEYS, ["start"], "start", F.col("tx"), "tx_before", "max", width)
+    values = {"begin_before": F.col("begin"), "tx_before": F.col("tx")}
+    rows = running_all(exons.withColumns({"begin": begin, "tx": start}), KEYS, ["start"], "start", values, "max", width)
     whole = rows.select(*KEYS, "total", F.coalesce("tx", "tx_before").alias("tx"), F.coalesce("begin", "begin_before").alias("begin"), "start", "stop").where("tx is not null")
     return whole.groupBy(*KEYS, "total", "tx", "begin").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("begin")
 

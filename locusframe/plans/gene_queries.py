@@ -21,15 +21,16 @@ STRONG, WEAK = {"exon": 350_000, "intron": -250_000}, {"exon": -150_000, "intron
 LEAST = 45
 
 
+_BY_BASE = np.zeros((256, grammar.STATES), np.int64)
+for _bases, _score in (("GCgc", STRONG), ("ATat", WEAK)):
+    _BY_BASE[list(_bases.encode()), 4:] = _score["exon"]
+    _BY_BASE[list(_bases.encode()), 1:4] = _score["intron"]
+
+
 def base_scores(sequences: list[str]) -> np.ndarray:
     """Scores of the 15 states by base alone: exons like G and C, introns A and T; the rest, and other letters, have none."""
-    letters = np.frombuffer("".join(sequences).upper().encode(), np.uint8).reshape(len(sequences), -1)
-    out = np.zeros((*letters.shape, grammar.STATES), np.int64)
-    for bases, score in (("GC", STRONG), ("AT", WEAK)):
-        at = (letters == ord(bases[0])) | (letters == ord(bases[1]))
-        out[..., 4:][at] = score["exon"]
-        out[..., 1:4][at] = score["intron"]
-    return out
+    letters = np.frombuffer("".join(sequences).encode(), np.uint8).reshape(len(sequences), -1)
+    return _BY_BASE[letters]
 
 
 def _recursion() -> str:
@@ -86,7 +87,7 @@ def _said(pieces: DataFrame, scores: DataFrame) -> DataFrame:
 @query("decode_grammar", "SELECT seq_name, strand, score, genes FROM path", f"RECURSIVE {P.CONTIGS}, {_recursion()}")
 def decode_grammar(spark, d):
     """The best path of gene labels through each sequence, both strands: its score, and coding exons by transcript."""
-    found = stored(grammar.decoded_blocks(P.contigs(spark, d), base_scores, MOVES, size=256))
+    found = stored(grammar.decoded_blocks(stored(P.contigs(spark, d)), base_scores, MOVES, size=256))
     return _said(grammar.path_pieces(found), found.where("score is not null").select(*grammar.KEYS, "score"))
 
 

@@ -207,3 +207,14 @@ def test_empty_table(spark):
     assert grammar.annotated_genes(none, base_scores, MOVES).count() == 0
     with pytest.raises(ValueError):
         grammar.blocks(none.withColumn("x", F.lit(1)), 10, 1)
+
+
+def test_whole_sequences_are_their_blocks(spark):
+    rng = np.random.default_rng(8)
+    texts = [genome(rng, n) for n in (1, 6, 63, 64, 65, 128, 500, 911)] + ["ATGTAA"]
+    table = spark.createDataFrame([*((f"s{i}", x) for i, x in enumerate(texts)), ("none", ""), ("null", None)], "seq_name string, sequence string")
+    rows = lambda whole: sorted(map(tuple, grammar.decoded_blocks(table, smooth, grammar.gene_moves(40, 60, 60), 64, 3, whole=whole).collect()), key=str)
+    assert rows(1 << 13) == rows(0) == rows(64)
+    plan = grammar.decoded_blocks(table, smooth, MOVES, 64, 3)._jdf.queryExecution().executedPlan().toString()
+    # One pass in a task: no matrices, vectors or paths of blocks are joined.
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
