@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,18 +13,32 @@ def _parts(attrs: Column) -> Column:
     return F.filter(F.transform(F.split(attrs, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _entry(x: Column) -> Column:
-    gff = x.contains("=") & ~F.substring_index(x, "=", 1).contains(" ")
-    key = F.when(gff, F.substring_index(x, "=", 1)).otherwise(F.substring_index(x, " ", 1))
-    value = F.when(gff, F.substring(x, F.length(key) + 2, F.length(x))).otherwise(F.trim(F.substring(x, F.length(key) + 2, F.length(x)), F.lit('" ')))
-    return F.struct(key.alias("key"), value.alias("value"))
+    rest = lambda key: F.substring(x, F.length(key) + 2, F.length(x))
+    entry = lambda key, value: F.struct(key.alias("key"), value.alias("value"))
+    gff = lambda key: x.contains("=") & ~key.contains(" ")
+    plain = _once(F.substring_index(x, " ", 1), lambda key: entry(key, F.trim(rest(key), F.lit('" '))))
+    return _once(F.substring_index(x, "=", 1), lambda key: F.when(gff(key), entry(key, rest(key))).otherwise(plain))
 
 
 def parse(attrs: Column) -> Column:
     """A map from ``k=v;`` or ``k "v";`` (or a mixture); of a repeated key the last value holds."""
-    entries = F.transform(_parts(attrs), _entry)
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
-    return F.map_from_entries(last)
+    keys = lambda entries: F.transform(entries, lambda e: e["key"])
+    last = lambda entries: F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
+    repeated = lambda entries: F.size(F.array_distinct(keys(entries))) < F.size(entries)
+    # Entries are looked at many times, and lambdas work out what they name each time.
+    return _once(F.transform(_parts(attrs), _entry), lambda entries: F.map_from_entries(F.when(repeated(entries), last(entries)).otherwise(entries)))
+
+
+def value_of(attrs: Column, key: str) -> Column:
+    """``parse(attrs)[key]``, empty where there is none, without a map: one pattern finds the last part with this key."""
+    own = rf'(?:.*;)? *{re.escape(key)}(?:=([^;]*?) *| [" ]*([^;]*?)[" ]*|)(?:;.*|\z)'
+    return F.regexp_replace(attrs, rf"(?s)\A(?:{own}|.*)\z", "$1$2")
 
 
 def format_gff(attributes: Column) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.functions.attributes import format_gff, format_gtf, parse
+from locusframe.functions.attributes import format_gff, format_gtf, parse, value_of
 from locusframe.operators.intervals import BIN, merged
 from locusframe.session import hinted, importable, stored
 from locusframe.sources.parts import wig_positions
@@ -52,14 +52,17 @@ def numbered_lines(spark: SparkSession, path: str | Sequence[str], folders: bool
     Rows within a part come in order; a part's first line number is the sum of the lines of the parts before. With
     ``folders``, a folder's files, in order of their names, count as one file, as Spark writes it.
     """
-    name = F.col("_metadata.file_path")
+    part = ["name", "at"]
     raw = spark.read.text(path).select(
-        (F.regexp_replace(name, "/[^/]*$", "") if folders else name).alias("file"), F.struct(name.alias("name"), F.col("_metadata.file_block_start").alias("at")).alias("part"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line")
+        F.col("_metadata.file_path").alias("name"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line")
     )
-    parts = raw.groupBy("file", "part").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
-    before = F.sum("lines").over(Window.partitionBy("file").orderBy("part")) - F.col("lines")
-    parts = stored(parts.withColumn("before", before).drop("lines"))
-    return raw.join(hinted(parts), ["file", "part"]).select("file", (F.col("n") - F.col("first") + F.col("before")).alias("line_no"), F.regexp_replace("line", r"\r$", "").alias("line"))
+    parts = raw.groupBy(*part).agg(F.min("n").alias("first"), F.count("*").alias("lines"))
+    # Files' folders and numbers are found for parts, not for lines.
+    parts = parts.withColumn("file", F.regexp_replace("name", "/[^/]*$", "") if folders else F.col("name"))
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy(*part)) - F.col("lines")
+    parts = stored(parts.select(*part, "file", (before - F.col("first")).alias("shift")))
+    line = F.when(F.contains("line", F.lit("\r")), F.regexp_replace("line", r"\r$", "")).otherwise(F.col("line"))
+    return raw.join(hinted(parts), part).select("file", (F.col("n") + F.col("shift")).alias("line_no"), line.alias("line"))
 
 
 def read_gff(spark: SparkSession, path: str | Sequence[str], raw: bool = False, folders: bool = False) -> DataFrame:
@@ -72,15 +75,17 @@ def read_gff(spark: SparkSession, path: str | Sequence[str], raw: bool = False,
     names = [x.split() for x in GFF.split(", ")]
     columns = [F.col("c")[i].try_cast(kind).alias(name) for i, (name, kind) in enumerate(names)]
     rows = parts.select("file", "line_no", *columns, *(["line"] if raw else [])).where("start is not null and stop is not null")
-    a = parse(F.col("attrs"))
-    value = lambda k: F.nullif(F.try_element_at(F.col("attributes"), F.lit(k)), F.lit(""))
+    # Ids come from patterns, so the map is made only for those who read it.
+    keys = ("transcript_id", "transcriptId", "Parent", "ID", "gene_id", "gene")
+    rows = rows.withColumns({f"_{k}": value_of(F.col("attrs"), k) for k in keys})
+    value = lambda k: F.nullif(F.col(f"_{k}"), F.lit(""))
     own = F.when(F.col("type").isin(*PARENTS), value("ID"))
     bare = F.when(F.col("type").isin(*PARENTS) & ~F.col("attrs").rlike('[="]'), F.trim("attrs"))  # some writers give the id alone
     ids = {
         "tx_id": F.coalesce(value("transcript_id"), value("transcriptId"), F.when(F.col("type") != "gene", own), F.trim(F.split(value("Parent"), ",")[0]), value("ID"), bare),
         "gene_id": F.coalesce(value("gene_id"), value("gene"), F.when(F.col("type") == "gene", F.coalesce(own, bare)), F.when(F.col("type").isin(*PARENTS), value("Parent"))),
     }
-    return rows.withColumn("attributes", a).withColumns(ids)
+    return rows.withColumn("attributes", parse(F.col("attrs"))).withColumns(ids).drop(*(f"_{k}" for k in keys))
 
 
 def read_models(spark: SparkSession, paths: Sequence[str], folders: bool = False) -> DataFrame:
