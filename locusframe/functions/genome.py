@@ -72,17 +72,29 @@ def spliced(cds: DataFrame, sequences: DataFrame, size: int = TILE) -> DataFrame
     """(seqid, strand, tx_id, sequence): the features of each transcript cut out of the genome and joined in reading order.
 
     What lies beyond a sequence's end is left out; a transcript of an unknown sequence has a null one.
+
+    Transcripts are put together before they meet tiles, so one that lies in a single tile is cut out where it meets it, and no piece is
+    shuffled again; only pieces of those that cross tiles are.
     """
-    tile = F.explode(F.sequence(F.floor((F.col("start") - 1) / size), F.floor((F.col("stop") - 1) / size)))
-    cut = cds.select("seqid", "strand", "tx_id", "start", "stop", tile.alias("tile")).join(sequence_tiles(sequences, 0, size), ["seqid", "tile"], "left")
+    place = lambda pos: F.floor((pos - 1) / size)
+    tx = cds.groupBy("seqid", "strand", "tx_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("parts"), place(F.min("start")).alias("tile"), place(F.max("stop")).alias("last"))
+    tiles = sequence_tiles(sequences, 0, size)
+    # Places in the tile, found before the join: what is cut out reads the tile alone.
+    at = F.transform("parts", lambda p: F.struct((p["start"] - F.col("tile") * size).cast("int").alias("at"), (p["stop"] - p["start"] + 1).cast("int").alias("n")))
+    inside = tx.where("tile = last").select("seqid", "strand", "tx_id", "tile", at.alias("cuts")).join(tiles, ["seqid", "tile"], "left")
+    cut = F.array_join(F.transform("cuts", lambda c: F.substring("tile_sequence", c["at"], c["n"])), "")
+    one = inside.select("seqid", "strand", "tx_id", F.when(F.col("tile_sequence").isNotNull(), on_strand(cut, F.col("strand"))).alias("sequence"))
+
+    each = tx.where("tile < last").select("seqid", "strand", "tx_id", F.posexplode("parts").alias("i", "p")).select("seqid", "strand", "tx_id", "i", "p.*")
+    spread = each.withColumn("tile", F.explode(F.sequence(place(F.col("start")), place(F.col("stop"))))).join(tiles, ["seqid", "tile"], "left")
     low = F.greatest("start", F.col("tile") * size + 1)
     n = F.least("stop", (F.col("tile") + 1) * size) - low + 1
     piece = F.substring("tile_sequence", (low - F.col("tile") * size).cast("int"), n.cast("int"))
-    parts = F.sort_array(F.collect_list(F.struct(low.alias("low"), F.col("stop"), piece.alias("piece"))))
+    pieces = F.sort_array(F.collect_list(F.struct("i", "tile", piece.alias("piece"))))
     # Whether there is a tile, not the tile itself, goes through the shuffle.
-    whole = cut.groupBy("seqid", "strand", "tx_id").agg(parts.alias("parts"), F.bool_or(F.col("tile_sequence").isNotNull()).alias("known"))
-    joined = F.array_join(F.transform("parts", lambda p: p["piece"]), "")
-    return whole.select("seqid", "strand", "tx_id", F.when(F.col("known"), on_strand(joined, F.col("strand"))).alias("sequence"))
+    whole = spread.groupBy("seqid", "strand", "tx_id").agg(pieces.alias("pieces"), F.bool_or(F.col("tile_sequence").isNotNull()).alias("known"))
+    joined = F.array_join(F.transform("pieces", lambda p: p["piece"]), "")
+    return one.unionByName(whole.select("seqid", "strand", "tx_id", F.when(F.col("known"), on_strand(joined, F.col("strand"))).alias("sequence")))
 
 
 def stop_report(cds: DataFrame, sequences: DataFrame) -> DataFrame:

@@ -109,3 +109,15 @@ def test_channels_are_summed_in_one_pass(spark):
 
     rows = spark.createDataFrame([("a", "ACgtNNxé"), ("e", ""), ("z", None)], "seq_name string, sequence string")
     assert {r["seq_name"]: r["sums"] for r in S.channel_sums(rows).collect()} == {"a": [1, 1, 1, 1, 4], "e": [0] * 5, "z": None}
+
+
+def test_transcripts_meet_tiles_whole(spark, tmp_path):
+    dna = spark.createDataFrame([("s", "ACGTTGCATGCCATGA"), ("e", ""), ("z", None)], "seq_name string, sequence string")
+    parts = [("s", "+", "a", 1, 2), ("s", "+", "a", 3, 4), ("s", "-", "b", 5, 8), ("s", "+", "c", 2, 9), ("s", "+", "c", 3, 6), ("s", "+", "d", 14, 30), ("s", "-", "f", 40, 41), ("e", "+", "g", 1, 3), ("z", "+", "h", 1, 9)]
+    cds = spark.createDataFrame(parts, "seqid string, strand string, tx_id string, start long, stop long")
+    rows = genome.spliced(cds, dna, 4)
+    # Features of c lie over each other and over tiles: each stands whole, in order of start and stop.
+    assert {r["tx_id"]: r["sequence"] for r in rows.collect()} == {"a": "ACGT", "b": "TGCA", "c": "CGTTGCAT" + "GTTG", "d": "TGA", "f": None, "g": None, "h": None}
+    # Cut out and joined after the tile was met, without another shuffle: in the plan's first branch no aggregate stands above the join.
+    first = plan(rows).split("== Physical Plan ==")[1].split("Union")[1].split("Join")[0]
+    assert "Aggregate" not in first
