@@ -7,7 +7,9 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from locusframe.session import importable
 Piece = tuple[str, int, int, int, int, int]
 #: Rows that a task holds before it reduces them.
 HELD = 1 << 14
+#: Positions of all bins together that a task paints at once.
+PAINTED = 1 << 22
 _NAMES = ["seqid", "strand", "bin", "low", "high", "tx_id", "start", "stop", "phase", "n", "total"]
 
 
@@ -72,6 +76,68 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[tuple, tuple[int, int, Piece]
         yield x[:3], (x[3], x[4], x[5:])
 
 
+def _new_keys(rows: pa.RecordBatch) -> np.ndarray:
+    """Whether each row's bin is another one than that of the row before."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in _NAMES[:3]:
+        codes = rows.column(c).dictionary_encode().indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return new
+
+
+def _swept(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The envelope of each bin by sweeps."""
+    held: dict[tuple, list] = defaultdict(list)
+    for key, row in _rows(rows):
+        held[key].append(row)
+    return _batch(rows.schema, list(held), [envelope(x) if len(x) > 1 else x for x in held.values()])
+
+
+def reduced(rows: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    """The rows' ``envelope`` in each bin of ``width`` positions, sorted by bin.
+
+    Bins that are full of rows are painted: an array has the last row, by transcript, at each position. Those where rows of one
+    transcript overlap, and few rows in wide bins, are swept.
+    """
+    keys = [*_NAMES[:3], "tx_id", "low"]
+    rows = pa.record_batch(rows.columns, _NAMES)
+    rows = rows.take(pc.sort_indices(rows, [(k, "ascending") for k in keys]))
+    new = _new_keys(rows)
+    group = np.cumsum(new) - 1
+    low, high = rows.column("low").to_numpy(), rows.column("high").to_numpy()
+    tx = rows.column("tx_id").dictionary_encode().indices.to_numpy()
+    same = ~new[1:] & (tx[1:] == tx[:-1])
+    # Rows of one transcript come by their begin, so overlapping ones have neighbours that overlap.
+    crossed = np.zeros(group[-1] + 1, bool)
+    crossed[group[1:][same & (low[1:] <= high[:-1])]] = True
+    count = high - low + 1
+    swept = np.ones(len(group), bool) if (group[-1] + 1) * width > PAINTED else crossed[group]
+    out = [_swept(rows.filter(pa.array(swept)))] if swept.any() else []
+    own = np.flatnonzero(~swept)
+    if len(own):
+        n = count[own]
+        base = rows.column("bin").to_numpy()[own] * width + 1
+        place = np.repeat(group[own] * width + low[own] - base - np.cumsum(n) + n, n) + np.arange(n.sum())
+        top = np.full((group[-1] + 1) * width, -1, np.int64)
+        # Rows come by transcript, and of several values for a place the last one holds.
+        top[place] = np.repeat(own, n)
+        edge = np.ones(len(top), bool)
+        edge[1:] = (top[1:] != top[:-1]) | (np.arange(1, len(top)) % width == 0)
+        begin = np.flatnonzero(edge)
+        end = np.append(begin[1:], len(top)) - 1
+        begin, end = begin[top[begin] >= 0], end[top[begin] >= 0]
+        row = top[begin]
+        found = rows.take(pa.array(row))
+        start = found.column("bin").to_numpy() * width + 1
+        bounds = {"low": pa.array(start + begin % width), "high": pa.array(start + end % width)}
+        out.append(pa.record_batch([bounds.get(c, found.column(c)) for c in _NAMES], _NAMES))
+    if len(out) == 1:
+        return out[0]
+    both = pa.Table.from_batches(out).combine_chunks()
+    return both.take(pc.sort_indices(both, [(k, "ascending") for k in _NAMES[:3]])).combine_chunks().to_batches()[0]
+
+
 def stretches(pieces: DataFrame, width: int) -> DataFrame:
     """(seqid, strand, bin, low, high, tx_id, start, stop, phase, n, total): who owns what of each bin of ``width`` positions (from 1).
 
@@ -88,37 +154,30 @@ def stretches(pieces: DataFrame, width: int) -> DataFrame:
     arrow = pa.schema([(n, pa.int64() if n in longs else pa.int32() if n in ints else pa.string()) for n in _NAMES])
 
     def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = defaultdict(list)
-        n = 0
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for key, row in _rows(batch):
-                held[key].append(row)
-                n += 1
-            if n >= HELD:
-                yield _batch(arrow, list(held), [envelope(x) if len(x) > 1 else x for x in held.values()])
-                held.clear()
-                n = 0
-        if n:
-            yield _batch(arrow, list(held), [envelope(x) if len(x) > 1 else x for x in held.values()])
+            held.append(pa.record_batch(batch.columns, _NAMES))
+            if sum(x.num_rows for x in held) >= HELD:
+                yield reduced(pa.Table.from_batches(held).combine_chunks().to_batches()[0], width)
+                held = []
+        if sum(x.num_rows for x in held):
+            yield reduced(pa.Table.from_batches(held).combine_chunks().to_batches()[0], width)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, keys, done, most = None, [], [], [], HELD
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for key, row in _rows(batch):
-                if key != now:
-                    if held:
-                        keys.append(now)
-                        done.append(envelope(held))
-                    now, held, most = key, [], HELD
-                held.append(row)
-                if len(held) > most:
-                    held = envelope(held)
-                    most = max(HELD, 2 * len(held))
-            if keys:
-                yield _batch(arrow, keys, done)
-                keys, done = [], []
-        if held:
-            yield _batch(arrow, [now], [envelope(held)])
+            held.append(pa.record_batch(batch.columns, _NAMES))
+            n = sum(x.num_rows for x in held)
+            if n < HELD:
+                continue
+            whole = reduced(pa.Table.from_batches(held).combine_chunks().to_batches()[0], width)
+            # Rows come by bin: all but those of the last bin are final.
+            last = np.flatnonzero(_new_keys(whole))[-1]
+            if last:
+                yield whole.slice(0, last)
+            held = [whole.slice(last)]
+        if sum(x.num_rows for x in held):
+            yield reduced(pa.Table.from_batches(held).combine_chunks().to_batches()[0], width)
 
     less = rows.mapInArrow(before, schema)
     return less.repartition("seqid", "strand", "bin").sortWithinPartitions("seqid", "strand", "bin").mapInArrow(meet, schema)

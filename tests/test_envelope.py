@@ -76,3 +76,27 @@ def test_overlapping_tiles_are_cut_from_one_track(spark):
     for r in labels.all_labels(cds).collect():
         best[r["strand"], r["pos"]] = max(best.get((r["strand"], r["pos"]), ""), r["tx_id"])
     assert sorted((r["strand"], p, r["tx_id"]) for r in runs for p in range(r["start"], r["stop"] + 1)) == sorted((s, p, t) for (s, p), t in best.items())
+
+
+def test_full_bins_are_painted_and_not_swept(spark, monkeypatch):
+    import pyarrow as pa
+
+    kinds = {"seqid": pa.string(), "strand": pa.string(), "tx_id": pa.string(), "phase": pa.int32(), "n": pa.int32(), "total": pa.int32()}
+    schema = pa.schema([(c, kinds.get(c, pa.int64())) for c in envelope._NAMES])
+
+    def batch(rows):
+        cut = [("c", "+", b, max(lo, b * 64 + 1), min(hi, b * 64 + 64), *p) for lo, hi, p in rows for b in range((lo - 1) // 64, (hi - 1) // 64 + 1)]
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*cut, strict=True), schema, strict=True)], schema)
+
+    rows = [(lo, hi, (f"t{i:04}", *p[1:])) for i, (lo, hi, p) in enumerate(made(np.random.default_rng(4), 2_000))]
+    crossed = [*rows, *((lo, hi, ("t0001", *p[1:])) for lo, hi, p in rows[:1] + rows[5:9])]
+    for given in (rows, crossed):
+        got = [(x[0], x[1], x[2]) for _, x in envelope._rows(envelope.reduced(batch(given), 64))]
+        assert sorted(unrolled(got)) == sorted(painted(given))
+    swept = []
+    real = envelope.envelope
+    monkeypatch.setattr(envelope, "envelope", lambda rows: swept.append(1) or real(rows))
+    envelope.reduced(batch(rows), 64)
+    assert not swept
+    envelope.reduced(batch(crossed), 64)
+    assert swept
