@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from locusframe.functions import genome
 from locusframe.functions.sequence import STARTS, STOPS, on_strand, splice_strand
 from locusframe.operators.transcripts import first_by
+from locusframe.session import hinted, stored
 
 
 def species_of(subject: Column) -> Column:
@@ -71,15 +72,62 @@ def support_score(ident: Column, ident_short: Column, tstart: Column, tstart_sho
     return (tstart_short - tstart) - (qstart - 1) + power
 
 
-def cds_classes(normal: DataFrame, short: DataFrame, top: int = 25) -> DataFrame:
-    """(query, class): incomplete if any of the ``top`` hits that both searches have supports the longer form."""
-    s = short.select("query", "subject", *(F.col(c).alias(f"{c}_s") for c in ("pident", "tstart", "qstart", "bits")))
-    both = normal.join(s, ["query", "subject"])
+def hit_pairs(normal: DataFrame, short: DataFrame) -> DataFrame:
+    """(query, subject, support, best, n): the pairs of hits of one query and subject that two searches have, ``n`` of the same facts as one row.
+
+    Copies are counted before the join, so those of a subject cost what one of them does.
+    """
+    a = normal.groupBy("query", "subject", "pident", "tstart", "qstart", "bits").agg(F.count("*").alias("n"))
+    s = short.groupBy("query", "subject", *(F.col(c).alias(f"{c}_s") for c in ("pident", "tstart", "bits"))).agg(F.count("*").alias("n_s"))
     score = support_score(F.col("pident"), F.col("pident_s"), F.col("tstart"), F.col("tstart_s"), F.col("qstart"))
-    both = both.withColumns({"support": score, "best": F.greatest("bits", "bits_s")})
+    return a.join(s, ["query", "subject"]).select("query", "subject", score.alias("support"), F.greatest("bits", "bits_s").alias("best"), (F.col("n") * F.col("n_s")).alias("n"))
+
+
+def _first_pairs(pairs: DataFrame, top: int) -> DataFrame:
+    """(query, class, last): of the ``top`` first pairs of each query whether any supports the longer form, and the last one's best; no last, if there are fewer."""
     order = Window.partitionBy("query").orderBy(F.col("best").desc(), "subject", F.col("support").desc())
-    seen = both.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top)
-    return seen.groupBy("query").agg(F.when(F.bool_or(F.coalesce(F.col("support") > 0, F.lit(False))), "incomplete").otherwise("complete").alias("class"))
+    # A row stands for one pair at least, so no more than ``top`` rows count.
+    seen = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    seen = seen.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") - F.col("n") < top)
+    kind = F.when(F.bool_or(F.coalesce(F.col("support") > 0, F.lit(False))), "incomplete").otherwise("complete")
+    return seen.groupBy("query").agg(kind.alias("class"), F.min(F.when(F.col("upto") >= top, F.col("best"))).alias("last"))
+
+
+def hit_floors(normal: DataFrame, short: DataFrame, top: int) -> DataFrame:
+    """(query, floor): bits that some more than ``top`` subjects of a query likely reach in both searches.
+
+    The subjects are dealt into slots, whose greatest bits are small to shuffle; queries with few slots in use have no floor.
+    """
+    slot = F.pmod(F.xxhash64("subject"), F.lit(3 * top)).alias("slot")
+    none = F.lit(None).cast("double")
+    sides = normal.select("query", slot, F.col("bits").alias("a"), none.alias("b")).unionByName(short.select("query", slot, none.alias("a"), F.col("bits").alias("b")))
+    most = sides.groupBy("query", "slot").agg(F.max("a").alias("a"), F.max("b").alias("b")).where("a is not null and b is not null")
+    floor = F.get(F.sort_array(F.collect_list(F.least("a", "b")), asc=False), F.lit(top + top // 2 - 1))
+    return most.groupBy("query").agg(floor.alias("floor")).where("floor is not null")
+
+
+def cds_classes(normal: DataFrame, short: DataFrame, top: int = 25) -> DataFrame:
+    """(query, class): incomplete if any of the ``top`` hits that both searches have supports the longer form.
+
+    Only subjects that reach their query's floor are paired at first. If ``top`` pairs reach it, no other can be among them, as
+    both of its hits are below; the queries of which fewer do so are paired whole.
+    """
+    normal, short = normal.select("query", "subject", "pident", "tstart", "qstart", "bits"), short.select("query", "subject", "pident", "tstart", "bits")
+    floors = stored(hit_floors(normal, short, top))
+    if floors.isEmpty():
+        return _first_pairs(hit_pairs(normal, short), top).select("query", "class")
+    small = hinted(floors)
+    above = [x.join(small, "query").where("bits >= floor").select("query", "subject") for x in (normal, short)]
+    subjects = hinted(stored(above[0].unionByName(above[1]).distinct().withColumn("near", F.lit(True))), 500_000)
+    # Hits of queries that have no floor stay, too.
+    pairs = hit_pairs(*(x.join(subjects, ["query", "subject"], "left").join(small, "query", "left").where("near or floor is null") for x in (normal, short)))
+    found = stored(_first_pairs(pairs, top).join(small, "query", "left").withColumn("settled", F.col("floor").isNull() | F.coalesce(F.col("last") >= F.col("floor"), F.lit(False))))
+    settled = found.where("settled").select("query", "class")
+    open_ = stored(floors.join(settled, "query", "left_anti").select("query"))
+    if open_.isEmpty():
+        return settled
+    whole = [x.join(hinted(open_), "query", "left_semi") for x in (normal, short)]
+    return settled.unionByName(_first_pairs(hit_pairs(*whole), top).select("query", "class"))
 
 
 def header_facts(header: Column) -> dict[str, Column]:

@@ -42,8 +42,9 @@ def run_evidence(
     on transcripts). Peptides of unknown transcripts have no model.
     """
     pep = stored(read_fasta(spark, peptides).select(F.col("seq_name").alias("id"), "header", "sequence"))
-    normal = stored(read_hits(spark, hits))
-    classes = stored(evidence.cds_classes(normal, read_hits(spark, short_hits)))
+    facts = ("query", "subject", "pident", "tstart", "bits")
+    normal = stored(read_hits(spark, hits).select(*facts, "qstart", "alen", "evalue"))
+    classes = stored(evidence.cds_classes(normal, stored(read_hits(spark, short_hits).select(*facts))))
     write_classes(classes, f"{out}/classes.json")
     revised = stored(evidence.revised(pep, classes, evidence.shortened(pep)))
     write_fasta(revised, f"{out}/revised.pep", "header")

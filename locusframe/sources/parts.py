@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,9 +114,63 @@ def _record_chunks(spark: SparkSession, path: str | Sequence[str], upper: bool,
 RECORD = ["file", "record_at", "record_k", "seq_name", "header"]
 
 
+COUNTED = ["file", "at", "header", "n"]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of a task's parts and their numbers of letters, without the letters. ``file`` and ``at`` are set only where a part may lack some of a record:
+    on its last one, and on what stands before its first (which has no header)."""
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
+    one = lambda *row: pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], COUNTED)
+    part, header, size = None, None, 0
+    for batch in batches:
+        files, ats, lines = (batch.column(c) for c in ("file", "at", "value"))
+        at = ats.to_numpy()
+        new = (at[1:] != at[:-1]) | pc.not_equal(files[1:], files[:-1]).to_numpy(zero_copy_only=False)
+        bounds = [0, *(np.flatnonzero(new) + 1).tolist(), len(at)] if len(at) else []
+        n = pc.binary_length(lines).to_numpy().astype(np.int64)
+        for i in np.flatnonzero(pc.match_substring_regex(lines, "[^!-~]").to_numpy(zero_copy_only=False)).tolist():
+            n[i] = len("".join(lines[i].as_py().split()))
+        headed = pc.starts_with(lines, ">").to_numpy(zero_copy_only=False)
+        done = []
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            now = (files[low].as_py(), int(at[low]))
+            if now != part:
+                if part:
+                    done.append(one(*part, header, size))
+                part, header, size = now, None, 0
+            marks = np.flatnonzero(headed[low:high])
+            letters = np.where(headed[low:high], 0, n[low:high])
+            if not len(marks):
+                size += int(letters.sum())
+                continue
+            size += int(letters[: marks[0]].sum())
+            names = pc.utf8_slice_codeunits(lines.take(pa.array(marks + low)), 1)
+            sums = np.add.reduceat(letters, marks)
+            # The first mark ends the record that was open, which began in this part if it has a header.
+            done.append(one(*(part if header is None else (None, None)), header, size))
+            none = len(marks) - 1
+            done.append(pa.record_batch([pa.nulls(none, kinds[0]), pa.nulls(none, kinds[1]), names[:-1], pa.array(sums[:-1])], COUNTED))
+            header, size = names[-1].as_py(), int(sums[-1])
+        yield from done
+    if part:
+        yield one(*part, header, size)
+
+
 def fasta_lengths(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(seq_name, header, length) of all records, those without letters too; no record is ever one row of letters."""
-    return _record_chunks(spark, path, False, TILE).groupBy(*RECORD).agg(F.sum("n").alias("length")).select("seq_name", "header", "length")
+    """(seq_name, header, length) of all records, those without letters too; no record is ever one row of letters.
+
+    Letters are counted where they are read. Only what crosses the borders of a file's parts, two rows a part, is put together by a shuffle.
+    """
+    importable(spark)
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    rows = stored(raw.mapInArrow(_counted, "file string, at long, header string, n long"))
+    # Of a part's two rows the one without a header comes first; it belongs to the last record of the parts before.
+    begun = F.count("header").over(Window.partitionBy("file").orderBy("at", F.col("header").isNotNull()))
+    crossing = rows.where("file is not null").withColumn("record", begun).groupBy("file", "record").agg(F.max("header").alias("header"), F.sum("n").alias("n"))
+    whole = rows.where("file is null").select("header", "n").unionByName(crossing.where("header is not null").select("header", "n"))
+    header = F.trim("header", F.lit("\r \t"))
+    return whole.select(F.split(header, r"\s", 2)[0].alias("seq_name"), header.alias("header"), F.col("n").alias("length"))
 
 
 def fasta_tiles(spark: SparkSession, path: str | Sequence[str], size: int = TILE, upper: bool = False) -> DataFrame:

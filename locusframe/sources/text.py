@@ -34,15 +34,20 @@ def read_fasta(spark: SparkSession, path: str | Sequence[str], upper: bool = Fal
     return raw.select(F.split(header, r"\s")[0].alias("seq_name"), header.alias("header"), (F.upper if upper else F.lit)(F.regexp_replace(body, r"\s", "")).alias("sequence"))
 
 
+def wrapped(sequence: Column, width: int) -> Column:
+    """Lines of ``width`` letters; what fits one is not searched."""
+    return F.when(F.length(sequence) > width, F.regexp_replace(sequence, f"(.{{{width}}})(?=.)", "$1\n")).otherwise(sequence)
+
+
 def write_fasta(df: DataFrame, path: str, header: str = "seq_name", width: int = 80) -> None:
     """One record a row, wrapped at ``width``."""
-    lines = F.regexp_replace(F.col("sequence"), f"(.{{{width}}})(?=.)", "$1\n")
+    lines = wrapped(F.col("sequence"), width)
     df.select(F.concat(F.lit(">"), header, F.lit("\n"), lines)).write.text(path)
 
 
 def write_fasta_groups(df: DataFrame, path: str, group: str, header: str = "seq_name", width: int = 80) -> None:
     """FASTA files in a folder for each value of ``group``, such as the parts of a genome."""
-    lines = F.regexp_replace(F.col("sequence"), f"(.{{{width}}})(?=.)", "$1\n")
+    lines = wrapped(F.col("sequence"), width)
     df.select(group, F.concat(F.lit(">"), header, F.lit("\n"), lines).alias("value")).repartition(group).write.partitionBy(group).text(path)
 
 
@@ -145,7 +150,7 @@ def read_classes(spark: SparkSession, path: str | Sequence[str], key: str = "que
 
 
 def _subject(column: str) -> Column:
-    return F.regexp_extract(column, r"^(?:(?!\\t|\\n)\S)*", 0)
+    return F.when(F.col(column).rlike(r"[\s\\]"), F.regexp_extract(column, r"^(?:(?!\\t|\\n)\S)*", 0)).otherwise(F.col(column))
 
 
 def read_hits(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

@@ -121,3 +121,82 @@ def test_transcripts_meet_tiles_whole(spark, tmp_path):
     # Cut out and joined after the tile was met, without another shuffle: in the plan's first branch no aggregate stands above the join.
     first = plan(rows).split("== Physical Plan ==")[1].split("Union")[1].split("Join")[0]
     assert "Aggregate" not in first
+
+
+HIT = "query string, subject string, pident double, tstart double, qstart double, bits double"
+
+
+def classes_by_loops(normal, short, top):
+    """What ``cds_classes`` says, from every pair."""
+    pairs = {}
+    for q, s, ident, at, start, bits in normal:
+        for q2, s2, ident2, at2, _, bits2 in short:
+            if (q, s) == (q2, s2):
+                support = (at2 - at) - (start - 1) + (0.0 if ident == ident2 else float("inf"))
+                pairs.setdefault(q, []).append((-max(bits, bits2), s, -support))
+    return {q: "incomplete" if any(x[2] < 0 for x in sorted(found)[:top]) else "complete" for q, found in pairs.items()}
+
+
+def test_copies_of_hits_are_one_pair(spark):
+    from locusframe.operators import evidence
+
+    hits = spark.createDataFrame([("q", "s", 50.0, 5.0, 1.0, 9.0)] * 300 + [("q", "s", 50.0, 9.0, 1.0, 8.0)], HIT)
+    pairs = evidence.hit_pairs(hits, hits)
+    assert sorted((r["best"], r["support"], r["n"]) for r in pairs.collect()) == [(8.0, 0.0, 1), (9.0, -4.0, 300), (9.0, 0.0, 90_000), (9.0, 4.0, 300)]
+    # Copies count as pairs: 300 with support first, then those without; the other way round none is reached.
+    assert [r["class"] for r in evidence.cds_classes(hits, hits, 25).collect()] == ["incomplete"]
+    back = hits.select("query", "subject", "pident", "qstart", "bits", (10 - hits["tstart"]).alias("tstart"))
+    same = back.where("bits = 9")
+    assert [r["class"] for r in evidence.cds_classes(same, back, 90_000).collect()] == ["complete"]
+
+
+def test_classes_with_floors_are_those_of_all_pairs(spark, monkeypatch):
+    import random
+
+    from locusframe.operators import evidence
+
+    dice = random.Random(4)
+    normal, short = [], []
+    for q in range(12):
+        for i in range(80):
+            for _ in range(dice.choice((1, 1, 3))):
+                hit = (f"q{q}", f"s{i:02}", 50.0, float(dice.randrange(30)), float(dice.randrange(20, 26)), float(dice.randrange(12 if q % 2 else 400)))
+                # Of the first queries the best subjects are only in one search or the other, so their floors don't hold.
+                if q < 4 and i < 60:
+                    (normal if i % 2 else short).append((*hit[:5], hit[5] + 1000))
+                else:
+                    normal.append(hit)
+                    short.append((*hit[:3], float(dice.randrange(30)), *hit[4:]))
+    # A query of few subjects has no floor.
+    normal += [("few", "a", 50.0, 1.0, 1.0, 5.0)] * 40
+    short += [("few", "a", 50.0, 1.0, 1.0, 5.0), ("few", "a", 50.0, 2.0, 1.0, 4.0)]
+    n, s = spark.createDataFrame(normal, HIT), spark.createDataFrame(short, HIT)
+    sizes = []
+    real = evidence.hit_pairs
+
+    def counted(*sides):
+        pairs = real(*sides)
+        sizes.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(evidence, "hit_pairs", counted)
+    for top in (4, 5, 9):
+        sizes.clear()
+        assert {r["query"]: r["class"] for r in evidence.cds_classes(n, s, top).collect()} == classes_by_loops(normal, short, top)
+        assert len(sizes) == 2 and sizes[0] < real(n, s).count() / 2
+    assert set(classes_by_loops(normal, short, 5).values()) == {"complete", "incomplete"}
+
+
+def test_lengths_of_records_move_no_letters(spark, tmp_path, monkeypatch):
+    from locusframe.sources import parts
+
+    monkeypatch.setattr(parts, "headed_chunks", None)
+    monkeypatch.setattr(parts, "stored", lambda df: seen.append(df.columns) or df)
+    seen = []
+    (tmp_path / "a.fa").write_text("AC\n>a one\nAC GT\r\n\u00a0T\n\n>b\n>c\nAAA\n")
+    (tmp_path / "b.fa").write_text("CC\n")
+    (tmp_path / "c.fa").write_text("")
+    (tmp_path / "d.fa").write_text(">a\nG")
+    rows = parts.fasta_lengths(spark, [str(tmp_path / f"{x}.fa") for x in "abcd"])
+    assert sorted(map(tuple, rows.collect())) == [("a", "a", 1), ("a", "a one", 5), ("b", "b", 0), ("c", "c", 3)]
+    assert seen == [["file", "at", "header", "n"]]
