@@ -18,6 +18,8 @@ TILE = 1 << 12
 
 def _windows(sequence: Column, size: int, step: int) -> Column:
     """An array of stretches of up to ``size``, one every ``step`` positions, in one pass over the sequence."""
+    if size == step:
+        return F.regexp_extract_all(sequence, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
     return F.regexp_extract_all(sequence, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1))
 
 

@@ -19,8 +19,11 @@ from locusframe.session import importable
 Piece = tuple[str, int, int, int, int, int]
 #: Rows that a task holds before it reduces them.
 HELD = 1 << 14
-#: Positions of all bins together that a task paints at once.
+#: Positions of all bins together that a task paints at once, and for each row.
 PAINTED = 1 << 22
+FOR_A_ROW = 1 << 10
+#: Rows of a bin, on average, from which a task reduces them before the shuffle.
+DEPTH = 2
 _NAMES = ["seqid", "strand", "bin", "low", "high", "tx_id", "start", "stop", "phase", "n", "total"]
 
 
@@ -86,6 +89,13 @@ def _new_keys(rows: pa.RecordBatch) -> np.ndarray:
     return new
 
 
+def _bins(rows: pa.RecordBatch) -> int:
+    """How many bins the rows are in."""
+    seqid, strand = (rows.column(c).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in _NAMES[:2])
+    at = rows.column("bin").to_numpy()
+    return len(np.unique((seqid * (strand.max() + 1) + strand) * (at.max() - at.min() + 1) + at - at.min()))
+
+
 def _swept(rows: pa.RecordBatch) -> pa.RecordBatch:
     """The envelope of each bin by sweeps."""
     held: dict[tuple, list] = defaultdict(list)
@@ -97,8 +107,8 @@ def _swept(rows: pa.RecordBatch) -> pa.RecordBatch:
 def reduced(rows: pa.RecordBatch, width: int) -> pa.RecordBatch:
     """The rows' ``envelope`` in each bin of ``width`` positions, sorted by bin.
 
-    Bins that are full of rows are painted: an array has the last row, by transcript, at each position. Those where rows of one
-    transcript overlap, and few rows in wide bins, are swept.
+    A bin's only row is final. Bins that are full of rows are painted, ``PAINTED`` positions at once: an array has the last row, by transcript,
+    at each position. Those where rows of one transcript overlap, and few rows in wide bins, are swept.
     """
     keys = [*_NAMES[:3], "tx_id", "low"]
     rows = pa.record_batch(rows.columns, _NAMES)
@@ -111,33 +121,44 @@ def reduced(rows: pa.RecordBatch, width: int) -> pa.RecordBatch:
     # Rows of one transcript come by their begin, so overlapping ones have neighbours that overlap.
     crossed = np.zeros(group[-1] + 1, bool)
     crossed[group[1:][same & (low[1:] <= high[:-1])]] = True
-    count = high - low + 1
-    swept = np.ones(len(group), bool) if (group[-1] + 1) * width > PAINTED else crossed[group]
-    out = [_swept(rows.filter(pa.array(swept)))] if swept.any() else []
-    own = np.flatnonzero(~swept)
-    if len(own):
-        n = count[own]
-        base = rows.column("bin").to_numpy()[own] * width + 1
-        place = np.repeat(group[own] * width + low[own] - base - np.cumsum(n) + n, n) + np.arange(n.sum())
-        top = np.full((group[-1] + 1) * width, -1, np.int64)
-        # Rows come by transcript, and of several values for a place the last one holds.
-        top[place] = np.repeat(own, n)
-        edge = np.ones(len(top), bool)
-        edge[1:] = (top[1:] != top[:-1]) | (np.arange(1, len(top)) % width == 0)
-        begin = np.flatnonzero(edge)
-        end = np.append(begin[1:], len(top)) - 1
-        begin, end = begin[top[begin] >= 0], end[top[begin] >= 0]
-        row = top[begin]
-        found = rows.take(pa.array(row))
-        start = found.column("bin").to_numpy() * width + 1
-        bounds = {"low": pa.array(start + begin % width), "high": pa.array(start + end % width)}
-        out.append(pa.record_batch([bounds.get(c, found.column(c)) for c in _NAMES], _NAMES))
+    alone = np.bincount(group) == 1
+    few = ~alone & (np.bincount(group) * FOR_A_ROW < width)
+    swept = (crossed | few)[group]
+    out = [rows.filter(pa.array(alone[group]))] if alone.any() else []
+    if swept.any():
+        out.append(_swept(rows.filter(pa.array(swept))))
+    own = np.flatnonzero(~swept & ~alone[group])
+    # Bins that are painted, numbered from 0, and so many of them at once.
+    bins = np.cumsum(np.diff(group[own], prepend=-1) != 0) - 1
+    most = max(1, PAINTED // width)
+    for i in range(0, int(bins[-1]) + 1 if len(own) else 0, most):
+        now = slice(*np.searchsorted(bins, (i, i + most)))
+        out.append(_painted(rows, own[now], bins[now] - i, width))
     if len(out) == 1:
         return out[0]
     both = pa.Table.from_batches(out).combine_chunks()
     return both.take(pc.sort_indices(both, [(k, "ascending") for k in _NAMES[:3]])).combine_chunks().to_batches()[0]
 
 
+def _painted(rows: pa.RecordBatch, own: np.ndarray, bins: np.ndarray, width: int) -> pa.RecordBatch:
+    """The envelope of the rows ``own``, which come by their ``bins`` (from 0) and transcripts, by arrays."""
+    low, n = rows.column("low").to_numpy()[own], (rows.column("high").to_numpy() - rows.column("low").to_numpy() + 1)[own]
+    base = rows.column("bin").to_numpy()[own] * width + 1
+    place = np.repeat(bins * width + low - base - np.cumsum(n) + n, n) + np.arange(n.sum())
+    top = np.full((bins[-1] + 1) * width, -1, np.int64)
+    # Rows come by transcript, and of several values for a place the last one holds.
+    top[place] = np.repeat(own, n)
+    edge = np.ones(len(top), bool)
+    edge[1:] = (top[1:] != top[:-1]) | (np.arange(1, len(top)) % width == 0)
+    begin = np.flatnonzero(edge)
+    end = np.append(begin[1:], len(top)) - 1
+    begin, end = begin[top[begin] >= 0], end[top[begin] >= 0]
+    found = rows.take(pa.array(top[begin]))
+    start = found.column("bin").to_numpy() * width + 1
+    bounds = {"low": pa.array(start + begin % width), "high": pa.array(start + end % width)}
+    return pa.record_batch([bounds.get(c, found.column(c)) for c in _NAMES], _NAMES)
+
+
 def stretches(pieces: DataFrame, width: int) -> DataFrame:
     """(seqid, strand, bin, low, high, tx_id, start, stop, phase, n, total): who owns what of each bin of ``width`` positions (from 1).
 
@@ -158,10 +179,14 @@ def stretches(pieces: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             held.append(pa.record_batch(batch.columns, _NAMES))
             if sum(x.num_rows for x in held) >= HELD:
-                yield reduced(pa.Table.from_batches(held).combine_chunks().to_batches()[0], width)
+                yield less_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
                 held = []
         if sum(x.num_rows for x in held):
-            yield reduced(pa.Table.from_batches(held).combine_chunks().to_batches()[0], width)
+            yield less_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    def less_of(some: pa.RecordBatch) -> pa.RecordBatch:
+        """What is dealt over so many bins that few would be lost goes on as it is."""
+        return reduced(some, width) if some.num_rows > DEPTH * _bins(some) else some
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -5,7 +5,7 @@ Labels: 0 intergenic; 1-3 intron by phase; 4-6 exon by frame; 7 start; 8-10 exon
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ def classes_of(scheme: int) -> list[int]:
 OLDER = {(7, 5): (0, 1, 1, 1, 2, 3, 4), (7, 3): (0, 1, 1, 1, 2, 2, 2), (7, 2): (0, 0, 0, 0, 1, 1, 1), (5, 3): (0, 1, 2, 2, 2), (5, 2): (0, 0, 1, 1, 1)}
 #: Tiles whose labels a task paints at once.
 TILES_AT_ONCE = 64
+#: Fields of a stretch that is painted: its piece's start, stop, phase, number (0 for introns) and total, and its own ends.
+OWN = ("start", "stop", "phase", "n", "total", "low", "high")
 
 
 def reduced_older(label: Column, classes: int, fewer: int) -> Column:
@@ -110,27 +112,17 @@ def label_tiles(cds: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     has ``size`` stretches at most and a base is painted once, however many transcripts cover it.
     """
     step = size - overlap
-    own = F.struct(F.col("start").alias("s"), F.col("stop").alias("e"), "phase", "n", "total", "low", "high")
-    held = stretches(pieces(cds), size).withColumns({"own": own, "start": F.col("low"), "stop": F.col("high")})
-    tiles = on_windows(held, size, step).groupBy("seqid", "strand", F.col("window").alias("chunk")).agg(F.collect_list("own").alias("own"))
+    tiles = owned(cds, size, overlap).groupBy("seqid", "strand", "chunk").agg(F.collect_list("own").alias("own"))
 
     def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, TILES_AT_ONCE):
                 part = batch.slice(i, TILES_AT_ONCE)
                 n = part.num_rows
-                row = part["own"].value_parent_indices().to_numpy()
-                field = dict(zip(("start", "stop", "phase", "n", "total", "low", "high"), (c.to_numpy() for c in part["own"].flatten().flatten()), strict=True))
-                low = part["chunk"].to_numpy()[row] * step + 1
-                first, last = np.maximum(field.pop("low"), low), np.minimum(field.pop("high"), low + size - 1)
-                count = last - first + 1
-                at = np.repeat(np.arange(len(row)), count)
-                pos = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
-                minus = (part["strand"].to_numpy(zero_copy_only=False) == "-")[row][at]
-                x = {k: v[at] for k, v in field.items()}
-                place = np.where(minus, size - 1 - (pos - low[at]), pos - low[at])
+                minus = part["strand"].to_numpy(zero_copy_only=False) == "-"
                 best = np.zeros(n * size, np.int64)
-                np.maximum.at(best, row[at] * size + place, _labels(x, minus, pos))
+                row, field = listed(part["own"], OWN)
+                paint_labels(best, row, field, minus[row], part["chunk"].to_numpy()[row] * step + 1, size)
                 flat = pa.array(best.astype(np.int32))
                 arrays = pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size, dtype=np.int32)), flat)
                 yield pa.record_batch([part["seqid"], part["strand"], part["chunk"], arrays], ["seqid", "strand", "chunk", "labels"])
@@ -140,6 +132,31 @@ def label_tiles(cds: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     return tiles.mapInArrow(paint, f"seqid {kinds['seqid']}, strand {kinds['strand']}, chunk long, labels array<int>")
 
 
+def owned(cds: DataFrame, size: int, overlap: int = 0) -> DataFrame:
+    """(seqid, strand, chunk, own): the stretches that ``label_tiles`` paints, with the tiles they touch; ``own`` has the fields ``OWN``."""
+    own = F.struct("start", "stop", "phase", "n", "total", "low", "high")
+    held = stretches(pieces(cds), size).withColumns({"own": own, "start": F.col("low"), "stop": F.col("high")})
+    return on_windows(held, size, size - overlap).select("seqid", "strand", F.col("window").alias("chunk"), "own")
+
+
+def listed(lists: pa.ListArray, names: Sequence[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The rows that the structs in the lists of a column belong to, and the structs' fields; null lists have none."""
+    fields = lists.flatten().flatten()
+    return lists.value_parent_indices().to_numpy(), dict(zip(names, (c.to_numpy(zero_copy_only=False) for c in fields), strict=True))
+
+
+def paint_labels(best: np.ndarray, row: np.ndarray, field: Mapping[str, np.ndarray], minus: np.ndarray, low: np.ndarray, size: int) -> None:
+    """Puts the labels of stretches into ``best``, in which each row has ``size`` places in reading direction. Of each stretch there are its row,
+    its fields (``OWN``), whether its strand is minus, and its tile's first position."""
+    first, last = np.maximum(field["low"], low), np.minimum(field["high"], low + size - 1)
+    count = last - first + 1
+    at = np.repeat(np.arange(len(row)), count)
+    pos = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+    turned = minus[at]
+    place = np.where(turned, size - 1 - (pos - low[at]), pos - low[at])
+    np.maximum.at(best, row[at] * size + place, _labels({k: v[at] for k, v in field.items() if k not in ("low", "high")}, turned, pos))
+
+
 def _labels(x: Mapping[str, np.ndarray], minus: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """``label_at`` for many positions; n is 0 for introns."""
     size = x["stop"] - x["start"] + 1

@@ -168,16 +168,12 @@ def example_shards(spark, d):
     masked = labels.masked(tx.where("not filtered"), tx.where("filtered"), ["seqid"], 20)
     first = track.agg(F.min("pos")).first()[0] or 0
     values = track.groupBy(F.concat(F.lit("d"), F.substring("seqid", 2, 20)).alias("seqid"), (F.col("pos") - first).alias("pos")).agg(F.max("val").alias("value"))
-    rows = examples.examples(P.dna(spark, d), cds, masked, values, 500, buckets=8, shards=8)
+    rows = examples.examples(P.dna(spark, d), cds, masked, values, 500, buckets=8, shards=8, packed=True)
     path = fresh_path(spark)
     examples.write_shards(rows, path)
-    back = spark.read.parquet(path)
-    by_place = lambda c, kind: F.aggregate(F.transform(c, lambda x, i: x.cast(kind) * i), F.lit(0).cast(kind), lambda a, x: a + x)
-    zero = F.transform("weights", lambda x: (x == 0).cast("long"))
-    return back.select(
-        *examples.KEYS, F.md5("sequence").alias("digest"), by_place("labels", "long").alias("labels"), F.aggregate(zero, F.lit(0).cast("long"), lambda a, x: a + x).alias("masked"),
-        by_place(zero, "long").alias("masked_places"), F.round(by_place("track", "double"), 3).alias("track"), F.col("shard").cast("long").alias("shard"),
-    )
+    back = examples.place_sums(spark.read.parquet(path))
+    sums = ["labels", "masked", "masked_places", F.round("track", 3).alias("track")]
+    return back.select(*examples.KEYS, F.md5("sequence").alias("digest"), *sums, F.col("shard").cast("long").alias("shard"))
 
 
 @query("error_map", """ti AS (SELECT seq_name, k AS tile, string_split(substr(sequence, k * 900 + 1, 900), '') AS cs

@@ -100,3 +100,22 @@ def test_full_bins_are_painted_and_not_swept(spark, monkeypatch):
     assert not swept
     envelope.reduced(batch(crossed), 64)
     assert swept
+
+
+def test_rows_of_many_bins_are_not_swept(monkeypatch):
+    """Some rows in each of more bins than are painted at once."""
+    import pyarrow as pa
+
+    kinds = {"seqid": pa.string(), "strand": pa.string(), "tx_id": pa.string(), "phase": pa.int32(), "n": pa.int32(), "total": pa.int32()}
+    schema = pa.schema([(c, kinds.get(c, pa.int64())) for c in envelope._NAMES])
+    monkeypatch.setattr(envelope, "PAINTED", 64 * 3)
+    monkeypatch.setattr(envelope, "envelope", None)
+    rng, given = np.random.default_rng(5), []
+    for b in range(20):
+        for k in range(1 if b % 4 == 0 else 4):
+            low = b * 64 + 1 + int(rng.integers(0, 40))
+            given.append((low, low + int(rng.integers(0, 24)), (f"t{b}.{k}", low, low + 30, 0, 1, 1)))
+    flat = [("c", "+", (lo - 1) // 64, lo, hi, *p) for lo, hi, p in given]
+    out = envelope.reduced(pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*flat, strict=True), schema, strict=True)], schema), 64)
+    assert sorted(unrolled([x for _, x in envelope._rows(out)])) == sorted(painted(given))
+    assert out.column("bin").to_pylist() == sorted(out.column("bin").to_pylist())

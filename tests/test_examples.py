@@ -65,3 +65,24 @@ def test_painted_places(spark):
     out = {r["k"]: [r["a"], r["b"]] for r in tracks.painted(rows, ["k"], 30, ["a", "b"], [7.0, 0.0]).collect()}
     assert out == {k: v for k, v in want.items() if k in out} and len(out) == 150
     assert tracks.painted(rows.where(F.lit(False)), ["k"], 30, ["a"], [7.0]).count() == 0
+
+
+def test_packed_examples_are_the_same(spark, parts, tmp_path):
+    plain, packed = (examples.examples(*parts, SIZE, -1.0, 3, 2, packed=p) for p in (False, True))
+    examples.write_shards(packed, str(tmp_path / "packed"))
+    back = spark.read.parquet(str(tmp_path / "packed"))
+    assert {k for _, k in packed.select("labels", "weights", "track").dtypes} == {"binary"}
+    want = sorted(map(tuple, plain.select(*plain.columns[:7]).collect()), key=lambda r: r[:3])
+    assert sorted(map(tuple, examples.unpacked(back).select(*plain.columns[:7]).collect()), key=lambda r: r[:3]) == want
+    sums = {tuple(r)[:3]: tuple(r)[3:] for r in examples.place_sums(back).select(*examples.KEYS, "labels", "masked", "masked_places", "track").collect()}
+    at = np.arange(SIZE)
+    assert sums == {r[:3]: (at @ np.array(r[4]), r[5].count(0.0), sum(i for i in at if r[5][i] == 0), at @ np.array(r[6])) for r in want}
+
+
+def test_tiles_are_dealt_out_once_for_both_strands(spark, parts, monkeypatch):
+    """Parts go to their buckets as they are, not as whole arrays of each strand."""
+    seen = []
+    real = examples.bucketed
+    monkeypatch.setattr(examples, "bucketed", lambda df, keys, *more: seen.append((list(keys), df.dtypes)) or real(df, keys, *more))
+    assert examples.examples(*parts, SIZE, 0.0, 2).count() == 10
+    assert all(keys == ["seqid", "tile"] and not any(kind.startswith("array") for _, kind in dtypes) for keys, dtypes in seen)
