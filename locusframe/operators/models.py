@@ -16,6 +16,8 @@ from locusframe.operators.transcripts import TX, in_reading_order
 UTR = ("UTR", "five_prime_UTR", "three_prime_UTR", "5UTR", "3UTR", "5_prime_UTR", "3_prime_UTR")
 #: What stands in for a missing source.
 NO_SOURCE = "merge"
+#: Of a coding part by its place: 2 if it is the first, and 1 if it is the last.
+KINDS = ("internal", "terminal", "initial", "single")
 
 
 def _joined(spans: Column) -> Column:
@@ -152,35 +154,80 @@ def isoform_lines(features: DataFrame, chosen: DataFrame) -> DataFrame:
     return lines.select("file", F.col("line_no").cast("double").alias("place"), "line").unionByName(head("gene", gene, 0.2)).unionByName(head("transcript", tx, 0.1))
 
 
+def gtf_genes(features: DataFrame) -> DataFrame:
+    """(seqid, gene_id, gene_start, gene_stop, gene_strand, tx): genes with their transcripts, and those with their parts, from whose ids and places
+    ``gtf_lines`` makes rows.
+
+    Transcripts are put together before they are shuffled, so ids go once with a transcript, not with each part, and texts are not
+    shuffled at all.
+    """
+    parts = features.where(~F.col("type").isin("gene", "transcript", "mRNA"))
+    dot, more = F.lit("."), {}
+    if "source" in features.columns:
+        more["source"] = F.coalesce("source", dot)
+    if "phase" in features.columns:
+        more["phase"] = F.coalesce(F.col("phase").cast("string"), dot)
+    part = F.struct("type", "line_no", "start", "stop", "gene_id", *(x.alias(c) for c, x in more.items()))
+    # Parts of a type stand together, in reading direction.
+    key = lambda x: F.when(F.col("strand") == "-", -x["stop"]).otherwise(x["start"])
+    placed = F.transform("own", lambda x: F.struct(x["type"].alias("type"), key(x).alias("key"), x["line_no"].alias("line_no"), x.alias("x")))
+    # Exploded as an array of one, what is looked at many times is worked out once.
+    tx = parts.groupBy(*TX).agg(F.collect_list(part).alias("own")).select(*TX, F.explode(F.array(F.transform(F.sort_array(placed), lambda x: x["x"]))).alias("own"))
+    tx = tx.withColumn("exons", F.exists("own", lambda x: x["type"] == "exon"))
+    ends = lambda x, i, step: F.coalesce(F.get("own", i + step)["type"] != x["type"], F.lit(True))
+    kind = lambda first, last: (F.when(first, 2).otherwise(0) + F.when(last, 1).otherwise(0)).cast("byte")
+    slim = F.transform("own", lambda x, i: F.struct(
+        x["type"].alias("type"), x["start"].alias("start"), x["stop"].alias("stop"), F.when(x["type"] == "CDS", kind(ends(x, i, -1), ends(x, i, 1))).alias("kind"),
+        ((x["type"] == "CDS") & ~F.col("exons")).alias("twice"), x["gene_id"].alias("gene_id"), *(x[c].alias(c) for c in more)
+    ))
+    each = tx.select(*TX, F.explode(F.array(slim)).alias("own")).withColumn("gene_id", F.explode(F.array_distinct(F.transform("own", lambda x: x["gene_id"]))))
+    own = F.filter("own", lambda x: x["gene_id"].eqNullSafe(F.col("gene_id")))
+    each = each.select(*TX, "gene_id", F.explode(F.array(F.transform(own, lambda x: x.dropFields("gene_id")))).alias("own"))
+    span = {"start": F.array_min(F.transform("own", lambda x: x["start"])), "stop": F.array_max(F.transform("own", lambda x: x["stop"]))}
+    return each.withColumns(span).groupBy("seqid", "gene_id").agg(
+        F.min("start").alias("gene_start"), F.max("stop").alias("gene_stop"), F.min("strand").alias("gene_strand"), F.collect_list(F.struct("tx_id", "strand", "start", "stop", "own")).alias("tx")
+    )
+
+
+def gtf_lines(genes: DataFrame, prefix: str = "") -> Column:
+    """Rows of each of the ``gtf_genes`` in their order in a file, as structs (tx_id, rank, start, stop, type, source, strand, phase, attrs)."""
+    dot, start = F.lit("."), f"{prefix}." if prefix else ""
+    fields = genes.schema["tx"].dataType.elementType["own"].dataType.elementType.names
+
+    def row(tx_id: Column, rank: int, at: Column, kind: Column, source: Column, strand: Column, phase: Column, attrs: Column, ends: tuple[str, str] = ("start", "stop")) -> Column:
+        low, high = (at[e] if at is not None else F.col(e) for e in ends)
+        return F.struct(
+            tx_id.alias("tx_id"), F.lit(rank).alias("rank"), low.alias("start"), high.alias("stop"), kind.alias("type"), source.alias("source"), strand.alias("strand"),
+            phase.alias("phase"), attrs.alias("attrs"),
+        )
+
+    def parts(t: Column) -> Column:
+        name = F.concat(F.lit(start), t["tx_id"])
+        ids = F.concat(F.lit('transcript_id "'), name, F.lit('"; gene_id "'), F.col("gene_id"), F.lit('";'))
+
+        def part(x: Column) -> Column:
+            of = lambda c: x[c] if c in fields else dot
+            cds = F.concat(ids, F.when(x["type"] == "CDS", F.concat(F.lit(" cds_type="), F.get(F.array(*map(F.lit, KINDS)), x["kind"]), F.lit(";"))).otherwise(""))
+            one = row(t["tx_id"], 2, x, x["type"], of("source"), t["strand"], of("phase"), cds)
+            return F.when(x["twice"], F.array(one, row(t["tx_id"], 2, x, F.lit("exon"), of("source"), t["strand"], of("phase"), ids))).otherwise(F.array(one))
+
+        return F.concat(F.array(row(t["tx_id"], 1, t, F.lit("transcript"), dot, t["strand"], dot, name)), F.flatten(F.transform(t["own"], part)))
+
+    gene = row(F.lit(None).cast("string"), 0, None, F.lit("gene"), dot, F.col("gene_strand"), dot, F.col("gene_id"), ("gene_start", "gene_stop"))
+    # Parts without a gene or sequence have no gene to stand in.
+    named = F.col("gene_id").isNotNull() & F.col("seqid").isNotNull()
+    return F.when(named, F.sort_array(F.concat(F.array(gene), F.flatten(F.transform("tx", parts))))).otherwise(F.array(gene))
+
+
 def gtf_rows(features: DataFrame, prefix: str = "") -> DataFrame:
     """Rows of an annotation as GTF: genes with bare ids, transcripts with bare ids, then parts by start, with cds_type.
 
     Coding parts stand as exons, too, in transcripts without any. Sort by (seqid, gene_start, gene_stop, gene_id, tx_id,
-    rank, start, stop, type) for a file.
+    rank, start, stop, type) for a file, or write ``gtf_genes`` with their ``gtf_lines`` (``sources.text.write_groups``).
     """
-    dot = F.lit(".")
-    start = f"{prefix}." if prefix else ""
-    parts = features.where(~F.col("type").isin("gene", "transcript", "mRNA"))
-    order, whole = Window.partitionBy(*TX, "type").orderBy(*in_reading_order("line_no")), Window.partitionBy(*TX, "type")
-    n, total = F.row_number().over(order), F.count("*").over(whole)
-    kind = F.when(F.col("type") == "CDS", F.when(total == 1, "single").when(n == 1, "initial").when(n == total, "terminal").otherwise("internal"))
-    phase = F.col("phase").cast("string") if "phase" in features.columns else F.lit(None).cast("string")
-    rows = parts.withColumns({"kind": kind, "phase": F.coalesce(phase, dot), "source": F.coalesce("source", dot) if "source" in features.columns else dot})
-    rows = rows.withColumn("exons", F.sum((F.col("type") == "exon").cast("int")).over(Window.partitionBy(*TX)))
-    types = F.when((F.col("type") == "CDS") & (F.col("exons") == 0), F.array(F.lit("CDS"), F.lit("exon"))).otherwise(F.array("type"))
-    rows = rows.withColumn("type", F.explode(types))
-    name = F.concat(F.lit(start), "tx_id")
-    attrs = F.concat(
-        F.lit('transcript_id "'), name, F.lit('"; gene_id "'), "gene_id", F.lit('";'), F.when(F.col("type") == "CDS", F.concat(F.lit(" cds_type="), "kind", F.lit(";"))).otherwise("")
-    )
-    genes = parts.groupBy("seqid", "gene_id").agg(F.min("start").alias("gene_start"), F.max("stop").alias("gene_stop"), F.min("strand").alias("gene_strand"))
-    tx = parts.groupBy("gene_id", *TX).agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    columns = ["seqid", "source", "type", "start", "stop", "score", "strand", "phase", "attrs", "gene_start", "gene_stop", "gene_id", "tx_id", "rank"]
-    bare = {"source": dot, "score": dot, "phase": dot}
-    each = rows.withColumns({"attrs": attrs, "rank": F.lit(2), "score": dot}).join(genes, ["seqid", "gene_id"]).select(*columns)
-    spans = tx.join(genes, ["seqid", "gene_id"]).withColumns({**bare, "type": F.lit("transcript"), "attrs": name, "rank": F.lit(1)}).select(*columns)
-    tops = genes.withColumns({**bare, "type": F.lit("gene"), "attrs": F.col("gene_id"), "start": F.col("gene_start"), "stop": F.col("gene_stop"), "strand": F.col("gene_strand"), "tx_id": F.lit(None).cast("string"), "rank": F.lit(0)}).select(*columns)
-    return tops.unionByName(spans).unionByName(each)
+    genes = gtf_genes(features)
+    rows = genes.select("seqid", "gene_start", "gene_stop", "gene_id", F.explode(gtf_lines(genes, prefix)).alias("x"))
+    return rows.select("seqid", "x.source", "x.type", "x.start", "x.stop", F.lit(".").alias("score"), "x.strand", "x.phase", "x.attrs", "gene_start", "gene_stop", "gene_id", "x.tx_id", "x.rank")
 
 
 def as_gff3(features: DataFrame) -> DataFrame:

@@ -104,16 +104,31 @@ def _gff_line(attrs: Column) -> Column:
     return F.concat_ws("\t", *map(cell, ("seqid", "source", "type", "start", "stop", "score", "strand", "phase")), attrs)
 
 
-def write_gff(df: DataFrame, path: str, order: Sequence[str] = ("seqid", "start", "stop")) -> None:
+def _write(lines: DataFrame, path: str, compression: str | None) -> None:
+    lines.write.option("compression", compression or "none").text(path)
+
+
+def write_gff(df: DataFrame, path: str, order: Sequence[str] = ("seqid", "start", "stop"), compression: str | None = None) -> None:
     """GFF3 lines in this order; column attributes (a map) is written, or attrs as it is. Null becomes a dot."""
     attrs = format_gff(F.col("attributes")) if "attributes" in df.columns else F.coalesce("attrs", F.lit("."))
-    df.orderBy(*order).select(_gff_line(attrs)).write.text(path)
+    _write(df.orderBy(*order).select(_gff_line(attrs)), path, compression)
 
 
-def write_gtf(df: DataFrame, path: str, order: Sequence[str] = ("seqid", "start", "stop")) -> None:
-    """GTF lines in this order; column attributes (a map) is written as ``k "v";``, or attrs as it is."""
+def write_gtf(df: DataFrame, path: str, order: Sequence[str] = ("seqid", "start", "stop"), compression: str | None = None) -> None:
+    """GTF lines in this order; column attributes (a map) is written as ``k "v";``, or attrs as it is. Files are gzipped if ``compression`` is gzip."""
     attrs = format_gtf(F.col("attributes")) if "attributes" in df.columns else F.coalesce("attrs", F.lit("."))
-    df.orderBy(*order).select(_gff_line(attrs)).write.text(path)
+    _write(df.orderBy(*order).select(_gff_line(attrs)), path, compression)
+
+
+def write_groups(df: DataFrame, path: str, order: Sequence[str], rows: Column, compression: str | None = None) -> None:
+    """GTF or GFF3 lines of groups such as genes, in this order of the groups; ``rows`` gives those of a group, in their order, as an array of structs.
+
+    Groups are sorted as they are, and their lines made where they are written, so no line is shuffled.
+    """
+    each = df.orderBy(*order).select("seqid", F.explode(rows).alias("_row"))
+    columns = [c for c in each.schema["_row"].dataType.names if c != "seqid"]
+    each = each.select("seqid", *(F.col("_row")[c].alias(c) for c in columns))
+    _write((each if "score" in columns else each.withColumn("score", F.lit("."))).select(_gff_line(F.coalesce("attrs", F.lit(".")))), path, compression)
 
 
 def write_lines(df: DataFrame, path: str, order: Sequence[str] = ("file", "line_no")) -> None:

@@ -200,3 +200,34 @@ def test_lengths_of_records_move_no_letters(spark, tmp_path, monkeypatch):
     rows = parts.fasta_lengths(spark, [str(tmp_path / f"{x}.fa") for x in "abcd"])
     assert sorted(map(tuple, rows.collect())) == [("a", "a", 1), ("a", "a one", 5), ("b", "b", 0), ("c", "c", 3)]
     assert seen == [["file", "at", "header", "n"]]
+
+
+def test_annotations_are_shuffled_as_genes_not_lines(spark, tmp_path):
+    from locusframe.operators import models
+    from locusframe.sources import text
+
+    made = [
+        ("c", "+", "g1", "t1", "CDS", 10, 20, 1), ("c", "+", "g1", "t1", "CDS", 30, 40, 2), ("c", "-", "g1", "t1", "CDS", 50, 60, 3), ("c", "-", "g1", "t1", "UTR", 61, 65, 4),
+        ("c", "+", "g2", "t2", "CDS", 5, 9, 5), ("c", "+", "g2", "t2", "exon", 5, 9, 6), ("c", "+", "g3", "t2", "CDS", 15, 19, 7), ("c", "-", "g4", "t3", "CDS", 7, 9, 8),
+        ("c", "-", "g4", "t3", "CDS", 1, 4, 9), ("c", "+", None, "t4", "CDS", 1, 4, 10), ("c", "+", "g1", "t1", "gene", 1, 100, 0),
+    ]
+    features = spark.createDataFrame(made, "seqid string, strand string, gene_id string, tx_id string, type string, start long, stop long, line_no long").repartition(3)
+    rows = models.gtf_rows(features, "x")
+    cells = {(r["gene_id"], r["tx_id"], r["strand"], r["type"], r["start"], r["stop"], r["attrs"]) for r in rows.collect()}
+    cds = lambda g, t, kind: f'transcript_id "x.{t}"; gene_id "{g}"; cds_type={kind};'
+    exon = lambda g, t: f'transcript_id "x.{t}"; gene_id "{g}";'
+    want = {("g1", None, "+", "gene", 10, 65, "g1"), ("g2", None, "+", "gene", 5, 9, "g2"), ("g3", None, "+", "gene", 15, 19, "g3"), ("g4", None, "-", "gene", 1, 9, "g4"), (None, None, "+", "gene", 1, 4, None)}
+    want |= {("g1", "t1", "+", "transcript", 10, 40, "x.t1"), ("g1", "t1", "-", "transcript", 50, 65, "x.t1"), ("g2", "t2", "+", "transcript", 5, 9, "x.t2"), ("g3", "t2", "+", "transcript", 15, 19, "x.t2"), ("g4", "t3", "-", "transcript", 1, 9, "x.t3")}
+    for g, t, strand, low, high, kind in (("g1", "t1", "+", 10, 20, "initial"), ("g1", "t1", "+", 30, 40, "terminal"), ("g1", "t1", "-", 50, 60, "single"), ("g4", "t3", "-", 7, 9, "initial"), ("g4", "t3", "-", 1, 4, "terminal")):
+        want |= {(g, t, strand, "CDS", low, high, cds(g, t, kind)), (g, t, strand, "exon", low, high, exon(g, t))}
+    # The transcript of two genes has an exon in one of them, so its coding parts are no exons.
+    want |= {("g1", "t1", "-", "UTR", 61, 65, exon("g1", "t1")), ("g2", "t2", "+", "CDS", 5, 9, cds("g2", "t2", "initial")), ("g2", "t2", "+", "exon", 5, 9, exon("g2", "t2")), ("g3", "t2", "+", "CDS", 15, 19, cds("g3", "t2", "terminal"))}
+    assert cells == want
+    assert plan(models.gtf_rows(features, "x")).count("hashpartitioning") == 2
+
+    genes, order = models.gtf_genes(features), ["seqid", "gene_start", "gene_stop", "gene_id"]
+    text.write_groups(genes, str(tmp_path / "groups"), order, models.gtf_lines(genes, "x"), "gzip")
+    text.write_gtf(rows, str(tmp_path / "lines"), [*order, "tx_id", "rank", "start", "stop", "type"])
+    assert all(p.name.endswith(".gz") for p in (tmp_path / "groups").glob("part-*"))
+    lines = lambda x: [r["value"] for p in sorted((tmp_path / x).glob("part-*")) for r in spark.read.text(str(p)).collect()]
+    assert lines("groups") == lines("lines") and len(lines("lines")) == len(want)
