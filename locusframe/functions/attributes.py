@@ -38,7 +38,8 @@ def parse(attrs: Column) -> Column:
 def value_of(attrs: Column, key: str) -> Column:
     """``parse(attrs)[key]``, empty where there is none, without a map: one pattern finds the last part with this key."""
     own = rf'(?:.*;)? *{re.escape(key)}(?:=([^;]*?) *| [" ]*([^;]*?)[" ]*|)(?:;.*|\z)'
-    return F.regexp_replace(attrs, rf"(?s)\A(?:{own}|.*)\z", "$1$2")
+    # Most keys aren't there at all.
+    return F.when(~attrs.contains(key), "").otherwise(F.regexp_replace(attrs, rf"(?s)\A(?:{own}|.*)\z", "$1$2"))
 
 
 def format_gff(attributes: Column) -> Column:

@@ -231,3 +231,24 @@ def test_annotations_are_shuffled_as_genes_not_lines(spark, tmp_path):
     assert all(p.name.endswith(".gz") for p in (tmp_path / "groups").glob("part-*"))
     lines = lambda x: [r["value"] for p in sorted((tmp_path / x).glob("part-*")) for r in spark.read.text(str(p)).collect()]
     assert lines("groups") == lines("lines") and len(lines("lines")) == len(want)
+
+
+def test_files_between_steps_are_compressed(spark, tmp_path, monkeypatch):
+    from locusframe.plans import file_queries
+
+    made = []
+    monkeypatch.setattr(file_queries, "fresh_path", lambda spark: made.append(str(tmp_path / f"f{len(made)}")) or made[-1])
+    assert file_queries.gtf_to_gff3(spark, "/root/testdata/sf0.001").count() > 10_000
+    names = [p.name for path in made for p in (tmp_path / path).glob("part-*")]
+    assert len(made) == 2 and names and all(n.endswith(".txt.gz") for n in names)
+
+
+def test_patterns_run_only_where_their_key_is(spark):
+    from pyspark.sql import functions as F
+
+    from locusframe.functions.attributes import value_of
+
+    rows = spark.createDataFrame([('gene_id "a"; x=IDs',), ("ID=b;Parent=c",), (None,), ("",)], "attrs string")
+    found = rows.select(value_of(F.col("attrs"), "ID").alias("ID"), value_of(F.col("attrs"), "gene_id").alias("gene_id"))
+    assert list(map(tuple, found.collect())) == [("", "a"), ("b", ""), (None, None), ("", "")]
+    assert "Contains(attrs" in plan(found) or "contains(attrs" in plan(found).lower()
