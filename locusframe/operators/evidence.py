@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions import genome
-from locusframe.functions.sequence import STARTS, STOPS, on_strand, splice_strand
+from locusframe.functions.sequence import STARTS, STOPS, on_strand, revcomp, splice_strand
 from locusframe.operators.transcripts import first_by
 from locusframe.session import hinted, stored
 
@@ -65,6 +65,18 @@ def supported_queries(
     return first_by(strict, ["query"], F.col("bits").desc(), F.col("subject"), F.col("qstart"), F.col("alen"))
 
 
+def covered_queries(hits: DataFrame, evalue: float, pident: float, qcov: float, tcov: float, queries: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(query): those that ``supported_queries`` has, of the ``queries`` (query, qlen), with target ``lengths`` (subject, slen).
+
+    Whether there is a strict hit is asked, not which, so of the hits of a query on a subject the longest one is enough.
+    """
+    hits = hits.select("query", "subject", "evalue", "pident", "alen")
+    good = good_hits(hits.join(hinted(queries.select("query", "qlen")), "query"), evalue, pident, qcov)
+    longest = good.groupBy("query", "subject").agg(F.max("alen").alias("alen"))
+    found = longest.join(lengths.select("subject", "slen"), "subject").where(F.when(F.col("slen") > 0, F.col("alen") / F.col("slen")) >= tcov)
+    return found.select("query").distinct()
+
+
 def support_score(ident: Column, ident_short: Column, tstart: Column, tstart_short: Column, qstart: Column) -> Column:
     """(target starts apart) - (query start - 1) + ln(identity ratio) ^ 1000, with a ratio of 0 as +infinity."""
     ratio = ident / F.when(ident_short == 0, 1e-4).otherwise(ident_short)
@@ -147,12 +159,12 @@ def orf_type(header: Column) -> Column:
     return found
 
 
-def shortened(peptides: DataFrame) -> DataFrame:
-    """Incomplete peptides from their first M on, with the header's coordinates and length; others are left out."""
+def _with_short(peptides: DataFrame) -> DataFrame:
+    """Adds s_header and s_sequence: what ``shortened`` makes of a peptide, or null."""
     core = F.regexp_replace("sequence", r"\*$", "")
     tail = F.when(F.col("sequence").endswith("*"), "*").otherwise("")
     rows = peptides.withColumns({"core": core, "tail": tail, **{f"h_{k}": v for k, v in header_facts(F.col("header")).items()}})
-    rows = rows.where(F.col("h_kind").isin("5prime_partial", "internal") & F.col("core").contains("M") & F.col("h_start").isNotNull())
+    fits = F.col("h_kind").isin("5prime_partial", "internal") & F.col("core").contains("M") & F.col("h_start").isNotNull()
     rows = rows.withColumn("cut", F.instr("core", "M") - 1).withColumn("core", F.expr("substring(core, cut + 1)"))
     start = F.when(F.col("h_strand") == "+", F.col("h_start") + 3 * F.col("cut")).otherwise(F.col("h_start"))
     stop = F.when(F.col("h_strand") == "+", F.col("h_stop")).otherwise(F.col("h_stop") - 3 * F.col("cut"))
@@ -160,14 +172,17 @@ def shortened(peptides: DataFrame) -> DataFrame:
     size = F.concat(F.lit("len:"), F.length("core"))
     header = F.regexp_replace(F.col("header"), F.lit(r":\d+-\d+\([+-]\)"), place)
     header = F.when(header.rlike(r"len:\d+"), F.regexp_replace(header, F.lit(r"len:\d+"), size)).otherwise(F.concat(header, F.lit(" "), size))
-    return rows.select("id", header.alias("header"), F.concat("core", "tail").alias("sequence"))
+    return rows.select(*peptides.columns, F.when(fits, header).alias("s_header"), F.when(fits, F.concat("core", "tail")).alias("s_sequence"))
 
 
-def revised(peptides: DataFrame, classes: DataFrame, short: DataFrame) -> DataFrame:
-    """Incomplete peptides whose class is complete take their shortened form, with the kind put right; others stay."""
-    s = short.select("id", F.col("header").alias("s_header"), F.col("sequence").alias("s_sequence"))
-    c = classes.select(F.col("query").alias("id"), "class")
-    rows = peptides.join(c, "id", "left").join(s, "id", "left")
+def shortened(peptides: DataFrame) -> DataFrame:
+    """Incomplete peptides from their first M on, with the header's coordinates and length; others are left out."""
+    rows = _with_short(peptides).where("s_header is not null")
+    return rows.select("id", F.col("s_header").alias("header"), F.col("s_sequence").alias("sequence"))
+
+
+def _revised(rows: DataFrame) -> DataFrame:
+    """``revised`` of peptides that stand with their class and short form."""
     use = F.coalesce(orf_type(F.col("header")).isin("5prime_partial", "internal") & (F.col("class") == "complete") & F.col("s_header").isNotNull(), F.lit(False))
     fixed = F.when(F.col("s_header").contains("type:5prime_partial"), F.replace("s_header", F.lit("type:5prime_partial"), F.lit("type:complete"))).otherwise(
         F.replace("s_header", F.lit("type:internal"), F.lit("type:3prime_partial"))
@@ -175,6 +190,25 @@ def revised(peptides: DataFrame, classes: DataFrame, short: DataFrame) -> DataFr
     return rows.select("id", F.when(use, fixed).otherwise(F.col("header")).alias("header"), F.when(use, F.col("s_sequence")).otherwise(F.col("sequence")).alias("sequence"))
 
 
+def revised(peptides: DataFrame, classes: DataFrame, short: DataFrame) -> DataFrame:
+    """Incomplete peptides whose class is complete take their shortened form, with the kind put right; others stay."""
+    s = short.select("id", F.col("header").alias("s_header"), F.col("sequence").alias("s_sequence"))
+    c = classes.select(F.col("query").alias("id"), "class")
+    return _revised(peptides.join(c, "id", "left").join(s, "id", "left"))
+
+
+def revised_in_place(peptides: DataFrame, classes: DataFrame) -> DataFrame:
+    """``revised`` with the peptides' own shortened forms: one whose id stands once is shortened where it is, so no sequence is shuffled
+    for it. Peptides of repeated ids meet all forms of their id, as they do there."""
+    often = stored(peptides.groupBy("id").count().where("count > 1").select("id"))
+    chosen = hinted(classes.where("class = 'complete'").select(F.col("query").alias("id"), "class"))
+    if often.isEmpty():
+        return _revised(_with_short(peptides).join(chosen, "id", "left"))
+    few = hinted(often)
+    once, more = (peptides.join(few, "id", how) for how in ("left_anti", "left_semi"))
+    return _revised(_with_short(once).join(chosen, "id", "left")).unionByName(revised(more, classes, shortened(more)))
+
+
 def cds_part_hints(cds: DataFrame, shrink: int = 15) -> DataFrame:
     """Coding parts without ``shrink`` bases at both ends; what would turn over becomes its middle."""
     s, e = F.col("start") + shrink, F.col("stop") - shrink
@@ -267,6 +301,12 @@ def has_stop(seq: Column) -> Column:
     return F.coalesce(F.upper(seq).rlike("|".join(STOPS)), F.lit(False))
 
 
+def first_stops(seq: Column) -> tuple[Column, Column]:
+    """Where the first stop codon, in any frame, begins on each strand, from 1; 0 if there is none."""
+    first = lambda x: F.coalesce(F.regexp_instr(F.upper(x), F.lit("|".join(STOPS))), F.lit(0))
+    return first(seq), first(revcomp(seq))
+
+
 def stops_in_utrs(wanted: DataFrame, sequences: DataFrame, key: str = "tx_id") -> DataFrame:
     """(key, flag): of the ``wanted`` transcripts that have a sequence, whether a stop codon stands in it."""
     return sequences.join(wanted.select(key).distinct(), key, "left_semi").select(key, has_stop(F.col("sequence")).alias("flag"))

@@ -34,15 +34,24 @@ def read_fasta(spark: SparkSession, path: str | Sequence[str], upper: bool = Fal
     return raw.select(F.split(header, r"\s")[0].alias("seq_name"), header.alias("header"), (F.upper if upper else F.lit)(F.regexp_replace(body, r"\s", "")).alias("sequence"))
 
 
+#: How gzip works for files: the fast way, which makes them a little larger.
+FAST = {"zlib.compress.level": "BEST_SPEED"}
+
+
+def write_text(lines: DataFrame, path: str, compression: str | None = None) -> None:
+    """The lines of a table's only column, plain or gzipped."""
+    lines.write.options(**FAST).option("compression", compression or "none").text(path)
+
+
 def wrapped(sequence: Column, width: int) -> Column:
     """Lines of ``width`` letters; what fits one is not searched."""
     return F.when(F.length(sequence) > width, F.regexp_replace(sequence, f"(.{{{width}}})(?=.)", "$1\n")).otherwise(sequence)
 
 
-def write_fasta(df: DataFrame, path: str, header: str = "seq_name", width: int = 80) -> None:
+def write_fasta(df: DataFrame, path: str, header: str = "seq_name", width: int = 80, compression: str | None = None) -> None:
     """One record a row, wrapped at ``width``."""
     lines = wrapped(F.col("sequence"), width)
-    df.select(F.concat(F.lit(">"), header, F.lit("\n"), lines)).write.text(path)
+    write_text(df.select(F.concat(F.lit(">"), header, F.lit("\n"), lines)), path, compression)
 
 
 def write_fasta_groups(df: DataFrame, path: str, group: str, header: str = "seq_name", width: int = 80) -> None:
@@ -104,20 +113,16 @@ def _gff_line(attrs: Column) -> Column:
     return F.concat_ws("\t", *map(cell, ("seqid", "source", "type", "start", "stop", "score", "strand", "phase")), attrs)
 
 
-def _write(lines: DataFrame, path: str, compression: str | None) -> None:
-    lines.write.option("compression", compression or "none").text(path)
-
-
 def write_gff(df: DataFrame, path: str, order: Sequence[str] = ("seqid", "start", "stop"), compression: str | None = None) -> None:
     """GFF3 lines in this order; column attributes (a map) is written, or attrs as it is. Null becomes a dot."""
     attrs = format_gff(F.col("attributes")) if "attributes" in df.columns else F.coalesce("attrs", F.lit("."))
-    _write(df.orderBy(*order).select(_gff_line(attrs)), path, compression)
+    write_text(df.orderBy(*order).select(_gff_line(attrs)), path, compression)
 
 
 def write_gtf(df: DataFrame, path: str, order: Sequence[str] = ("seqid", "start", "stop"), compression: str | None = None) -> None:
     """GTF lines in this order; column attributes (a map) is written as ``k "v";``, or attrs as it is. Files are gzipped if ``compression`` is gzip."""
     attrs = format_gtf(F.col("attributes")) if "attributes" in df.columns else F.coalesce("attrs", F.lit("."))
-    _write(df.orderBy(*order).select(_gff_line(attrs)), path, compression)
+    write_text(df.orderBy(*order).select(_gff_line(attrs)), path, compression)
 
 
 def write_groups(df: DataFrame, path: str, order: Sequence[str], rows: Column, compression: str | None = None) -> None:
@@ -128,7 +133,7 @@ def write_groups(df: DataFrame, path: str, order: Sequence[str], rows: Column, c
     each = df.orderBy(*order).select("seqid", F.explode(rows).alias("_row"))
     columns = [c for c in each.schema["_row"].dataType.names if c != "seqid"]
     each = each.select("seqid", *(F.col("_row")[c].alias(c) for c in columns))
-    _write((each if "score" in columns else each.withColumn("score", F.lit("."))).select(_gff_line(F.coalesce("attrs", F.lit(".")))), path, compression)
+    write_text((each if "score" in columns else each.withColumn("score", F.lit("."))).select(_gff_line(F.coalesce("attrs", F.lit(".")))), path, compression)
 
 
 def write_lines(df: DataFrame, path: str, order: Sequence[str] = ("file", "line_no")) -> None:
