@@ -94,47 +94,70 @@ def cluster_rows(merged: DataFrame) -> DataFrame:
     return top.unionByName(each).select("seqid", "source", "x.type", "x.start", "x.stop", dot.alias("score"), "strand", "x.phase", "x.attrs", "gene", "nth", "x.rank", "x.i")
 
 
-def rebuilt_rows(cds: DataFrame, utrs: DataFrame, parents: DataFrame, known_genes: DataFrame) -> DataFrame:
-    """Rows of gene, transcript, exon, CDS and UTR anew from coding parts (extended by ``with_stop_codon``) and UTRs.
+def rebuilt_genes(cds: DataFrame, utrs: DataFrame, parents: DataFrame, known_genes: DataFrame) -> DataFrame:
+    """(seqid, gene_id, gene_start, strand, made, tx and others): genes anew with their transcripts, and those with their parts, from which ``rebuilt_lines``
+    makes rows. A gene has a row for each sequence that it is on.
 
-    Exons are the union of both, adjacent parts joined. A transcript without coding parts is left out. ``parents`` (tx_id,
-    gene_id) names its gene; one that isn't in ``known_genes`` (gene_id), or none, is made: ``<transcript>.gene``.
-    ``cds`` and ``utrs`` have (TX, source, type, start, stop, phase). Sort by (seqid, gene_start, gene_id, tx_start, tx_id,
-    rank, i) for a file.
+    A transcript without coding parts is left out. ``parents`` (tx_id, gene_id) names its gene; one that isn't in ``known_genes`` (gene_id), or none,
+    is made: ``<transcript>.gene``. ``cds`` and ``utrs`` have (TX, source, type, start, stop, phase). Transcripts are shuffled whole, and no line is.
     """
-    dot = F.lit(".")
-    both = cds.select(*TX, "source", F.lit("CDS").alias("type"), "start", "stop", "phase").unionByName(utrs.select(*TX, "source", "type", "start", "stop", dot.alias("phase")))
-    is_cds = F.col("type") == "CDS"
-    part = F.struct("start", "stop", "type", F.col("phase").cast("string").alias("phase"))
-    tx = both.groupBy("tx_id").agg(
-        F.min(F.when(is_cds, F.col("seqid"))).alias("seqid"), F.min(F.when(is_cds, F.col("strand"))).alias("strand"), F.min(F.when(is_cds, F.col("source"))).alias("source"),
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sort_array(F.collect_list(F.when(is_cds, part))).alias("cds"),
-        F.sort_array(F.collect_list(F.when(~is_cds, part))).alias("utr"), _joined(F.sort_array(F.collect_list(F.struct("start", "stop")))).alias("exons"),
+    none = F.lit(None).cast("string")
+    # What a coding part says goes to one list, what a UTR says to the other.
+    part = F.struct("start", "stop", F.col("phase").cast("string").alias("phase"))
+    utr = F.struct("start", "stop", "type")
+    mine = cds.select(*TX, "source", part.alias("cds")).withColumn("utr", F.lit(None).cast(utrs.select(utr.alias("x")).schema["x"].dataType))
+    other = utrs.select(none.alias("seqid"), none.alias("strand"), "tx_id", none.alias("source"), F.lit(None).cast(mine.schema["cds"].dataType).alias("cds"), utr.alias("utr"))
+    tx = mine.unionByName(other).groupBy("tx_id").agg(
+        F.min("seqid").alias("seqid"), F.min("strand").alias("strand"), F.min("source").alias("source"), F.sort_array(F.collect_list("cds")).alias("cds"), F.sort_array(F.collect_list("utr")).alias("utr")
     ).where(F.size("cds") > 0)
+    ends = lambda how, field: F.array_compact(F.array(*(how(F.transform(c, lambda x: x[field])) for c in ("cds", "utr"))))
+    tx = tx.withColumns({"start": F.array_min(ends(F.array_min, "start")), "stop": F.array_max(ends(F.array_max, "stop"))})
     own = parents.groupBy("tx_id").agg(F.min("gene_id").alias("gene_id")).join(known_genes.select("gene_id").distinct(), "gene_id", "left_semi")
     tx = tx.join(own, "tx_id", "left").withColumn("made", F.col("gene_id").isNull()).withColumn("gene_id", F.coalesce("gene_id", F.concat("tx_id", F.lit(".gene"))))
     genes = tx.groupBy("gene_id").agg(
-        F.min("seqid").alias("seqid"), F.min("strand").alias("strand"), F.min("start").alias("gene_start"), F.max("stop").alias("gene_stop"), F.bool_and("made").alias("made"), F.min("source").alias("source")
-    )
-    none = F.lit(None).cast("int")
-    number = lambda prefix, i: F.concat("tx_id", F.lit(prefix), (i + 1).cast("string"))
-    row = lambda kind, rank, prefix, phase: lambda x, i: _row(
-        kind(x), x["start"], x["stop"], phase(x), rank, i, [("ID", number(prefix, i)), ("Parent", F.col("tx_id"))]
-    )
-    of = F.concat(
-        F.array(_row(F.lit("transcript"), F.col("start"), F.col("stop"), dot, 0, none, [("ID", F.col("tx_id")), ("Parent", F.col("gene_id"))])),
-        F.transform("exons", row(lambda x: F.lit("exon"), 1, ".exon", lambda x: dot)),
-        F.transform("cds", row(lambda x: F.lit("CDS"), 2, ".cds", lambda x: F.coalesce(x["phase"], dot))),
-        F.transform("utr", row(lambda x: x["type"], 3, ".utr", lambda x: dot)),
-    )
-    start = genes.select("gene_id", "gene_start")
-    each = tx.join(start, "gene_id").select("seqid", "source", "strand", "gene_id", "gene_start", F.col("start").alias("tx_start"), "tx_id", F.explode(of).alias("x"))
-    source = F.when(F.col("made"), "rebuild").otherwise(F.col("source"))
-    top = genes.select(
-        "seqid", source.alias("source"), "strand", "gene_id", "gene_start", F.lit(None).cast("long").alias("tx_start"), F.lit(None).cast("string").alias("tx_id"),
-        _row(F.lit("gene"), F.col("gene_start"), F.col("gene_stop"), dot, 0, none, [("ID", F.col("gene_id"))]).alias("x"),
+        F.min("seqid").alias("first"), F.min("strand").alias("strand"), F.min("start").alias("gene_start"), F.max("stop").alias("gene_stop"), F.bool_and("made").alias("made"), F.min("source").alias("source"),
+        F.collect_list(F.struct("tx_id", "seqid", "strand", "source", "start", "stop", "cds", "utr")).alias("tx"),
     )
-    return top.unionByName(each).select("seqid", "source", "x.type", "x.start", "x.stop", dot.alias("score"), "strand", "x.phase", "x.attrs", "gene_id", "gene_start", "tx_start", "tx_id", "x.rank", "x.i")
+    return genes.withColumn("seqid", F.explode(F.array_distinct(F.concat(F.array("first"), F.transform("tx", lambda t: t["seqid"])))))
+
+
+def rebuilt_lines() -> Column:
+    """Rows of each of the ``rebuilt_genes`` on its sequence in their order in a file, as structs (tx_start, tx_id, rank, i, type, start, stop, phase, strand, source,
+    attrs). Exons are the union of coding parts and UTRs, adjacent parts joined."""
+    dot, none = F.lit("."), F.lit(None).cast("int")
+
+    def row(tx: tuple[Column, Column], rank: int, i: Column, kind: Column, x: Column, phase: Column, strand: Column, source: Column, pairs: list[tuple[str, Column]], ends: tuple[str, str] = ("start", "stop")) -> Column:
+        low, high = (x[e] if x is not None else F.col(e) for e in ends)
+        return F.struct(
+            tx[0].alias("tx_start"), tx[1].alias("tx_id"), F.lit(rank).alias("rank"), i.cast("int").alias("i"), kind.alias("type"), low.alias("start"), high.alias("stop"), phase.alias("phase"),
+            strand.alias("strand"), source.alias("source"), format_pairs(pairs).alias("attrs"),
+        )
+
+    def of(t: Column) -> Column:
+        place, own = (t["start"], t["tx_id"]), (t["strand"], t["source"])
+        ids = lambda prefix, i: [("ID", F.concat(t["tx_id"], F.lit(prefix), (i + 1).cast("string"))), ("Parent", t["tx_id"])]
+        span = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))
+        exons = _joined(F.sort_array(F.concat(F.transform(t["cds"], span), F.transform(t["utr"], span))))
+        return F.concat(
+            F.array(row(place, 0, none, F.lit("transcript"), t, dot, *own, [("ID", t["tx_id"]), ("Parent", F.col("gene_id"))])),
+            F.transform(exons, lambda x, i: row(place, 1, i, F.lit("exon"), x, dot, *own, ids(".exon", i))),
+            F.transform(t["cds"], lambda x, i: row(place, 2, i, F.lit("CDS"), x, F.coalesce(x["phase"], dot), *own, ids(".cds", i))),
+            F.transform(t["utr"], lambda x, i: row(place, 3, i, x["type"], x, dot, *own, ids(".utr", i))),
+        )
+
+    source = F.when(F.col("made"), "rebuild").otherwise(F.col("source"))
+    top = row((F.lit(None).cast("long"), F.lit(None).cast("string")), 0, none, F.lit("gene"), None, dot, F.col("strand"), source, [("ID", F.col("gene_id"))], ("gene_start", "gene_stop"))
+    here = F.flatten(F.transform(F.filter("tx", lambda t: t["seqid"].eqNullSafe(F.col("seqid"))), of))
+    return F.sort_array(F.when(F.col("seqid").eqNullSafe(F.col("first")), F.concat(F.array(top), here)).otherwise(here))
+
+
+def rebuilt_rows(cds: DataFrame, utrs: DataFrame, parents: DataFrame, known_genes: DataFrame) -> DataFrame:
+    """Rows of gene, transcript, exon, CDS and UTR anew from coding parts (extended by ``with_stop_codon``) and UTRs, as ``rebuilt_genes`` has them.
+
+    Sort by (seqid, gene_start, gene_id, tx_start, tx_id, rank, i) for a file, or write the genes with their lines (``sources.text.write_groups``).
+    """
+    rows = rebuilt_genes(cds, utrs, parents, known_genes).select("seqid", "gene_id", "gene_start", F.explode(rebuilt_lines()).alias("x"))
+    return rows.select("seqid", "x.source", "x.type", "x.start", "x.stop", F.lit(".").alias("score"), "x.strand", "x.phase", "x.attrs", "gene_id", "gene_start", "x.tx_start", "x.tx_id", "x.rank", "x.i")
 
 
 def isoform_lines(features: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -252,3 +252,46 @@ def test_patterns_run_only_where_their_key_is(spark):
     found = rows.select(value_of(F.col("attrs"), "ID").alias("ID"), value_of(F.col("attrs"), "gene_id").alias("gene_id"))
     assert list(map(tuple, found.collect())) == [("", "a"), ("b", ""), (None, None), ("", "")]
     assert "Contains(attrs" in plan(found) or "contains(attrs" in plan(found).lower()
+
+
+def test_rebuilt_genes_are_shuffled_whole(spark, tmp_path):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from locusframe.operators import models
+    from locusframe.operators import transcripts as T
+    from locusframe.sources import text
+
+    made = [
+        ("c", "+", "t1", 10, 20, 1), ("c", "+", "t1", 30, 40, 2), ("c", "+", "t1", 35, 40, 3), ("c", "-", "t2", 50, 60, 4), ("c", "-", "t2", 50, 55, 5), ("d", "+", "t3", 5, 9, 6),
+        ("d", "-", "t4", 15, 19, 7), ("d", "-", "t5", 7, 9, 8), ("c", ".", "t6", 1, 4, 9), ("c", "+", None, 1, 4, 10),
+    ]
+    schema = "seqid string, strand string, tx_id string, start long, stop long, line_no long"
+    cds = spark.createDataFrame(made, schema).repartition(3).withColumns({"source": F.lit("x"), "phase": F.lit("0")})
+    ends = [("c", "+", "t1", 41, 43, 11), ("c", "+", "t1", 41, 49, 12), ("c", "-", "t2", 47, 49, 13), ("d", "-", "t4", 11, 14, 14), ("x", "+", "t3", 10, 12, 15), ("c", "+", None, 5, 7, 16), ("c", "+", "t9", 5, 7, 17)]
+    stops = spark.createDataFrame(ends, schema).withColumns({"source": F.lit("y"), "phase": F.lit("."), "type": F.lit("UTR")})
+
+    # As two windows and a join have it.
+    outer = stops.groupBy(*T.TX).agg(F.max("stop").alias("high"), F.min("start").alias("low"))
+    over = lambda *order: F.row_number().over(Window.partitionBy(*T.TX).orderBy(*order)) == 1
+    rows = cds.withColumns({"hi": over(F.col("stop").desc(), "line_no"), "lo": over("start", "line_no")}).join(outer, T.TX, "left")
+    stop = F.when((F.col("strand") == "+") & F.col("hi"), F.greatest("stop", "high")).otherwise(F.col("stop"))
+    start = F.when((F.col("strand") == "-") & F.col("lo"), F.least("start", "low")).otherwise(F.col("start"))
+    want = rows.withColumns({"start": start, "stop": stop}).select(cds.columns)
+    longer = T.with_stop_codon(cds, stops)
+    assert longer.columns == cds.columns and sorted(map(tuple, longer.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert plan(T.with_stop_codon(cds, stops)).count("hashpartitioning") == 1
+
+    # Gene g is on two sequences.
+    parents = spark.createDataFrame([("t1", "g"), ("t2", "h"), ("t3", "g"), ("t4", "g"), ("t5", "lost")], "tx_id string, gene_id string")
+    known = spark.createDataFrame([("g",), ("h",), ("g",)], "gene_id string")
+    own = longer.where("tx_id is not null")
+    args = (own, stops.where("tx_id is not null"), parents, known)
+    order = ["seqid", "gene_start", "gene_id", "tx_start", "tx_id", "rank", "i"]
+    text.write_groups(models.rebuilt_genes(*args), str(tmp_path / "groups"), order[:3], models.rebuilt_lines(), "gzip")
+    text.write_gff(models.rebuilt_rows(*args), str(tmp_path / "lines"), order)
+    lines = lambda x: [r["value"] for p in sorted((tmp_path / x).glob("part-*")) for r in spark.read.text(str(p)).collect()]
+    assert lines("groups") == lines("lines")
+    assert [x.split("\t")[:5] for x in lines("groups") if "\tgene\t" in x] == [["c", "rebuild", "gene", "1", "4"], ["c", "x", "gene", "5", "49"], ["c", "x", "gene", "47", "60"], ["d", "rebuild", "gene", "7", "9"]]
+    assert sum("\tCDS\t" in x for x in lines("groups")) == 9 and sum("\tUTR\t" in x for x in lines("groups")) == 5
+    assert all(p.name.endswith(".gz") for p in (tmp_path / "groups").glob("part-*"))
